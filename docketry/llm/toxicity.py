@@ -70,29 +70,38 @@ class Chain:
     start: float
     doc: np.ndarray  # intercept, weights of the two largest token log-odds and of the log of summed marginals
     fitted: bool = True
-    _words: dict = field(default_factory=dict, repr=False)
+    _words: "Emissions | None" = field(default=None, repr=False)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_words"} | {"_words": {}}
-
-    def word(self, w: str) -> tuple[float, float, float]:
-        """Emission of a word for itself, for the token after it and for the token before it."""
-        got = self._words.get(w)
-        if got is None:
-            if len(self._words) > 1_000_000:
-                self._words.clear()
-            g = self.weight
-            got = self._words[w] = tuple(float(sum(g[i] for i in f)) for f in (own_features(w), near_features(w, "<"), near_features(w, ">")))
-        return got
+        return self.__dict__ | {"_words": None}
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        e = np.array(list(map(self.word, words)), np.float64).reshape(-1, 3)
+        if self._words is None or len(self._words) > 1_000_000:  # bounded
+            self._words = Emissions(self.weight)
+        at = np.fromiter(map(self._words.__getitem__, words), np.int64, len(words))
+        e = self._words.table[at]
         out = e[:, 0].copy()
         out[1:] += e[:-1, 1]
         out[:-1] += e[1:, 2]
         return out
 
 
+class Emissions(dict):
+    """Row of ``table`` by word: its emission for itself, for the token after it and for the token before it."""
+
+    def __init__(self, weight: np.ndarray):
+        super().__init__()
+        self.weight, self.table = weight, np.zeros((4096, 3))
+
+    def __missing__(self, w: str) -> int:
+        at = self[w] = len(self)
+        if at == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        g = self.weight
+        self.table[at] = [sum([g[i] for i in f]) for f in (own_features(w), near_features(w, "<"), near_features(w, ">"))]
+        return at
+
+
 def log_odds(chain: Chain, docs: list[np.ndarray]) -> list[np.ndarray]:
     """Per document, the log-odds of toxic against clean at every token, from forward-backward.
 
@@ -238,7 +247,7 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 12, seed: int = 3) ->
             g_move += move_grad**2
             move -= 0.1 * move_grad / np.sqrt(g_move + 1e-6)
             move -= move[0, 0]
-    model.fitted = True
+    model.fitted, model._words = True, None
     odds = log_odds(model, [model.emissions(d) for d in docs])
     x = np.array([(1.0, *summary(o)) for o in odds])
     beta = np.zeros(4)
