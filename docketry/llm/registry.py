@@ -1,10 +1,12 @@
 """Queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import decontaminate, quality, toxicity
+from . import decontaminate, mixing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op5_mixing": mixing.op5_mixing,
+    "op9_simhash": simhash.op9_simhash,
 }
-ORACLE = {"op3_decontaminate": decontaminate.SQL}
+ORACLE = {"op3_decontaminate": decontaminate.SQL, "op5_mixing": mixing.SQL}
