@@ -1,12 +1,15 @@
 """Queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import decontaminate, mixing, quality, simhash, toxicity
+from . import decontaminate, fingerprint, langid, mixing, quality, simhash, toxicity, urls
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_mixing": mixing.op5_mixing,
+    "op6_fingerprints": fingerprint.op6_fingerprints,
+    "op7_langid": langid.op7_langid,
     "op9_simhash": simhash.op9_simhash,
+    "op10_urls": urls.op10_urls,
 }
-ORACLE = {"op3_decontaminate": decontaminate.SQL, "op5_mixing": mixing.SQL}
+ORACLE = {"op3_decontaminate": decontaminate.SQL, "op5_mixing": mixing.SQL, "op10_urls": urls.SQL}
