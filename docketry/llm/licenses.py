@@ -104,7 +104,7 @@ def wording_differences(template: list[bytes], block: list[bytes]) -> tuple[int,
 @dataclass
 class Scanner:
     templates: tuple[tuple[str, str], ...] = TEMPLATES
-    least_gain: float = 0.4
+    least_gain: float = 0.02
     tolerance: float = 0.1
     _ready: list | None = field(default=None, repr=False)
 
@@ -123,7 +123,7 @@ class Scanner:
             for name, text in self.templates:
                 raw = text.lower().encode()
                 words = words_of(raw)
-                size = 16
+                size = 8
                 while size < len(words):
                     size *= 2
                 dictionary = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)

@@ -1,6 +1,6 @@
 """Queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import decontaminate, fingerprint, langid, mixing, quality, simhash, toxicity, urls
+from . import decontaminate, fingerprint, langid, licenses, mixing, quality, simhash, toxicity, urls
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_fingerprints": fingerprint.op6_fingerprints,
     "op7_langid": langid.op7_langid,
+    "op8_licenses": licenses.op8_licenses,
     "op9_simhash": simhash.op9_simhash,
     "op10_urls": urls.op10_urls,
 }
