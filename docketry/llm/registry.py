@@ -1,11 +1,12 @@
 """Queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import decontaminate, fingerprint, langid, licenses, mixing, quality, simhash, toxicity, urls
+from . import decontaminate, fingerprint, langid, licenses, linededup, mixing, quality, simhash, toxicity, urls
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_linededup": linededup.op4_linededup,
     "op5_mixing": mixing.op5_mixing,
     "op6_fingerprints": fingerprint.op6_fingerprints,
     "op7_langid": langid.op7_langid,

@@ -13,7 +13,6 @@ judged each; null ids take part; an empty list or table works; null and empty en
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import cut, map_batches, read
 
 #: (rule, verdict): host and path, the longest that fits wins.
@@ -28,9 +28,6 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 #: Sites of the block list that the query uses.
 LISTED_SITES = ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets")
 LISTED_UNDER = ("example.com", "example.net", "example.org")
-BITS_PER_KEY, BLOCK_WORDS, SEED = 16, 8, 42
-#: Odd multipliers, one for each word of a block (from the splitmix64 increment).
-SALTS = [(0x9E3779B97F4A7C15 * (2 * i + 1)) & 0x7FFFFFFF | 1 for i in range(BLOCK_WORDS)]
 _AUTHORITY = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 _UPPER = {c: c + 32 for c in range(65, 91)}
 
@@ -66,36 +63,6 @@ def rule_for(host: str, path: str, rules: tuple[tuple[str, str], ...] = RULES) -
     return best
 
 
-@dataclass
-class BlockedBloom:
-    words: np.ndarray  # (blocks, 8) uint64
-
-    def might_contain(self, keys: list[str]) -> np.ndarray:
-        if not keys or not len(self.words):
-            return np.zeros(len(keys), bool)
-        h = np.array([xxhash.xxh64_intdigest(k.encode(), SEED) for k in keys], np.uint64)
-        block = self.words[(h >> np.uint64(32)) % np.uint64(len(self.words))]
-        low = h & np.uint64(0x7FFFFFFF)
-        out = np.ones(len(keys), bool)
-        for i, salt in enumerate(SALTS):
-            bit = (low * np.uint64(salt) >> np.uint64(20)) & np.uint64(63)
-            out &= (block[:, i] >> bit) & np.uint64(1) == 1
-        return out
-
-
-def build_filter(listed: DataFrame, blocks: int) -> BlockedBloom:
-    """The filter of ``listed(key)``, its bits combined on the executors: at most 8 rows a block come back."""
-    h = F.xxhash64("key")
-    low = h.bitwiseAND(F.lit(0x7FFFFFFF))
-    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(low * F.lit(s), 20).bitwiseAND(F.lit(63)).cast("int")) for s in SALTS]
-    rows = listed.select((F.shiftrightunsigned(h, 32) % blocks).alias("block"), *(b.alias(f"w{i}") for i, b in enumerate(bits)))
-    got = rows.groupBy("block").agg(*(F.expr(f"bit_or(w{i})").alias(f"w{i}") for i in range(BLOCK_WORDS))).toPandas()
-    words = np.zeros((blocks, BLOCK_WORDS), np.int64)
-    if len(got):
-        words[got["block"].to_numpy()] = got[[f"w{i}" for i in range(BLOCK_WORDS)]].to_numpy()
-    return BlockedBloom(words.view(np.uint64))
-
-
 def listed_keys(entries: DataFrame) -> DataFrame:
     """Distinct canonical keys of ``entries(url)``; entries may lack a scheme."""
 
@@ -112,15 +79,17 @@ def judge(
 ) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of ``pages(page_id, url)``."""
     listed = cut(listed_keys(entries))
-    blocks = max(1, -(-listed.count() * BITS_PER_KEY // (64 * BLOCK_WORDS)))
-    bloom = pages.sparkSession.sparkContext.broadcast(build_filter(listed, blocks) if blocks * BLOCK_WORDS * 8 <= max_filter_bytes else None)
+    blocks, fits_in = bloom.blocks_for(listed.count(), max_filter_bytes)
+    hashes = listed.select(F.xxhash64("key").alias("h"))  # XXH64 with seed 42
+    known = pages.sparkSession.sparkContext.broadcast(bloom.build(hashes, blocks) if fits_in else None)
 
     def run(batch: pa.RecordBatch):
         parts = [split_url(u) for u in batch.column("url").to_pylist()]
         fits = [rule_for(h, p, rules) for h, p in parts]
         keys = [[] if v else lookups(canonical(h, p)) for (h, p), (_, v) in zip(parts, fits, strict=True)]
         flat = [k for x in keys for k in x]
-        passes = iter((bloom.value.might_contain(flat) if bloom.value is not None else np.ones(len(flat), bool)).tolist())
+        h = np.array([xxhash.xxh64_intdigest(k.encode(), 42) for k in flat], np.uint64)
+        passes = iter((known.value.might_contain(h) if known.value is not None else np.ones(len(flat), bool)).tolist())
         possible = [[k for k in x if next(passes)] for x in keys]
         columns = [pa.array(list(x), pa.string()) for x in ([h for h, _ in parts], [p for _, p in parts], [r for r, _ in fits], [v for _, v in fits])]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), *columns, pa.array(possible, pa.list_(pa.string()))], names)
