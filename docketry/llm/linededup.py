@@ -98,7 +98,7 @@ def shared_parts(found: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, shared: bloom.BlockedBloom) -> DataFrame:
-    """first (doc_id, line_no, form) of every form that may share a part with another."""
+    """doc_id, line_no, side, form of the first line of every form that may share its start (side 1), its end (2), or both (3) with another."""
     known = docs.sparkSession.sparkContext.broadcast(shared)
 
     def run(batch: pa.RecordBatch):
@@ -110,18 +110,21 @@ def candidates(docs: DataFrame, shared: bloom.BlockedBloom) -> DataFrame:
         if not row:
             return
         n = np.array(list(map(len, own)))
-        hit = known.value.might_contain(np.array([h for x in own for h in x], np.uint64))
-        keep = np.flatnonzero(np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(n)[:-1]])) > 0)
+        hit = known.value.might_contain(np.array([h for x in own for h in x], np.uint64)).astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(n)[:-1]])
+        ends = np.add.reduceat(hit * (1 + (np.arange(len(hit)) - np.repeat(at, n)) % 2 * 15), at)  # starts count 1, ends 16
+        keep = np.flatnonzero(ends)
         joined = [b" ".join(text_of[i]) for i in keep]
+        side = pa.array(((ends[keep] % 16 > 0) + 2 * (ends[keep] >= 16)).astype(np.int32))
         k = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, joined)), "<i8").reshape(-1, 2)
         at = pa.array([row[i] for i in keep], pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(k[:, 0]), pa.array(k[:, 1]), ids.take(at), pa.array([line[i] for i in keep], pa.int32()), pa.array(joined, pa.binary())], names
+            [pa.array(k[:, 0]), pa.array(k[:, 1]), ids.take(at), pa.array([line[i] for i in keep], pa.int32()), side, pa.array(joined, pa.binary())], names
         )
 
-    names = ["k1", "k2", "doc_id", "line_no", "form"]
-    rows = map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "k1 long, k2 long, doc_id long, line_no int, form binary")
-    return rows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no", "form")).alias("first")).select("first.*")
+    names = ["k1", "k2", "doc_id", "line_no", "side", "form"]
+    rows = map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "k1 long, k2 long, doc_id long, line_no int, side int, form binary")
+    return rows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no", "side", "form")).alias("first")).select("first.*")
 
 
 def variant_keys(words: list[bytes]) -> np.ndarray:
@@ -135,11 +138,12 @@ def variant_keys(words: list[bytes]) -> np.ndarray:
     return splitmix(np.concatenate([p[-1:] ^ np.uint64(n), without ^ np.uint64(n - 1)]))
 
 
-VARIANT = "v long, pos int, doc_id long, line_no int, by_doc long, by_line int"
-
-
 def variants(firsts: DataFrame, decided: bool) -> DataFrame:
-    """All variants of ``firsts``; those that an earlier one of the same batch and position decides apart from the others."""
+    """Variants (v, pos, doc_id, line_no) of ``firsts``, the earliest of a batch for each v and pos.
+
+    ``decided``: instead, the later ones as links (doc_id, line_no, by_doc, by_line). A line that shares its start only is
+    cut behind that start only, and so with its end: an edit that leaves the part alone is there.
+    """
 
     def run(batch: pa.RecordBatch):
         ids, lines = batch.column("doc_id"), batch.column("line_no").to_numpy()
@@ -148,13 +152,18 @@ def variants(firsts: DataFrame, decided: bool) -> DataFrame:
         number = np.array([(i is not None, i or 0) for i in ids.to_pylist()], np.int64)
         rank[np.lexsort((lines, number[:, 1], number[:, 0]))] = np.arange(len(lines))
         back = np.argsort(rank)
-        todo = batch.column("form").to_pylist()
+        todo, sides = batch.column("form").to_pylist(), batch.column("side").to_numpy()
         for lo in range(0, len(todo), 2000):
             keys = [variant_keys(f.split(b" ")) for f in todo[lo : lo + 2000]]
             size = np.array(list(map(len, keys)))
             v = np.concatenate(keys)
             pos = np.arange(len(v)) - np.repeat(np.cumsum(size) - size, size) - 1
             at = np.repeat(rank[lo : lo + 2000], size)
+            # the least part that a line of so many words is known by
+            part = np.array([1 << ((n - 1).bit_length() - 2) - (n - 1 == 1 << ((n - 1).bit_length() - 1)) for n in size.tolist()])
+            part, side = np.repeat(part, size), np.repeat(sides[lo : lo + 2000], size)
+            use = (pos < 0) | (side == 3) | ((side == 1) & (pos >= part)) | ((side == 2) & (pos < np.repeat(size - 1, size) - part))
+            v, pos, at = v[use], pos[use], at[use]
             order = np.lexsort((at, pos, v))
             v, pos, at = v[order], pos[order], at[order]
             first = np.ones(len(v), bool)
@@ -162,26 +171,28 @@ def variants(firsts: DataFrame, decided: bool) -> DataFrame:
             head = np.flatnonzero(first)[np.cumsum(first) - 1]
             pick = np.flatnonzero(~first & (at != at[head])) if decided else np.flatnonzero(first)
             own, by = pa.array(back[at[pick]]), pa.array(back[at[head[pick]]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v[pick].view(np.int64)), pa.array(pos[pick].astype(np.int32)), ids.take(own), batch.column("line_no").take(own), ids.take(by), batch.column("line_no").take(by)],
-                [x.split()[0] for x in VARIANT.split(", ")],
-            )
+            line = [ids.take(own), batch.column("line_no").take(own)]
+            if decided:
+                columns = [*line, ids.take(by), batch.column("line_no").take(by)]
+            else:
+                columns = [pa.array(v[pick].view(np.int64)), pa.array(pos[pick].astype(np.int32)), *line]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
-    return map_batches(firsts, run, VARIANT)
+    schema = "doc_id long, line_no int, by_doc long, by_line int" if decided else "v long, pos int, doc_id long, line_no int"
+    return map_batches(firsts, run, schema)
 
 
 def near_links(firsts: DataFrame) -> DataFrame:
     """(doc_id, line_no, by_doc, by_line): lines with an earlier one under a common variant, and that one."""
     own = F.struct("doc_id", "line_no")
-    rows = variants(firsts, decided=False).select("v", "pos", own.alias("own"))
     spot, key = Window.partitionBy("v", "pos"), Window.partitionBy("v")
-    rows = rows.withColumn("same", F.min("own").over(spot))
-    rows = rows.withColumn("whole", F.min(F.when(F.col("pos") < 0, F.col("own"))).over(key))
-    rows = rows.withColumn("cut", F.min(F.when(F.col("pos") >= 0, F.col("own"))).over(key))
+    # by the key first: what is dealt out by the key is dealt out for key and position as well
+    rows = variants(firsts, decided=False)
+    rows = rows.withColumn("whole", F.min(F.when(F.col("pos") < 0, own)).over(key)).withColumn("cut", F.min(F.when(F.col("pos") >= 0, own)).over(key))
+    rows = rows.withColumn("same", F.min(own).over(spot)).withColumn("own", own)
     by = F.when(F.col("pos") < 0, F.col("cut")).otherwise(F.when(F.col("same") < F.col("own"), F.col("same")).otherwise(F.col("whole")))
     met = rows.withColumn("by", by).filter("by < own").select("own.*", F.col("by.doc_id").alias("by_doc"), F.col("by.line_no").alias("by_line"))
-    decided = variants(firsts, decided=True).select("doc_id", "line_no", "by_doc", "by_line")
-    both = met.unionByName(decided)
+    both = met.unionByName(variants(firsts, decided=True))
     return both.groupBy("doc_id", "line_no").agg(F.min(F.struct("by_doc", "by_line")).alias("by")).select("doc_id", "line_no", "by.*")
 
 
