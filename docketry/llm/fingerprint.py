@@ -32,8 +32,8 @@ from .common import read, splitmix
 LEVELS, KEEP = (2, 3), 32
 #: Code points parsed at a time (a longer text is parsed alone).
 STEP = 400_000
-#: Documents of one range of ids, about.
-RANGE_ROWS = 20_000
+#: Documents of one range of ids, about, and ranges at most (beyond, ranges grow; a task sorts and streams its range).
+RANGE_ROWS, MAX_RANGES = 2_000, 65_536
 _LOW = np.array([(i & -i).bit_length() - 1 if i else 0 for i in range(256)], np.uint8)
 _MUL = np.uint64(0x03F79D71B4CB0A89)  # a de Bruijn sequence: the top six bits of its multiples tell powers of two apart
 _BIT = np.zeros(64, np.uint8)
@@ -159,16 +159,17 @@ def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``docs(doc_id, text)`` in ranges of ids, sorted, each followed by the first row of the next range (``extra``)."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     n = rows.count()
-    ranges = max(1, min(4096, n // range_rows))
-    cuts: list[int] = []
+    ranges = max(1, min(MAX_RANGES, n // range_rows))
+    cuts = np.zeros(0, np.int64)
     if ranges > 1:
-        found = rows.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("q")).first()["q"]
-        cuts = sorted(set(found or []))
-    place = F.lit(0)
-    if cuts:  # the number of cuts at or below the id, by binary search
-        place = F.coalesce(_bisect(F.col("doc_id"), cuts), F.lit(0))
-    rows = rows.withColumn("range", place)
-    # the first id of each range that has rows; the heads of ranges, at most 4096 rows, go to the range before
+        found = rows.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], max(10_000, 10 * ranges)).alias("q")).first()["q"]
+        cuts = np.unique(np.array(found or [], np.int64))
+
+    def place(ids: pa.Array) -> pa.Array:  # the ids alone go to Python; null ids to the first range
+        return pa.array(np.searchsorted(cuts, ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="right").astype(np.int32))
+
+    rows = rows.withColumn("range", F.arrow_udf(place, "int")("doc_id"))
+    # the first id of each range that has rows; the heads of ranges, at most MAX_RANGES rows, go to the range before
     firsts = rows.groupBy("range").agg(F.min(F.struct("doc_id")).alias("f")).select("range", "f.doc_id").orderBy("range").collect()
     if not firsts:
         return rows.withColumn("extra", F.lit(False)).limit(0)
@@ -181,19 +182,7 @@ def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
         .select(F.col("id").alias("doc_id"), "text", F.col("to").alias("range"), F.lit(True).alias("extra"))
     )
     both = rows.withColumn("extra", F.lit(False)).unionByName(first_texts)
-    return both.repartition(max(1, len(firsts)), "range").sortWithinPartitions("range", "extra", "doc_id", "text")
-
-
-def _bisect(c, cuts: list[int]):
-    """How many of the ascending ``cuts`` are at or below ``c``: nested comparisons, as deep as the logarithm."""
-
-    def at(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(c >= F.lit(cuts[mid]), at(mid + 1, hi)).otherwise(at(lo, mid))
-
-    return at(0, len(cuts))
+    return both.repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions("range", "extra", "doc_id", "text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
