@@ -21,7 +21,8 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc_mod, map_batches, read, sigmoid
+from .common import bounded_sample, crc_mod, map_batches, read, sigmoid, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 18
@@ -156,17 +157,37 @@ def summary(odds: np.ndarray) -> tuple[float, float, float]:
 
 def token_labels(docs: list[list[str]], toxic: np.ndarray, least_docs: int = 3, purity: float = 0.85) -> set[str]:
     """Greedy cover: shapes nearly absent from clean documents, taken by the toxic documents they newly explain."""
-    dirty, clean = Counter(), Counter()
-    marks = [{s for w in set(d) for s in shapes(w)} for d in docs]
-    for m, y in zip(marks, toxic, strict=True):
-        (dirty if y else clean).update(m)
+    of: dict[str, bytes] = {}  # hashes of a word's shapes: no strings are held but those of good shapes
+
+    def marks(d: list[str]) -> np.ndarray:
+        for w in d:
+            if w not in of:
+                of[w] = np.array([xxhash.xxh64_intdigest(s) for s in shapes(w)], np.uint64).tobytes()
+        return np.unique(np.frombuffer(b"".join([of[w] for w in set(d)]), np.uint64))
+
+    def counted(wanted: bool) -> tuple[np.ndarray, np.ndarray]:
+        found = [marks(d) for d, y in zip(docs, toxic, strict=True) if bool(y) == wanted]
+        return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    (kinds, n_dirty), (others, n) = counted(True), counted(False)
+    at = np.minimum(np.searchsorted(others, kinds), max(0, len(others) - 1))
+    n_clean = np.where(others[at] == kinds, n[at], 0) if len(others) else np.zeros(len(kinds), np.int64)
     scale = max(1, len(toxic) - toxic.sum()) / max(1, toxic.sum())
-    good = {s for s, n in dirty.items() if n >= least_docs and n / (n + clean[s] / scale) >= purity}
+    some = kinds[(n_dirty >= least_docs) & (n_dirty / (n_dirty + n_clean / scale) >= purity)]
+    wanted = set(some.tolist())
+    dirty, clean, good = {}, {}, set()
     holders = defaultdict(set)
-    for i, (m, y) in enumerate(zip(marks, toxic, strict=True)):
-        if y:
-            for s in m & good:
-                holders[s].add(i)
+    for i, (d, y) in enumerate(zip(docs, toxic, strict=True)):
+        for w in set(d) if y else ():
+            if wanted.isdisjoint(np.frombuffer(of[w], np.uint64).tolist()):
+                continue
+            for s in shapes(w):
+                h = xxhash.xxh64_intdigest(s)
+                if h in wanted:
+                    k = int(np.searchsorted(kinds, np.uint64(h)))
+                    dirty[s], clean[s] = int(n_dirty[k]), int(n_clean[k])
+                    good.add(s)
+                    holders[s].add(i)
     chosen: set[str] = set()
     open_docs = {i for i, y in enumerate(toxic) if y}
     while holders and open_docs:
@@ -190,7 +211,8 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 12, seed: int = 3) ->
     chain = Chain(np.zeros(BUCKETS), np.zeros((2, 2)), -4.0, np.array([-50.0, 0, 0, 0]), fitted=False)
     if not len(toxic) or toxic.min() == toxic.max():
         return chain
-    docs = [tokens(t) for t in texts]
+    same: dict[str, str] = {}  # one string object for each distinct word
+    docs = [[same.setdefault(w, w) for w in tokens(t)] for t in texts]
     marked = token_labels(docs, toxic)
     is_toxic = {w: any(s in marked for s in shapes(w)) for d in docs for w in set(d)}
     windows: list[tuple[list[str], np.ndarray]] = []
@@ -207,23 +229,17 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 12, seed: int = 3) ->
     g = np.zeros(BUCKETS)
     move, g_move, start = np.zeros((2, 2)), np.zeros((2, 2)), -4.0
     move[0, 1] = -2.0
-    cache: dict[str, tuple[list[int], list[int], list[int]]] = {}
-
-    def feats(w: str):
-        if w not in cache:
-            cache[w] = (own_features(w), near_features(w, "<"), near_features(w, ">"))
-        return cache[w]
-
     packed = []
     for words, tags in windows:
         tok, idx = [], []
         for t, w in enumerate(words):
-            own = list(feats(w)[0])
-            own += feats(words[t - 1])[1] if t else []
-            own += feats(words[t + 1])[2] if t + 1 < len(words) else []
+            own = own_features(w)
+            own += near_features(words[t - 1], "<") if t else []
+            own += near_features(words[t + 1], ">") if t + 1 < len(words) else []
             tok += [t] * len(own)
             idx += own
-        packed.append((np.array(tok), np.array(idx), tags))
+        packed.append((np.array(tok, np.int16), np.array(idx, np.int32), tags))
+    del windows
     weight, model = np.zeros(BUCKETS), chain
     model.weight, model.move, model.start = weight, move, start
     for _ in range(epochs):
@@ -305,23 +321,23 @@ def spans_of(text: str, odds: np.ndarray, span_at: float) -> list[dict]:
     return out
 
 
+def tagged(chain: Chain, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """Start, scores and token log-odds of slices of bounded size."""
+    for lo, hi in slices([len(t or "") for t in texts]):
+        odds = log_odds(chain, [chain.emissions(w) if (w := tokens(t)) else np.zeros(0) for t in texts[lo:hi]])
+        x = np.array([(1.0, *summary(o)) for o in odds])
+        yield lo, sigmoid(x @ chain.doc) if chain.fitted else np.zeros(hi - lo), odds
+
+
 def score(docs: DataFrame, chain: Chain, span_at: float = 0.5) -> DataFrame:
     """doc_id, score, n_spans and spans (offsets in code points) of every row of ``docs``."""
 
     def run(batch: pa.RecordBatch):
         texts = batch.column("text").to_pylist()
         scores, spans = [], []
-        lo = 0
-        while lo < len(texts):  # slices of bounded size
-            hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= 4_000_000):
-                size += len(texts[hi] or "")
-                hi += 1
-            odds = log_odds(chain, [chain.emissions(w) if (w := tokens(t)) else np.zeros(0) for t in texts[lo:hi]])
-            x = np.array([(1.0, *summary(o)) for o in odds])
-            scores.append(sigmoid(x @ chain.doc) if chain.fitted else np.zeros(hi - lo))
-            spans += [spans_of(t, o, span_at) if t and chain.fitted else [] for t, o in zip(texts[lo:hi], odds, strict=True)]
-            lo = hi
+        for lo, part, odds in tagged(chain, texts):
+            scores.append(part)
+            spans += [spans_of(t, o, span_at) if t and chain.fitted else [] for t, o in zip(texts[lo:], odds, strict=False)]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
@@ -339,12 +355,7 @@ def drop_toxic(docs: DataFrame, chain: Chain, reject_at: float = REJECT_AT) -> D
     """The rows of ``docs`` scored under ``reject_at``, with all their columns; one map, no join."""
 
     def run(batch: pa.RecordBatch):
-        keep = []
-        texts = batch.column(names.index("text")).to_pylist()
-        for lo in range(0, len(texts), 256):
-            odds = log_odds(chain, [chain.emissions(w) if (w := tokens(t)) else np.zeros(0) for t in texts[lo : lo + 256]])
-            x = np.array([(1.0, *summary(o)) for o in odds])
-            keep.append(sigmoid(x @ chain.doc) < reject_at if chain.fitted else np.ones(len(odds), bool))
+        keep = [part < reject_at for _, part, _ in tagged(chain, batch.column(names.index("text")).to_pylist())]
         yield batch.filter(pa.array(np.concatenate(keep)))
 
     names = docs.columns
