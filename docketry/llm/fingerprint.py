@@ -78,6 +78,7 @@ def level_up(names: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     cut = np.zeros(len(names), bool)
     if len(names) > 2:
         cut[1:-1] = (label[1:-1] > label[:-2]) & (label[1:-1] >= label[2:])
+    cut[starts[1:] - 1] = False  # the last symbol of a document has no right neighbour, whatever comes after it here
     cut[starts] = True
     at = np.flatnonzero(cut)
     place = np.arange(len(names), dtype=np.int64) - np.repeat(at, np.diff(np.append(at, len(names))))
