@@ -6,7 +6,7 @@ size reduction as a share of the template's own compressed size. Those over ``le
 the exact wording: the template's words are aligned with the block's, and a template holds if at most ``tolerance`` of its
 words differ; the differing words are reported.
 
-Templates of like length share block sizes, and blocks overlap by the longest template of their class, so an
+Blocks are as long as a template's words to both sides of a cue, and overlap by a template, so an
 occurrence lies whole in one block wherever it stands. One map over whole texts, no shuffle.
 
 Edge cases: null and empty texts have no blocks; repeated rows are scanned each; null ids take part; an empty table gives an empty result;
@@ -104,7 +104,7 @@ def wording_differences(template: list[bytes], block: list[bytes]) -> tuple[int,
 @dataclass
 class Scanner:
     templates: tuple[tuple[str, str], ...] = TEMPLATES
-    least_gain: float = 0.02
+    least_gain: float = 0.05
     tolerance: float = 0.1
     _ready: list | None = field(default=None, repr=False)
 
@@ -117,15 +117,13 @@ class Scanner:
         return self.__dict__ | {"_ready": None}
 
     def classes(self) -> list[tuple[int, list]]:
-        """(longest template, [(name, words, plain size, compressor)]) for templates of like length."""
+        """(words, [(name, words, plain size, compressor)]) for templates of one length."""
         if self._ready is None:
             by_size: dict[int, list] = {}
             for name, text in self.templates:
-                raw = text.lower().encode()
-                words = words_of(raw)
-                size = 8
-                while size < len(words):
-                    size *= 2
+                words = words_of(text.encode())
+                raw = b" ".join(words)  # layout and punctuation take no part in the sizes
+                size = len(words)
                 dictionary = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 options = {"level": 9, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
                 plain = zstandard.ZstdCompressor(**options)
@@ -151,10 +149,10 @@ class Scanner:
                 if lo >= hi:
                     continue
                 blocks += 1
-                raw = low[found[lo].start() : found[hi - 1].end()]
+                words = [m.group() for m in found[lo:hi]]
+                raw = b" ".join(words)
                 alone = len(self._plain.compress(raw))
                 ranked = sorted(((alone - len(z.compress(raw))) / own, -k) for k, (_, _, own, z) in enumerate(templates))[::-1]
-                words = [m.group() for m in found[lo:hi]]
                 for gain, k in ranked:
                     if gain < self.least_gain:
                         break
