@@ -39,6 +39,8 @@ LEAST_WORDS, FUZZY_WORDS = 5, 8
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 MAX_FILTER_BYTES = 64 << 20
+#: Column of the lines that a document loses; no table should have it.
+GONE = "__gone_lines"
 
 
 def forms(text: bytes | None) -> Iterator[tuple[int, list[bytes]]]:
@@ -222,7 +224,7 @@ def verified(met: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
-    """(doc_id, gone: array of (line_no, k1)) for every document that loses lines; k1 is 0 for near repeats."""
+    """(doc_id, GONE: array of (line_no, k1)) for every document that loses lines; k1 is 0 for near repeats."""
     found = cut(occurrences(docs))
     shared = shared_parts(found)
     blocks, _ = bloom.blocks_for(shared.count(), max_filter_bytes)
@@ -235,7 +237,7 @@ def dropped_lines(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) ->
         .filter(~F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))
         .select("doc_id", "line_no", "k1")
     )
-    return repeats.unionByName(near).groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "k1")).alias("gone"))
+    return repeats.unionByName(near).groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "k1")).alias(GONE))
 
 
 def _kept(text: bytes, gone: list[dict]) -> tuple[bytes, list[int]]:
@@ -260,7 +262,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch):
         texts = batch.column(at)
-        gone = batch.column("gone").to_pylist()
+        gone = batch.column(GONE).to_pylist()
         if any(gone):
             new = [t if t is None or not g else _kept(t, g)[0] for t, g in zip(texts_of(texts), gone, strict=True)]
             texts = pa.array([t if t is None else t.decode() for t in new], pa.string())
@@ -276,7 +278,7 @@ def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batch: pa.RecordBatch):
         rows = []
-        for text, gone in zip(texts_of(batch.column("text")), batch.column("gone").to_pylist(), strict=True):
+        for text, gone in zip(texts_of(batch.column("text")), batch.column(GONE).to_pylist(), strict=True):
             kept, out = _kept(text or b"", gone or [])
             rows.append((0 if text is None else text.count(b"\n") + 1, len(out), ",".join(map(str, out)), hashlib.sha256(kept).hexdigest()))
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
