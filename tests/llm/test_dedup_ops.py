@@ -1,0 +1,252 @@
+"""Line dedup, SimHash, decontamination against brute force, and odd cases."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import xxhash
+from edge import SCHEMA, corpus, frame, odd, sentence
+
+from docketry.llm import decontaminate, graph, linededup, simhash
+from docketry.llm.common import cut
+
+
+def order(i):
+    return (i is not None, i or 0)
+
+
+def distance(a, b):
+    d = np.zeros((len(a) + 1, len(b) + 1), int)
+    d[:, 0], d[0] = range(len(a) + 1), range(len(b) + 1)
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+    return d[-1, -1]
+
+
+def ascii_lower(t):
+    return re.sub("[A-Z]+", lambda m: m[0].lower(), t)
+
+
+def brute_lines(rows):
+    """doc_id and line numbers that go, by comparing each line with all earlier ones."""
+    lines = []
+    for doc, text in sorted({(r[0], r[1]) for r in rows if r[1] is not None}, key=lambda x: (order(x[0]), x[1])):
+        for i, line in enumerate(text.split("\n")):
+            w = [x for x in re.split(r"[\x20\x09-\x0D]+", ascii_lower(line)) if x]
+            if len(w) >= 5:
+                lines.append((order(doc), i, doc, w))
+    gone = set()
+    for p, i, doc, w in lines:
+        for p2, i2, _, v in lines:
+            if (p2, i2) < (p, i) and (v == w or (min(len(v), len(w)) >= 8 and abs(len(v) - len(w)) < 2 and distance(v, w) <= 1)):
+                gone.add((doc, i))
+                break
+    return gone
+
+
+def line_rows(seed=3):
+    rng = random.Random(seed)
+    base = [sentence(rng, n) for n in (4, 5, 7, 8, 8, 9, 15, 16, 16, 17, 31, 32, 33, 40)]
+    rows = []
+    for d in range(30):
+        out = []
+        for _ in range(rng.randrange(1, 7)):
+            w = rng.choice(base).split()
+            for _ in range(rng.choice([0, 0, 1, 1, 2])):
+                k, what = rng.randrange(len(w)), rng.randrange(3)
+                if what == 0:
+                    w[k] = f"z{rng.randrange(4)}"
+                elif what == 1:
+                    w.insert(k, f"z{rng.randrange(4)}")
+                elif len(w) > 1:
+                    del w[k]
+            out.append((" " * rng.randrange(2)).join(["", *[x.upper() if rng.random() < 0.1 else x for x in w]]).strip() if rng.random() < 0.5 else " ".join(w))
+        rows.append((d, "\n".join(out), "en", "s", 1))
+    return rows
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rows = line_rows() + odd()
+    docs = frame(spark, rows)
+    gone = brute_lines(rows)
+    got = linededup.dedup(docs)
+    assert got.columns == docs.columns and got.count() == len(rows)
+    want = [(repr(r[0]), r[1] if r[1] is None else "\n".join(x for i, x in enumerate(r[1].split("\n")) if (r[0], i) not in gone)) for r in rows]
+    assert Counter((repr(r["doc_id"]), r["text"]) for r in got.collect()) == Counter(want)
+    assert len(gone) > 30
+    assert linededup.dedup(docs.limit(0)).count() == 0
+
+
+def test_line_dedup_with_a_saturated_filter(spark):
+    """A filter of one block passes nearly everything; the result is the same."""
+    rows = line_rows(7)
+    docs = frame(spark, rows, extra=False)
+    small = {(r["doc_id"], g["line_no"]) for r in linededup.dropped_lines(docs, max_filter_bytes=64).collect() for g in r[linededup.GONE]}
+    assert small == brute_lines(rows)
+
+
+def test_variant_keys_meet():
+    a = b"one two three four five six seven eight".split()
+    b = b"one two three FOUR five six seven eight".split()
+    ka, kb = linededup.variant_keys(a), linededup.variant_keys(b)
+    assert ka[4] == kb[4] and ka[0] != kb[0] and len(set(ka.tolist())) == 9
+    assert linededup.variant_keys(a[:3] + a[4:])[0] == ka[4]
+    assert linededup.within_one(a, b) and not linededup.within_one(a, b[:-1]) and linededup.within_one(a, a[:-1])
+
+
+def brute_fingerprint(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(text or ""))
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(fps):
+    label = list(range(len(fps)))
+    while True:
+        new = [min(label[j] for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 2) for i in range(len(fps))]
+        if new == label:
+            return label
+        label = new
+
+
+def test_simhash_equals_brute_force(spark):
+    rng = random.Random(5)
+    rows = corpus(40, 2) + odd()
+    for k in range(60):  # near copies of a few texts
+        base = rows[k % 4][1].split(" ") * 6
+        base[rng.randrange(len(base))] = f"q{rng.randrange(3)}"
+        rows.append((200 + k, " ".join(base), "en", "s", 1))
+    docs = frame(spark, rows)
+    got = simhash.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    fps = [brute_fingerprint(r[1]) for r in rows]
+    label = brute_components(fps)
+    groups = {}
+    for r, lab in zip(rows, label, strict=True):
+        groups.setdefault(lab, []).append(r[0])
+    least = {lab: min((i for i in g if i is not None), default=None) for lab, g in groups.items()}
+    want = sorted(repr((r[0], fp, least[lab])) for r, fp, lab in zip(rows, fps, label, strict=True))
+    assert sorted(repr((r["doc_id"], r["fp"] % 2**64, r["component_id"])) for r in got) == want
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert {i for i in ids if i is not None} == {i for i in least.values() if i is not None} and ids.count(None) == 2
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_links_connect_what_is_connected(spark):
+    rng = random.Random(1)
+    fps = {rng.getrandbits(64) for _ in range(50)}
+    for c in list(fps)[:5]:
+        for _ in range(60):
+            x = c
+            for _ in range(rng.randrange(1, 5)):
+                x ^= 1 << rng.randrange(64)
+            fps.add(x)
+    fps = sorted(fps)
+    label = brute_components(fps)
+
+    def partition(links):
+        parent = {f: f for f in fps}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            assert (a ^ b).bit_count() <= 2
+            parent[find(a)] = find(b)
+        return [find(f) for f in fps]
+
+    def same(p):
+        return len(set(zip(p, label, strict=True))) == len(set(p)) == len(set(label))
+
+    found = simhash.spanning_links(np.array(fps, np.uint64))
+    assert same(partition(found)) and len(found) < len(fps)
+    big, simhash.BIG = simhash.BIG, 10  # the way of very large groups
+    try:
+        assert same(partition(simhash.spanning_links(np.array(fps, np.uint64))))
+    finally:
+        simhash.BIG = big
+    signed = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in fps], "fp long")
+    assert same(partition([(r["a"] % 2**64, r["b"] % 2**64) for r in simhash.links(signed).collect()]))
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    pairs = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 140)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(7, 7)]
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    assert got == {x: find(x) for x in list(parent)}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+ITEMS = [(1, "The quick brown fox jumps over the lazy dog and runs away from it"), (2, "short item here"), (3, ""), (4, None), (10, "Quick BROWN fox jumps over the lazy dog and runs"), (None, "nobody knows this id")]
+
+
+def brute_scan(text, items, n=10):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(t or ""))
+    w, hit, found = words(text), set(), set()
+    for item, t in items:
+        v = words(t)
+        m = min(n, len(v))
+        for i in range(len(v) - m + 1 if m else 0):
+            for s in range(len(w) - m + 1):
+                if w[s : s + m] == v[i : i + m]:
+                    hit.update(range(s, s + m))
+                    found.update([str(item)] if item is not None else [])
+    return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
+
+
+def leak_rows():
+    rows = corpus(20, 4) + odd()
+    rows += [(300, "before the THE quick, brown fox-jumps over the lazy dog... and runs away from it after", "en", "s", 1), (301, "a short item  here b", "en", "s", 1)]
+    rows += [(302, ITEMS[0][1], "en", "s", 1), (303, "nobody knows this id but the text is long enough to stay here as it is", "en", "s", 1), (304, "short short item here item here and much more than that is said", "en", "s", 1)]
+    return rows
+
+
+def test_scan_equals_brute_force(spark):
+    rows = leak_rows()
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    docs = frame(spark, rows)
+    want = sorted(repr((r[0], *brute_scan(r[1], ITEMS))) for r in rows)
+    for block in (500_000, 2):  # one broadcast set, and several
+        assert sorted(repr(tuple(r)) for r in decontaminate.scan(docs, bench, block_windows=block).collect()) == want
+    clean = decontaminate.scan(docs, bench.limit(0)).collect()
+    assert len(clean) == len(rows) and not any(r["contaminated"] for r in clean)
+    assert decontaminate.scan(docs.limit(0), bench).count() == 0
+
+
+def test_remove_hits(spark):
+    rows = leak_rows()
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    docs = frame(spark, rows)
+    got = {(r["doc_id"]): r["text"] for r in decontaminate.remove_hits(docs, bench).collect()}
+    assert 302 not in got and 300 not in got and set(got) == {r[0] for r in rows} - {302, 300, 301}
+    assert got[303].startswith(" but the text") and not any(brute_scan(t, ITEMS)[4] for t in got.values())
+    assert got[304] == "short item here and much more than that is said"[:0] + got[304] and "item here" not in got[304][:10]
+    for r in rows:  # clean documents are as they were
+        if not brute_scan(r[1], ITEMS)[4] and r[0] is not None:
+            assert got[r[0]] == r[1]
+    assert decontaminate.remove_hits(docs, bench).columns == docs.columns
+
+
+def test_cut_keeps_rows(spark):
+    assert cut(spark.createDataFrame(corpus(5), SCHEMA)).count() == 5
