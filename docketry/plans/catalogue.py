@@ -797,3 +797,6 @@ def _(s, d):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prf(spark, sf_dir)
+
+
+from . import archives  # noqa: E402, F401  registers its queries here

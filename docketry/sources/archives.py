@@ -35,7 +35,10 @@ def _batches(rows: Iterable[tuple[str, str, bytes | None]]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
+def _files(spark: SparkSession, path: str | None, files: DataFrame | None) -> DataFrame:
+    """(archive, content) of the files under ``path``, or as given."""
+    if files is not None:
+        return files.select("archive", "content")
     return spark.read.format("binaryFile").load(path).select(F.substring_index("path", "/", -1).alias("archive"), "content")
 
 
@@ -49,7 +52,7 @@ def _tar_members(raw: bytes, keep, with_content: bool) -> Iterator[tuple[str, by
             yield info.name, tar.extractfile(info).read() if with_content else None
 
 
-def tar(spark: SparkSession, path: str, wanted: set[str] | None = None, with_content: bool = True) -> DataFrame:
+def tar(spark: SparkSession, path: str | None = None, wanted: set[str] | None = None, with_content: bool = True, files: DataFrame | None = None) -> DataFrame:
     """archive, member, content of all regular members (gz, bz2 or plain).
 
     ``wanted``: member stems (name without directory and suffix) to extract; the others are passed over unread. It must be
@@ -64,10 +67,12 @@ def tar(spark: SparkSession, path: str, wanted: set[str] | None = None, with_con
             for archive, raw in zip(batch.column("archive").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 yield from _batches((archive, m, c) for m, c in _tar_members(raw, keep, with_content))
 
-    return _files(spark, path).mapInArrow(run, MEMBERS)
+    return _files(spark, path, files).mapInArrow(run, MEMBERS)
 
 
-def zip_members(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (), root_only: bool = False) -> DataFrame:
+def zip_members(
+    spark: SparkSession, path: str | None = None, suffixes: tuple[str, ...] = (), root_only: bool = False, files: DataFrame | None = None
+) -> DataFrame:
     """archive, member, content of a zip's members with one of the suffixes; ``root_only``: not those in folders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +82,7 @@ def zip_members(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (),
                     names = [n for n in sorted(z.namelist()) if not n.endswith("/") and (not suffixes or n.endswith(suffixes)) and not (root_only and "/" in n)]
                     yield from _batches((archive, n, z.read(n)) for n in names)
 
-    return _files(spark, path).mapInArrow(run, MEMBERS)
+    return _files(spark, path, files).mapInArrow(run, MEMBERS)
 
 
 def spread(members: DataFrame, partitions: int) -> DataFrame:
@@ -85,7 +90,7 @@ def spread(members: DataFrame, partitions: int) -> DataFrame:
     return members.repartition(partitions, "archive", "member")
 
 
-def custodian_map(spark: SparkSession, path: str) -> DataFrame:
+def custodian_map(spark: SparkSession, path: str | None = None, files: DataFrame | None = None) -> DataFrame:
     """trec_doc_id, custodian, path of every text member, contents unread."""
-    names = tar(spark, path, with_content=False).select(member_parts("member").alias("m")).filter("m is not null")
+    names = tar(spark, path, with_content=False, files=files).select(member_parts("member").alias("m")).filter("m is not null")
     return names.select(F.col("m.docid").alias("trec_doc_id"), F.col("m.custodian").alias("custodian"), F.col("m.path").alias("path"))

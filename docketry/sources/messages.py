@@ -140,14 +140,14 @@ def manifests(xml_members: DataFrame) -> DataFrame:
     )
 
 
-def load_zips(spark: SparkSession, path: str, corpus: str = "enron", partitions: int = 64) -> Ingested:
+def load_zips(spark: SparkSession, path: str | None = None, corpus: str = "enron", partitions: int = 64, files: DataFrame | None = None) -> Ingested:
     """``messages`` of zips that hold XML load files at their root and native messages; bad entries are itemised."""
-    listed = manifests(archives.zip_members(spark, path, (".xml",), root_only=True)).filter("doc_type = 'Message'")
+    listed = manifests(archives.zip_members(spark, path, (".xml",), root_only=True, files=files)).filter("doc_type = 'Message'")
     number = F.expr("try_cast(coalesce(nullif(trim(count), ''), '0') as int)")
     error = F.when(F.coalesce("docid", F.lit("")) == "", "manifest_missing_docid").when(number.isNull(), "manifest_bad_attachment_count")
     listed = listed.withColumn("attachment_count", number).withColumn("error", error)
     good = listed.filter("error is null").drop("error")
-    natives = archives.spread(archives.zip_members(spark, path, (".eml",)), partitions)
+    natives = archives.spread(archives.zip_members(spark, path, (".eml",), files=files), partitions)
     joined = good.join(natives, (F.col("zip") == F.col("archive")) & (F.col("native") == F.col("member")), "left")
     lost = joined.filter("content is null").select("docid", "zip", F.lit("KeyError").alias("error"))
     bad = listed.filter("error is not null").select("docid", "zip", "error")
