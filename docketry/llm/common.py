@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,12 +41,19 @@ def cut(df: DataFrame) -> DataFrame:
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """``mapInArrow`` with a function from one batch to some batches."""
+    """``mapInArrow`` with a function from one batch to some batches.
+
+    A batch with a column ``text`` is handed over in slices of about ``SLICE_BYTES`` of it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield from fn(batch)
+            at = batch.schema.get_field_index("text")
+            sizes = pc.binary_length(batch.column(at)).fill_null(0).to_pylist() if at >= 0 and sliced else [0] * batch.num_rows
+            for lo, hi in slices(sizes):
+                yield from fn(batch.slice(lo, hi - lo))
+
+    sliced = dict(df.dtypes).get("text") == "string"
 
     return df.mapInArrow(run, schema)
 
