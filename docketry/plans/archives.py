@@ -15,8 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import views
-from ..sources import archives, messages
+from .. import schemas, views
+from ..operators import dedup, windows
+from ..sources import archives, messages, tables
 from .catalogue import query, scratch
 
 PER_ARCHIVE = 200
@@ -107,3 +108,80 @@ def _(s, d):
 @query("src_zip_xml", "SELECT '3.' || n AS docid, 'edrm-enron-v2_c' || (n // 200) || '_xml.zip' AS zip, 'KeyError' AS error FROM m WHERE n % 10 = 0")
 def _(s, d):
     return _zips(s, d).failures
+
+
+_TAB = "'From:' || chr(9) || custodian || ' <a@b.c>' || chr(10) || 'To:' || chr(9) || lang || '; x' || chr(10) || 'Subject:' || chr(9) || subject || chr(10) || chr(10) || body_text"
+
+
+def _tab_rows(s: SparkSession, d: str) -> DataFrame:
+    row_of = lambda r: (f"dir/{r.n:09d}", f"From:\t{r.custodian} <a@b.c>\nTo:\t{r.lang}; x\nSubject:\t{r.subject}\n\n{r.body_text}")
+    path = _write(s, views.messages(s, d), _tar("w:gz", row_of), "part{}.tgz")
+    return messages.tab_texts(archives.tar(s, files=s.read.parquet(path)))
+
+
+def _judged_rows(s: SparkSession, d: str) -> DataFrame:
+    row_of = lambda r: (f"./edrm-enron-v2_{r.custodian}_xml/text_000/3.{r.n}.{r.lang}.txt", f"From: {r.lang}@x\nTo: a, b; c\nSubject: {r.subject}\n\n{r.body_text}")
+    path = _write(s, views.messages(s, d), _tar("w:bz2", row_of), "part{}.tar.bz2")
+    return messages.judged_texts(archives.tar(s, files=s.read.parquet(path)))
+
+
+@query("hdr_tab", "SELECT custodian AS from_name, 'a@b.c' AS from_addr, lang || '|x' AS recipients, subject, len(body_text) AS n FROM m")
+def _(s, d):
+    return _tab_rows(s, d).select("from_name", "from_addr", F.array_join("to", "|").alias("recipients"), "subject", F.length("body_text").cast("long").alias("n"))
+
+
+@query("row_athome", f"SELECT 'bush-' || substr(sha256('part' || (n // 200) || '.tgz/dir/' || lpad(CAST(n AS VARCHAR), 9, '0') || ':0'), 1, 16) AS doc_id, CAST(len({_TAB}) // 4 AS INTEGER) AS token_estimate, body_hash, false AS has_attachments FROM mk")
+def _(s, d):
+    return _tab_rows(s, d).select("doc_id", "token_estimate", "body_hash", "has_attachments")
+
+
+@query("hdr_rfc", "SELECT lang || '@x' AS from_addr, 'a|b|c' AS recipients, subject, len(body_text) AS n FROM m")
+def _(s, d):
+    return _judged_rows(s, d).select("from_addr", F.array_join("to", "|").alias("recipients"), "subject", F.length("body_text").cast("long").alias("n"))
+
+
+@query(
+    "row_judged",
+    "SELECT 'enron-' || substr(sha256('edrm-enron-v2_' || custodian || '_xml/text_000/3.' || n || '.' || lang || '.txt:0'), 1, 16) AS doc_id, "
+    "CAST(len(custodian || ' ' || lang || '@x a; b; c ' || subject || chr(10) || body_text) // 4 AS INTEGER) AS token_estimate, subject_norm FROM mn WHERE len(subject) > 0 AND len(body_text) <= 60000",
+)
+def _(s, d):
+    return _judged_rows(s, d).filter("length(subject) > 0 and not array_contains(parse_warnings, 'truncated_body')").select("doc_id", "token_estimate", "subject_norm")
+
+
+@query("eml_parse", "SELECT 'A' AS from_name, 'a@b.c' AS from_addr, 'd@e.f' AS recipients, 'Re: ' || n AS subject, 'body of ' || n || chr(10) AS body_text FROM m WHERE n % 10 <> 0")
+def _(s, d):
+    return _zips(s, d).messages.select("from_name", "from_addr", F.array_join("to", "|").alias("recipients"), "subject", "body_text")
+
+
+@query("dt_rfc2822", "SELECT CAST(n AS VARCHAR) AS subject_norm, '2002-07-08 13:05:00' AS sent FROM m WHERE n % 10 <> 0")
+def _(s, d):
+    return _zips(s, d).messages.select("subject_norm", F.date_format("date_utc", "yyyy-MM-dd HH:mm:ss").alias("sent"))
+
+
+@query("err_item", "SELECT 'edrm-enron-v2_c' || (n // 200) || '_xml.zip' AS zip, 'KeyError' AS error, count(*) AS n FROM m WHERE n % 10 = 0 GROUP BY ALL")
+def _(s, d):
+    return _zips(s, d).failures.groupBy("zip", "error").agg(F.count("*").alias("n"))
+
+
+@query("snk_ledger", "SELECT event_type AS phase, count(*) AS n_requests, round(sum(value), 2) AS cost_usd FROM events GROUP BY event_type", plain=True)
+def _(s, d):
+    path = scratch(s)
+    rows = views.ledger(s, d).groupBy("phase").agg(F.count("*").alias("n_requests"), F.sum("cost_usd").alias("cost_usd"))
+    for f in schemas.SPEND:
+        if f.name not in rows.columns:
+            rows = rows.withColumn(f.name, F.lit(None).cast(f.dataType))
+    tables.append_log(rows.select([f.name for f in schemas.SPEND]), path, schemas.SPEND)
+    return tables.read_log(s, path, schemas.SPEND).select("phase", "n_requests", F.round("cost_usd", 2).alias("cost_usd"))
+
+
+@query("ord_chain", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY custodian ORDER BY date_utc NULLS LAST, doc_id) - 1 AS INTEGER) AS rank FROM m")
+def _(s, d):
+    m = views.messages(s, d)
+    return windows.spread_rank(m, "custodian", F.unix_micros("date_utc"), dedup.age_order()).select("doc_id", "rank")
+
+
+@query("proto_stem", "SELECT doc_id, CASE WHEN n % 2 = 0 THEN 'athome' ELSE 'topic' END || n AS v FROM m")
+def _(s, d):
+    topic = F.col("n").cast("string")
+    return views.messages(s, d).select("doc_id", F.when(F.col("n") % 2 == 0, F.concat(F.lit("athome"), topic)).otherwise(F.concat(F.lit("topic"), topic)).alias("v"))
