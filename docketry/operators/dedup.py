@@ -31,7 +31,8 @@ def exact_clusters(messages: DataFrame) -> DataFrame:
     The canonical of a key comes from a map-side minimum; ranks are two-level, so a body that a third of all messages share
     fills no task alone.
     """
-    rows = messages.select("doc_id", "date_utc", dedup_key("subject_norm", "body_norm").alias("dedup_key"))
+    # texts are read and hashed once; what follows takes the keys three times
+    rows = cut(messages.select("doc_id", "date_utc", dedup_key("subject_norm", "body_norm").alias("dedup_key")))
     ranked = spread_rank(rows, "dedup_key", F.unix_micros("date_utc"), age_order())
     first = rows.groupBy("dedup_key").agg(F.min(_age()).alias("a")).select(F.col("dedup_key").alias("__k"), F.col("a.doc_id").alias("canonical_doc_id"))
     return ranked.join(first, F.col("dedup_key") == F.col("__k")).select("dedup_key", "canonical_doc_id", "doc_id", F.col("rank").alias("dup_rank"))

@@ -37,9 +37,12 @@ def _containments(chained: DataFrame) -> DataFrame:
     later = text.select("thread_id", F.col("depth").alias("d2"), F.col("doc_id").alias("id2"), F.col("__text").alias("t2"))
     # an equi-join on the thread with a residual: adaptive execution splits a large thread
     hits = text.join(later, "thread_id").filter((F.col("depth") < F.col("d2")) & contained("__text", "t2")).select("doc_id", "id2")
-    up = hits.select(F.col("id2").alias("doc_id"), F.lit(True).alias("has_earlier"), F.lit(False).alias("in_later"))
-    down = hits.select("doc_id", F.lit(False).alias("has_earlier"), F.lit(True).alias("in_later"))
-    return up.unionByName(down).groupBy("doc_id").agg(F.max("has_earlier").alias("has_earlier"), F.max("in_later").alias("in_later"))
+    sides = F.array(
+        F.struct(F.col("id2").alias("doc_id"), F.lit(True).alias("has_earlier"), F.lit(False).alias("in_later")),
+        F.struct(F.col("doc_id"), F.lit(False).alias("has_earlier"), F.lit(True).alias("in_later")),
+    )
+    each = hits.select(F.explode(sides).alias("s")).select("s.*")
+    return each.groupBy("doc_id").agg(F.max("has_earlier").alias("has_earlier"), F.max("in_later").alias("in_later"))
 
 
 def threads(messages: DataFrame, max_gap_days: int = 60) -> DataFrame:
