@@ -2,8 +2,8 @@
 
 A text is the mean of the embeddings of its hashed byte n-grams (after lower-casing A-Z); a softmax over languages
 reads it. Both are trained by stochastic gradient descent in numpy on a bounded sample: at most ``max_per_lang``
-documents of each language, each as a whole and as short pieces, and reduced to n-gram counts on the
-executors. A held-back part of the sample calibrates a temperature and the confidence under which a prediction is
+documents of each language and ``max_rows`` in all, each as a whole and as short pieces, and reduced to n-gram counts on
+the executors. A held-back part of the sample calibrates a temperature and the confidence under which a prediction is
 marked ``rejected``.
 
 For scoring, embedding times softmax weights collapse into one row per bucket; a text's logits are the mean of
@@ -135,15 +135,21 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], names: list[str], dim: i
     return Languages(names, (table / heat).astype(np.float32), bias / heat, under)
 
 
-def train(docs: DataFrame, max_per_lang: int = 600, max_langs: int = 500, seed: int = 3) -> Languages:
-    """Learn from ``docs(doc_id, text, lang)``: counts by language first, then a hash-chosen share of each."""
+def train(
+    docs: DataFrame, max_per_lang: int = 600, max_rows: int = 6_000, max_langs: int = 500, max_train_bytes: int = 50_000, seed: int = 3
+) -> Languages:
+    """Learn from ``docs(doc_id, text, lang)``: counts by language first, then a hash-chosen share of each.
+
+    In all about ``max_rows`` documents, evenly by language, and ``max_train_bytes`` of each: what bounds the sample in the driver.
+    """
     known = docs.filter("lang is not null and text is not null")
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     if not counts:
         return Languages([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 0.0)
     names = sorted(r["lang"] for r in counts)
     spark = docs.sparkSession
-    parts = [(r["lang"], names.index(r["lang"]), min(1_000_003, int(1_000_003 * max_per_lang / r["count"]) + 1)) for r in counts]
+    per = min(max_per_lang, max_rows // len(counts) + 1)
+    parts = [(r["lang"], names.index(r["lang"]), min(1_000_003, int(1_000_003 * per / r["count"]) + 1)) for r in counts]
     quota = spark.createDataFrame(parts, "lang string, y int, upto int")  # at most max_langs rows
     rank = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_003))
     picked = known.select("doc_id", "lang", "text").join(F.broadcast(quota), "lang").filter(rank < F.col("upto")).select("doc_id", "y", "text")
@@ -151,6 +157,7 @@ def train(docs: DataFrame, max_per_lang: int = 600, max_langs: int = 500, seed:
     def count(batch: pa.RecordBatch):
         ys, at, n = [], [], []
         for doc, y, text in zip(batch.column("doc_id").to_pylist(), batch.column("y").to_pylist(), texts_of(batch.column("text")), strict=True):
+            text = text[:max_train_bytes]
             words = text.split()
             rng = np.random.default_rng(abs(doc or 0))
             pieces = [text] + [b" ".join(words[(s := int(rng.integers(0, len(words)))) : s + k]) for k in PIECES if len(words) > k]
