@@ -67,7 +67,11 @@ def parts(words: list[bytes]) -> list[int]:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, form (k1, k2: 128 bits) and the hashes of its parts (null under ``FUZZY_WORDS``)."""
+    """doc_id, line_no, form (k1, k2: 128 bits), the hashes of its parts (null under ``FUZZY_WORDS``), and ``again``.
+
+    ``again``: an earlier line of the same slice of rows has the form, so the line goes and need not be compared further. A
+    very frequent line thus counts once for each slice.
+    """
 
     def run(batch: pa.RecordBatch):
         ids, row, line, keys, own = batch.column("doc_id"), [], [], bytearray(), []
@@ -76,26 +80,36 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 row.append(r), line.append(i)
                 keys += xxhash.xxh3_128_digest(b" ".join(words))
                 own.append(parts(words) if len(words) >= FUZZY_WORDS else ())
+        if not row:
+            return
         k = np.frombuffer(bytes(keys), "<i8").reshape(-1, 2)
         p = np.array([(*x, 0, 0, 0, 0)[:4] for x in own], np.uint64).reshape(-1, 4).view(np.int64)
         n = np.array(list(map(len, own)))
+        at, no = np.array(row, np.int64), np.array(line, np.int64)
+        known = ids.is_valid().to_numpy(zero_copy_only=False)[at]
+        doc = ids.fill_null(0).to_numpy()[at]
+        order = np.lexsort((no, doc, known, k[:, 1], k[:, 0]))  # by form, then as lines come, null ids first
+        new = np.ones(len(order), bool)
+        new[1:] = (k[order][1:] != k[order][:-1]).any(axis=1)
+        head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        again = np.zeros(len(order), bool)
+        again[order] = (no[order] != no[head]) | (doc[order] != doc[head]) | (known[order] != known[head])
         yield pa.RecordBatch.from_arrays(
             [
-                ids.take(pa.array(row, pa.int64())), pa.array(line, pa.int32()), pa.array(k[:, 0]), pa.array(k[:, 1]),
-                *(pa.array(p[:, j], mask=n <= j) for j in range(4)),
+                ids.take(pa.array(at)), pa.array(line, pa.int32()), pa.array(k[:, 0]), pa.array(k[:, 1]),
+                *(pa.array(p[:, j], mask=n <= j) for j in range(4)), pa.array(again),
             ],
             names,
         )
 
-    names = ["doc_id", "line_no", "k1", "k2", "p0", "p1", "p2", "p3"]
-    return map_batches(
-        docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, line_no int, k1 long, k2 long, p0 long, p1 long, p2 long, p3 long"
-    )
+    names = ["doc_id", "line_no", "k1", "k2", "p0", "p1", "p2", "p3", "again"]
+    schema = "doc_id long, line_no int, k1 long, k2 long, p0 long, p1 long, p2 long, p3 long, again boolean"
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
 
 
 def shared_parts(found: DataFrame) -> DataFrame:
     """Hashes of the parts that unlike forms have in common."""
-    each = found.select("k1", F.explode(F.array("p0", "p1", "p2", "p3")).alias("h")).filter("h is not null")
+    each = found.filter(~F.col("again")).select("k1", F.explode(F.array("p0", "p1", "p2", "p3")).alias("h")).filter("h is not null")
     return each.groupBy("h").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).filter("a <> b").select("h")
 
 
@@ -230,14 +244,15 @@ def dropped_lines(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) ->
     blocks, _ = bloom.blocks_for(shared.count(), max_filter_bytes)
     firsts = cut(candidates(docs, bloom.build(shared, blocks)))
     near = verified(near_links(firsts), firsts).select("doc_id", "line_no", F.lit(0).cast("long").alias("k1"))
-    lines = found.select("doc_id", "line_no", "k1", "k2")
+    again = found.filter("again").select("doc_id", "line_no", "k1")
+    lines = found.filter(~F.col("again")).select("doc_id", "line_no", "k1", "k2")
     earliest = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first")).select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), "first")
     repeats = (
         lines.join(earliest, (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")))
         .filter(~F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))
         .select("doc_id", "line_no", "k1")
     )
-    return repeats.unionByName(near).groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "k1")).alias(GONE))
+    return again.unionByName(repeats).unionByName(near).groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "k1")).alias(GONE))
 
 
 def _kept(text: bytes, gone: list[dict]) -> tuple[bytes, list[int]]:
