@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.maths import half_even
-from ..functions.text import body_hash, dedup_key, shingles_of, words
+from ..functions.text import body_hash, dedup_key, words
 from ..session import cut
 from .windows import spread_rank
 
@@ -56,15 +56,22 @@ def boilerplate_bodies(messages: DataFrame, least: int = 50) -> DataFrame:
 def eligible(canonicals: DataFrame, messages: DataFrame, min_words: int = 30, boilerplate: int = 50) -> DataFrame:
     """Canonical messages long enough, of a body that no other canonical and few messages have."""
     rows = canonicals.withColumn("w", words("body_norm")).filter(F.size("w") >= min_words).withColumn("hash", body_hash("body_norm"))
-    often = body_counts(messages).filter(F.col("n") >= boilerplate).select("hash")
-    twice = body_counts(canonicals).filter("n > 1").select("hash")
-    return rows.join(often.unionByName(twice).distinct(), "hash", "left_anti")
+    # one pass over all bodies: a message's row and, where it is canonical, a mark
+    kept = canonicals.select(body_hash("body_norm").alias("hash"), F.lit(0).alias("all"), F.lit(1).alias("own"))
+    every = messages.select(body_hash("body_norm").alias("hash"), F.lit(1).alias("all"), F.lit(0).alias("own"))
+    counts = every.unionByName(kept).groupBy("hash").agg(F.sum("all").alias("n"), F.sum("own").alias("own"))
+    return rows.join(counts.filter((F.col("n") >= boilerplate) | (F.col("own") > 1)).select("hash"), "hash", "left_anti")
 
 
 def signatures(rows: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id, age, sh: the sorted distinct hashes of word shingles."""
-    hashed = F.array_sort(F.array_distinct(F.transform(shingles_of(F.col("w"), size), lambda s: F.xxhash64(s))))
-    return rows.select("doc_id", _age().alias("age"), hashed.alias("sh"))
+    """doc_id, age, sh: the distinct hashes of word shingles. Words are hashed first, so no shingle is built as text."""
+    h = F.transform("w", lambda x: F.xxhash64(x))
+    rows = rows.select("doc_id", _age().alias("age"), h.alias("h"), F.greatest(F.size("w") - (size - 1), F.lit(0)).alias("many"))
+    runs = F.slice("h", F.lit(1), F.col("many"))
+    for k in range(1, size):
+        runs = F.zip_with(runs, F.slice("h", F.lit(k + 1), F.col("many")), lambda a, b: F.xxhash64(a, b))
+    short = F.array(F.xxhash64("h"))
+    return rows.select("doc_id", "age", F.array_distinct(F.when(F.col("many") > 0, runs).otherwise(short)).alias("sh"))
 
 
 def jaccard_edges(sig: DataFrame, threshold: float) -> DataFrame:
@@ -73,6 +80,7 @@ def jaccard_edges(sig: DataFrame, threshold: float) -> DataFrame:
     Shingles are taken rarest first. Two sets that are alike enough share one of their first n - ceil(t n) + 1; only those
     are joined. Rare shingles keep the groups small.
     """
+    sig = cut(sig)  # texts are read and cut into shingles once
     each = sig.select("doc_id", F.size("sh").alias("n"), F.explode("sh").alias("s"))
     rare = each.groupBy("s").agg(F.count("*").alias("df"))
     ordered = each.join(rare.filter("df > 1"), "s").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("by"))

@@ -17,6 +17,7 @@ from ..functions import text as tx
 from ..functions.verdicts import parse_verdict
 from ..operators import checks, dedup, evaluate, judgments, review, sampling, spend, threads, windows
 from ..operators import decisions as dec
+from ..session import cut
 from ..sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,7 +169,8 @@ el AS (SELECT doc_id, date_utc, list_filter(regexp_split_to_array(body_norm, '\\
 
 
 def _canonicals(s, d) -> tuple[DataFrame, DataFrame]:
-    m = views.normed(s, d)
+    # a stored table of messages has its normal forms; here they are made once
+    m = cut(views.normed(s, d).select("doc_id", "subject_norm", "body_norm", "date_utc"))
     return dedup.canonical(m, dedup.exact_clusters(m)), m
 
 
