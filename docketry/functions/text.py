@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The characters that count as white space.
-SPACES = r"\x09-\x0D\x1C-\x1F\x20\x85   -     　"
+SPACES = r"\x09-\x0D\x1C-\x1F\x20\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 WS = f"[{SPACES}]"
 _REPLY = rf"^(?i:(?:{WS}*(?:re|fwd|fw){WS}*:{WS}*)+)"
 
@@ -92,9 +92,13 @@ def is_part(c: Column | str) -> Column:
     return F.size(F.split(col(c), r"\.")) > 3
 
 
+#: How archive and folder names carry the custodian.
+ZIP_NAME, FOLDER_NAME = r"edrm-enron-v2_(.+?)_xml(?:_\d+of\d+)?\.zip\z", r"edrm-enron-v2_(.+?)_xml"
+
+
 def zip_custodian(c: Column | str) -> Column:
     """Custodian from an archive's name; raises on a name of another form."""
-    found = F.regexp_extract(col(c), r"edrm-enron-v2_(.+?)_xml(?:_\d+of\d+)?\.zip\z", 1)
+    found = F.regexp_extract(col(c), ZIP_NAME, 1)
     return F.when(found != "", found).otherwise(F.raise_error(F.concat(F.lit("no custodian in "), col(c))))
 
 
@@ -102,7 +106,7 @@ def member_parts(c: Column | str) -> Column:
     """struct(path, custodian, docid) of a text member's path, null for another kind; a depth other than 3 raises."""
     c = col(c)
     parts = F.filter(F.split(c, "/"), lambda p: (p != "") & (p != "."))
-    custodian = F.regexp_extract(parts[0], r"edrm-enron-v2_(.+?)_xml", 1)
+    custodian = F.regexp_extract(parts[0], FOLDER_NAME, 1)
     good = F.struct(F.array_join(parts, "/").alias("path"), custodian.alias("custodian"), F.regexp_replace(parts[2], r"\.txt\z", "").alias("docid"))
     bad = F.raise_error(F.concat(F.lit("unexpected member path "), c)).cast("struct<path:string,custodian:string,docid:string>")
     return F.when(~F.endswith(c, F.lit(".txt")), F.lit(None)).when((F.size(parts) == 3) & (custodian != ""), good).otherwise(bad)
