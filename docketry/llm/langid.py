@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -136,7 +137,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], names: list[str], dim: i
 
 
 def train(
-    docs: DataFrame, max_per_lang: int = 600, max_rows: int = 6_000, max_langs: int = 500, max_train_bytes: int = 50_000, seed: int = 3
+    docs: DataFrame, max_per_lang: int = 600, max_rows: int = 3_000, max_langs: int = 500, max_train_bytes: int = 50_000, seed: int = 3
 ) -> Languages:
     """Learn from ``docs(doc_id, text, lang)``: counts by language first, then a hash-chosen share of each.
 
@@ -168,8 +169,9 @@ def train(
 
     # (1 + pieces) rows for each of about max_per_lang documents of a language, at most BUCKETS counts each
     got = map_batches(picked, count, "y int, at array<int>, n array<int>").toPandas()
-    rows = [(int(y), np.asarray(a), np.asarray(n, float)) for y, a, n in zip(got["y"], got["at"], got["n"], strict=True)]
-    rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
+    rows = [(int(y), np.asarray(a, np.int32), np.asarray(n, np.float32)) for y, a, n in zip(got["y"], got["at"], got["n"], strict=True)]
+    del got
+    rows.sort(key=lambda r: (r[0], len(r[1]), crc32(r[1].tobytes()), crc32(r[2].tobytes())))  # as executors return them in any order
     return fit(rows, names)
 
 
