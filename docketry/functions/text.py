@@ -64,13 +64,17 @@ def words(c: Column | str) -> Column:
 
 def shingles_of(w: Column, size: int) -> Column:
     """Distinct runs of ``size`` words; of fewer words the whole, of none nothing."""
-    n = F.size(w)
-    many = F.greatest(n - (size - 1), F.lit(0))
-    # whole arrays are zipped: a lambda that looked words up in ``w`` would split the text anew for each
-    runs = F.slice(w, F.lit(1), many)
-    for k in range(1, size):
-        runs = F.zip_with(runs, F.slice(w, F.lit(k + 1), many), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.when(n == 0, F.array().cast("array<string>")).when(n < size, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(runs))
+
+    def build(w: Column) -> Column:
+        n = F.size(w)
+        many = F.greatest(n - (size - 1), F.lit(0))
+        # whole arrays are zipped: a lambda that looked words up in ``w`` would split the text anew for each
+        runs = F.slice(w, F.lit(1), many)
+        for k in range(1, size):
+            runs = F.zip_with(runs, F.slice(w, F.lit(k + 1), many), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.when(n == 0, F.array().cast("array<string>")).when(n < size, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(runs))
+
+    return F.transform(F.array(w), build)[0]  # bound to a variable, so the words are made once
 
 
 def collapse(c: Column | str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
+from .session import spread
 
 TOPICS = ("quality", "toxic")
 VERSION = "topic.v1"
@@ -30,7 +31,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages(spark, sf_dir).withColumns({"subject_norm": tx.subject_norm("subject"), "body_norm": tx.body_norm("body_text")})
+    return spread(messages(spark, sf_dir)).withColumns({"subject_norm": tx.subject_norm("subject"), "body_norm": tx.body_norm("body_text")})
 
 
 def thread_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
