@@ -2,7 +2,7 @@
 
 A line's form is its words (split at ASCII white space, A-Z lower-cased). A line goes if an earlier line, by (doc_id,
 line number), has the same form or, among lines of ``FUZZY_WORDS`` words and more, one at word edit distance
-1. Lines under ``LEAST_WORDS`` words always stay.
+1. Lines under ``least_words`` words always stay: by default ``LEAST_WORDS``; the query takes every line that is not blank.
 
 A form emits all its variants within the bound: itself and one for each deleted word, as hashed keys. Two
 forms of one length are a substitution apart if they share a variant with the deletion at one position; all that meet under
@@ -36,6 +36,8 @@ from . import bloom
 from .common import cut, map_batches, read, splitmix, texts_of
 
 LEAST_WORDS, FUZZY_WORDS = 5, 8
+#: ``least_words`` of the query.
+EVERY_LINE = 1
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 MAX_FILTER_BYTES = 64 << 20
@@ -43,12 +45,12 @@ MAX_FILTER_BYTES = 64 << 20
 GONE = "__gone_lines"
 
 
-def forms(text: bytes | None) -> Iterator[tuple[int, list[bytes]]]:
-    """(line number, words) of the lines that can go."""
+def forms(text: bytes | None, least_words: int = LEAST_WORDS) -> Iterator[tuple[int, list[bytes]]]:
+    """(line number, words) of the lines that can go; blank ones never do."""
     if text:
         for i, line in enumerate(text.lower().split(b"\n")):
             words = line.split()
-            if len(words) >= LEAST_WORDS:
+            if len(words) >= max(1, least_words):
                 yield i, words
 
 
@@ -66,7 +68,7 @@ def parts(words: list[bytes]) -> list[int]:
     return out
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, line_no, form (k1, k2: 128 bits), the hashes of its parts (null under ``FUZZY_WORDS``), and ``again``.
 
     ``again``: an earlier line of the same slice of rows has the form, so the line goes and need not be compared further. A
@@ -76,7 +78,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch):
         ids, row, line, keys, own = batch.column("doc_id"), [], [], bytearray(), []
         for r, text in enumerate(texts_of(batch.column("text"))):
-            for i, words in forms(text):
+            for i, words in forms(text, least_words):
                 row.append(r), line.append(i)
                 keys += xxhash.xxh3_128_digest(b" ".join(words))
                 own.append(parts(words) if len(words) >= FUZZY_WORDS else ())
@@ -237,9 +239,9 @@ def verified(met: DataFrame, firsts: DataFrame) -> DataFrame:
     return map_batches(pairs, run, "doc_id long, line_no int")
 
 
-def dropped_lines(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+def dropped_lines(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, GONE: array of (line_no, k1)) for every document that loses lines; k1 is 0 for near repeats."""
-    found = cut(occurrences(docs))
+    found = cut(occurrences(docs, least_words))
     shared = shared_parts(found)
     blocks, _ = bloom.blocks_for(shared.count(), max_filter_bytes)
     firsts = cut(candidates(docs, bloom.build(shared, blocks)))
@@ -266,13 +268,13 @@ def _kept(text: bytes, gone: list[dict]) -> tuple[bytes, list[int]]:
     return b"\n".join(x for i, x in enumerate(lines) if i not in out), sorted(out)
 
 
-def _with_gone(docs: DataFrame) -> DataFrame:
+def _with_gone(docs: DataFrame, least_words: int) -> DataFrame:
     # the hashed side has line numbers only, and the texts need no sort
-    gone = dropped_lines(docs).withColumnRenamed("doc_id", "__id").hint("shuffle_hash")
+    gone = dropped_lines(docs, least_words=least_words).withColumnRenamed("doc_id", "__id").hint("shuffle_hash")
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with its repeated lines removed, in the same columns; every document stays, if with an empty text."""
 
     def run(batch: pa.RecordBatch):
@@ -285,7 +287,7 @@ def dedup(docs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays(columns, names)
 
     names, at = docs.columns, docs.columns.index("text")
-    return map_batches(_with_gone(docs), run, docs.schema)
+    return map_batches(_with_gone(docs, least_words), run, docs.schema)
 
 
 def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,4 +303,4 @@ def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     names = ["doc_id", "n_lines", "n_dropped", "dropped", "text_sha256"]
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
-    return map_batches(_with_gone(docs), run, "doc_id long, n_lines long, n_dropped long, dropped string, text_sha256 string")
+    return map_batches(_with_gone(docs, EVERY_LINE), run, "doc_id long, n_lines long, n_dropped long, dropped string, text_sha256 string")

@@ -80,6 +80,15 @@ def test_line_dedup_equals_brute_force(spark):
     assert linededup.dedup(docs.limit(0)).count() == 0
 
 
+def test_short_lines_go_too(spark, tmp_path):
+    """Repeats of lines under five words, and of a paragraph in a script without spaces; blank lines stay."""
+    han = "这是一个没有空格的段落" * 20
+    rows = [(1, f"All rights reserved.\nles.\n\n{han}\nfirst"), (2, f"les.\n\n  ALL rights  reserved.\nsecond\n{han}"), (None, "first")]
+    spark.createDataFrame([(*r, "en", "s", 1) for r in rows], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["dropped"] for r in linededup.op4_linededup(spark, str(tmp_path)).collect()}
+    assert got == {None: "", 1: "4", 2: "0,2,4"}
+
+
 def test_line_dedup_with_a_saturated_filter(spark):
     """A filter of one block passes nearly everything; the result is the same."""
     rows = line_rows(7)
