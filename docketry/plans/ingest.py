@@ -42,17 +42,19 @@ def tab_texts(spark: SparkSession, root: str, archive: str, corpus: str, report_
 
 
 def load_zips(spark: SparkSession, root: str, path: str, corpus: str, report_path: str | Path, partitions: int = 64) -> int:
-    """Zips of load files with native messages; fails its gate at a failure rate of ``FAILURE_GATE`` and more."""
+    """Zips of load files with native messages; all failures become the table ``failures``; fails its gate at a failure rate of ``FAILURE_GATE`` and more."""
     got = src.load_zips(spark, path, corpus, partitions)
     tables.write_table(got.messages, root, corpus, "messages", ["doc_id"])
     kept = tables.read_table(spark, root, corpus, "messages")
     checks.unique(kept.select("doc_id"), "doc_id")
     docid = F.regexp_replace(F.substring_index("source_file", "/", -1), r"\.eml\z", "")
     tables.write_table(src.id_map(kept, docid, corpus), root, corpus, "doc_id_map", ["trec_doc_id"])
-    rate = checks.failure_rate(kept, got.failures).first()
+    tables.write_table(got.failures, root, corpus, "failures", ["zip", "docid"])
+    lost = tables.read_table(spark, root, corpus, "failures")
+    rate = checks.failure_rate(kept, lost).first()
     by = {r["custodian"]: r["count"] for r in kept.groupBy("custodian").count().collect()}
-    items = [r.asDict() for r in got.failures.orderBy("zip", "docid").limit(1000).collect()]
-    report = {"parsed": rate["parsed"], "failed": rate["failed"], "failure_rate": rate["rate"], "per_custodian": by, "first_failures": items}
+    items = [r.asDict() for r in lost.orderBy("zip", "docid").limit(1000).collect()]
+    report = {"parsed": rate["parsed"], "failed": rate["failed"], "failure_rate": rate["rate"], "per_custodian": by, "first_failures": items, "failures": tables.table_path(root, corpus, "failures")}
     tables.write_report(report, report_path)
     return checks.gate(rate["rate"] < FAILURE_GATE, json.dumps(report))
 

@@ -38,6 +38,7 @@ OVERRIDES = _schema("doc_id topic original_decision_id override_decision note ov
 SPEND = _schema(
     "ts batch_id phase corpus topic model n_requests:long input_tokens:long output_tokens:long cost_usd:double cumulative_usd:double"
 )
+FAILURES = _schema("docid zip error")
 RUNS = T.StructType([*_schema("ts command argv:list exit_code:int").fields])
 
 REGISTRY: dict[str, T.StructType] = {
@@ -51,6 +52,7 @@ REGISTRY: dict[str, T.StructType] = {
     "overrides": OVERRIDES,
     "judged_messages": MESSAGES,
     "judged_doc_id_map": DOC_ID_MAP,
+    "failures": FAILURES,
 }
 
 

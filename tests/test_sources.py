@@ -91,6 +91,17 @@ def test_load_zips(spark, tmp_path):
     assert ingest.load_zips(spark, str(tmp_path / "store"), str(tmp_path / "*.zip"), "enron", tmp_path / "r.json") == 1  # 3 of 4 failed
 
 
+def test_load_zips_writes_all_failures(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "edrm-enron-v2_jones-p_xml.zip", "w") as z:
+        z.writestr("load.xml", manifest([("Message", f"3.{k}.A", []) for k in range(1_003)]))
+    store = str(tmp_path / "store")
+    assert ingest.load_zips(spark, store, str(tmp_path / "*.zip"), "enron", tmp_path / "r.json") == 1
+    report = json.loads((tmp_path / "r.json").read_text())
+    assert report["failed"] == 1_003 and len(report["first_failures"]) == 1_000
+    rows = {tuple(r) for r in spark.read.parquet(report["failures"]).select("docid", "zip", "error").collect()}
+    assert rows == {(f"3.{k}.A", "edrm-enron-v2_jones-p_xml.zip", "KeyError") for k in range(1_003)}
+
+
 def test_judgments_files(spark, tmp_path):
     g = tmp_path / "g.txt"
     g.write_text("401 0 a 1\n401 0 a 2\n402 0 b -1\n403 0 c 1\n")
