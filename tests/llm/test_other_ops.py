@@ -196,6 +196,28 @@ def test_scan_equals_alignment_with_every_template():
         assert {x["license"] for x in s(text.encode())[1]} == brute_confirm(text)
 
 
+GIVEN = [  # the first five as they stand in the documents given
+    ("All rights reserved.", {"all-rights-reserved"}), ("This work is licensed under the GNU General Public License, version 3.", {"gpl-3.0"}),
+    ("Licensed under CC BY-NC 4.0.", {"cc-by-nc-4.0"}), ("Released under the MIT License.", {"mit"}), ("Licensed under the Apache License, Version 2.0.", {"apache-2.0"}),
+    ("This work is licensed under the GNU General Public License, version 2.", {"gpl-2.0"}),
+    ("you can redistribute it under the terms of the GNU Affero General Public License", {"agpl"}),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", {"lgpl"}),
+    ("subject to the terms of the Mozilla Public License, v. 2.0.", {"mpl-2.0"}), ("under the Eclipse Public License v2.0", {"epl-2.0"}), ("CC0 1.0 Universal", {"cc0-1.0"}),
+    ("This is free and unencumbered software released into the public domain.", {"unlicense"}),
+    ("// SPDX-License-Identifier: BSL-1.0", {"bsl-1.0"}), ("# SPDX-License-Identifier: (MIT OR Apache-2.0) see notes", {"mit", "apache-2.0"}),
+    ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0.", {"gpl-2.0-only"}), ("SPDX-License-Identifier: NONE", set()), ("SPDX-License-Identifier: GPL-2.0+ */", {"gpl-2.0+"}),
+]
+
+
+@pytest.mark.parametrize(("line", "names"), GIVEN)
+def test_bare_notices_and_identifiers(line, names):
+    lead, tail = sentence(random.Random(4), 40), sentence(random.Random(5), 40)
+    text = f"{lead}\n{line}\n{tail}".encode()
+    got = licenses.Scanner()(text)[1]
+    assert {x["license"] for x in got} == names
+    assert all(text[x["start"] : x["end"]] in line.encode() for x in got)
+
+
 def test_wording_differences():
     d = licenses.wording_differences
     assert d([b"a", b"b", b"c"], [b"x", b"a", b"b", b"c", b"y"]) == (0, 1, 4, [])
