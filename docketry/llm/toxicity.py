@@ -41,8 +41,18 @@ CELLS = 1_500_000
 REJECT_AT = 0.3
 
 
+def matches(text: str) -> Iterator[re.Match]:
+    """The words of a text, at their offsets in it; lower-cased before, unless a lower-cased character is longer and moves offsets."""
+    low = text.lower()
+    return WORD.finditer(low if len(low) == len(text) else text)
+
+
 def tokens(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """The words of ``matches``, lower-cased."""
+    if not text:
+        return []
+    low = text.lower()
+    return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
 
 
 def shapes(word: str) -> list[str]:
@@ -305,12 +315,7 @@ def spans_of(text: str, odds: np.ndarray, span_at: float) -> list[dict]:
         return []
     out: list[dict] = []
     last = -2
-    low = text.lower()
-    if len(low) != len(text):  # a lower-cased character may be longer: fold what keeps its length only
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    found = list(WORD.finditer(low))
-    if len(found) != len(odds):
-        return []
+    found = list(matches(text))
     for i in np.flatnonzero(odds >= bar):
         p = float(sigmoid(odds[i : i + 1])[0])
         if i == last + 1 and out:

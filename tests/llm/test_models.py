@@ -132,6 +132,13 @@ def test_span_offsets_with_growing_lower_case():
     assert got and ["Aİa bad Bad x"[s["start"] : s["end"]] for s in got] == ["bad Bad"]
 
 
+def test_spans_have_the_tokens_of_the_score():
+    for text in ("Aİa bad Bad x", "İstanbul bad İİ Bad", "bad ΑΣ Bad", "Bad bad"):
+        words = toxicity.tokens(text)
+        got = toxicity.spans_of(text, np.array([5.0 if w == "bad" else -5.0 for w in words]), 0.5)
+        assert " ".join(text[s["start"] : s["end"]] for s in got).lower().split() == ["bad", "bad"], text
+
+
 LANGS = {"aa": "alo mira tosa neku", "bb": "brung stock wilfen daz", "cc": "xyti qoru vezz pixo"}
 
 
