@@ -94,6 +94,17 @@ def bounded_sample(rows: DataFrame, id_col: str, bound: int, seed: int) -> DataF
     return rows.orderBy(order, F.col(id_col)).limit(bound)
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """``names`` with as many underscores behind as it takes to clash with no column of ``taken``, in any case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser over uint64, vectorised."""
     x = x + np.uint64(0x9E3779B97F4A7C15)

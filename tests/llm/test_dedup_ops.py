@@ -3,12 +3,15 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import xxhash
 from edge import SCHEMA, corpus, frame, odd, sentence
 
+from pyspark.sql import functions as F
+
 from docketry.llm import decontaminate, graph, linededup, simhash
 from docketry.llm.common import cut
 
@@ -30,28 +33,47 @@ def ascii_lower(t):
     return re.sub("[A-Z]+", lambda m: m[0].lower(), t)
 
 
+def tag(text):
+    return zlib.crc32(text.encode()) & 0x7FFFFFFF
+
+
+def near_lines(w, v):
+    """Word lists at edit distance 1, in words from 8 words on, else in characters from 20 characters on."""
+    a, b = " ".join(w), " ".join(v)
+    if (len(w) >= 8) != (len(v) >= 8):
+        return False
+    if len(w) < 8:
+        w, v = a, b
+        if min(len(a), len(b)) < 20:
+            return False
+    return abs(len(w) - len(v)) < 2 and distance(w, v) <= 1
+
+
 def brute_lines(rows):
-    """doc_id and line numbers that go, by comparing each line with all earlier ones."""
-    lines = []
-    for doc, text in sorted({(r[0], r[1]) for r in rows if r[1] is not None}, key=lambda x: (order(x[0]), x[1])):
+    """(doc_id, text, line number) of the lines that go, by comparing each line with all earlier ones of all rows."""
+    lines, gone, whole, seen = [], set(), set(), {}
+    for doc, text in sorted({(r[0], r[1]) for r in rows if r[1] is not None}, key=lambda x: (order(x[0]), tag(x[1]))):
         for i, line in enumerate(text.split("\n")):
             w = [x for x in re.split(r"[\x20\x09-\x0D]+", ascii_lower(line)) if x]
-            if len(w) >= 5:
-                lines.append((order(doc), i, doc, w))
-    gone = set()
-    for p, i, doc, w in lines:
-        for p2, i2, _, v in lines:
-            if (p2, i2) < (p, i) and (v == w or (min(len(v), len(w)) >= 8 and abs(len(v) - len(w)) < 2 and distance(v, w) <= 1)):
-                gone.add((doc, i))
-                break
+            if w and " ".join(w) in whole:
+                gone.add((doc, text, i))
+            elif w:
+                if len(w) < 20000 and any(near_lines(w, v) for v in seen.get(len(w) // 8, []) + seen.get((len(w) - 1) // 8, []) + seen.get((len(w) + 1) // 8, [])):
+                    gone.add((doc, text, i))
+                whole.add(" ".join(w))
+                seen.setdefault(len(w) // 8, []).append(w)
     return gone
 
 
+def kept_text(row, gone):
+    return row[1] if row[1] is None else "\n".join(x for i, x in enumerate(row[1].split("\n")) if (row[0], row[1], i) not in gone)
+
+
 def line_rows(seed=3):
     rng = random.Random(seed)
-    base = [sentence(rng, n) for n in (4, 5, 7, 8, 8, 9, 15, 16, 16, 17, 31, 32, 33, 40)]
+    base = [sentence(rng, n) for n in (2, 3, 4, 5, 5, 6, 7, 8, 8, 9, 15, 16, 16, 17, 31, 32, 33, 40)]
     rows = []
-    for d in range(30):
+    for d in range(60):
         out = []
         for _ in range(rng.randrange(1, 7)):
             w = rng.choice(base).split()
@@ -64,17 +86,22 @@ def line_rows(seed=3):
                 elif len(w) > 1:
                     del w[k]
             out.append((" " * rng.randrange(2)).join(["", *[x.upper() if rng.random() < 0.1 else x for x in w]]).strip() if rng.random() < 0.5 else " ".join(w))
-        rows.append((d, "\n".join(out), "en", "s", 1))
+            if rng.random() < 0.3:  # an edit of one character
+                k = rng.randrange(len(out[-1]))
+                out[-1] = out[-1][:k] + rng.choice(["", "q", "ß" + out[-1][k:k + 1]]) + out[-1][k + 1 :]
+        rows.append((rng.choice([d, d, d, 3, None]), "\n".join(out), "en", "s", 1))
     return rows
 
 
 def test_line_dedup_equals_brute_force(spark):
     rows = line_rows() + odd()
     docs = frame(spark, rows)
+    for c in ("__id", "id", "tag", "Tag_", "__gone_lines"):  # names of the operator's own
+        docs = docs.withColumn(c, F.lit("clash"))
     gone = brute_lines(rows)
     got = linededup.dedup(docs)
-    assert got.columns == docs.columns and got.count() == len(rows)
-    want = [(repr(r[0]), r[1] if r[1] is None else "\n".join(x for i, x in enumerate(r[1].split("\n")) if (r[0], i) not in gone)) for r in rows]
+    assert got.columns == docs.columns and got.count() == len(rows) and got.filter("id = 'clash' and gone = 'clash' and Tag_ = 'clash'").count() == len(rows)
+    want = [(repr(r[0]), kept_text(r, gone)) for r in rows]
     assert Counter((repr(r["doc_id"]), r["text"]) for r in got.collect()) == Counter(want)
     assert len(gone) > 30
     assert linededup.dedup(docs.limit(0)).count() == 0
@@ -93,8 +120,28 @@ def test_line_dedup_with_a_saturated_filter(spark):
     """A filter of one block passes nearly everything; the result is the same."""
     rows = line_rows(7)
     docs = frame(spark, rows, extra=False)
-    small = {(r["doc_id"], g["line_no"]) for r in linededup.dropped_lines(docs, max_filter_bytes=64).collect() for g in r[linededup.GONE]}
-    assert small == brute_lines(rows)
+    small = {(r["doc_id"], r["tag"], g["line_no"]) for r in linededup.dropped_lines(docs, max_filter_bytes=64).collect() for g in r["gone"]}
+    assert small == {(i, tag(t), n) for i, t, n in brute_lines(rows)}
+
+
+def test_rows_that_share_an_id_keep_their_own_lines(spark):
+    """Two texts under one id, and two without an id: only what repeats goes, from the later row."""
+    first = "a first line of more than eight words that is here\nand one that only this row has among all of them"
+    other = "a first line of more than eight words that was here\nwhat nobody else has said before in this corpus at all"
+    for i in (7, None):
+        docs = frame(spark, [(i, first, "en", "s", 1), (i, other, "en", "s", 1)])
+        gone = brute_lines([(i, first), (i, other)])
+        assert len(gone) == 1
+        assert sorted(r["text"] for r in linededup.dedup(docs).collect()) == sorted(kept_text((i, t), gone) for t in (first, other))
+
+
+def test_long_lines_without_spaces(spark):
+    """One word of 70,000 characters, and its copy with one character changed."""
+    rng = random.Random(2)
+    word = "".join(rng.choice("abcdefgh的是不") for _ in range(70_000))
+    other = word[:40_000] + "X" + word[40_001:]
+    docs = spark.createDataFrame([(1, word, "zh", "s", 1), (2, f"{other}\nrest", "zh", "s", 1)], SCHEMA)
+    assert {r["doc_id"]: r["text"] for r in linededup.dedup(docs).collect()} == {1: word, 2: "rest"}
 
 
 def test_variant_keys_meet():

@@ -5,7 +5,7 @@ from collections import Counter
 
 import corpus_pipeline as p
 from edge import SCHEMA, frame, odd
-from test_dedup_ops import brute_components, brute_fingerprint, brute_lines, brute_scan
+from test_dedup_ops import brute_components, brute_fingerprint, brute_lines, brute_scan, kept_text
 from test_models import toxic_rows
 from test_other_ops import water
 
@@ -47,7 +47,7 @@ def test_stages_equal_brute_force(spark, tmp_path):
     left = {r[0] for r in first}
     assert len(toxic & left) <= 0.05 * len(toxic) and len(left - toxic) >= 0.95 * len({r[0] for r in rows} - toxic)
     gone = brute_lines(first)
-    want = Counter((r[0], None if r[1] is None else "\n".join(x for i, x in enumerate(r[1].split("\n")) if (r[0], i) not in gone)) for r in first)
+    want = Counter((r[0], kept_text(r, gone)) for r in first)
     assert Counter((r[0], r[1]) for r in held["line_dedup"]) == want
     assert all(r[4] == (None if r[1] is None else len(r[1])) for r in held["line_dedup"])
     lines = held["line_dedup"]
