@@ -29,16 +29,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import cut, fresh, map_batches, read, slices, splitmix, texts_of
+from .common import cut, fresh, map_batches, read, slices, splitmix, tag_column, tag_of, texts_of
 
 FUZZY_WORDS, FUZZY_CHARS = 8, 20
 _BASE = 0x9E3779B97F4A7C15
@@ -50,15 +49,6 @@ UNITS = 200_000
 SPOT = ("doc_id", "tag", "line_no")
 
 
-def tag_of(text: bytes) -> int:
-    """31 bits that tell rows of one id apart; ``tag_column`` in Spark."""
-    return crc32(text) & 0x7FFFFFFF
-
-
-def tag_column(text: Column) -> Column:
-    return F.crc32(text.cast("binary")).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-
-
 def forms(text: bytes | None) -> Iterator[tuple[int, list[bytes]]]:
     """(line number, words) of the lines that can go; blank ones never do."""
     if text:

@@ -1,18 +1,23 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint has 64 bits over the XXH64 values of a text's word shingles. Two fingerprints link at
-``RADIUS`` = 2 or fewer differing bits. By pigeonhole over two segments of 32 bits, such a pair
-differs in at most one bit of the first segment or in none of the second. So every distinct fingerprint is filed
-under its two segments, and probes the Hamming ball of radius 1 around its first segment and its second segment
-itself: 34 table keys. What meets under a key is verified by its complete distance.
+A fingerprint has 64 bits over the XXH64 values of a text's word shingles. Two fingerprints link at ``radius`` or fewer differing bits. They are cut into
+``segments``, and the radius is dealt out to the segments by the general pigeonhole principle: with segment radii that add up to
+radius + 1 - segments, a pair within the radius is within its own radius in some segment. So every distinct fingerprint is filed under its segments, and
+probes the Hamming ball around each of them; what probes and what is filed under a key is verified by the complete distance. A ball of radius 2 is met half-way:
+all are filed and probe within radius 1.
+The query takes 2 bits of fingerprints over three-word shingles: two segments of 32 bits with radii 1 and 0, 34 keys.
 
 Equal fingerprints collapse before (with a map-side minimum of their ids), so a group of copies of any size is one row.
-Near copies that meet under one key yield a spanning forest of verified links, at most one link fewer than
-there are fingerprints, not all pairs. A key under which more than ``BIG`` distinct fingerprints meet
-is linked exactly by sorting them under every mask of two bits instead, in memory of 16 bytes each.
+Under one key, filed and probing fingerprints are compared in numpy in blocks of bounded size. Where many near copies meet, a spanning forest of
+verified links is kept, at most one link fewer than there are fingerprints, not all pairs; memory is 16 bytes for each fingerprint and key.
+
+``keep_one`` works by similarity: candidates are the components of fingerprints over distinct words, within 6 bits in three segments,
+and members go if the Jaccard similarity of their five-word shingles with a hub is 0.8 or more. The hub of a component is the text nearest to the
+majority of its bits, the likely original of the copies; of a hub and the texts near to it the smallest id stays. What is not near to the hub forms
+a component of its own, round after round, until no two undecided texts are left in one. So every removal is confirmed on whole texts, and no pairs are made.
 
 Edge cases: a null or wordless text has fingerprint zero and links like any other; repeated rows are reported each; a null id
-is no candidate for a component's id; an empty table gives an empty result; extra columns are ignored or, by
+is no candidate for a component's id; an empty table gives an empty result; extra columns, whatever their names, are ignored or, by
 ``keep_one``, carried along.
 """
 
@@ -24,27 +29,45 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, read, texts_of
+from .common import cut, fresh, map_batches, read, slices, tag_column, tag_of, texts_of
 from .graph import components
 
-RADIUS = 2
-SHINGLE = 3
+RADIUS, SEGMENTS, SHINGLE = 2, 2, 3
 SEED = 42
-#: Distinct fingerprints under one key from which on masks are sorted instead of comparing each with each.
-BIG = 30_000
-_SEGMENT = 1 << 32
+#: The stage's candidates: bits and segments of fingerprints over distinct words; and what it removes.
+STAGE_RADIUS, STAGE_SEGMENTS = 6, 3
+STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
+#: Comparisons made at a time.
+CELLS = 2_000_000
+
+
+def segments_of(radius: int, count: int) -> list[tuple[int, int, int]]:
+    """(lowest bit, bits, radius) of each segment, the radii adding up to radius + 1 - count (-1: needs no look-up)."""
+    widths = [64 // count + (i < 64 % count) for i in range(count)]
+    radii = [(radius + 1) // count + (i < (radius + 1) % count) - 1 for i in range(count)]
+    return [(sum(widths[:i]), w, r) for i, (w, r) in enumerate(zip(widths, radii, strict=True)) if r >= 0]
+
 
+def ball(bits: int, radius: int) -> list[int]:
+    """All masks of at most ``radius`` of ``bits`` bits."""
+    return [sum(1 << i for i in of) for n in range(radius + 1) for of in combinations(range(bits), n)]
 
-def fingerprint(text: bytes | None) -> int:
-    """Unsigned 64 bits; ``bytes`` lower-case and split by ASCII only, as the definition asks for."""
+
+def shingles(words: list[bytes], size: int) -> Iterator[bytes]:
+    """Runs of ``size`` words, or all words if they are fewer."""
+    return map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else iter([b" ".join(words)] if words else [])
+
+
+def fingerprint(text: bytes | None, size: int = SHINGLE, distinct: bool = False) -> int:
+    """Unsigned 64 bits; ``bytes`` lower-case and split by ASCII only, as the definition asks for. ``distinct``: a shingle counts once."""
     words = text.lower().split() if text else []
     if not words:
         return 0
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)))) if len(words) >= SHINGLE else [b" ".join(words)]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+    found = shingles(words, size)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, set(found) if distinct else found, repeat(SEED)), np.uint64)
     count = np.zeros(64, np.int64)
     for lo in range(0, len(h), 4096):
         bits = np.unpackbits(h[lo : lo + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -62,88 +85,193 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
 
 
-def spanning_links(fps: np.ndarray) -> list[tuple[int, int]]:
-    """Verified links that connect whatever is connected among distinct ``fps`` (uint64)."""
-    out: list[tuple[int, int]] = []
-    if len(fps) > BIG:
-        for i, j in combinations(range(64), 2):
-            masked = fps & ~np.uint64((1 << i) | (1 << j))
-            order = np.argsort(masked, kind="stable")
-            same = np.flatnonzero(masked[order][1:] == masked[order][:-1])
-            out += zip(fps[order[same]].tolist(), fps[order[same + 1]].tolist(), strict=True)
-        return list(dict.fromkeys(out))
-    rest = fps
-    while len(rest) > 1:
-        queue, rest = [rest[0]], rest[1:]
-        while queue and len(rest):
-            a = queue.pop()
-            near = np.bitwise_count(rest ^ a) <= RADIUS
-            if near.any():
-                found = rest[near]
-                out += [(int(a), int(f)) for f in found]
-                queue.extend(found)
-                rest = rest[~near]
-    return out
-
-
-def links(fps: DataFrame) -> DataFrame:
+def text_marks(docs: DataFrame) -> DataFrame:
+    """doc_id, tag of the text, fingerprint over distinct words, and a hash of all words; one map."""
+
+    def run(batch: pa.RecordBatch):
+        texts = texts_of(batch.column("text"))
+        fp = np.array([fingerprint(t, 1, distinct=True) for t in texts], np.uint64).view(np.int64)
+        words = np.array([xxhash.xxh64_intdigest(b" ".join((t or b"").lower().split())) for t in texts], np.uint64).view(np.int64)
+        tags = pa.array([tag_of(t or b"") for t in texts], pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), tags, pa.array(fp), pa.array(words)], ["doc_id", "tag", "fp", "words"])
+
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, tag int, fp long, words long")
+
+
+def forest(filed: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
+    """Links (n, 2) that connect what ``filed`` members of the sorted ``group`` are within ``radius`` of."""
+    out, rest, alive = [], np.arange(len(group)), np.ones(len(group), bool)
+    for start in np.searchsorted(group, filed).tolist():
+        if not alive[start]:
+            continue
+        queue, alive[start] = [start], False
+        while queue:
+            i = queue.pop()
+            rest = rest[alive[rest]]
+            near = rest[np.bitwise_count(group[rest] ^ group[i]) <= radius]
+            if len(near):
+                alive[near] = False
+                out.append(np.stack([np.full(len(near), group[i]), group[near]], 1))
+                queue += near.tolist()
+    return np.concatenate(out) if out else np.zeros((0, 2), np.uint64)
+
+
+def close(key: np.ndarray, fp: np.ndarray, filed: np.ndarray, radius: int) -> np.ndarray:
+    """Links (n, 2) of whole groups, sorted by key with the filed ones first and each part by fingerprint."""
+    edge = np.flatnonzero(np.diff(key)) + 1
+    starts = np.concatenate([[0], edge])
+    sizes = np.diff(np.append(starts, len(key)))
+    n_filed = np.add.reduceat(filed.astype(np.int64), starts)
+    some = (n_filed > 0) & (sizes > 1)
+    starts, sizes, n_filed = starts[some], sizes[some], n_filed[some]
+    out = [np.zeros((0, 2), np.uint64)]
+    small = sizes * n_filed <= 4096
+    for s, n, m in zip(starts[~small], sizes[~small], n_filed[~small], strict=True):
+        out.append(forest(fp[s : s + m], np.unique(fp[s : s + n]), radius))
+    starts, sizes, n_filed = starts[small], sizes[small], n_filed[small]
+    for lo, hi in slices((sizes * n_filed).tolist(), CELLS):
+        # every filed one against every one of its group
+        cells = sizes[lo:hi] * n_filed[lo:hi]
+        of = np.repeat(np.arange(lo, hi), cells)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(cells) - cells, cells)
+        a, b = fp[starts[of] + nth // sizes[of]], fp[starts[of] + nth % sizes[of]]
+        near = (np.bitwise_count(a ^ b) <= radius) & (a != b)
+        a, b, of = a[near], b[near], of[near]
+        many = np.flatnonzero(np.bincount(of, minlength=hi) > 2 * sizes[:hi])
+        for g in many.tolist():
+            out.append(forest(fp[starts[g] : starts[g] + n_filed[g]], np.unique(fp[starts[g] : starts[g] + sizes[g]]), radius))
+        rest = ~np.isin(of, many)
+        out.append(np.stack([a[rest], b[rest]], 1))
+    return np.concatenate(out)
+
+
+def links(fps: DataFrame, radius: int = RADIUS, count: int = SEGMENTS) -> DataFrame:
     """Links (a, b) among distinct fingerprints ``fps(fp)``, enough of them to connect what is connected."""
-    first = F.shiftrightunsigned("fp", 32)
-    second = F.col("fp").bitwiseAND(F.lit(_SEGMENT - 1))
-    ball = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: first.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    keys = fps.select(F.explode(F.concat(F.array(first), ball, F.array(second + _SEGMENT))).alias("key"), "fp")
-    dealt = keys.repartition("key").sortWithinPartitions("key")
+    def around(number: int, low: int, bits: int, r: int) -> Column:
+        part = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << bits) - 1))
+        reach = (r + 1) // 2  # both sides go half of the way
+        # the number of the segment stands above the bits
+        key = lambda m: F.struct((part.bitwiseXOR(m) + F.lit(number << 60)).alias("key"), (F.bit_count(m) > r - reach).alias("probe"))
+        return F.transform(F.array(*(F.lit(m).cast("long") for m in ball(bits, reach))), key)
+
+    keys = [around(number, *segment) for number, segment in enumerate(segments_of(radius, count))]
+    rows = fps.select(F.explode(F.concat(*keys)).alias("k"), "fp").select("k.key", "k.probe", "fp")
+    dealt = rows.repartition("key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(key: np.ndarray, fp: np.ndarray):
-            """Links of whole groups."""
-            edge = np.flatnonzero(np.diff(key)) + 1
-            starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
-            out: list[tuple[int, int]] = []
-            for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-                k, group = int(key[s]), fp[s:e]
-                # under a key of the first segment, some fingerprint must be filed, not only probes meet
-                if k >= _SEGMENT or (group >> np.uint64(32) == np.uint64(k)).any():
-                    out += spanning_links(group)
-            if out:
-                a = np.array(out, np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
-
-        held_key, held_fp = [], []  # of the last group so far, in parts
+        def found(parts: list) -> Iterator[pa.RecordBatch]:
+            key, fp, probe = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((fp, probe, key))
+            out = close(key, fp[order], ~probe[order], radius).view(np.int64)
+            if len(out):
+                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+
+        held: list = []  # the last group so far, in parts
         for batch in batches:
-            key, fp = batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+            key, probe = batch.column("key").to_numpy(), batch.column("probe").to_numpy(zero_copy_only=False)
+            fp = batch.column("fp").to_numpy().view(np.uint64)
             if not len(key):
                 continue
             last = int(np.searchsorted(key, key[-1]))
-            if last == 0 and (not held_key or held_key[0][0] == key[0]):
-                held_key.append(key), held_fp.append(fp)
+            if last == 0 and (not held or held[0][0][0] == key[0]):
+                held.append((key, fp, probe))
                 continue
-            yield from close(np.concatenate([*held_key, key[:last]]), np.concatenate([*held_fp, fp[:last]]))
-            held_key, held_fp = [key[last:]], [fp[last:]]
-        if held_key:
-            yield from close(np.concatenate(held_key), np.concatenate(held_fp))
+            yield from found([*held, (key[:last], fp[:last], probe[:last])])
+            held = [(key[last:], fp[last:], probe[last:])]
+        if held:
+            yield from found(held)
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def components_of(marked: DataFrame, radius: int, count: int) -> DataFrame:
+    """fp, first (least id), root (a fingerprint, null without links) for every fingerprint of ``marked``."""
+    firsts = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(links(firsts.select("fp"), radius, count))
+    return firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", "root")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, count: int = SEGMENTS) -> DataFrame:
     """doc_id, fp, component_id of every row of ``docs``."""
     marked = cut(fingerprints(docs))
-    firsts = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(firsts.select("fp")))
-    rooted = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", "root")
+    rooted = components_of(marked, radius, count)
     least = rooted.filter("root is not null").groupBy("root").agg(F.min("first").alias("least")).withColumnRenamed("root", "r")
     named = rooted.join(least, F.col("root") == F.col("r"), "left").select(F.col("fp").alias("f"), F.coalesce("least", "first").alias("component_id"))
     return marked.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id.
+def jaccard(a: Column, b: Column) -> Column:
+    """Of arrays of distinct elements; two empty ones are alike."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
+
+
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, words, set (distinct hashes of shingles) of every row of ``docs(doc_id, text)``."""
+
+    def run(batch: pa.RecordBatch):
+        sets, words = [], []
+        for t in texts_of(batch.column("text")):
+            w = t.lower().split() if t else []
+            words.append(xxhash.xxh64_intdigest(b" ".join(w)))
+            sets.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles(w, size)), np.uint64)).view(np.int64))
+        columns = [batch.column("doc_id"), pa.array(np.array(words, np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "words", "set"])
+
+    return map_batches(docs, run, "doc_id long, words long, set array<long>")
+
+
+def duplicates(docs: DataFrame, radius: int = STAGE_RADIUS, count: int = STAGE_SEGMENTS, size: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
+    """(doc_id, tag, kept): rows that go, by id and tag, and the smaller id that stays for each."""
+    marked = cut(text_marks(docs.filter("doc_id is not null")))
+    # one member for each text, the one with the least id
+    members = marked.groupBy("fp", "words").agg(F.min("doc_id").alias("doc_id"))
+    rooted = components_of(marked, radius, count).select(F.col("fp").alias("f"), F.coalesce("root", "fp").alias("comp"))
+    members = cut(members.join(rooted, F.col("fp") == F.col("f")).select("doc_id", "fp", "words", "comp"))
+    several = members.groupBy("comp").count().filter("count > 1").select(F.col("comp").alias("c"))
+    known = members.join(several, F.col("comp") == F.col("c")).select("comp", "fp", F.col("doc_id").alias("id"), F.col("words").alias("w"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = own.join(known.select(F.col("id").alias("i")).distinct(), F.col("doc_id") == F.col("i")).select("doc_id", "text")
+    sets = shingle_sets(texts, size).dropDuplicates(["doc_id", "words"])
+    pool = cut(sets.join(known, (F.col("doc_id") == F.col("id")) & (F.col("words") == F.col("w"))).select("comp", "fp", "doc_id", "words", "set"))
+    pairs = None
+    while pool.select(F.lit(1)).limit(1).count():
+        # signed fingerprints as bits; the majority of a component, and the member nearest to it
+        bits = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"b{i}") for i in range(64)]
+        centre = pool.groupBy("comp").agg(*bits)
+        one = [F.when(F.col(f"b{i}") > 0, F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(64)]
+        total = one[0]
+        for x in one[1:]:
+            total = total.bitwiseOR(x)
+        centre = centre.select(F.col("comp").alias("c"), total.alias("centre"))
+        away = F.bit_count(F.col("fp").bitwiseXOR(F.col("centre")))
+        hubs = pool.select("comp", "fp", "doc_id", "words").join(centre, F.col("comp") == F.col("c")).groupBy("comp").agg(F.min(F.struct(away, "doc_id", "words")).alias("h"))
+        hubs = hubs.select(F.col("comp").alias("c"), F.col("h.doc_id").alias("hub"), F.col("h.words").alias("hub_words"))
+        sets = pool.select(F.col("comp").alias("c2"), F.col("doc_id").alias("d2"), F.col("words").alias("w2"), F.col("set").alias("hub_set"))
+        hubs = hubs.join(sets, (F.col("c") == F.col("c2")) & (F.col("hub") == F.col("d2")) & (F.col("hub_words") == F.col("w2"))).select("c", "hub_set")
+        judged = cut(pool.join(hubs, F.col("comp") == F.col("c")).withColumn("near", jaccard(F.col("set"), F.col("hub_set")) >= similarity).drop("c", "hub_set"))
+        near = judged.filter("near")
+        kept = near.groupBy("comp").agg(F.min("doc_id").alias("kept")).select(F.col("comp").alias("c"), "kept")
+        gone = cut(near.select("comp", "words", "fp").join(kept, F.col("comp") == F.col("c")).select("fp", "words", "kept"))
+        pairs = gone if pairs is None else pairs.unionByName(gone)
+        left = judged.filter("not near").drop("near")
+        several = left.groupBy("comp").count().filter("count > 1").select(F.col("comp").alias("c"))
+        pool = cut(left.join(several, F.col("comp") == F.col("c")).drop("c"))
+    # members stand for all rows with their text; texts that are alone in a component may still be repeated
+    alone = members.select("fp", "words", F.col("doc_id").alias("kept"))
+    known = alone if pairs is None else alone.unionByName(pairs)
+    least = known.groupBy("fp", "words").agg(F.min("kept").alias("kept")).toDF("f", "w", "kept")
+    return marked.join(least, (F.col("fp") == F.col("f")) & (F.col("words") == F.col("w"))).filter("doc_id <> kept").select("doc_id", "tag", "kept").distinct()
+
+
+def keep_one(docs: DataFrame, radius: int = STAGE_RADIUS, count: int = STAGE_SEGMENTS, size: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, the one with the smallest id.
 
-    Rows that share an id are one document and stay or go together; rows with a null id stay.
+    Rows that share an id are each judged by their text; a row goes only for one with a smaller id. Rows with a null id stay.
     """
-    gone = near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    key, tag = fresh(docs.columns, "id", "tag")
+    gone = duplicates(docs, radius, count, size, similarity).select(F.col("doc_id").alias(key), F.col("tag").alias(tag))
+    return docs.join(gone, (docs["doc_id"].cast("long") == F.col(key)) & (tag_column(docs["text"]) == F.col(tag)), "left_anti")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,10 +188,6 @@ def test_simhash_equals_brute_force(spark):
     least = {lab: min((i for i in g if i is not None), default=None) for lab, g in groups.items()}
     want = sorted(repr((r[0], fp, least[lab])) for r, fp, lab in zip(rows, fps, label, strict=True))
     assert sorted(repr((r["doc_id"], r["fp"] % 2**64, r["component_id"])) for r in got) == want
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert {i for i in ids if i is not None} == {i for i in least.values() if i is not None} and ids.count(None) == 2
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -223,17 +219,93 @@ def test_links_connect_what_is_connected(spark):
     def same(p):
         return len(set(zip(p, label, strict=True))) == len(set(p)) == len(set(label))
 
-    found = simhash.spanning_links(np.array(fps, np.uint64))
+    found = simhash.forest(np.array(fps, np.uint64), np.array(fps, np.uint64), 2).tolist()
     assert same(partition(found)) and len(found) < len(fps)
-    big, simhash.BIG = simhash.BIG, 10  # the way of very large groups
-    try:
-        assert same(partition(simhash.spanning_links(np.array(fps, np.uint64))))
-    finally:
-        simhash.BIG = big
     signed = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in fps], "fp long")
     assert same(partition([(r["a"] % 2**64, r["b"] % 2**64) for r in simhash.links(signed).collect()]))
 
 
+def test_all_pairs_within_a_radius_meet(spark):
+    """For each number of segments: what is connected within the radius is so by the links."""
+    rng = random.Random(8)
+    fps = {rng.getrandbits(64) for _ in range(30)}
+    for c in list(fps)[:10]:
+        for _ in range(8):
+            fps.add(c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 8))))
+    fps = sorted(fps)
+    signed = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in fps], "fp long")
+
+    def parts(pairs):
+        parent = {f: f for f in fps}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            parent[find(a)] = find(b)
+        groups = {}
+        for f in fps:
+            groups.setdefault(find(f), set()).add(f)
+        return sorted(map(sorted, groups.values()))
+
+    for radius, count in ((6, 3), (5, 3), (8, 3), (2, 2), (3, 4), (1, 3)):
+        want = parts([(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= radius])
+        got = [(r["a"] % 2**64, r["b"] % 2**64) for r in simhash.links(signed, radius, count).collect()]
+        assert all((a ^ b).bit_count() <= radius for a, b in got) and parts(got) == want, (radius, count)
+
+
+def five_words(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def similarity(a, b):
+    a, b = five_words(a), five_words(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def copies_rows(seed=6):
+    """Groups of an original and copies of it with some words changed, and texts on their own."""
+    rng = random.Random(seed)
+    rows = [(i, " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(400)}" for _ in range(200)), "en", "s", 1) for i in range(40)]
+    planted = []
+    for k in range(80):
+        w = rows[k % 8][1].split(" ")
+        for _ in range(rng.randrange(0, 4)):
+            w[rng.randrange(len(w))] = f"q{rng.randrange(1000)}"
+        rows.append((rng.choice([100 + k, -100 - k]), " ".join(w), "en", "s", 1))
+        planted.append(rows[-1])
+    return rows, planted
+
+
+def test_keep_one(spark):
+    """One text of each planted group stays, the others are near to a text that stands for it, and nothing else goes."""
+    rows, planted = copies_rows()
+    rows += odd() + [(7, "another text under an id that has one already, with words of its own", "en", "s", 1)]
+    docs = frame(spark, rows)
+    for c in ("id", "tag", "__gone"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = Counter((repr(r["doc_id"]), r["text"]) for r in kept.collect())
+    gone = {(i, t): k for i, _, k in ((r["doc_id"], r["tag"], r["kept"]) for r in simhash.duplicates(docs).collect()) for t in [x[1] for x in rows if x[0] == i]}
+    text_of = {r[0]: r[1] for r in rows}
+    for r in rows:
+        if got[repr(r[0]), r[1]]:
+            continue
+        k = gone[r[0], r[1]]
+        assert k < r[0] and got[repr(k), text_of[k]]
+        hub = [x for x in rows if similarity(x[1], r[1]) >= 0.8 and similarity(x[1], text_of[k]) >= 0.8]
+        assert hub, r[0]
+    left = [r for r in planted if got[repr(r[0]), r[1]]] + [r for r in rows[:8] if got[repr(r[0]), r[1]]]
+    assert len(left) <= 8 + 8  # one of each of 8 groups, and at most a tenth of the other 80
+    alone = [r for r in rows if r[0] is None or 8 <= r[0] < 40 or r[0] == 7 and r[1].startswith("another")]
+    assert all(got[repr(r[0]), r[1]] for r in alone)
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 140)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(7, 7)]
