@@ -45,6 +45,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 MAX_FILTER_BYTES = 64 << 20
 #: Units of the lines whose variants are made at a time.
 UNITS = 200_000
+#: Of a text's tag; a line goes only if its form is as told, so few bits do.
+SHORT = 0x7FFFFFFF
 #: What an occurrence is known by, in the order of lines.
 SPOT = ("doc_id", "tag", "line_no")
 
@@ -93,7 +95,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch):
         ids, row, line, keys, own, tags = batch.column("doc_id"), [], [], bytearray(), [], []
         for r, text in enumerate(texts_of(batch.column("text"))):
-            tag = tag_of(text or b"")
+            tag = tag_of(text) & SHORT
             for i, words in forms(text):
                 row.append(r), line.append(i), tags.append(tag)
                 keys += xxhash.xxh3_128_digest(b" ".join(words))
@@ -138,7 +140,7 @@ def candidates(docs: DataFrame, shared: bloom.BlockedBloom) -> DataFrame:
     def run(batch: pa.RecordBatch):
         ids, row, line, own, text_of, tags = batch.column("doc_id"), [], [], [], [], []
         for r, text in enumerate(texts_of(batch.column("text"))):
-            tag = tag_of(text or b"")
+            tag = tag_of(text) & SHORT
             for i, words in forms(text):
                 if u := units(words):
                     row.append(r), line.append(i), tags.append(tag), own.append(parts(u)), text_of.append(words)
@@ -295,7 +297,7 @@ def _with_gone(docs: DataFrame) -> tuple[DataFrame, str]:
     key, tag, name = fresh(docs.columns, "id", "tag", "gone")
     # the hashed side has line numbers only, and the texts need no sort
     gone = dropped_lines(docs).toDF(key, tag, name).hint("shuffle_hash")
-    both = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col(key)) & (tag_column(docs["text"]) == F.col(tag)), "left")
+    both = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col(key)) & (tag_column(docs["text"]).bitwiseAND(F.lit(SHORT)).cast("int") == F.col(tag)), "left")
     return both.drop(key, tag), name
 
 

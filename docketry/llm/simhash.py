@@ -92,10 +92,10 @@ def text_marks(docs: DataFrame) -> DataFrame:
         texts = texts_of(batch.column("text"))
         fp = np.array([fingerprint(t, 1, distinct=True) for t in texts], np.uint64).view(np.int64)
         words = np.array([xxhash.xxh64_intdigest(b" ".join((t or b"").lower().split())) for t in texts], np.uint64).view(np.int64)
-        tags = pa.array([tag_of(t or b"") for t in texts], pa.int32())
+        tags = pa.array([tag_of(t) for t in texts], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), tags, pa.array(fp), pa.array(words)], ["doc_id", "tag", "fp", "words"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, tag int, fp long, words long")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, tag long, fp long, words long")
 
 
 def forest(filed: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:

@@ -3,13 +3,13 @@
 import hashlib
 import random
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
 import xxhash
 from edge import SCHEMA, corpus, frame, odd, sentence
 
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import functions as F
 
 from docketry.llm import decontaminate, graph, linededup, simhash
@@ -34,7 +34,7 @@ def ascii_lower(t):
 
 
 def tag(text):
-    return zlib.crc32(text.encode()) & 0x7FFFFFFF
+    return xxhash.xxh64_intdigest(text.encode(), 42) & 0x7FFFFFFF
 
 
 def near_lines(w, v):
@@ -355,25 +355,47 @@ def test_scan_equals_brute_force(spark):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = frame(spark, rows)
     want = sorted(repr((r[0], *brute_scan(r[1], ITEMS))) for r in rows)
-    for block in (500_000, 2):  # one broadcast set, and several
+    for block in (500_000, 5, 2):  # one broadcast set, and several
         assert sorted(repr(tuple(r)) for r in decontaminate.scan(docs, bench, block_windows=block).collect()) == want
     clean = decontaminate.scan(docs, bench.limit(0)).collect()
     assert len(clean) == len(rows) and not any(r["contaminated"] for r in clean)
     assert decontaminate.scan(docs.limit(0), bench).count() == 0
 
 
+def test_one_block_is_live_at_a_time(spark, monkeypatch):
+    """Sets hold about as many windows as a block may, and each is destroyed before the next one is built."""
+    bench, docs = spark.createDataFrame(ITEMS, "item_id long, text string"), frame(spark, leak_rows())
+    live, sizes, sc = [], [], spark.sparkContext
+    build, broadcast, destroy = decontaminate.NgramSet.build, sc.broadcast, Broadcast.destroy
+
+    def counted(windows):
+        assert not live
+        sizes.append(len(windows))
+        return build(windows)
+
+    monkeypatch.setattr(decontaminate.NgramSet, "build", counted)
+    monkeypatch.setattr(sc, "broadcast", lambda x: (live.append(1), broadcast(x))[1])
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, blocking=False: (live.pop(), destroy(self, blocking))[1])
+    assert decontaminate.scan(docs, bench, block_windows=2).count() == len(leak_rows())
+    assert not live and len(sizes) > 3 and max(sizes) <= 4 and sum(sizes) == 8
+
+
 def test_remove_hits(spark):
     rows = leak_rows()
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = frame(spark, rows)
-    got = {(r["doc_id"]): r["text"] for r in decontaminate.remove_hits(docs, bench).collect()}
-    assert 302 not in got and 300 not in got and set(got) == {r[0] for r in rows} - {302, 300, 301}
-    assert got[303].startswith(" but the text") and not any(brute_scan(t, ITEMS)[4] for t in got.values())
-    assert got[304] == "short item here and much more than that is said"[:0] + got[304] and "item here" not in got[304][:10]
-    for r in rows:  # clean documents are as they were
-        if not brute_scan(r[1], ITEMS)[4] and r[0] is not None:
-            assert got[r[0]] == r[1]
-    assert decontaminate.remove_hits(docs, bench).columns == docs.columns
+    for c in ("id", "tag", "spans", "items", "n0", "c1"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    for block in (500_000, 3):
+        kept = decontaminate.remove_hits(docs, bench, block_windows=block)
+        assert kept.columns == docs.columns and kept.filter("id = 'clash' and n0 = 'clash' and c1 = 'clash'").count() == kept.count()
+        got = {(r["doc_id"]): r["text"] for r in kept.collect()}
+        assert 302 not in got and 300 not in got and set(got) == {r[0] for r in rows} - {302, 300, 301}
+        assert got[303].startswith(" but the text") and not any(brute_scan(t, ITEMS)[4] for t in got.values())
+        assert got[304] == " and much more than that is said"  # what stands around a removed span may be a window again
+        for r in rows:  # clean documents are as they were
+            if not brute_scan(r[1], ITEMS)[4] and r[0] is not None:
+                assert got[r[0]] == r[1]
 
 
 def test_cut_keeps_rows(spark):
