@@ -1,18 +1,22 @@
 """URL filter: rules first, then a blocked Bloom filter of listed canonical URLs before an exact hash join.
 
 An entry of the list is a canonical URL ``host/path``; it lists the URLs that it equals or is a directory of, on its host
-and all subdomains. So a URL is looked up under its host's suffixes times its path's prefixes. The filter
-is a split-block Bloom filter: a key sets one bit in each of the eight 64-bit words of one block. It is built by
-``bit_or`` on the executors and broadcast if its size is at most ``max_filter_bytes``. The keys that pass
-it (for a longer list: all keys) go to an exact join with the list, which removes the false positives.
+and all subdomains. So a URL is looked up under its host's suffixes with its path's prefixes, of the numbers of labels and
+directories that entries have (``depths``), hashed as they grow: work and memory follow the length of the URL, and no strings are made but of keys that pass.
+The filter is a split-block Bloom filter: a key sets one bit in each of the eight 64-bit words of one block. It is built by
+``bit_or`` on the executors and broadcast. A list whose filter is larger than ``max_filter_bytes`` is dealt out by hash into as many
+filters as it takes, which are built, broadcast, applied and destroyed one after another. The keys that pass go to an exact join
+with the list, which removes the false positives; what is left is joined to the pages by id and url.
 
 Edge cases: a null url or one without ``://`` has empty host and path, fits no rule and no entry, and is allowed; repeated rows are
-judged each; null ids take part; an empty list or table works; null and empty entries are left out; extra columns are ignored.
+judged each; null ids take part; an empty list or table works; null and empty entries are left out; a host or path of any length is looked up; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import cut, map_batches, read
+from .common import cut, map_batches, read, tag_column, tag_of
 
 #: (rule, verdict): host and path, the longest that fits wins.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -44,13 +48,33 @@ def canonical(host: str, path: str) -> str:
     return f"{host}/{'/'.join(p for p in path.split('/') if p)}".rstrip("/") + "/" if host else ""
 
 
-def lookups(key: str) -> list[str]:
-    """The entries that would list a canonical URL: every host suffix times every directory of the path."""
-    if not key:
-        return []
+def lookups(key: str, depths: dict[int, list[int]]) -> Iterator[tuple[int, int, int]]:
+    """Hash (XXH64, seed 42), labels and directories of the entries that would list a canonical URL.
+
+    ``depths``: ascending numbers of directories by number of labels.
+    """
+    host, slash, path = key.partition("/")
+    if not slash:
+        return
+    starts = [m.end() for m in re.finditer(r"\.", host)]  # of labels but the first
+    ends = [0, *(m.end() for m in re.finditer("/", path))]
+    for labels, many in depths.items():
+        if labels > len(starts) + 1:
+            continue
+        suffix = host if labels == len(starts) + 1 else host[starts[-labels] :]
+        state, at = xxhash.xxh64(f"{suffix}/".encode(), 42), 0
+        for n in many:
+            if n >= len(ends):
+                break
+            state.update(path[at : ends[n]].encode())
+            at = ends[n]
+            yield state.intdigest(), labels, n
+
+
+def entry(key: str, labels: int, directories: int) -> str:
+    """The entry that ``lookups`` tells by numbers."""
     host, _, path = key.partition("/")
-    labels, parts = host.split("."), [p for p in path.split("/") if p]
-    return [".".join(labels[i:]) + "/" + "".join(f"{p}/" for p in parts[:j]) for i in range(len(labels)) for j in range(len(parts) + 1)]
+    return ".".join(host.split(".")[-labels:]) + "/" + "".join(f"{p}/" for p in path.split("/")[:directories])
 
 
 def rule_for(host: str, path: str, rules: tuple[tuple[str, str], ...] = RULES) -> tuple[str | None, str | None]:
@@ -78,32 +102,50 @@ def judge(
     pages: DataFrame, entries: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, max_filter_bytes: int = 64 << 20
 ) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of ``pages(page_id, url)``."""
-    listed = cut(listed_keys(entries))
-    blocks, fits_in = bloom.blocks_for(listed.count(), max_filter_bytes)
-    hashes = listed.select(F.xxhash64("key").alias("h"))  # XXH64 with seed 42
-    known = pages.sparkSession.sparkContext.broadcast(bloom.build(hashes, blocks) if fits_in else None)
+    sc, rows = pages.sparkSession.sparkContext, pages.select(F.col("page_id").cast("long"), "url")
 
-    def run(batch: pa.RecordBatch):
-        parts = [split_url(u) for u in batch.column("url").to_pylist()]
-        fits = [rule_for(h, p, rules) for h, p in parts]
-        keys = [[] if v else lookups(canonical(h, p)) for (h, p), (_, v) in zip(parts, fits, strict=True)]
-        flat = [k for x in keys for k in x]
-        h = np.array([xxhash.xxh64_intdigest(k.encode(), 42) for k in flat], np.uint64)
-        passes = iter((known.value.might_contain(h) if known.value is not None else np.ones(len(flat), bool)).tolist())
-        possible = [[k for k in x if next(passes)] for x in keys]
-        columns = [pa.array(list(x), pa.string()) for x in ([h for h, _ in parts], [p for _, p in parts], [r for r, _ in fits], [v for _, v in fits])]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), *columns, pa.array(possible, pa.list_(pa.string()))], names)
-
-    names = ["page_id", "host", "path", "rule", "verdict", "possible"]
-    schema = "page_id long, host string, path string, rule string, verdict string, possible array<string>"
-    judged = cut(map_batches(pages.select(F.col("page_id").cast("long"), "url"), run, schema))
-    sure = judged.filter(F.size("possible") == 0).select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
-    # the id is made once per row and used within this branch only
-    open_rows = judged.filter(F.size("possible") > 0).withColumn("row", F.monotonically_increasing_id())
-    hits = open_rows.withColumn("k", F.explode("possible")).join(listed, F.col("k") == F.col("key"), "left")
-    checked = hits.groupBy("row", "page_id", "host", "path", "rule").agg(F.count("key").alias("n"))
-    checked = checked.select("page_id", "host", "path", "rule", F.when(F.col("n") > 0, "block").otherwise("allow").alias("verdict"))
-    return sure.unionByName(checked)
+    listed = cut(listed_keys(entries))
+    labels = F.regexp_count(F.substring_index("key", "/", 1), F.lit(r"\.")) + 1
+    depths: dict[int, list[int]] = {}
+    for r in listed.select(labels.alias("labels"), (F.regexp_count("key", F.lit("/")) - 1).alias("n")).distinct().orderBy("labels", "n").collect():
+        depths.setdefault(r["labels"], []).append(r["n"])  # pairs of small numbers: a few, whatever the length of the list
+    n = listed.count()
+    shards = max(1, -(-n * bloom.BITS_PER_KEY // (8 * max(64, max_filter_bytes))))
+    hashes, passed = listed.select(F.xxhash64("key").alias("h")), None  # XXH64 with seed 42
+    for shard in range(shards):
+        own = hashes.filter(F.pmod("h", F.lit(shards)) == shard)
+        known = sc.broadcast(bloom.build(own, bloom.blocks_for(own.count(), 2 * max(64, max_filter_bytes))[0]))  # a shard is about as large as told
+
+        def possible(batch: pa.RecordBatch, known=known, shard=shard):
+            found = []
+            for page, url in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), strict=True):
+                host, path = split_url(url)
+                if not host or rule_for(host, path, rules)[1]:
+                    continue
+                key = canonical(host, path)
+                keys = [x for x in lookups(key, depths) if ((x[0] ^ 1 << 63) - (1 << 63)) % shards == shard]  # as pmod of the signed hash
+                passes = known.value.might_contain(np.array([h for h, _, _ in keys], np.uint64))
+                found += [(page, tag_of(url.encode()), entry(key, *keys[i][1:])) for i in np.flatnonzero(passes)]
+            kinds = (pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)], ["page", "tag", "k"])
+
+        part = cut(map_batches(rows, possible, "page long, tag long, k string"))
+        known.destroy()
+        passed = part if passed is None else passed.unionByName(part)
+    hits = passed.join(listed.select("key"), F.col("k") == F.col("key")).select("page", "tag").distinct()
+
+    def parts(batch: pa.RecordBatch):
+        urls = batch.column("url").to_pylist()
+        split = [split_url(u) for u in urls]
+        fits = [rule_for(h, p, rules) for h, p in split]
+        columns = [pa.array(list(x), pa.string()) for x in ([h for h, _ in split], [p for _, p in split], [r for r, _ in fits], [v for _, v in fits])]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("t"), *columns], names)
+
+    names = ["page_id", "t", "host", "path", "rule", "ruled"]
+    judged = map_batches(rows.withColumn("t", tag_column(F.col("url"))), parts, "page_id long, t long, host string, path string, rule string, ruled string")
+    both = judged.join(hits, F.col("page_id").eqNullSafe(F.col("page")) & (F.col("t") == F.col("tag")), "left")
+    verdict = F.coalesce("ruled", F.when(F.col("tag").isNotNull(), "block").otherwise("allow"))
+    return both.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

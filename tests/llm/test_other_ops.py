@@ -252,9 +252,9 @@ def brute_judge(url, listed):
     return host, path, None, "allow"
 
 
-@pytest.mark.parametrize("most", [64 << 20, 0])
+@pytest.mark.parametrize("most", [64 << 20, 256])  # one filter, and many after one another
 def test_urls_equal_brute_force(spark, most):
-    listed = ["spam-farm.example.org/", "listed.test/a/b", *(f"filler{i}.test/" for i in range(500))]
+    listed = ["spam-farm.example.org/", "listed.test/a/b", *(f"filler{i}.test/" for i in range(50))]
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS)] + [(None, URLS[13], "c"), (3, URLS[3], "c")], "page_id long, url string, verdict string")
     entries = spark.createDataFrame([(x,) for x in listed] + [(None,), ("",), ("http://spam-farm.example.org",)], "url string")
     got = urls.judge(pages, entries, max_filter_bytes=most).collect()
@@ -265,6 +265,21 @@ def test_urls_equal_brute_force(spark, most):
     assert urls.judge(pages.limit(0), entries).count() == 0
 
 
+def test_very_long_urls(spark):
+    """Hosts and paths of 100,000 parts: work follows the length of the URL and what depths are listed."""
+    deep = "d/" * 50_000
+    rows = [
+        (1, f"http://listed.test/a/b/{deep}"), (2, f"http://{'x.' * 100_000}listed.test/a/b"), (3, f"http://{'x.' * 50_000}test/{deep}"), (4, f"http://deep.test/{deep}e"),
+        (5, f"http://listed.test/a/{deep}"), (6, "http://" + "a" * 500_000), (7, "http://h.test/" + "/" * 300_000 + "a//b"),
+    ]
+    listed = ["listed.test/a/b", f"deep.test/{deep}", "h.test/a/b"]
+    entries = spark.createDataFrame([(x,) for x in listed], "url string")
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), entries).collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "allow", 6: "allow", 7: "block"}
+    key = urls.canonical(*urls.split_url(rows[2][1]))
+    assert len(list(urls.lookups(key, {2: [0, 2], 3: [0]}))) == 3
+
+
 def test_bloom_has_no_false_negatives(spark):
     rng = np.random.default_rng(0)
     keys = rng.integers(-(2**63), 2**63, 5000)
