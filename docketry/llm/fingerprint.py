@@ -24,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, splitmix
+from .common import read, slices, splitmix
 
 LEVELS, KEEP = (2, 3), 32
 #: Code points parsed at a time (a longer text is parsed alone).
@@ -191,21 +192,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the last row waits for the one after it
-        held: tuple | None = None
+        held: list[tuple] = []
         for batch in batches:
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "range", "extra")), strict=True))
-            if held:
-                rows.insert(0, held)
-            for lo in range(0, max(0, len(rows) - 1), 512):
-                part = rows[lo : lo + 513]
-                own = sketches([t for _, t, _, _ in part])
-                todo = [i for i in range(len(part) - 1) if not part[i][3]]
-                new = [edited(part[i][1], part[i + 1][1]) for i in todo]
+            for lo, hi in slices(pc.binary_length(batch.column("text")).to_pylist()):
+                part = batch.slice(lo, hi - lo)
+                rows = held + list(zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "extra")), strict=True))
+                own = sketches([t for _, t, _ in rows])
+                todo = [i for i in range(len(rows) - 1) if not rows[i][2]]
+                new = [edited(rows[i][1], rows[i + 1][1]) for i in todo]
                 after = sketches(new)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([part[i][0] for i in todo], pa.int64()),
-                        pa.array([len(part[i][1]) for i in todo], pa.int64()),
+                        pa.array([rows[i][0] for i in todo], pa.int64()),
+                        pa.array([len(rows[i][1]) for i in todo], pa.int64()),
                         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in new], pa.string()),
                         pa.array([encode(own[i]) for i in todo], pa.string()),
                         pa.array([encode(s) for s in after], pa.string()),
@@ -214,7 +213,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     ],
                     names,
                 )
-            held = rows[-1] if rows else None
+                held = rows[-1:]
         # what is left is the first row of the next range, which that range reports
 
     names = [f.split()[0] for f in SCHEMA.split(", ")]

@@ -8,7 +8,8 @@ caps before) / (weights from here on).
 Within a source every document is taken floor(target / size) times whole; what is missing is taken from the documents in
 a seeded pseudo-random order until it is reached, the last one in part. So a source's taken words are its rounded target.
 The order's running sum is two-level: documents are dealt to (source, slice of the hash range), slices are summed first and
-offset by the sums of the slices before; no task holds a whole source. Everything is DataFrame operations.
+offset by the sums of the slices before; no task holds a whole source. Only tables of one row per source, or per slice of a source, meet in one task.
+Everything is DataFrame operations.
 
 Edge cases: a null or wordless text has size 0 and is taken 0 words; a source of size 0 gets target 0; null sources are one
 source; null ids are ordered as an empty id; rows that agree in id and size are interchangeable; an empty table gives
@@ -20,13 +21,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, fresh, read
 
 WEIGHTS, SHARE, MAX_EPOCHS, SEED = (5, 2, 1), 1.5, 2, 17
 WORD = r"[^\x20\x09-\x0D]+"
-#: Slices of the hash range within a source.
-SLICES = 1024
-_KEY_BITS = 60
+#: Bits of the hash that name a slice of a source; a task sorts about a 16,384th of its documents.
+_SLICE_BITS, _KEY_BITS = 14, 60
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -52,7 +52,7 @@ def mix(
     sized = cut(
         docs.select(
             "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.cast("long").alias("key")
-        ).withColumn("slice", F.shiftright("key", _KEY_BITS - 10))
+        ).withColumn("slice", F.shiftright("key", _KEY_BITS - _SLICE_BITS))
     )
     slices = sized.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     plan = targets(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, share, max_epochs)
@@ -72,17 +72,16 @@ def mix(
 def expand(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mixed corpus itself: rows of ``docs`` with ``repetition`` (0, 1, ...); the text of a part is cut after its words.
 
-    Needs unique ids. A column of ``docs`` named repetition is replaced.
+    Needs unique ids. The column is called repetition_ where ``docs`` has one named repetition.
     """
-    m = mixed.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken")).filter("__taken > 0")
-    j = docs.join(m, F.col("doc_id").eqNullSafe(F.col("__id")))
-    copies = F.ceil(F.col("__taken") / F.col("__size")).cast("int")
-    j = j.withColumn("repetition", F.explode(F.sequence(F.lit(0), copies - 1)))
-    left = (F.col("__taken") - F.col("repetition") * F.col("__size")).cast("int")
+    own, size, taken, number, left = fresh(docs.columns, "id", "size", "taken", "repetition", "left")
+    m = mixed.select(F.col("doc_id").alias(own), F.col("size").alias(size), F.col("taken").alias(taken)).filter(F.col(taken) > 0)
+    j = docs.join(m, docs["doc_id"].eqNullSafe(F.col(own)))
+    j = j.withColumn(number, F.explode(F.sequence(F.lit(0), F.ceil(F.col(taken) / F.col(size)).cast("int") - 1)))
+    j = j.withColumn(left, (F.col(taken) - F.col(number) * F.col(size)).cast("int"))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return j.withColumn("text", F.when(left >= F.col("__size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), left), " "))).drop(
-        "__id", "__size", "__taken"
-    )
+    cut_text = F.array_join(F.slice(words, F.lit(1), F.col(left)), " ")
+    return j.withColumn("text", F.when(F.col(left) >= F.col(size), F.col("text")).otherwise(cut_text)).drop(own, size, taken, left)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

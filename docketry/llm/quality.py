@@ -142,7 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, max_train_rows: int =
 
     # at most max_train_rows ids and bits: a proven bound for the broadcast
     joined = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    got = map_batches(joined, measure, "doc_id long, y int, x array<double>").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    one = map_batches(joined, measure, "doc_id long, y int, x array<double>").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x"))  # of texts under one id the least
+    got = one.toPandas().sort_values("doc_id")
     x = np.array(got["x"].tolist()) if len(got) else np.zeros((0, len(STATISTICS)))
     return fit_trees(x, got["y"].to_numpy(np.float64))
 

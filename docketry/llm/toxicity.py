@@ -10,8 +10,8 @@ it is looked up once per distinct word. Forward-backward runs as a recursion on
 documents of like length. A document's score is a logistic function of its two largest and its summed
 token odds; offsets are the runs of tokens whose marginal is at least ``span_at``.
 
-Training is bounded: ``max_train_rows`` documents, ``max_train_chars`` characters each. Scoring reads whole
-texts in one map, without a shuffle.
+Training reads whole texts of a bounded sample: at most ``max_train_rows`` documents, and of these, in the order of a hash, those that
+add up to ``max_train_chars`` characters. Scoring reads whole texts in one map, without a shuffle.
 
 Edge cases: null, empty and letterless texts have no tokens and get the score of the intercept; repeated rows
 are scored each; null ids take part (crc counts as 0); without labels of both kinds the score is 0 for all; extra
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc_mod, map_batches, read, sigmoid, slices
+from .common import bounded_sample, crc_mod, cut, map_batches, read, sigmoid, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 18
@@ -286,22 +286,27 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 12, seed: int = 3) ->
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train_rows: int = 4_000, max_train_chars: int = 40_000, seed: int = 11
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train_rows: int = 4_000, max_train_chars: int = 32_000_000, seed: int = 11
 ) -> Chain:
-    """At most ``max_train_rows`` labelled rows, half of them toxic where there are as many, and ``max_train_chars`` of each."""
+    """At most ``max_train_rows`` labelled rows, half of them toxic where there are as many, and ``max_train_chars`` in all.
+
+    Texts are whole; one that is over the rest of the bound is left out. Of several texts under one id the least is taken.
+    """
     rows = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     rows = rows.groupBy("doc_id").agg(F.max("y").alias("y"))
     picked = bounded_sample(rows.filter("y = 1"), "doc_id", max_train_rows // 2, seed).unionByName(
         bounded_sample(rows.filter("y = 0"), "doc_id", max_train_rows // 2, seed)
     )
-    got = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(picked), "doc_id")  # at most max_train_rows ids and bits
-        .select("doc_id", "y", F.substring(F.coalesce("text", F.lit("")), 1, max_train_chars).alias("text"))
-        .dropDuplicates(["doc_id"])
-        .toPandas()
-        .sort_values("doc_id")
-    )
+    text = F.coalesce("text", F.lit(""))
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most max_train_rows ids and bits
+    found = cut(found.filter(F.length(text) <= max_train_chars).groupBy("doc_id", "y").agg(F.min(text).alias("text")))
+    order, total, taken = F.xxhash64("doc_id", F.lit(seed)), 0, []
+    for r in found.select("doc_id", F.length("text").alias("n")).orderBy(order, "doc_id").collect():  # at most max_train_rows
+        if total + r["n"] <= max_train_chars:
+            total += r["n"]
+            taken.append((r["doc_id"],))
+    chosen = docs.sparkSession.createDataFrame(taken, "d long")
+    got = found.join(F.broadcast(chosen), F.col("doc_id") == F.col("d")).select("doc_id", "y", "text").toPandas().sort_values("doc_id")
     return fit(got["text"].tolist(), got["y"].to_numpy(np.float64))
 
 

@@ -125,6 +125,31 @@ def test_toxicity_held_out_spans_and_odd(spark):
     assert toxicity.score(docs.limit(0), chain).count() == 0
 
 
+def test_spans_end_to_end_with_growing_lower_case(spark):
+    """The same spans, further on, whatever stands before them; toxic words after 50,000 characters are learned from."""
+    rows = [(i, ("pad " * 13_000 if r[5] else "") + r[1], *r[2:]) if i % 25 == 0 else (i, *r[1:]) for i, r in enumerate(toxic_rows(300))]
+    docs = frame(spark, [r[:5] for r in rows], extra=False)
+    chain = toxicity.train(docs, spark.createDataFrame([(r[0], r[5]) for r in rows], "doc_id long, toxic int"))
+    texts = [t + "you scumbag and idiotish vilesten one" for t in ("", "Diyarbakır İstanbul ", "İİ ")]
+    got = toxicity.score(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), chain).orderBy("doc_id").collect()
+    words = [[texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"]] for r in got]
+    assert words[0] and words[0] == words[1] == words[2] and all(r["score"] > 0.3 for r in got)
+    few = toxicity.train(docs, spark.createDataFrame([(r[0], r[5]) for r in rows], "doc_id long, toxic int"), max_train_chars=2_000)
+    assert isinstance(few.fitted, bool)
+
+
+def test_repeated_ids_train_alike(spark):
+    """Texts under one id: the model does not depend on partitions."""
+    rows = [(i // 2, *r[1:]) for i, r in enumerate(toxic_rows(200))]
+    labels = spark.createDataFrame([(r[0], r[5]) for r in rows], "doc_id long, toxic int")
+    docs = frame(spark, [r[:5] for r in rows], extra=False)
+    a, b = (toxicity.train(d, labels) for d in (docs, docs.repartition(7)))
+    assert np.array_equal(a.weight, b.weight) and np.array_equal(a.doc, b.doc)
+    labels = labels.withColumnRenamed("toxic", "quality")
+    a, b = (quality.train(d, labels, "quality") for d in (docs, docs.repartition(7)))
+    assert np.array_equal(a.leaf, b.leaf)
+
+
 def test_span_offsets_with_growing_lower_case():
     odds = np.array([-5.0, 5.0, 5.0, -5.0])
     got = toxicity.spans_of("Aİa bad Bad x", odds, 0.5)
@@ -166,15 +191,48 @@ def test_language_held_out_and_odd(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, none).collect()} == {"und"} and langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_unseen_languages_are_rejected(spark):
+    """Texts of a language that was not learned, and of random letters, are rejected; few of those learned are."""
+    rows, truth = lang_rows()
+    docs = frame(spark, rows)
+    model = langid.train(docs.filter(crc_mod("doc_id", 3) != 1))
+    rng = random.Random(3)
+    other = [" ".join(rng.choice(["saippua", "kauppias", "talossa", "vuori", "järvi", "yö", "metsän"]) for _ in range(20)) for _ in range(40)]
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(20)) for _ in range(40)]
+    got = langid.predict(spark.createDataFrame([(i, t) for i, t in enumerate(other + noise)], "doc_id long, text string"), model).collect()
+    assert np.mean([r["rejected"] for r in got]) > 0.95
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 == 1]
+    own = {r["doc_id"]: r["rejected"] for r in langid.predict(docs, model).collect()}
+    assert np.mean([own[i] for i in held]) < 0.15
+
+
+def test_a_bad_model_rejects_everything():
+    """Labels at random: no bar makes 99 % right."""
+    rng = np.random.default_rng(1)
+    rows = [(i, int(rng.integers(0, 3)), *np.unique(langid.grams(b"same words over and over"), return_counts=True)) for i in range(300)]
+    model = langid.fit([(d, y, at, n.astype(np.float32)) for d, y, at, n in rows], ["a", "b", "c"])
+    assert model.predict([b"same words over and over"])[2].all()
+
+
+def test_sample_is_bounded_and_leaves_no_language_out(spark):
+    """Rows without an id, or of one id, do not slip through; languages take turns; windows cover long texts to their end."""
+    rows = [(None if i % 2 else 7, f"text number {i} of this language", f"l{i % 9}", "s", 1) for i in range(400)] + [(9, "rare words here", "zz", "s", 1)]
+    model = langid.train(frame(spark, rows), max_per_lang=4, max_rows=25)
+    assert model.names == [*(f"l{i}" for i in range(9)), "zz"]
+    parts = langid.spread(b"a" * 50_000 + b"end")
+    assert len(parts) == langid.WINDOWS and parts[-1].endswith(b"end") and sum(map(len, parts)) == langid.WHOLE
+
+
 def test_logits_of_long_texts_add_up():
     rng = np.random.default_rng(0)
-    m = langid.Languages(["a", "b"], rng.normal(size=(langid.BUCKETS, 2)).astype(np.float32), np.zeros(2), 0.0)
+    m = langid.Languages(["a", "b"], rng.normal(size=(langid.BUCKETS, 2)).astype(np.float32), np.zeros(2), 0.0, rng.normal(size=(langid.BUCKETS, 2)).astype(np.float32))
     text = ("abc déf ghi " * 300).encode()
-    whole = m.table[langid.grams(text)].mean(0)
+    whole = np.hstack([m.table, m.familiar])[langid.grams(text)].mean(0)
     step, langid.STEP = langid.STEP, 997
     try:
-        assert sorted(langid.grams(text)) and np.allclose(m.logits([text])[0], whole, atol=1e-5)
-        assert np.allclose(m.logits([text, b"x", text])[[0, 2]], [whole, whole], atol=1e-5)
+        assert sorted(langid.grams(text)) and np.allclose(m.sums([text])[0][0], whole, atol=1e-5)
+        means, size = m.sums([text, b"x", text])
+        assert np.allclose(means[[0, 2]], [whole, whole], atol=1e-5) and size.tolist() == [len(langid.grams(text)), len(langid.grams(b"x")), len(langid.grams(text))]
     finally:
         langid.STEP = step
 

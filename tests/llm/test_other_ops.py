@@ -54,9 +54,10 @@ def test_mix_of_nothing_but_empty_texts(spark):
 
 
 def test_expand_makes_the_taken_words(spark):
-    docs = frame(spark, corpus(30, 2), extra=False)
+    docs = frame(spark, corpus(30, 2)).selectExpr("*", "'clash' as id", "'clash' as repetition", "'clash' as __taken")
     mixed = mixing.mix(docs)
     out = mixing.expand(docs, mixed)
+    assert out.columns == [*docs.columns, "repetition_"] and {r["repetition"] for r in out.select("repetition").distinct().collect()} == {"clash"}
     words = {}
     for r in out.collect():
         words[r["doc_id"]] = words.get(r["doc_id"], 0) + len(r["text"].split())
@@ -146,6 +147,14 @@ def test_ranges_give_the_same_pairs(spark, monkeypatch):
     assert sorted(map(key, fingerprint.fingerprints(docs).collect())) == whole
 
 
+def test_slices_of_any_size_give_the_same(spark, monkeypatch):
+    docs = frame(spark, corpus(50, 4) + odd(), extra=False)
+    key = lambda r: repr(tuple(r))
+    whole = sorted(map(key, fingerprint.fingerprints(docs).collect()))
+    monkeypatch.setattr(fingerprint, "slices", lambda sizes: ((i, i + 1) for i in range(len(sizes))))
+    assert sorted(map(key, fingerprint.fingerprints(docs).collect())) == whole
+
+
 def test_edited_text_is_near():
     rng = random.Random(1)
     texts = [" ".join(sentence(rng, 20) for _ in range(8)) for _ in range(20)]
