@@ -1,15 +1,17 @@
 """License scans by conditional compression.
 
-Candidate blocks are the words around a cue such as "license" or "permission" (every template has one, which is
-checked). A block is compressed alone and with each template as raw zstandard dictionary; templates are ranked by the
+Candidate blocks need no cue words: a run of words within the tolerance of a template of m words, d of which may differ, shares at least m - 1 - 2d
+of its pairs of neighbouring words, within m + d words. Where so many pairs of a template stand so close, there is a block; so no occurrence within
+the tolerance is lost. A block is compressed alone and with each template as raw zstandard dictionary; templates are ranked by the
 size reduction as a share of the template's own compressed size. Those over ``least_gain`` are confirmed by
 the exact wording: the template's words are aligned with the block's, and a template holds if at most ``tolerance`` of its
 words differ; the differing words are reported. A word of ``TELLING`` put in, or a version number
-changed, makes it another license and refuses the template.
+changed, makes it another license and refuses the template. Every occurrence is reported: what stands before and after one is aligned again. Of
+occurrences of one license that overlap, the one with the most words of its template stays.
 
 Of a line ``SPDX-License-Identifier:`` every identifier of the expression is reported in lower case, known to ``TEMPLATES`` or not, with gain 1.
 
-Blocks are as long as a template's words to both sides of a cue, and overlap by a template, so an
+Blocks reach as many words as a template and its tolerance to both sides of the pairs, and overlap by so many, so an
 occurrence lies whole in one block wherever it stands. One map over whole texts, no shuffle.
 
 Edge cases: null and empty texts have no blocks; repeated rows are scanned each; null ids take part; an empty table gives an empty result;
@@ -29,7 +31,6 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, read, texts_of
 
-CUES = (b"licen", b"copyright", b"permission", b"redistribut", b"warrant", b"public domain", b"creative commons", b"all rights reserved", b"cc0")
 #: Wording of common license notices.
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -142,6 +143,16 @@ def wording_differences(template: list[bytes], block: list[bytes]) -> tuple[int,
     return int(cost[m, end]), j, end, edits[::-1]
 
 
+@dataclass
+class Template:
+    name: str
+    words: list[bytes]
+    own: int  # compressed size
+    given: zstandard.ZstdCompressor
+    slack: int  # words that may differ
+    pairs: np.ndarray  # sorted codes of neighbouring words
+
+
 @dataclass
 class Scanner:
     templates: tuple[tuple[str, str], ...] = TEMPLATES
@@ -149,71 +160,99 @@ class Scanner:
     tolerance: float = 0.1
     _ready: list | None = field(default=None, repr=False)
 
-    def __post_init__(self):
-        for name, text in self.templates:
-            if not any(c in text.lower().encode() for c in CUES):
-                raise ValueError(f"template {name} has no cue: {text[:40]}")
-
     def __getstate__(self):
-        return self.__dict__ | {"_ready": None}
+        return {"templates": self.templates, "least_gain": self.least_gain, "tolerance": self.tolerance, "_ready": None}
 
-    def classes(self) -> list[tuple[int, list]]:
-        """(words, [(name, words, plain size, compressor)]) for templates of one length."""
+    def classes(self) -> list[tuple[int, list[Template]]]:
+        """Templates by their number of words."""
         if self._ready is None:
             by_size: dict[int, list] = {}
-            for name, text in self.templates:
-                words = words_of(text.encode())
+            self._code: dict[bytes, int] = {}
+            options = {"level": 9, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+            self._plain = zstandard.ZstdCompressor(**options)
+            split = [(name, words_of(text.encode())) for name, text in self.templates]
+            for _, words in split:
+                for w in words:
+                    self._code.setdefault(w, len(self._code))
+            for name, words in split:
                 raw = b" ".join(words)  # layout and punctuation take no part in the sizes
-                size = len(words)
-                dictionary = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                options = {"level": 9, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-                plain = zstandard.ZstdCompressor(**options)
-                given = zstandard.ZstdCompressor(dict_data=dictionary, **options)
-                by_size.setdefault(size, []).append((name, words, len(plain.compress(raw)), given))
-            self._plain = zstandard.ZstdCompressor(level=9, write_content_size=False, write_checksum=False, write_dict_id=False)
+                given = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **options)
+                codes = np.array([self._code[w] for w in words], np.int64)
+                t = Template(name, words, len(self._plain.compress(raw)), given, int(self.tolerance * len(words)), np.unique(codes[:-1] * len(self._code) + codes[1:]))
+                by_size.setdefault(len(words), []).append(t)
+            self._pairs = np.unique(np.concatenate([t.pairs for x in by_size.values() for t in x] or [np.zeros(0, np.int64)]))
             self._ready = sorted(by_size.items())
         return self._ready
 
+    def spots(self, words: list[bytes]) -> dict[int, list[int]]:
+        """Words that stand in pairs of templates as close as an occurrence has them, by size of template."""
+        classes, get = self.classes(), self._code.get
+        codes = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        at = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
+        pair = codes[at] * len(self._code) + codes[at + 1]
+        known = np.isin(pair, self._pairs)
+        at, pair = at[known], pair[known]
+        out: dict[int, list[int]] = {}
+        for size, templates in classes:
+            found: set[int] = set(np.flatnonzero(codes == self._code[templates[0].words[0]]).tolist()) if size == 1 else set()
+            for t in templates:
+                need = max(1, size - 1 - 2 * t.slack)
+                own = at[np.isin(pair, t.pairs)]
+                if len(own) < need:
+                    continue
+                first = np.flatnonzero(own[need - 1 :] - own[: len(own) - need + 1] <= size + t.slack - 2)
+                for j in range(need):
+                    found.update(own[first + j].tolist())
+            if found:
+                out[size] = sorted(found)
+        return out
+
+    def occurrences(self, t: Template, words: list[bytes], lo: int = 0) -> list[tuple[int, int, list[str]]]:
+        """(start, end, edits) of the template in ``words``, which start at word ``lo``: the best one, and those before and after it."""
+        if len(words) < len(t.words) - t.slack:
+            return []
+        differ, s, e, edits = wording_differences(t.words, words)
+        if differ > t.slack:
+            return []
+        found = [] if tells_apart(edits) else [(lo + s, lo + e, edits)]
+        return found + self.occurrences(t, words[:s], lo) + self.occurrences(t, words[max(e, s + 1) :], lo + max(e, s + 1))
+
     def __call__(self, text: bytes | None) -> tuple[int, list[dict]]:
-        """Number of blocks, and the confirmed licenses, best first, one entry for each name."""
+        """Number of blocks, and all confirmed licenses, best first."""
         if not text:
             return 0, []
         low = text.lower()
-        if not any(c in low for c in CUES):
-            return 0, []
-        found = list(_WORD.finditer(low))
-        starts = np.array([m.start() for m in found])
-        cues = sorted({int(np.searchsorted(starts, m.start(), "right")) - 1 for c in CUES for m in re.finditer(re.escape(c), low)})
-        blocks, best = 0, {}
-        for name, s, e in spdx(low):
-            best.setdefault(name.decode(), {"license": name.decode(), "gain": 1.0, "start": s, "end": e, "differences": []})
-        for size, templates in self.classes():
-            for lo, hi in pieces(cues, size, len(found)):
-                if lo >= hi:
-                    continue
+        words = _WORD.findall(low)
+        classes, spots = self.classes(), self.spots(words)
+        found: list[tuple[int, dict]] = [
+            (1, {"license": name.decode(), "gain": 1.0, "start": s, "end": e, "differences": []}) for name, s, e in (spdx(low) if b"spdx" in low else [])
+        ]
+        blocks, place = 0, [m.span() for m in _WORD.finditer(low)] if spots else []
+        for size, templates in classes:
+            for lo, hi in pieces(spots.get(size, []), size + max(t.slack for t in templates), len(words)):
                 blocks += 1
-                words = [m.group() for m in found[lo:hi]]
-                raw = b" ".join(words)
+                raw = b" ".join(words[lo:hi])
                 alone = len(self._plain.compress(raw))
-                ranked = sorted(((alone - len(z.compress(raw))) / own, -k) for k, (_, _, own, z) in enumerate(templates))[::-1]
+                ranked = sorted((((alone - len(t.given.compress(raw))) / t.own, -k) for k, t in enumerate(templates)), reverse=True)
                 for gain, k in ranked:
                     if gain < self.least_gain:
                         break
-                    name, wanted, _, _ = templates[-k]
-                    differ, s, e, edits = wording_differences(wanted, words)
-                    if differ <= self.tolerance * len(wanted) and not tells_apart(edits):
-                        got = {"license": name, "gain": float(gain), "start": int(found[lo + s].start()), "end": int(found[lo + e - 1].end()), "differences": edits}
-                        old = best.get(name)
-                        if old is None or (len(got["differences"]), -got["gain"], got["start"]) < (len(old["differences"]), -old["gain"], old["start"]):
-                            best[name] = got
-        return blocks, sorted(best.values(), key=lambda x: (-x["gain"], x["license"]))
-
-
-def pieces(cues: list[int], size: int, n: int) -> list[tuple[int, int]]:
-    """Ranges of words around cues: ``size`` to each side, merged, then cut to 3 sizes with an overlap of one."""
+                    t = templates[-k]
+                    for s, e, edits in self.occurrences(t, words[lo:hi], lo):
+                        found.append((size - len(edits), {"license": t.name, "gain": float(gain), "start": place[s][0], "end": place[e - 1][1], "differences": edits}))
+        kept: dict[str, list[dict]] = {}
+        for _, x in sorted(found, key=lambda f: (-f[0], len(f[1]["differences"]), f[1]["start"])):
+            same = kept.setdefault(x["license"], [])
+            if all(x["end"] <= y["start"] or y["end"] <= x["start"] for y in same):
+                same.append(x)
+        return blocks, sorted((x for same in kept.values() for x in same), key=lambda x: (-x["gain"], x["license"], x["start"]))
+
+
+def pieces(spots: list[int], size: int, n: int) -> list[tuple[int, int]]:
+    """Ranges of words around spots: ``size`` to each side, merged, then cut to 3 sizes with an overlap of one."""
     out: list[tuple[int, int]] = []
     merged: list[list[int]] = []
-    for c in cues:
+    for c in spots:
         lo, hi = max(0, c - size), min(n, c + size + 1)
         if merged and lo <= merged[-1][1]:
             merged[-1][1] = hi
@@ -228,7 +267,7 @@ def pieces(cues: list[int], size: int, n: int) -> list[tuple[int, int]]:
 
 
 SCHEMA = (
-    "doc_id long, n_blocks long, n_licenses long, licenses string, best_gain double, "
+    "doc_id long, n_blocks long, n_licenses long, n_found long, licenses string, best_gain double, "
     "found array<struct<license:string,gain:double,start:int,end:int,differences:array<string>>>"
 )
 
@@ -246,12 +285,13 @@ def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
             [
                 batch.column("doc_id"),
                 pa.array([n for n, _ in got], pa.int64()),
+                pa.array([len({y["license"] for y in x}) for _, x in got], pa.int64()),
                 pa.array([len(x) for _, x in got], pa.int64()),
-                pa.array([",".join(sorted(y["license"] for y in x)) for _, x in got], pa.string()),
+                pa.array([",".join(sorted({y["license"] for y in x})) for _, x in got], pa.string()),
                 pa.array([max((y["gain"] for y in x), default=0.0) for _, x in got], pa.float64()),
                 pa.array([x for _, x in got], pa.list_(item)),
             ],
-            ["doc_id", "n_blocks", "n_licenses", "licenses", "best_gain", "found"],
+            ["doc_id", "n_blocks", "n_licenses", "n_found", "licenses", "best_gain", "found"],
         )
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, SCHEMA)

@@ -187,7 +187,7 @@ def test_licenses_are_found(spark):
         assert name in got[i]["licenses"].split(","), (i, name, got[i])
         f = next(x for x in got[i]["found"] if x["license"] == name)
         assert f["differences"] == [] and 0 < f["gain"] <= 1.5 and f["start"] < f["end"] <= len(text[i].encode())
-    assert all(got[500 + i]["licenses"] == "" and got[500 + i]["n_blocks"] > 0 for i in range(20))
+    assert all(got[500 + i]["licenses"] == "" for i in range(20))
     assert got[1000]["n_blocks"] == 0 and licenses.scan(docs.limit(0)).count() == 0
 
 
@@ -205,6 +205,40 @@ def test_scan_equals_alignment_with_every_template():
         assert {x["license"] for x in s(text.encode())[1]} == brute_confirm(text)
 
 
+def changed(words, edits, rng):
+    """``edits`` words replaced, taken out or put in, none that tells licenses apart."""
+    words = list(words)
+    for _ in range(edits):
+        k = rng.choice([i for i, w in enumerate(words) if not re.search(r"\d", w) and not w.startswith("zz")])
+        what = rng.randrange(3)
+        words[k : k + (what != 1)] = [] if what == 2 else [f"zz{chr(97 + rng.randrange(26))}"]
+    return words
+
+
+@pytest.mark.parametrize("share", [0.01, 0.05, 0.1])
+def test_changed_wordings_are_found(share):
+    """All templates with up to a tenth of their words changed, cue words among them, each twice in one text: recall 1."""
+    rng, s, found, wanted = random.Random(int(share * 100)), licenses.Scanner(), 0, 0
+    for name, text in licenses.TEMPLATES:
+        words = text.split()
+        n = len(licenses.words_of(text.encode()))
+        for _ in range(5):
+            both = [" ".join(changed(words, int(share * n), rng)) for _ in range(2)]
+            body = f"{sentence(rng, 30)}\n{both[0]}.\n{sentence(rng, 200)}\n{both[1]}.\n{sentence(rng, 9)}"
+            got = [x for x in s(body.encode())[1] if x["license"] == name]
+            wanted += 2
+            found += sum(any(x["start"] < body.index(b) + len(b) and body.index(b) < x["end"] for x in got) for b in both)
+    assert found == wanted
+
+
+def test_every_occurrence_is_reported():
+    notice = "Released under the MIT License"
+    text = "\n".join([notice, "something else in between", notice, notice.upper(), "x " * 500, notice]).encode()
+    got = licenses.Scanner()(text)[1]
+    assert [text[x["start"] : x["end"]].decode().lower() for x in sorted(got, key=lambda x: x["start"])] == [notice.lower()] * 4
+    assert [x["license"] for x in licenses.Scanner()(b"Distribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met")[1]] == ["bsd"]
+
+
 GIVEN = [  # the first five as they stand in the documents given
     ("All rights reserved.", {"all-rights-reserved"}), ("This work is licensed under the GNU General Public License, version 3.", {"gpl-3.0"}),
     ("Licensed under CC BY-NC 4.0.", {"cc-by-nc-4.0"}), ("Released under the MIT License.", {"mit"}), ("Licensed under the Apache License, Version 2.0.", {"apache-2.0"}),
@@ -232,8 +266,6 @@ def test_wording_differences():
     assert d([b"a", b"b", b"c"], [b"x", b"a", b"b", b"c", b"y"]) == (0, 1, 4, [])
     assert d([b"a", b"b", b"c"], [b"x", b"a", b"q", b"c"])[0::3] == (1, ["-b +q"])
     assert d([b"a", b"b", b"c"], [b"a", b"c"])[0::3] == (1, ["-b"]) and d([b"a"], [])[0] == 1
-    with pytest.raises(ValueError, match="no cue"):
-        licenses.Scanner((("x", "nothing to see"),))
 
 
 URLS = [
