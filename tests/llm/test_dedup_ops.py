@@ -6,13 +6,14 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from edge import SCHEMA, corpus, frame, odd, sentence
 
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import functions as F
 
-from docketry.llm import decontaminate, graph, linededup, simhash
+from docketry.llm import common, decontaminate, graph, linededup, simhash
 from docketry.llm.common import cut
 
 
@@ -400,3 +401,33 @@ def test_remove_hits(spark):
 
 def test_cut_keeps_rows(spark):
     assert cut(spark.createDataFrame(corpus(5), SCHEMA)).count() == 5
+
+
+def test_no_local_folder_on_a_cluster():
+    """Without a shared folder a cluster is refused."""
+
+    class Made:
+        def __init__(self, master):
+            self.sparkContext, self.conf, self.master, self.made = self, self, master, []
+            self._jsc = self
+
+        def sc(self):
+            return self
+
+        def getCheckpointDir(self):
+            return self
+
+        def isDefined(self):
+            return False
+
+        def get(self, *_):
+            return None
+
+        def setCheckpointDir(self, folder):
+            self.made.append(folder)
+
+    with pytest.raises(RuntimeError, match="share"):
+        common.ensure_checkpoint_dir(Made("spark://host:7077"))
+    local = Made("local[2]")
+    common.ensure_checkpoint_dir(local)
+    assert len(local.made) == 1
