@@ -11,10 +11,10 @@ Equal fingerprints collapse before (with a map-side minimum of their ids), so a
 Under one key, filed and probing fingerprints are compared in numpy in blocks of bounded size. Where many near copies meet, a spanning forest of
 verified links is kept, at most one link fewer than there are fingerprints, not all pairs; memory is 16 bytes for each fingerprint and key.
 
-``keep_one`` works by similarity: candidates are the components of fingerprints over distinct words, within 6 bits in three segments,
-and members go if the Jaccard similarity of their five-word shingles with a hub is 0.8 or more. The hub of a component is the text nearest to the
-majority of its bits, the likely original of the copies; of a hub and the texts near to it the smallest id stays. What is not near to the hub forms
-a component of its own, round after round, until no two undecided texts are left in one. So every removal is confirmed on whole texts, and no pairs are made.
+``keep_one`` works by similarity: its links are of fingerprints over distinct words, within 8 bits in three segments, and each is confirmed by the Jaccard
+similarity of the five-word shingles of both whole texts, 0.8 or more. Of what confirmed links connect the smallest id stays. Under a key where up to
+``DENSE`` links a fingerprint are found all are confirmed; under a fuller one those of the spanning forest, which grows from the text nearest to the majority of
+bits, the likely original of the copies.
 
 Edge cases: a null or wordless text has fingerprint zero and links like any other; repeated rows are reported each; a null id
 is no candidate for a component's id; an empty table gives an empty result; extra columns, whatever their names, are ignored or, by
@@ -38,10 +38,10 @@ from .graph import components
 RADIUS, SEGMENTS, SHINGLE = 2, 2, 3
 SEED = 42
 #: The stage's candidates: bits and segments of fingerprints over distinct words; and what it removes.
-STAGE_RADIUS, STAGE_SEGMENTS = 6, 3
+STAGE_RADIUS, STAGE_SEGMENTS = 8, 3
 STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
-#: Comparisons made at a time.
-CELLS = 2_000_000
+#: Comparisons made at a time, and links a fingerprint under a key from which on a forest stands for them.
+CELLS, DENSE = 2_000_000, 8
 
 
 def segments_of(radius: int, count: int) -> list[tuple[int, int, int]]:
@@ -99,9 +99,14 @@ def text_marks(docs: DataFrame) -> DataFrame:
 
 
 def forest(filed: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
-    """Links (n, 2) that connect what ``filed`` members of the sorted ``group`` are within ``radius`` of."""
+    """Links (n, 2) that connect what ``filed`` members of the sorted ``group`` are within ``radius`` of, from the middle outwards."""
     out, rest, alive = [], np.arange(len(group)), np.ones(len(group), bool)
-    for start in np.searchsorted(group, filed).tolist():
+    ones = np.zeros(64, np.int64)
+    for lo in range(0, len(filed), 100_000):
+        ones += np.unpackbits(filed[lo : lo + 100_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    middle = np.packbits(2 * ones > len(filed), bitorder="little").view(np.uint64)[0]
+    order = np.argsort(np.bitwise_count(filed ^ middle), kind="stable")
+    for start in np.searchsorted(group, filed[order]).tolist():
         if not alive[start]:
             continue
         queue, alive[start] = [start], False
@@ -137,7 +142,7 @@ def close(key: np.ndarray, fp: np.ndarray, filed: np.ndarray, radius: int) -> np
         a, b = fp[starts[of] + nth // sizes[of]], fp[starts[of] + nth % sizes[of]]
         near = (np.bitwise_count(a ^ b) <= radius) & (a != b)
         a, b, of = a[near], b[near], of[near]
-        many = np.flatnonzero(np.bincount(of, minlength=hi) > 2 * sizes[:hi])
+        many = np.flatnonzero(np.bincount(of, minlength=hi) > DENSE * sizes[:hi])
         for g in many.tolist():
             out.append(forest(fp[starts[g] : starts[g] + n_filed[g]], np.unique(fp[starts[g] : starts[g] + sizes[g]]), radius))
         rest = ~np.isin(of, many)
@@ -184,17 +189,12 @@ def links(fps: DataFrame, radius: int = RADIUS, count: int = SEGMENTS) -> DataFr
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def components_of(marked: DataFrame, radius: int, count: int) -> DataFrame:
-    """fp, first (least id), root (a fingerprint, null without links) for every fingerprint of ``marked``."""
-    firsts = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(firsts.select("fp"), radius, count))
-    return firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", "root")
-
-
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, count: int = SEGMENTS) -> DataFrame:
     """doc_id, fp, component_id of every row of ``docs``."""
     marked = cut(fingerprints(docs))
-    rooted = components_of(marked, radius, count)
+    firsts = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(links(firsts.select("fp"), radius, count))
+    rooted = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", "root")
     least = rooted.filter("root is not null").groupBy("root").agg(F.min("first").alias("least")).withColumnRenamed("root", "r")
     named = rooted.join(least, F.col("root") == F.col("r"), "left").select(F.col("fp").alias("f"), F.coalesce("least", "first").alias("component_id"))
     return marked.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
@@ -207,61 +207,49 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, words, set (distinct hashes of shingles) of every row of ``docs(doc_id, text)``."""
+    """doc_id, words, set (distinct 32-bit hashes of shingles) of every row of ``docs(doc_id, text)``."""
 
     def run(batch: pa.RecordBatch):
         sets, words = [], []
         for t in texts_of(batch.column("text")):
             w = t.lower().split() if t else []
             words.append(xxhash.xxh64_intdigest(b" ".join(w)))
-            sets.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles(w, size)), np.uint64)).view(np.int64))
-        columns = [batch.column("doc_id"), pa.array(np.array(words, np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))]
+            sets.append(np.unique(np.fromiter(map(xxhash.xxh32_intdigest, shingles(w, size)), np.uint32)).view(np.int32))
+        columns = [batch.column("doc_id"), pa.array(np.array(words, np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int32()))]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "words", "set"])
 
-    return map_batches(docs, run, "doc_id long, words long, set array<long>")
+    return map_batches(docs, run, "doc_id long, words long, set array<int>")
+
+
+def confirmed(docs: DataFrame, texts: DataFrame, found: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links (a, b) of texts, by hashes of their words, out of the links ``found(a, b)`` of fingerprints; ``texts(fp, words, doc_id)``."""
+    # texts of one fingerprint hang on the first of them, which stands for the fingerprint
+    first = texts.groupBy("fp").agg(F.min("words").alias("first"), F.count("*").alias("n"))
+    same = texts.join(first.filter("n > 1").select(F.col("fp").alias("f"), "first"), F.col("fp") == F.col("f")).filter("words <> first")
+    of_a, of_b = (first.select(F.col("fp").alias(f"f{x}"), F.col("first").alias(f"t{x}")) for x in "ab")
+    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.join(of_a, F.col("a") == F.col("fa")).join(of_b, F.col("b") == F.col("fb")).select("ta", "tb")
+    pairs = cut(pairs.unionByName(same.select(F.col("first").alias("ta"), F.col("words").alias("tb"))))
+    wanted = pairs.select(F.col("ta").alias("w")).union(pairs.select("tb")).distinct()
+    wanted = texts.join(wanted, F.col("words") == F.col("w")).select(F.col("doc_id").alias("id"), "w")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("id").distinct(), F.col("doc_id") == F.col("id")).select("doc_id", "text")
+    sets = shingle_sets(own, size).join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("words") == F.col("w"))).groupBy("words").agg(F.first("set").alias("set"))
+    sets = cut(sets)
+    left, right = sets.select(F.col("words").alias("a"), F.col("set").alias("sa")), sets.select(F.col("words").alias("b"), F.col("set").alias("sb"))
+    both = pairs.join(left, F.col("ta") == F.col("a")).join(right, F.col("tb") == F.col("b"))
+    return both.filter(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b")
 
 
 def duplicates(docs: DataFrame, radius: int = STAGE_RADIUS, count: int = STAGE_SEGMENTS, size: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """(doc_id, tag, kept): rows that go, by id and tag, and the smaller id that stays for each."""
     marked = cut(text_marks(docs.filter("doc_id is not null")))
-    # one member for each text, the one with the least id
-    members = marked.groupBy("fp", "words").agg(F.min("doc_id").alias("doc_id"))
-    rooted = components_of(marked, radius, count).select(F.col("fp").alias("f"), F.coalesce("root", "fp").alias("comp"))
-    members = cut(members.join(rooted, F.col("fp") == F.col("f")).select("doc_id", "fp", "words", "comp"))
-    several = members.groupBy("comp").count().filter("count > 1").select(F.col("comp").alias("c"))
-    known = members.join(several, F.col("comp") == F.col("c")).select("comp", "fp", F.col("doc_id").alias("id"), F.col("words").alias("w"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = own.join(known.select(F.col("id").alias("i")).distinct(), F.col("doc_id") == F.col("i")).select("doc_id", "text")
-    sets = shingle_sets(texts, size).dropDuplicates(["doc_id", "words"])
-    pool = cut(sets.join(known, (F.col("doc_id") == F.col("id")) & (F.col("words") == F.col("w"))).select("comp", "fp", "doc_id", "words", "set"))
-    pairs = None
-    while pool.select(F.lit(1)).limit(1).count():
-        # signed fingerprints as bits; the majority of a component, and the member nearest to it
-        bits = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"b{i}") for i in range(64)]
-        centre = pool.groupBy("comp").agg(*bits)
-        one = [F.when(F.col(f"b{i}") > 0, F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(64)]
-        total = one[0]
-        for x in one[1:]:
-            total = total.bitwiseOR(x)
-        centre = centre.select(F.col("comp").alias("c"), total.alias("centre"))
-        away = F.bit_count(F.col("fp").bitwiseXOR(F.col("centre")))
-        hubs = pool.select("comp", "fp", "doc_id", "words").join(centre, F.col("comp") == F.col("c")).groupBy("comp").agg(F.min(F.struct(away, "doc_id", "words")).alias("h"))
-        hubs = hubs.select(F.col("comp").alias("c"), F.col("h.doc_id").alias("hub"), F.col("h.words").alias("hub_words"))
-        sets = pool.select(F.col("comp").alias("c2"), F.col("doc_id").alias("d2"), F.col("words").alias("w2"), F.col("set").alias("hub_set"))
-        hubs = hubs.join(sets, (F.col("c") == F.col("c2")) & (F.col("hub") == F.col("d2")) & (F.col("hub_words") == F.col("w2"))).select("c", "hub_set")
-        judged = cut(pool.join(hubs, F.col("comp") == F.col("c")).withColumn("near", jaccard(F.col("set"), F.col("hub_set")) >= similarity).drop("c", "hub_set"))
-        near = judged.filter("near")
-        kept = near.groupBy("comp").agg(F.min("doc_id").alias("kept")).select(F.col("comp").alias("c"), "kept")
-        gone = cut(near.select("comp", "words", "fp").join(kept, F.col("comp") == F.col("c")).select("fp", "words", "kept"))
-        pairs = gone if pairs is None else pairs.unionByName(gone)
-        left = judged.filter("not near").drop("near")
-        several = left.groupBy("comp").count().filter("count > 1").select(F.col("comp").alias("c"))
-        pool = cut(left.join(several, F.col("comp") == F.col("c")).drop("c"))
-    # members stand for all rows with their text; texts that are alone in a component may still be repeated
-    alone = members.select("fp", "words", F.col("doc_id").alias("kept"))
-    known = alone if pairs is None else alone.unionByName(pairs)
-    least = known.groupBy("fp", "words").agg(F.min("kept").alias("kept")).toDF("f", "w", "kept")
-    return marked.join(least, (F.col("fp") == F.col("f")) & (F.col("words") == F.col("w"))).filter("doc_id <> kept").select("doc_id", "tag", "kept").distinct()
+    texts = cut(marked.groupBy("fp", "words").agg(F.min("doc_id").alias("doc_id")))  # copies of a text are one
+    found = cut(links(texts.select("fp").distinct(), radius, count))
+    roots = components(confirmed(docs, texts, found, size, similarity))
+    rooted = texts.join(roots, F.col("words") == F.col("node"), "left").select("words", "doc_id", F.coalesce("root", "words").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("kept")).withColumnRenamed("root", "r")
+    named = rooted.join(least, F.col("root") == F.col("r")).select(F.col("words").alias("w"), "kept").groupBy("w").agg(F.min("kept").alias("kept"))
+    return marked.join(named, F.col("words") == F.col("w")).filter("doc_id <> kept").select("doc_id", "tag", "kept").distinct()
 
 
 def keep_one(docs: DataFrame, radius: int = STAGE_RADIUS, count: int = STAGE_SEGMENTS, size: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter
 
 import corpus_pipeline as p
 from edge import SCHEMA, frame, odd
-from test_dedup_ops import brute_lines, brute_scan, kept_text, similarity
+from test_dedup_ops import brute_lines, brute_scan, kept_text, reached, similarity
 from test_models import toxic_rows
 from test_other_ops import water
 
@@ -52,12 +52,13 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert all(r[4] == (None if r[1] is None else len(r[1])) for r in held["line_dedup"])
     lines = held["line_dedup"]
     stay = Counter((r[0], r[1]) for r in held["simhash"])
-    for r in lines:  # what goes is near a text that is near one with a smaller id, which stays; what is alone stays
+    for r in lines:  # what goes has a smaller id in its group, which stays; what is alone stays
         near = [x for x in lines if similarity(x[1], r[1]) >= 0.8]
         if r[0] is None or all(x[1] == r[1] and x[0] == r[0] for x in near):
             assert stay[r[0], r[1]]
         elif not stay[r[0], r[1]]:
-            assert any(x[0] is not None and x[0] < r[0] and stay[x[0], x[1]] and similarity(x[1], y[1]) >= 0.8 for y in near for x in lines)
+            group = reached(lines, r[1])
+            assert any(x[0] is not None and x[0] < r[0] and stay[x[0], x[1]] and x[1] in group for x in lines)
     texts = Counter(" ".join((r[1] or "").lower().split()) for r in held["simhash"] if r[0] is not None)
     assert max(n for t, n in texts.items()) <= 2  # rows that repeat id and text stay together
     hits = {r[0]: brute_scan(r[1], ITEMS) for r in held["simhash"]}
