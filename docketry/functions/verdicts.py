@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -15,21 +18,25 @@ VERDICT = "struct<decision:string,confidence:double,rationale:string,error:strin
 _DECODER = json.JSONDecoder()
 
 
+def values_in(text: str) -> Iterator[dict]:
+    """The JSON objects of a text from left to right, without those inside of others."""
+    behind = 0
+    for brace in re.finditer(r"\{", text):
+        if brace.start() >= behind:
+            with contextlib.suppress(json.JSONDecodeError):
+                value, behind = _DECODER.raw_decode(text, brace.start())
+                yield value
+
+
 def last_verdict(text: str | None) -> dict:
     """decision, confidence and rationale, or the reason why there is none in ``error``."""
     text = text or ""
-    got, at = None, text.find("{")
-    while at >= 0:
-        try:
-            value, end = _DECODER.raw_decode(text, at)
-            got = value if WANTED <= value.keys() else got
-        except json.JSONDecodeError:
-            end = at + 1
-        at = text.find("{", end)
-    if got is None:
+    answers = [x for x in values_in(text) if WANTED.issubset(x)]
+    if not answers:
         return {"error": "no object with decision, confidence and rationale" if "{" in text else "no JSON object"}
+    answer = answers[-1]
     try:
-        return {"decision": str(got["decision"]), "confidence": float(got["confidence"]), "rationale": str(got["rationale"]), "error": None}
+        return {"decision": str(answer["decision"]), "confidence": float(answer["confidence"]), "rationale": str(answer["rationale"]), "error": None}
     except (TypeError, ValueError):
         return {"error": "confidence is no number"}
 

@@ -28,6 +28,19 @@ def test_budget_and_corpus(tmp_path):
         config.load(tmp_path / "list.yaml")
 
 
+def test_pipeline_and_all_faults_at_once(tmp_path):
+    p = tmp_path / "pipeline.yaml"
+    p.write_text("paths: {store: s}\nmodels: {a: b}\nbatch: {}\nseeds: {devset: 42}\nsampling: {}\nnormalization: {version: 1}\n")
+    got = config.pipeline(p)
+    assert got.normalization_version == "1" and got.preprocess == {} and got.seeds == {"devset": 42}
+    p.write_text("paths: x\nmodels: {}\nbatch: {}\nsampling: {}\nnormalization: 3\n")
+    with pytest.raises(ValueError, match="paths is of type str; seeds is missing; normalization.version is missing"):
+        config.pipeline(p)
+    c = tmp_path / "docs.yaml"
+    c.write_text("corpus: docs\nformat: zip\nfiles: [{name: a}]\ncustodians: [{name: x}]\nexpected_message_count: 3\n")
+    assert config.corpus(c) == config.Corpus("docs", "zip", ({"name": "a"},), (), ({"name": "x"},), 3)
+
+
 def test_commands(spark, tmp_path, capsys):
     assert parser().parse_args(["preprocess", "r", "c", "p"]).command == "preprocess"
     runs = tmp_path / "runs.jsonl"

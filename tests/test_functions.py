@@ -162,6 +162,25 @@ def test_eml():
     assert mail.parse_eml(b"Content-Type: multipart/mixed; boundary=b\r\n\r\n--b\r\nContent-Type: text/html\r\n\r\n<p>\r\n--b--\r\n")["parse_warnings"] == ["no_text_body_part"]
 
 
+def test_eml_bodies():
+    html = b"--i\r\nContent-Type: text/html\r\n\r\n<p>\r\n"
+    plain = b"--i\r\nContent-Type: text/plain; charset=iso-8859-1\r\n\r\n\xe9t\xe9\r\n--i--\r\n"
+    nested = b"Content-Type: multipart/alternative; boundary=i\r\n\r\n" + html + plain
+    attached = b"--o\r\nContent-Type: text/plain\r\nContent-Disposition: attachment\r\n\r\nno\r\n--o\r\n" + nested + b"--o--\r\n"
+    assert mail.parse_eml(b"Content-Type: multipart/mixed; boundary=o\r\n\r\n" + attached)["body_text"].strip() == "été"
+    m = mail.parse_eml(b"Content-Type: text/plain; charset=nonsense\r\n\r\n\xe9")
+    assert (m["body_text"], m["parse_warnings"]) == ("é", ["body_decode_fallback_latin1"])
+    assert mail.parse_eml(b"Content-Type: text/html\r\n\r\n<b>x</b>")["body_text"] == "<b>x</b>"
+    m = mail.parse_eml(b"Date: Mon, 8 Jul 2002 09:05:00 +9900\r\nTo: Only Name, a@b.c\r\n\r\n")
+    assert m["date_utc"] is None and m["parse_warnings"] == ["date_unparsed"] and "a@b.c" in m["to"]
+
+
+def test_crlf_in_tab_headers():
+    """An empty value with a carriage return is no header: the block ends there."""
+    assert mail.tab_headers("From:\ta\r\nSubject:\r\nx")[1:] == ("Subject:\r\nx", ["header_block_unterminated"])
+    assert mail.tab_headers("  fold first\nFrom:\ta")[2] == ["no_header_block"]
+
+
 def test_decode():
     assert mail.decode("é".encode()) == ("é", None)
     assert mail.decode(b"\x93q\x94") == ("“q”", "cp1252")
