@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folders by application, of local sessions without a setting.
+_LOCAL: dict[str, str] = {}
+
+
 def session(app: str = "docketry", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC timestamps, ANSI casts and adaptive execution; the cluster's own settings win otherwise."""
     builder = SparkSession.builder.appName(app)
@@ -17,17 +23,29 @@ def session(app: str = "docketry", master: str | None = None, **conf: str) -> Sp
         "spark.sql.ansi.enabled": "true",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in (defaults | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which a cluster must set; in local mode a temporary one where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(spark.sparkContext.applicationId)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="docketry-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of ``spark.checkpoint.dir`` (a temporary one where that is unset, as in tests)."""
+    """A reliable checkpoint in the shared folder; the session's cleaner deletes it with the frame."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docketry-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -1,7 +1,8 @@
 """Archives as DataFrames: one task reads one archive as a stream and emits members in bounded batches.
 
-Archives do not split, so the tasks are the archives; ``spread`` deals the members out before any parsing. Paths are read
-by Spark's ``binaryFile``, so any store that Spark reaches will do.
+Archives do not split, so the tasks are the archives; ``spread`` deals the members out before any parsing. Spark lists the paths; where
+pyarrow knows the store, tasks open them as streams and hold one batch of members, of any size of archive, and of a zip they read the wanted
+members only. Elsewhere Spark's ``binaryFile`` hands over contents, which bounds an archive at 2 GB.
 """
 
 from __future__ import annotations
@@ -9,9 +10,10 @@ from __future__ import annotations
 import io
 import tarfile
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,39 +37,72 @@ def _batches(rows: Iterable[tuple[str, str, bytes | None]]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
-def _files(spark: SparkSession, path: str | None, files: DataFrame | None) -> DataFrame:
-    """(archive, content) of the files under ``path``, or as given."""
+def opens(path: str) -> bool:
+    """Whether pyarrow knows the store of a path."""
+    try:
+        FileSystem.from_uri(path)[0].get_file_info(FileSystem.from_uri(path)[1])
+    except (OSError, ValueError, ImportError, NotImplementedError):
+        return False
+    return True
+
+
+def _files(spark: SparkSession, path: str | None, files: DataFrame | None, wanted: DataFrame | None = None) -> DataFrame:
+    """archive, path, content, members of the files under ``path``, or of ``files(archive, content)`` as given.
+
+    Either path or content is null. ``wanted(archive, member)`` restricts archives to those named in it, and ``members`` to theirs.
+    """
     if files is not None:
-        return files.select("archive", "content")
-    return spark.read.format("binaryFile").load(path).select(F.substring_index("path", "/", -1).alias("archive"), "content")
+        found = files.select("archive", F.lit(None).cast("string").alias("path"), "content")
+    else:
+        listed = spark.read.format("binaryFile").load(path)  # columns that are not asked for are not read
+        some = listed.select("path").first()
+        name = F.substring_index("path", "/", -1).alias("archive")
+        if some is None or opens(some["path"]):
+            found = listed.select(name, "path", F.lit(None).cast("binary").alias("content"))
+        else:
+            found = listed.select(name, F.lit(None).cast("string").alias("path"), "content")
+    if wanted is None:
+        return found.withColumn("members", F.lit(None).cast("array<string>"))
+    own = wanted.groupBy(F.col("archive").alias("__a")).agg(F.collect_set("member").alias("members"))  # at most what the archive lists
+    return found.join(own, F.col("archive") == F.col("__a")).drop("__a")
+
+
+def _read(rows: DataFrame, members_of: Callable[[Callable, frozenset[str] | None], Iterable[tuple[str, bytes | None]]]) -> DataFrame:
+    """``MEMBERS`` by a function from an opener and the wanted members, if restricted, to members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
 
+                def opened(r=r):
+                    if r["path"] is None:
+                        return io.BytesIO(r["content"])
+                    store, at = FileSystem.from_uri(r["path"])
+                    return store.open_input_file(at)
 
-def _tar_members(raw: bytes, keep, with_content: bool) -> Iterator[tuple[str, bytes | None]]:
-    with tarfile.open(fileobj=io.BytesIO(raw), mode="r|*") as tar:
-        for info in tar:
-            if info.isdir() or not keep(info.name):
-                continue
-            if not info.isfile():
-                raise ValueError(f"{info.name} is not a regular file")
-            yield info.name, tar.extractfile(info).read() if with_content else None
+                wanted = None if r["members"] is None else frozenset(r["members"])
+                yield from _batches((r["archive"], m, c) for m, c in members_of(opened, wanted))
 
+    return rows.select("archive", "path", "content", "members").mapInArrow(run, MEMBERS)
 
-def tar(spark: SparkSession, path: str | None = None, wanted: set[str] | None = None, with_content: bool = True, files: DataFrame | None = None) -> DataFrame:
+
+def tar(spark: SparkSession, path: str | None = None, wanted: DataFrame | None = None, with_content: bool = True, files: DataFrame | None = None) -> DataFrame:
     """archive, member, content of all regular members (gz, bz2 or plain).
 
-    ``wanted``: member stems (name without directory and suffix) to extract; the others are passed over unread. It must be
-    small; to restrict by a table, read paths only and join.
+    ``wanted(archive, member)``: what to extract, of any number; other members are passed over. To restrict by other columns, list with
+    ``with_content=False``, join, and come again with what is left.
     """
 
-    def keep(name: str) -> bool:
-        return wanted is None or name.rpartition("/")[2].rpartition(".")[0] in wanted
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for archive, raw in zip(batch.column("archive").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                yield from _batches((archive, m, c) for m, c in _tar_members(raw, keep, with_content))
+    def members_of(opened, only) -> Iterator[tuple[str, bytes | None]]:
+        with opened() as raw, tarfile.open(fileobj=raw, mode="r|*") as t:
+            for info in t:
+                if info.isdir() or (only is not None and info.name not in only):
+                    continue
+                if not info.isfile():
+                    raise ValueError(f"{info.name} is not a regular file")
+                yield info.name, t.extractfile(info).read() if with_content else None
 
-    return _files(spark, path, files).mapInArrow(run, MEMBERS)
+    return _read(_files(spark, path, files, wanted), members_of)
 
 
 def zip_members(
@@ -75,14 +110,13 @@ def zip_members(
 ) -> DataFrame:
     """archive, member, content of a zip's members with one of the suffixes; ``root_only``: not those in folders."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for archive, raw in zip(batch.column("archive").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                    names = [n for n in sorted(z.namelist()) if not n.endswith("/") and (not suffixes or n.endswith(suffixes)) and not (root_only and "/" in n)]
-                    yield from _batches((archive, n, z.read(n)) for n in names)
+    def members_of(opened, only) -> Iterator[tuple[str, bytes]]:
+        with opened() as raw, zipfile.ZipFile(raw) as z:
+            for name in sorted(z.namelist()):
+                if not name.endswith("/") and (not suffixes or name.endswith(suffixes)) and not (root_only and "/" in name):
+                    yield name, z.read(name)
 
-    return _files(spark, path, files).mapInArrow(run, MEMBERS)
+    return _read(_files(spark, path, files), members_of)
 
 
 def spread(members: DataFrame, partitions: int) -> DataFrame:

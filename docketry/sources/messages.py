@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, mail, text
 from ..schemas import MESSAGES, conform
+from ..session import cut
 from . import archives
 
 MAX_BODY_CHARS = 60_000
@@ -168,7 +169,7 @@ def load_zips(spark: SparkSession, path: str | None = None, corpus: str = "enron
             return own | {"error": type(e).__name__}
 
     sent = joined.filter("content is not null").select("docid", "zip", "native", "attachment_count", "has_attachments", "names", "content")
-    df = _python(sent, parse, kinds, ", ".join(f"`{k}` {words[v]}" for k, v in kinds.items()))
+    df = cut(_python(sent, parse, kinds, ", ".join(f"`{k}` {words[v]}" for k, v in kinds.items())))  # parsed once, for rows and failures
     broken = df.filter("error is not null").select("docid", "zip", "error")
     df = df.filter("error is null").withColumn("custodian", text.zip_custodian("zip")).withColumn("source_file", F.concat_ws("/", "zip", "native"))
     joined_lists = [F.array_join(c, "; ") for c in ("to", "cc")]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import spend
+from ..operators import decisions, spend
 
 
 def decision_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -23,14 +23,14 @@ def ledger_stream(spark: SparkSession, path: str, files_per_trigger: int = 100)
     return spark.readStream.schema(schemas.SPEND).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def deduplicated(decisions: DataFrame, delay: str = "7 days") -> DataFrame:
+def deduplicated(log: DataFrame, delay: str = "7 days") -> DataFrame:
     """Decisions once each, however often a file is delivered again within the delay."""
-    return decisions.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["decision_id"])
+    return log.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["decision_id"])
 
 
-def decision_counts(decisions: DataFrame, window: str = "1 day", delay: str = "7 days") -> DataFrame:
+def decision_counts(log: DataFrame, window: str = "1 day", delay: str = "7 days") -> DataFrame:
     """Decisions by day, topic and kind; late ones count until the watermark passes."""
-    kept = decisions.withWatermark("created_at", delay)
+    kept = log.withWatermark("created_at", delay)
     return kept.groupBy(F.window("created_at", window), "topic", "decision").agg(F.count("*").alias("n"), F.sum("cost_usd").alias("cost_usd"))
 
 
@@ -40,20 +40,22 @@ def sessions(messages: DataFrame, gap_days: int = 60, delay: str = "1 day") -> D
     return kept.groupBy("subject_norm", F.session_window("date_utc", f"{gap_days} days")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
-def latest_decisions(state_path: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink that keeps current decisions as Parquet, one version for each batch.
+def decision_state(state_path: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink of new decisions as Parquet, a version for each batch; nothing written before is read or rewritten.
 
     A batch that is run again after a failure rewrites its own version only, so the outcome is the same.
     """
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.schema(schemas.DECISIONS).parquet(f"{state_path}/v={batch_id - 1}") if batch_id else spark.createDataFrame([], schemas.DECISIONS)
-        both = old.unionByName(batch)
-        gone = both.select(F.col("supersedes").alias("__g")).filter("__g is not null")
-        both.join(gone, F.col("decision_id") == F.col("__g"), "left_anti").dropDuplicates(["decision_id"]).write.mode("overwrite").parquet(f"{state_path}/v={batch_id}")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        schemas.conform(batch, schemas.DECISIONS).write.mode("overwrite").parquet(f"{state_path}/v={batch_id}")
 
-    return merge
+    return write
+
+
+def latest_decisions(spark: SparkSession, state_path: str) -> DataFrame:
+    """The current decisions of all versions, as the batch operator has them: what any version supersedes is gone, in whatever order they came."""
+    every = spark.read.schema(schemas.DECISIONS).parquet(f"{state_path}/v=*")
+    return decisions.current(every.dropDuplicates(["decision_id"]))
 
 
 def budget_guard(budget: spend.Budget, phase: str, projected_usd: float, ledger: Callable[[], DataFrame], submit: Callable[[DataFrame, int], None]):

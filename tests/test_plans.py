@@ -121,10 +121,9 @@ def test_decision_stream(spark, tmp_path):
         tables.append_log(decision(spark, rows), path)
         time.sleep(1.1)  # files are taken in order of their time
     stream = logs.decision_stream(spark, path, 1)
-    q = stream.writeStream.foreachBatch(logs.latest_decisions(state)).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(logs.decision_state(state)).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
-    last = max(int(p.name[2:]) for p in (tmp_path / "state").iterdir())
-    assert {r["decision_id"] for r in spark.read.parquet(f"{state}/v={last}").collect()} == {"2", "3"}
+    assert {r["decision_id"] for r in logs.latest_decisions(spark, state).collect()} == {"2", "3"}
     q = logs.deduplicated(logs.decision_stream(spark, path)).writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     assert q.awaitTermination(120) and spark.table("once").count() == 3
     q = logs.decision_counts(logs.decision_stream(spark, path)).writeStream.format("memory").outputMode("complete").queryName("counts").trigger(availableNow=True).start()
@@ -138,3 +137,23 @@ def test_budget_guard(spark, tmp_path):
     assert seen == [3]
     with pytest.raises(spend.BudgetExceeded):
         logs.budget_guard(BUDGET, "dev", 0.6, lambda: ledger, lambda b, i: seen.append(i))(ledger, 4)
+
+
+def test_current_decisions_whatever_the_order(spark, tmp_path):
+    """B replaces A and C replaces B, arriving as B, C, A: only C is current, in the stream as in batch; a batch run again changes nothing."""
+    from docketry.operators import decisions as dec
+
+    state = str(tmp_path / "state")
+    sink = logs.decision_state(state)
+    log = [[("b", "d1", "x", "a")], [("c", "d1", "y", "b")], [("a", "d1", "z", None)]]
+    frames = []
+    for k, rows in enumerate(log):
+        frame = spark.createDataFrame(rows, "decision_id string, doc_id string, decision string, supersedes string")
+        for f in schemas.DECISIONS:
+            if f.name not in frame.columns:
+                frame = frame.withColumn(f.name, F.lit(None).cast(f.dataType))
+        frames.append(frame.select([f.name for f in schemas.DECISIONS]))
+        sink(frames[-1], k)
+    sink(frames[1], 1)
+    got = [r["decision_id"] for r in logs.latest_decisions(spark, state).collect()]
+    assert got == ["c"] == [r["decision_id"] for r in dec.current(frames[0].union(frames[1]).union(frames[2])).collect()]
