@@ -77,13 +77,15 @@ def by_custodian(judged: DataFrame) -> DataFrame:
     return judged.groupBy("topic", "custodian").agg(F.count("*").alias("judged"), F.sum("relevance").alias("relevant"))
 
 
-def relevant_custodians(judged: DataFrame, owners: DataFrame, top: int = 15) -> DataFrame:
-    """Per topic the ``top`` custodians by relevant documents, with the number of custodians and of unmapped documents.
+def relevant_with_custodian(judged: DataFrame, owners: DataFrame) -> DataFrame:
+    """topic, trec_doc_id, custodian (null: unmapped) of relevant documents; ``owners(trec_doc_id, custodian)``."""
+    own = owners.select(F.col("trec_doc_id").alias("__t"), "custodian")
+    return judged.filter("relevance = 1").select("topic", "trec_doc_id").join(own, F.col("trec_doc_id") == F.col("__t"), "left").drop("__t")
 
-    ``owners(trec_doc_id, custodian)``; ties go by name.
-    """
-    rel = judged.filter("relevance = 1").select("topic", "trec_doc_id")
-    hit = rel.join(owners.select(F.col("trec_doc_id").alias("__t"), "custodian"), F.col("trec_doc_id") == F.col("__t"), "left")
+
+def relevant_custodians(judged: DataFrame, owners: DataFrame, top: int = 15) -> DataFrame:
+    """Per topic the ``top`` custodians by relevant documents, with the number of custodians and of unmapped documents; ties go by name."""
+    hit = relevant_with_custodian(judged, owners)
     n = hit.groupBy("topic", "custodian").agg(F.count("*").alias("n"))
     about = n.groupBy("topic").agg(F.count("custodian").alias("custodians"), F.coalesce(F.sum(F.when(F.col("custodian").isNull(), F.col("n"))), F.lit(0)).alias("unmapped"))
     best = top_n(n.filter("custodian is not null"), "topic", [F.col("n").desc(), F.col("custodian")], top)

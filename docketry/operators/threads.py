@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import gap_over
@@ -45,17 +45,21 @@ def _containments(chained: DataFrame) -> DataFrame:
     return each.groupBy("doc_id").agg(F.max("has_earlier").alias("has_earlier"), F.max("in_later").alias("in_later"))
 
 
+def own_attachments(names: Column) -> Column:
+    """Over a thread's rows: whether some attachment does not come again in a later message of the thread."""
+    after = Window.partitionBy("thread_id").orderBy("depth").rowsBetween(1, Window.unboundedFollowing)
+    return F.size(F.array_except(names, F.flatten(F.collect_set(names).over(after)))) > 0
+
+
 def threads(messages: DataFrame, max_gap_days: int = 60) -> DataFrame:
     """``threads`` rows of canonical messages (doc_id, subject_norm, body_norm, date_utc, attachment_names)."""
     rows = messages.select("doc_id", "subject_norm", "date_utc", F.coalesce("attachment_names", F.array().cast("array<string>")).alias("att"), collapse("body_norm").alias("__text"))
     chained = segments(rows, max_gap_days)
     size = Window.partitionBy("thread_id")
-    after = Window.partitionBy("thread_id").orderBy("depth").rowsBetween(1, Window.unboundedFollowing)
-    chained = chained.withColumn("__n", F.count("*").over(size)).withColumn("__later", F.flatten(F.collect_set("att").over(after)))
+    chained = chained.withColumn("__n", F.count("*").over(size)).withColumn("__own", own_attachments(F.col("att")))
     out = chained.join(_containments(chained).withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left")
     terminal = F.col("depth") == F.col("__n") - 1
-    own = F.size(F.array_except("att", "__later")) > 0
-    reason = F.when(terminal, "terminal_node").when(~F.coalesce("in_later", F.lit(False)), "unique_content").when(own, "attachment_unique")
+    reason = F.when(terminal, "terminal_node").when(~F.coalesce("in_later", F.lit(False)), "unique_content").when(F.col("__own"), "attachment_unique")
     single = F.col("__single") | (F.col("__n") == 1)
     method = F.when(single, "singleton").when(F.coalesce("has_earlier", F.lit(False)), "containment").otherwise("subject_fallback")
     return out.select("doc_id", "thread_id", "parent_doc_id", "depth", method.alias("method"), reason.isNotNull().alias("is_inclusive"), reason.alias("inclusive_reason"))

@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas, views
-from ..operators import dedup, windows
+from ..operators import dedup, judgments, review, windows
 from ..sources import archives, messages, tables
+from . import ingest
 from .catalogue import query, scratch
 
 PER_ARCHIVE = 200
@@ -59,14 +60,15 @@ def _(s, d):
     return got.select("source_file", "from_name", "subject", "subject_norm", "body_hash", F.size("to").cast("long").alias("n_to"))
 
 
-@query("src_tarbz2", "SELECT '3.' || n || '.' || lang AS trec_doc_id, custodian, subject_norm, substr(body_text, 1, 60000) AS body_text FROM mk WHERE n % 3 = 0")
+@query("src_tarbz2", "SELECT '3.' || n || '.' || lang AS trec_doc_id, custodian, subject_norm, substr(body_text, 1, 60000) AS body_text FROM mk WHERE n IN (SELECT doc_id FROM labels)")
 def _(s, d):
+    """Of all members the judged ones: listed, joined, and only these extracted."""
     row_of = lambda r: (f"./edrm-enron-v2_{r.custodian}_xml/text_000/3.{r.n}.{r.lang}.txt", f"From: a\nSubject: {r.subject}\n\n{r.body_text}")
-    path = _write(s, views.messages(s, d), _tar("w:bz2", row_of), "part{}.tar.bz2")
-    members = archives.tar(s, files=s.read.parquet(path))
-    wanted = views.messages(s, d).filter("n % 3 = 0").select(F.concat(F.lit("3."), F.col("n").cast("string"), F.lit("."), "lang").alias("w"))
-    stem = F.regexp_replace(F.substring_index("member", "/", -1), r"\.txt\z", "")
-    got = messages.judged_texts(members.join(wanted, stem == F.col("w"), "left_semi"))
+    files = s.read.parquet(_write(s, views.messages(s, d), _tar("w:bz2", row_of), "part{}.tar.bz2"))
+    judged = views.messages(s, d).join(views.table(s, d, "labels").select(F.col("doc_id").alias("l")), F.col("n") == F.col("l"), "left_semi")
+    wanted = judged.select(F.concat_ws(".", F.lit("3"), F.col("n").cast("string"), "lang").alias("w"))
+    listed = archives.tar(s, files=files, with_content=False).select("archive", "member", F.regexp_replace(F.substring_index("member", "/", -1), r"\.txt\z", "").alias("stem"))
+    got = messages.judged_texts(archives.tar(s, files=files, wanted=listed.join(wanted, F.col("stem") == F.col("w"), "left_semi")))
     return got.select(F.get_json_object("headers_json", "$.trec_doc_id").alias("trec_doc_id"), "custodian", "subject_norm", "body_text")
 
 
@@ -143,10 +145,76 @@ def _(s, d):
 @query(
     "row_judged",
     "SELECT 'enron-' || substr(sha256('edrm-enron-v2_' || custodian || '_xml/text_000/3.' || n || '.' || lang || '.txt:0'), 1, 16) AS doc_id, "
-    "CAST(len(custodian || ' ' || lang || '@x a; b; c ' || subject || chr(10) || body_text) // 4 AS INTEGER) AS token_estimate, subject_norm FROM mn WHERE len(subject) > 0 AND len(body_text) <= 60000",
+    "CAST(len(array_to_string(list_filter([custodian, lang || '@x', 'a; b; c', trim(subject)], lambda x: x <> ''), ' ') || chr(10) || substr(body_text, 1, 60000)) // 4 AS INTEGER) AS token_estimate, "
+    "subject_norm, len(body_text) > 60000 AS truncated FROM mn",
+)
+def _(s, d):
+    return _judged_rows(s, d).select("doc_id", "token_estimate", "subject_norm", F.array_contains("parse_warnings", "truncated_body").alias("truncated"))
+
+
+def _texts(s: SparkSession, d: str, content) -> DataFrame:
+    """Members as an archive would give them, one for each document."""
+    m = views.messages(s, d)
+    return m.select(F.lit("a").alias("archive"), F.concat(F.lit("./edrm-enron-v2_x_xml/text_000/3."), F.col("n").cast("string"), F.lit(".A.txt")).alias("member"), content.alias("content"))
+
+
+def _number():
+    return F.regexp_extract("source_file", r"3\.(\d+)\.A", 1).cast("long").alias("n")
+
+
+@query("txt_trunc", "SELECT n, sha256(substr(replace(replace(body_text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), 1, 500)) AS body, length(replace(body_text, chr(13) || chr(10), chr(10))) > 500 AS cut FROM m")
+def _(s, d):
+    got = messages.judged_texts(_texts(s, d, F.encode(F.concat(F.lit("From: a\n\n"), "body_text"), "UTF-8")), max_body_chars=500)
+    return got.select(_number(), F.sha2("body_text", 256).alias("body"), F.array_contains("parse_warnings", "truncated_body").alias("cut"))
+
+
+@query(
+    "txt_decode",
+    """SELECT n, sha256(CASE n % 3 WHEN 0 THEN body_text WHEN 1 THEN chr(8220) || 'q' || n || chr(8221) ELSE chr(143) || n END) AS body,
+    CASE n % 3 WHEN 0 THEN '' WHEN 1 THEN 'decode_fallback_cp1252,' ELSE 'decode_fallback_latin1,' END || 'no_header_block' AS warnings FROM m""",
+)
+def _(s, d):
+    """UTF-8, bytes that are cp1252 only, and bytes that only latin-1 knows."""
+    number = F.encode(F.col("n").cast("string"), "UTF-8")
+    windows_only = F.concat(F.unhex(F.lit("9371")), number, F.unhex(F.lit("94")))
+    content = F.when(F.col("n") % 3 == 0, F.encode("body_text", "UTF-8")).when(F.col("n") % 3 == 1, windows_only).otherwise(F.concat(F.unhex(F.lit("8F")), number))
+    return messages.tab_texts(_texts(s, d, content)).select(_number(), F.sha2("body_text", 256).alias("body"), F.array_join("parse_warnings", ",").alias("warnings"))
+
+
+def _judged_report(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The report of judged texts of which every eleventh is missing, cut at 5,000 characters; every third has no header."""
+    lines = judgments.weighted(views.judgment_lines(s, d)).select("topic", "trec_doc_id")
+    m = views.messages(s, d).filter("n % 11 <> 0")
+    name = F.concat(F.lit("./edrm-enron-v2_"), "custodian", F.lit("_xml/text_000/3."), F.col("n").cast("string"), F.lit("."), "lang", F.when(F.col("n") % 5 == 0, ".1").otherwise(""), F.lit(".txt"))
+    body = F.concat(F.when(F.col("n") % 3 == 0, "").otherwise("From: a\n\n"), F.lit("="), F.regexp_replace("body_text", "\r", " "))
+    rows = m.select(F.lit("a").alias("archive"), name.alias("member"), F.encode(body, "UTF-8").alias("content"))
+    return ingest.judged_report(lines.distinct(), messages.judged_texts(rows, max_body_chars=5000))
+
+
+@query(
+    "agg_judgedtext",
+    "SELECT topic, count(DISTINCT trec_doc_id) AS judged, count(DISTINCT trec_doc_id) FILTER (n % 11 <> 0) AS found, count(DISTINCT trec_doc_id) FILTER (n % 5 = 0) AS parts FROM w GROUP BY topic",
+)
+def _(s, d):
+    return _judged_report(s, d)[0]
+
+
+@query(
+    "agg_warn",
+    """SELECT count(*) FILTER (length(body_text) + 1 > 5000) AS truncated, count(*) FILTER (n % 3 = 0) AS no_header,
+    CAST(sum(length(custodian || CASE WHEN n % 3 = 0 THEN '' ELSE ' a' END || chr(10) || substr('=' || body_text, 1, 5000)) // 4) AS BIGINT) AS tokens FROM m WHERE n % 11 <> 0""",
+)
+def _(s, d):
+    return _judged_report(s, d)[1]
+
+
+@query(
+    "join_manifest",
+    "SELECT 'edrm-enron-v2_c' || (n // 200) || '_xml.zip/native/' || n || '.eml' AS source_file, CAST(n % 3 AS INTEGER) AS attachment_count, CASE n % 3 WHEN 0 THEN '' WHEN 1 THEN 'f0' ELSE 'f0;f1' END AS names FROM m WHERE n % 10 <> 0",
 )
 def _(s, d):
-    return _judged_rows(s, d).filter("length(subject) > 0 and not array_contains(parse_warnings, 'truncated_body')").select("doc_id", "token_estimate", "subject_norm")
+    """Load-file entries joined to their native messages."""
+    return _zips(s, d).messages.select("source_file", "attachment_count", F.array_join("attachment_names", ";").alias("names"))
 
 
 @query("eml_parse", "SELECT 'A' AS from_name, 'a@b.c' AS from_addr, 'd@e.f' AS recipients, 'Re: ' || n AS subject, 'body of ' || n || chr(10) AS body_text FROM m WHERE n % 10 <> 0")
@@ -183,5 +251,5 @@ def _(s, d):
 
 @query("proto_stem", "SELECT doc_id, CASE WHEN n % 2 = 0 THEN 'athome' ELSE 'topic' END || n AS v FROM m")
 def _(s, d):
-    topic = F.col("n").cast("string")
-    return views.messages(s, d).select("doc_id", F.when(F.col("n") % 2 == 0, F.concat(F.lit("athome"), topic)).otherwise(F.concat(F.lit("topic"), topic)).alias("v"))
+    corpus = F.when(F.col("n") % 2 == 0, "bush").otherwise("docs")
+    return views.messages(s, d).select("doc_id", review.protocol_stems(corpus, F.col("n").cast("string")).alias("v"))

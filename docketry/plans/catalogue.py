@@ -5,8 +5,11 @@ Keys are operator ids. Each query goes through the library; the SQL states the r
 
 from __future__ import annotations
 
+import json
+import tempfile
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,8 +20,9 @@ from ..functions import text as tx
 from ..functions.verdicts import parse_verdict
 from ..operators import checks, dedup, evaluate, judgments, review, sampling, spend, threads, windows
 from ..operators import decisions as dec
-from ..session import cut
+from ..session import cut, shared_folder
 from ..sources import tables
+from . import coverage, preprocess, validate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,7 +37,9 @@ def query(name: str, sql: str | None, plain: bool = False):
 
     def add(f):
         QUERIES[name] = f
-        if sql is not None:
+        if sql is not None and sql.startswith("RECURSIVE"):
+            ORACLE[name] = views.SQL.replace("WITH ", "WITH RECURSIVE ", 1) + sql.removeprefix("RECURSIVE")
+        elif sql is not None:
             ORACLE[name] = sql if plain else views.SQL + sql
         return f
 
@@ -42,9 +48,7 @@ def query(name: str, sql: str | None, plain: bool = False):
 
 def scratch(spark: SparkSession) -> str:
     """A new folder under the shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/docketry-checkpoints"
-    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-
+    return f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
 # --- sources and sinks -------------------------------------------------------------------------------------------------
@@ -189,16 +193,29 @@ def _(s, d):
     return checks.repeated(views.table(s, d, "documents"), "text")
 
 
-@query("chk_count", "SELECT count(*) AS n FROM documents", plain=True)
+@query("chk_count", "SELECT count(*) AS n, unnest(['as expected', 'other than expected']) AS verdict FROM documents", plain=True)
 def _(s, d):
-    t = views.table(s, d, "documents")
-    return s.range(1).select(F.lit(checks.expected_count(t, t.count())).cast("long").alias("n"))
+    expected = tables.row_count(s, f"{d}/documents.parquet")  # of the footers, against rows counted by a column
+    t = views.table(s, d, "documents").filter("doc_id is null or doc_id is not null")
+    lost = []
+    for n in (expected, expected + 1):
+        try:
+            lost.append((checks.expected_count(t, n), "as expected"))
+        except checks.CheckError:
+            lost.append((expected, "other than expected"))
+    return s.createDataFrame(lost, "n long, verdict string")
 
 
-@query("chk_gate", "SELECT count(*) FILTER (lang = 'en') AS parsed, count(*) FILTER (lang <> 'en') AS failed, count(*) FILTER (lang <> 'en') / count(*) AS rate FROM documents", plain=True)
+@query(
+    "chk_gate",
+    """SELECT g.gate, count(*) FILTER (lang <> 'en') / count(*) AS rate, CAST(CASE WHEN count(*) FILTER (lang <> 'en') / count(*) < g.gate THEN 0 ELSE 1 END AS INTEGER) AS code
+    FROM documents CROSS JOIN (SELECT unnest([0.01, 1.0])::DOUBLE AS gate) g GROUP BY g.gate""",
+    plain=True,
+)
 def _(s, d):
     t = views.table(s, d, "documents")
-    return checks.failure_rate(t.filter("lang = 'en'"), t.filter("lang <> 'en'"))
+    rate = checks.failure_rate(t.filter("lang = 'en'"), t.filter("lang <> 'en'")).first()["rate"]
+    return s.createDataFrame([(g, rate, checks.gate(rate < g, "lang")) for g in (0.01, 1.0)], "gate double, rate double, code int")
 
 
 @query("chk_m1", "SELECT trec_doc_id, doc_id FROM im WHERE NOT ambiguous")
@@ -241,16 +258,16 @@ def _(s, d):
     return dec.wire_supersedes(new, log.filter("tier = 1"), "toxic", views.VERSION).select("doc_id", "decision_id", "supersedes")
 
 
-@query("join_trec2doc", "SELECT trec_doc_id, doc_id FROM im WHERE n % 7 = 0")
+@query("join_trec2doc", "SELECT trec_doc_id, doc_id FROM im")
 def _(s, d):
-    m = views.id_map(s, d).join(views.messages(s, d).filter("n % 7 = 0").select("doc_id"), "doc_id", "left_semi")
+    m = views.id_map(s, d)
     return dec.trec_to_doc(m.select("trec_doc_id"), m)
 
 
-@query("join_docrows", "SELECT doc_id, custodian, subject FROM m WHERE n % 3 = 0")
+@query("join_docrows", "SELECT doc_id, custodian, subject FROM m WHERE doc_id IN (SELECT doc_id FROM cur WHERE decision = 'responsive')")
 def _(s, d):
     m = views.messages(s, d)
-    return dec.fetch(m, m.filter("n % 3 = 0").select("doc_id")).select("doc_id", "custodian", "subject")
+    return dec.fetch(m, dec.current(views.decisions(s, d)).filter("decision = 'responsive'").select("doc_id").distinct()).select("doc_id", "custodian", "subject")
 
 
 @query("join_custodian", "SELECT w.topic, w.trec_doc_id, m.custodian FROM w JOIN im ON w.trec_doc_id = im.trec_doc_id JOIN m ON m.doc_id = im.doc_id")
@@ -286,18 +303,17 @@ SELECT topic, custodian, n, rank, custodians, unmapped FROM ranked JOIN about US
 """
 
 
-def _relcust(s, d):
-    return judgments.relevant_custodians(judgments.weighted(views.judgment_lines(s, d)), _owners(s, d))
+def _relcust(s, d, top=15):
+    return judgments.relevant_custodians(judgments.weighted(views.judgment_lines(s, d)), _owners(s, d), top)
 
 
-for _name in ("join_relcust", "agg_reltop", "win_topn"):
-    query(_name, _RELCUST)(_relcust)
+query("agg_reltop", _RELCUST)(_relcust)
+query("win_topn", _RELCUST.replace("rank <= 15", "rank <= 3"))(lambda s, d: _relcust(s, d, 3))
 
 
-@query("join_manifest", "SELECT d.doc_id AS docid, d.lang AS zip FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL", plain=True)
+@query("join_relcust", _OWN + "SELECT w.topic, w.trec_doc_id, own.custodian FROM w LEFT JOIN own USING (trec_doc_id) WHERE w.relevance = 1")
 def _(s, d):
-    listed, natives = views.table(s, d, "documents"), views.table(s, d, "labels").select(F.col("doc_id").alias("native"))
-    return listed.join(natives, F.col("doc_id") == F.col("native"), "left").filter("native is null").select(F.col("doc_id").alias("docid"), F.col("lang").alias("zip"))
+    return judgments.relevant_with_custodian(judgments.weighted(views.judgment_lines(s, d)), _owners(s, d)).select("topic", "trec_doc_id", "custodian")
 
 
 @query("join_weight", "SELECT topic, trec_doc_id, stratum, sampling_weight FROM w")
@@ -426,14 +442,6 @@ def _(s, d):
     return checks.failure_rate(e.filter("event_type <> 'error'"), e.filter("event_type = 'error'"))
 
 
-@query("agg_judgedtext", "SELECT topic, count(DISTINCT trec_doc_id) AS judged, count(DISTINCT trec_doc_id) FILTER (trec_doc_id IN (SELECT trec_doc_id FROM im)) AS found, count(DISTINCT trec_doc_id) FILTER (len(string_split(trec_doc_id, '.')) > 3) AS parts FROM w GROUP BY topic")
-def _(s, d):
-    w = judgments.weighted(views.judgment_lines(s, d)).select("topic", "trec_doc_id").distinct()
-    known = views.id_map(s, d).select(F.col("trec_doc_id").alias("k")).distinct()
-    j = w.join(known, F.col("trec_doc_id") == F.col("k"), "left")
-    return j.groupBy("topic").agg(F.count("*").alias("judged"), F.count("k").alias("found"), F.count_if(tx.is_part("trec_doc_id")).alias("parts"))
-
-
 _CONF = _MAPPED + """, r AS (SELECT mj.topic, mj.relevance, mj.sampling_weight AS sw, c.decision FROM mj LEFT JOIN cur c ON c.doc_id = mj.doc_id AND c.topic = mj.topic WHERE mj.doc_id IS NOT NULL),
 cf AS (SELECT topic, coalesce(sum(sw) FILTER (decision = 'responsive' AND relevance > 0), 0) AS tp, coalesce(sum(sw) FILTER (decision = 'responsive' AND relevance <= 0), 0) AS fp,
   coalesce(sum(sw) FILTER (decision <> 'responsive' AND relevance > 0), 0) AS fn, coalesce(sum(sw) FILTER (decision <> 'responsive' AND relevance <= 0), 0) AS tn,
@@ -459,21 +467,38 @@ _PRF = _CONF + """, pr AS (SELECT topic, n_evaluated, CASE WHEN tp + fn > 0 THEN
 SELECT topic, n_evaluated, round_even(r, 4) AS recall, round_even(p, 4) AS precision, round_even(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 4) AS f1 FROM pr"""
 
 
+@query("val_eval", _PRF)
 def _prf(s, d):
     return evaluate.scores(_cells(s, d)).select("topic", "n_evaluated", "recall", "precision", "f1")
 
 
-for _name in ("agg_prf", "val_eval"):
-    query(_name, _PRF)(_prf)
+@query("agg_prf", _PRF.replace("SELECT topic, n_evaluated, round_even(r, 4)", "SELECT topic, round_even(tp, 4) AS tp, round_even(fp, 4) AS fp, round_even(fn, 4) AS fn, round_even(tn, 4) AS tn, round_even(r, 4)").replace("(SELECT topic, n_evaluated, CASE", "(SELECT *, CASE"))
+def _(s, d):
+    return evaluate.scores(_cells(s, d)).select("topic", "tp", "fp", "fn", "tn", "recall", "precision", "f1")
+
+
+_RUNS = """, r AS (SELECT mj.relevance, mj.sampling_weight AS sw, c.decision FROM mj LEFT JOIN cur c ON c.doc_id = mj.doc_id AND c.topic = 'toxic' WHERE mj.doc_id IS NOT NULL AND mj.topic = 'toxic')
+, k AS (SELECT est, sum(x) FILTER (decision = 'responsive' AND relevance > 0) AS tp, sum(x) FILTER (decision = 'responsive' AND relevance = 0) AS fp, sum(x) FILTER (decision <> 'responsive' AND relevance > 0) AS fn
+  FROM (SELECT 'unweighted' AS est, 1.0 AS x, * FROM r UNION ALL SELECT 'weighted_horvitz_thompson', sw, * FROM r) GROUP BY est)
+SELECT CASE est WHEN 'unweighted' THEN 'plain' ELSE 'weighted' END AS run, CAST(0 AS INTEGER) AS code, est AS estimator, round_even(tp / (tp + fn), 4) AS recall, round_even(tp / (tp + fp), 4) AS precision,
+  CASE est WHEN 'unweighted' THEN (SELECT count(*) FROM mj WHERE topic = 'toxic' AND doc_id IS NULL) ELSE 0 END AS unmapped FROM k
+UNION ALL SELECT 'unmapped', CAST(CASE WHEN count(*) > 0 THEN 2 ELSE 0 END AS INTEGER), 'none', -1.0, -1.0, -1 FROM mj WHERE topic = 'toxic' AND doc_id IS NULL"""
 
 
-@query("val_run", _MAPPED + """, r AS (SELECT mj.relevance, c.decision FROM mj LEFT JOIN cur c ON c.doc_id = mj.doc_id AND c.topic = 'toxic' WHERE mj.doc_id IS NOT NULL AND mj.topic = 'toxic')
-, k AS (SELECT count(*) FILTER (decision = 'responsive' AND relevance > 0) AS tp, count(*) FILTER (decision = 'responsive' AND relevance = 0) AS fp, count(*) FILTER (decision <> 'responsive' AND relevance > 0) AS fn FROM r)
-SELECT 'toxic' AS topic, round_even(tp / (tp + fn), 4) AS recall, round_even(tp / (tp + fp), 4) AS precision FROM k""")
+@query("val_run", _MAPPED + _RUNS)
 def _(s, d):
-    now = dec.current(views.decisions(s, d)).filter("topic = 'toxic'")
-    m = evaluate.evaluate(now, _mapped(s, d).filter("doc_id is not null"), "toxic")
-    return s.createDataFrame([(m.topic, m.recall, m.precision)], "topic string, recall double, precision double")
+    """The run itself: plain, weighted over what is mapped, and weighted with unmapped judgments, which it refuses."""
+    log, qrels, idmap = _log(s, d), judgments.weighted(views.judgment_lines(s, d)), views.id_map(s, d)
+    log = log.withColumns({"phase": F.lit("responsiveness"), "prompt_version": F.lit(views.VERSION)})
+    mapped = qrels.join(idmap.filter("not ambiguous").select("trec_doc_id"), "trec_doc_id", "left_semi")
+    rows = []
+    for name, judged, stratified in (("plain", qrels, False), ("weighted", mapped, True), ("unmapped", qrels, True)):
+        with tempfile.TemporaryDirectory() as folder:  # the driver's artifacts
+            code = validate.run(log, judged, idmap, "docs", "toxic", views.VERSION, folder, stratified=stratified)
+            got = [json.loads(p.read_text()) for p in Path(folder).glob("*.json")] or [{}]
+        none = {"estimator": "none", "recall": -1.0, "precision": -1.0, "unmapped": -1}
+        rows.append((name, code, *((none | got[0])[k] for k in none)))
+    return s.createDataFrame(rows, "run string, code int, estimator string, recall double, precision double, unmapped long")
 
 
 @query("val_current", "SELECT doc_id, decision FROM cur WHERE topic = 'toxic'")
@@ -497,12 +522,6 @@ def _(s, d):
     return views.messages(s, d).groupBy("lang").agg(F.sum(F.coalesce(tx.token_estimate("body_text"), F.lit(0))).alias("tokens"))
 
 
-@query("agg_warn", "SELECT count(*) FILTER (length(body_text) > 5000) AS docs FROM m")
-def _(s, d):
-    m = views.messages(s, d).withColumn("parse_warnings", F.when(F.length("body_text") > 5000, F.array(F.lit("truncated_body"))).otherwise(F.array().cast("array<string>")))
-    return m.agg(F.count_if(F.size("parse_warnings") > 0).alias("docs"))
-
-
 # --- windows -----------------------------------------------------------------------------------------------------------
 
 
@@ -568,9 +587,7 @@ for _name, _col in (("win_anyprev", "has_earlier"), ("win_anynext", "in_later"),
 @query("win_nextatt", _THREAD + "SELECT doc_id, len(list_filter(attachment_names, lambda x: NOT coalesce(list_contains(later, x), false))) > 0 AS own FROM th JOIN la USING (doc_id)")
 def _(s, d):
     rows = threads.segments(views.thread_messages(s, d))
-    after = Window.partitionBy("thread_id").orderBy("depth").rowsBetween(1, Window.unboundedFollowing)
-    later = F.flatten(F.collect_set("attachment_names").over(after))
-    return rows.select("doc_id", (F.size(F.array_except("attachment_names", later)) > 0).alias("own"))
+    return rows.select("doc_id", threads.own_attachments(F.col("attachment_names")).alias("own"))
 
 
 @query("win_cellw", "SELECT topic, trec_doc_id, stratum, sampling_weight FROM w")
@@ -590,8 +607,13 @@ def _devset(s, d):
     return sampling.devset(q, "docs", 60, 20)
 
 
-for _name in ("win_quota", "smp_devset"):
-    query(_name, _QUOTA)(_devset)
+query("smp_devset", _QUOTA)(_devset)
+
+
+@query("win_quota", _QUOTA.replace("SELECT topic, relevance, trec_doc_id FROM rn WHERE r <= k", "SELECT topic, relevance, CAST(k AS INTEGER) AS k FROM k"))
+def _(s, d):
+    q = judgments.weighted(views.judgment_lines(s, d)).withColumn("corpus", F.lit("docs"))
+    return sampling.devset_sizes(q, "docs", 60, 20).select("topic", "relevance", "k")
 
 
 @query("smp_qc", """, cc AS (SELECT decision, doc_id, count(*) OVER (PARTITION BY decision) AS n, row_number() OVER (PARTITION BY decision ORDER BY sha256('1337:' || decision || ':' || doc_id), doc_id) AS r
@@ -639,13 +661,25 @@ scalar("str_customid", "doc_id || '__7__resp__t1__topic-v1'", lambda: tx.custom_
 scalar("str_customid_parse", "doc_id || '|7|qc|2|a-v.v12'", lambda: F.concat_ws("|", *[tx.custom_id_fields(F.concat("doc_id", F.lit("__7__qc__t2__a-v-v12")))[k].cast("string") for k in ("doc_id", "topic", "phase", "tier", "prompt_version")]))
 scalar("str_version", "CAST(n AS INTEGER)", lambda: tx.version_number(F.concat(F.lit("a.v1.v"), F.col("n").cast("string"))))
 scalar("str_hash12", "substr(sha256(body_text), 1, 12)", lambda: tx.hash12("body_text"))
-scalar("txt_trunc", "sha256(substr(body_text, 1, 500)) || CASE WHEN length(body_text) > 500 THEN '!' ELSE '' END", lambda: F.concat(F.sha2(F.substring("body_text", 1, 500), 256), F.when(F.length("body_text") > 500, "!").otherwise("")))
-scalar("txt_decode", "sha256(body_text)", lambda: F.sha2(F.when(F.is_valid_utf8("body_text"), F.decode(F.encode("body_text", "UTF-8"), "UTF-8")), 256))
 scalar("math_prf", "CASE WHEN n % 3 > 0 THEN n_chars / CAST(n % 3 AS DOUBLE) ELSE 0.0 END", lambda: maths.ratio(F.col("n_chars"), F.col("n") % 3))
 scalar("math_round", "round_even(n_chars / 8, 2)", lambda: maths.half_even(F.col("n_chars") / 8, 2))
 scalar("math_cost", "(n_chars * 0.5 + n * 2.5) / 1000000.0::DOUBLE", lambda: maths.cost_usd(F.col("n_chars"), F.col("n"), F.lit(0.5), F.lit(2.5)))
 scalar("math_floordiv", "(n_chars * n) // 7", lambda: maths.pro_rata(F.col("n_chars"), F.col("n"), F.lit(7)))
-scalar("dt_sent", "strftime(coalesce(date_utc, TIMESTAMP '2024-02-01') + INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S')", lambda: stamp_of(dates.sent_utc(F.concat(F.date_format(F.coalesce("date_utc", F.lit("2024-02-01").cast("timestamp")), "EEEE, MMMM d, yyyy h:mm a")))))
+#: Local wall time, a month of the year by id, and the offset of the zone in it.
+_LOCAL = "(coalesce(date_utc, TIMESTAMP '2024-02-01') + to_months(CAST(n % 12 AS INTEGER)))"
+_OFFSET = f"CASE WHEN {_LOCAL} >= TIMESTAMP '2024-03-10 03:00:00' AND {_LOCAL} < TIMESTAMP '2024-11-03 02:00:00' THEN 4 ELSE 5 END"
+
+
+def _sent():
+    local = F.expr("coalesce(date_utc, timestamp '2024-02-01') + make_ym_interval(0, cast(n % 12 as int))")
+    formats = ("EEEE, MMMM d, yyyy h:mm a", "EEEE, MMMM d, yyyy h:mm:ss a", "MMMM d, yyyy h:mm a", "M/d/yyyy h:mm a", "M/d/yy h:mm a")
+    raw = F.lit(None).cast("string")
+    for k, f in enumerate(formats):
+        raw = F.when(F.col("n") % 5 == k, F.date_format(local, f)).otherwise(raw)
+    return stamp_of(dates.sent_utc(F.when(F.col("n") % 7 == 0, F.lit("some day")).otherwise(raw)))
+
+
+scalar("dt_sent", f"CASE WHEN n % 7 <> 0 THEN strftime({_LOCAL} + to_hours({_OFFSET}), '%Y-%m-%d %H:%M:%S') END", _sent)
 scalar("json_verdict", "CASE WHEN n % 4 = 0 THEN NULL ELSE 'responsive' END", lambda: parse_verdict(F.when(F.col("n") % 4 == 0, F.lit("no answer {")).when(F.col("n") % 4 == 1, F.lit('{"decision":"responsive","confidence":0.5,"rationale":"r"}')).otherwise(F.lit('first {"decision":"x","confidence":1,"rationale":"{}"} then ```{"decision":"responsive","confidence":0.9,"rationale":"{a}"}```')))["decision"])
 scalar("json_headers", "'{\"a\":\"' || lang || '\",\"b\":\"' || custodian || '\"}'", lambda: tx.headers_json(F.create_map(F.lit("b"), F.col("custodian"), F.lit("a"), F.col("lang"))))
 scalar("json_tags", "lang", lambda: F.element_at(tx.tags_map(F.array(F.struct(F.lit("k").alias("name"), F.col("custodian").alias("value")), F.struct(F.lit("k").alias("name"), F.col("lang").alias("value")))), "k"))
@@ -682,13 +716,22 @@ def _(s, d):
 
 # --- near duplicates and the preprocessing report -----------------------------------------------------------------------
 
-_NEAR = _CANON + """, e3 AS (SELECT doc_id, date_utc, list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS sh FROM el WHERE len(ws) >= 30),
+_EDGES = _CANON + """, e3 AS (SELECT doc_id, date_utc, list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS sh FROM el WHERE len(ws) >= 30),
 ex2 AS (SELECT doc_id, len(sh) AS n, hash(unnest(sh)) AS s FROM e3),
-dfq AS (SELECT s FROM ex2 GROUP BY s HAVING count(*) BETWEEN 2 AND 60),
-pr2 AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM (SELECT * FROM ex2 SEMI JOIN dfq USING (s)) a JOIN (SELECT * FROM ex2 SEMI JOIN dfq USING (s)) b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL HAVING count(*) >= 8),
-pj AS (SELECT a, b, len(list_intersect(x.sh, y.sh)) AS i, len(x.sh) AS na, len(y.sh) AS nb FROM pr2 JOIN e3 x ON x.doc_id = a JOIN e3 y ON y.doc_id = b)
-SELECT a, b, round_even(i / (na + nb - i), 6) AS jaccard FROM pj WHERE i / (na + nb - i) >= 0.85
+pr2 AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i FROM ex2 a JOIN ex2 b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+ed AS (SELECT a, b, i / (na + nb - i) AS j FROM pr2 WHERE i / (na + nb - i) >= 0.85)
 """
+_STARS = _EDGES + """, ag AS (SELECT doc_id, row_number() OVER (ORDER BY date_utc NULLS LAST, doc_id) AS age FROM e3),
+nb AS (SELECT x.age AS v, y.age AS u, j FROM ed JOIN ag x ON x.doc_id = a JOIN ag y ON y.doc_id = b UNION ALL SELECT y.age, x.age, j FROM ed JOIN ag x ON x.doc_id = a JOIN ag y ON y.doc_id = b),
+od AS (SELECT v, list(u) FILTER (u < v) AS earlier, row_number() OVER (ORDER BY v) AS k FROM nb GROUP BY v),
+st AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS centers
+  UNION ALL SELECT od.k, CASE WHEN list_has_any(st.centers, coalesce(od.earlier, [])) THEN st.centers ELSE list_append(st.centers, od.v) END FROM st JOIN od ON od.k = st.k + 1),
+ce AS (SELECT unnest(centers) AS c FROM st WHERE k = (SELECT max(k) FROM st)),
+ab AS (SELECT v, min(u) AS c FROM nb WHERE u < v AND u IN (SELECT c FROM ce) AND v NOT IN (SELECT c FROM ce) GROUP BY v),
+mb AS (SELECT ab.v, ab.c, nb.j FROM ab JOIN nb ON nb.v = ab.v AND nb.u = ab.c UNION ALL SELECT DISTINCT c, c, 1.0 FROM ab),
+ne AS (SELECT m.doc_id, 'near-' || c.doc_id AS cluster_id, c.doc_id AS canonical_doc_id, round_even(mb.j, 6) AS jaccard_to_canonical FROM mb JOIN ag m ON m.age = mb.v JOIN ag c ON c.age = mb.c)
+"""
+_NEAR = _EDGES + "SELECT a, b, round_even(j, 6) AS jaccard FROM ed"
 
 
 @query("sim_jaccard", _NEAR)
@@ -697,9 +740,9 @@ def _(s, d):
     return e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.bround("jaccard", 6).alias("jaccard"))
 
 
-@query("ded_near", None)
+@query("ded_near", "RECURSIVE" + _STARS + "SELECT doc_id, cluster_id, canonical_doc_id, jaccard_to_canonical FROM ne")
 def _(s, d):
-    return dedup.near_clusters(*_canonicals(s, d))
+    return dedup.near_clusters(*_canonicals(s, d)).drop("minhash_seed_version")
 
 
 @query("ded_near_minhash", None)
@@ -707,15 +750,42 @@ def _(s, d):
     return dedup.near_clusters(*_canonicals(s, d), mode="minhash")
 
 
-@query("agg_preproc", _CANON + "SELECT count(*) AS messages, count(*) FILTER (dup_rank = 0) AS canonical_docs, count(*) FILTER (dup_rank > 0) AS exact_dup_docs FROM ex")
+_REPORT = "RECURSIVE" + _STARS + ", tc AS (SELECT *, CAST([] AS VARCHAR[]) AS attachment_names FROM ca)" + _THREAD.replace("FROM tm)", "FROM tc)") + """
+SELECT (SELECT count(*) FROM ex) AS messages, (SELECT count(*) FROM ca) AS canonical_docs, (SELECT count(*) FROM ex WHERE dup_rank > 0) AS exact_dup_docs,
+  (SELECT count(*) FROM ne) AS near_dup_docs, (SELECT count(DISTINCT cluster_id) FROM ne) AS near_clusters, (SELECT count(DISTINCT thread_id) FROM rs) AS threads,
+  (SELECT count(*) FROM (SELECT thread_id FROM rs GROUP BY 1 HAVING count(*) = 1)) AS singleton_threads,
+  (SELECT count(*) FROM rs WHERE inclusive_reason = 'terminal_node') AS terminal_node, (SELECT count(*) FROM rs WHERE inclusive_reason = 'unique_content') AS unique_content,
+  (SELECT count(*) FROM rs WHERE inclusive_reason IS NOT NULL) AS inclusive_docs"""
+_REPORTED = ("messages", "canonical_docs", "exact_dup_docs", "near_dup_docs", "near_clusters", "threads", "singleton_threads", "terminal_node", "unique_content", "inclusive_docs")
+
+
+def _reported(s, report: dict) -> DataFrame:
+    flat = report | {k: report["inclusive"].get(k, 0) for k in ("terminal_node", "unique_content")}
+    return s.createDataFrame([tuple(int(flat[k]) for k in _REPORTED)], ", ".join(f"{k} long" for k in _REPORTED))
+
+
+@query("agg_preproc", _REPORT)
 def _(s, d):
-    e = dedup.exact_clusters(views.normed(s, d))
-    return e.agg(F.count("*").alias("messages"), F.count_if(F.col("dup_rank") == 0).alias("canonical_docs"), F.count_if(F.col("dup_rank") > 0).alias("exact_dup_docs"))
+    m = cut(views.normed(s, d).select("doc_id", "subject_norm", "body_norm", "date_utc").withColumn("attachment_names", F.array().cast("array<string>")))
+    exact = cut(dedup.exact_clusters(m))
+    canonicals = dedup.canonical(m, exact)
+    return _reported(s, preprocess.report(exact, cut(dedup.near_clusters(canonicals, m)), cut(threads.threads(canonicals)), m, preprocess.Params()))
 
 
-@query("pre_run", _THREAD + "SELECT coalesce(inclusive_reason, 'not inclusive') AS reason, count(*) AS n, count(DISTINCT thread_id) AS threads FROM rs GROUP BY 1")
+@query("pre_run", _REPORT)
 def _(s, d):
-    return _threads(s, d).groupBy(F.coalesce("inclusive_reason", F.lit("not inclusive")).alias("reason")).agg(F.count("*").alias("n"), F.countDistinct("thread_id").alias("threads"))
+    """The run itself over a stored table, twice: the second one finds the report and resumes."""
+    root = scratch(s)
+    m = views.normed(s, d)
+    for f in schemas.MESSAGES:
+        if f.name not in m.columns:
+            m = m.withColumn(f.name, (F.array() if f.dataType.typeName() == "array" else F.lit(None)).cast(f.dataType))
+    tables.write_table(m.select([f.name for f in schemas.MESSAGES]), root, "docs", "messages", ["doc_id"])
+    with tempfile.TemporaryDirectory() as folder:  # the driver's report
+        path = Path(folder) / "report.json"
+        if [preprocess.run(s, root, "docs", path) for _ in range(2)] != [0, 0]:
+            raise checks.CheckError("the run did not finish")
+        return _reported(s, json.loads(path.read_text()))
 
 
 # --- review ------------------------------------------------------------------------------------------------------------
@@ -785,16 +855,51 @@ def _(s, d):
     return s.createDataFrame([("view", over)], "phase string, over boolean")
 
 
-@query("qrl_run", "SELECT topic, CAST(sum(judged) AS BIGINT) AS judged, CAST(sum(rel) AS BIGINT) AS relevant, round_even(sum(CASE WHEN judged > 0 THEN rel / judged * n ELSE 0 END), 2) AS estimated_r FROM cells GROUP BY topic")
-def _(s, d):
-    lines = views.judgment_lines(s, d)
-    sums = judgments.cells(lines).groupBy("topic").agg(F.sum("judged").alias("judged"), F.sum("rel").alias("relevant"))
-    return sums.join(judgments.estimated_relevant(lines), "topic")
-
-
-@query("acq_verify", "SELECT doc_id, sha256(text) AS digest FROM documents", plain=True)
-def _(s, d):
-    return views.table(s, d, "documents").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"))
+_POLICIES = ORACLE["agg_policy"].removeprefix(views.SQL).rpartition("SELECT *, CASE")[0]
+
+
+@query(
+    "qrl_run",
+    _POLICIES + _FOLD + _RELCUST.rpartition("SELECT topic, custodian")[0] + """
+SELECT topic, 'judged' AS part, '' AS name, CAST(sum(judged) AS DOUBLE) AS v FROM cells GROUP BY topic
+UNION ALL SELECT topic, 'relevant', '', CAST(sum(rel) AS DOUBLE) FROM cells GROUP BY topic
+UNION ALL SELECT topic, 'estimated_r', '', round_even(sum(CASE WHEN judged > 0 THEN rel / judged * n ELSE 0 END), 2) FROM cells GROUP BY topic
+UNION ALL SELECT topic, policy || '.' || k, '', v FROM (UNPIVOT (SELECT topic, policy, judged, covered, relevant, covered_rel FROM z) ON judged, covered, relevant, covered_rel INTO NAME k VALUE v)
+UNION ALL SELECT topic, 'fold.judged', custodian, count(*) FROM fo GROUP BY topic, custodian
+UNION ALL SELECT topic, 'fold.relevant', custodian, CAST(sum(relevance) AS DOUBLE) FROM fo GROUP BY topic, custodian
+UNION ALL SELECT topic, 'top', custodian, n FROM ranked WHERE rank <= 15
+UNION ALL SELECT topic, 'custodians', '', custodians FROM about UNION ALL SELECT topic, 'unmapped', '', unmapped FROM about""",
+)
+def _(s, d):
+    """The whole coverage report, in rows."""
+    report = coverage.report(views.judgment_lines(s, d), views.id_map(s, d), views.messages(s, d), _owners(s, d))
+    rows = []
+    for topic, r in report["topics"].items():
+        rows += [(topic, k, "", r[k]) for k in ("judged", "relevant", "estimated_r")]
+        rows += [(topic, f"{p}.{k}", "", n[k]) for p, n in r["policies"].items() for k in ("judged", "covered", "relevant", "covered_rel")]
+        rows += [(topic, f"fold.{k}", c, n[k]) for c, n in r["per_custodian_fold"].items() for k in ("judged", "relevant")]
+        full = r["relevant_by_custodian_full"]
+        rows += [(topic, "top", c, n) for c, n in full["top"].items()] + [(topic, k, "", full[k]) for k in ("custodians", "unmapped")]
+    return s.createDataFrame([(t, p, n, float(v)) for t, p, n, v in rows], "topic string, part string, name string, v double")
+
+
+@query(
+    "acq_verify",
+    """WITH f AS (SELECT source AS folder, source || '/' || lang || '.txt ' || sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY doc_id) || chr(10)) AS line FROM documents GROUP BY source, lang)
+    SELECT sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM f""",
+    plain=True,
+)
+def _(s, d):
+    """A folder of one file for each source and language, written and read back."""
+    path = scratch(s)
+    rows = views.table(s, d, "documents").groupBy("source", "lang").agg(F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), "\n").alias("t"))
+    hadoop, conf = s.sparkContext._jvm.org.apache.hadoop.fs, s.sparkContext._jsc.hadoopConfiguration()
+    for r in rows.toLocalIterator():  # a small file for each
+        at = hadoop.Path(f"{path}/{r['source']}/{r['lang']}.txt")
+        out = at.getFileSystem(conf).create(at)
+        out.write(bytearray(f"{r['t']}\n".encode()))
+        out.close()
+    return s.createDataFrame([(tables.directory_digest(s, path),)], "digest string")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

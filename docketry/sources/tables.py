@@ -83,6 +83,11 @@ def text_of(value: str) -> str:
     return " ".join(value.split())
 
 
+def log_path(root: str, corpus: str) -> str:
+    """Where a corpus's decisions are logged."""
+    return f"{root}/{corpus}_decisions.jsonl"
+
+
 def read_log(spark: SparkSession, path: str, schema=schemas.DECISIONS) -> DataFrame:
     """JSON lines with a fixed schema, so topics stay strings; a missing path is an empty log."""
     if not _exists(spark, path):
