@@ -1,3 +1,4 @@
+import hashlib
 import random
 from datetime import datetime, timedelta
 
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketry.functions import text as tx
-from docketry.operators import checks, dedup, evaluate, judgments, sampling, spend, threads, windows
+from docketry.operators import checks, dedup, evaluate, judgments, review, sampling, spend, threads, windows
 from docketry.operators import decisions as dec
 
 MSG = "doc_id string, subject_norm string, body_norm string, date_utc timestamp, attachment_names array<string>"
@@ -301,3 +302,47 @@ def test_budget(spark):
 def test_containment_needs_content(spark):
     df = spark.createDataFrame([("", "x"), ("x", "axb"), ("y", "x")], "a string, b string")
     assert [r[0] for r in df.select(tx.contained("a", "b")).collect()] == [False, True, False]
+
+
+def test_minhash_finds_what_the_exact_mode_finds(spark):
+    """Of pairs at 0.85 and over, copies with a few words changed, three in four at least, as the estimate errs at the threshold; all from 0.93 on."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(40):
+        base = [f"{rng.choice('abcdefgh')}{rng.randrange(500)}" for _ in range(200)]
+        for c in range(4):
+            w = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                w[rng.randrange(len(w))] = f"q{rng.randrange(10_000)}"
+            rows.append((f"d{k:03d}-{c}", None, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id string, date_utc timestamp, body string").withColumn("w", F.split("body", " "))
+    sig = dedup.signatures(docs)
+    exact = {(r["a"], r["b"]): r["jaccard"] for r in dedup.jaccard_edges(sig, 0.85).collect()}
+    near = {(r["a"], r["b"]) for r in dedup.minhash_edges(sig, 0.85).collect()}
+    assert len(exact) > 100 and len(near & exact.keys()) >= 0.75 * len(exact)
+    assert all(e in near for e, j in exact.items() if j >= 0.93)
+
+
+def test_protocol_names_and_templates(spark, tmp_path):
+    for corpus in ("bush", "docs"):
+        row = spark.range(1).select(review.protocol_stems(F.lit(corpus), F.lit("7")).alias("s")).first()
+        assert row["s"] == review.protocol_stem(corpus, "7")
+    assert review.generate_protocol(tmp_path, "docs", "7", " Seven ", " all  of\nit ", 2) is None  # there is no version 1 yet
+    one = review.generate_protocol(tmp_path, "docs", "7", " Seven ", " all  of\nit ")
+    two = review.generate_protocol(tmp_path, "docs", "7", " Seven ", " all  of\nit ", 2)
+    assert (one.name, two.name) == ("topic7.v1.md", "topic7.v2.md") and "> all of it\n" in one.read_text()
+    assert "version 1" in one.read_text().splitlines()[0] and "version 2" in two.read_text().splitlines()[0]
+    assert review.generate_protocol(tmp_path, "docs", "7", "Seven", "x") is None and review.load_protocol(two).version == "topic7.v2"
+    with pytest.raises(ValueError, match="empty request"):
+        review.generate_protocol(tmp_path, "docs", "8", "Eight", "  ")
+
+
+def test_strata_thinned_by_hash_give_the_whole_order(spark):
+    """The same rows as by sorting whole strata; strata smaller than wanted come whole; ``parity`` draws as the generator does."""
+    rows = [(g, f"d{i}") for g, n in (("a", 3000), ("b", 5), (None, 40)) for i in range(n)]
+    df = spark.createDataFrame([r for r in rows if r[0]], "g string, id string")
+    sizes = spark.createDataFrame([("a", 17), ("b", 9)], "g string, k int")
+    want = {("b", f"d{i}") for i in range(5)} | {("a", x) for x in sorted((f"d{i}" for i in range(3000)), key=lambda x: hashlib.sha256(f"7:a:{x}".encode()).hexdigest())[:17]}
+    assert {tuple(r) for r in sampling.take(df, ["g"], sizes, "id", 7).collect()} == want
+    drawn = set(random.Random("7:a").sample(sorted(f"d{i}" for i in range(3000)), 17))
+    assert {r["id"] for r in sampling.take(df, ["g"], sizes, "id", 7, parity=True).filter("g = 'a'").collect()} == drawn
