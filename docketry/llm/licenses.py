@@ -180,8 +180,12 @@ class Scanner:
                 codes = np.array([self._code[w] for w in words], np.int64)
                 t = Template(name, words, len(self._plain.compress(raw)), given, int(self.tolerance * len(words)), np.unique(codes[:-1] * len(self._code) + codes[1:]))
                 by_size.setdefault(len(words), []).append(t)
-            self._pairs = np.unique(np.concatenate([t.pairs for x in by_size.values() for t in x] or [np.zeros(0, np.int64)]))
             self._ready = sorted(by_size.items())
+            each = [t for _, x in self._ready for t in x]
+            self._pairs = np.unique(np.concatenate([t.pairs for t in each] or [np.zeros(0, np.int64)]))
+            self._holds = np.stack([np.isin(self._pairs, t.pairs) for t in each], 1) if each else np.zeros((0, 0), bool)  # pairs x templates
+            self._need = np.array([max(1, len(t.words) - 1 - 2 * t.slack) for t in each], np.int64)
+            self._single = {size: self._code[t.words[0]] for size, x in self._ready for t in x if size == 1}
         return self._ready
 
     def spots(self, words: list[bytes]) -> dict[int, list[int]]:
@@ -190,22 +194,19 @@ class Scanner:
         codes = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         at = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
         pair = codes[at] * len(self._code) + codes[at + 1]
-        known = np.isin(pair, self._pairs)
-        at, pair = at[known], pair[known]
-        out: dict[int, list[int]] = {}
-        for size, templates in classes:
-            found: set[int] = set(np.flatnonzero(codes == self._code[templates[0].words[0]]).tolist()) if size == 1 else set()
-            for t in templates:
-                need = max(1, size - 1 - 2 * t.slack)
-                own = at[np.isin(pair, t.pairs)]
-                if len(own) < need:
-                    continue
-                first = np.flatnonzero(own[need - 1 :] - own[: len(own) - need + 1] <= size + t.slack - 2)
-                for j in range(need):
-                    found.update(own[first + j].tolist())
-            if found:
-                out[size] = sorted(found)
-        return out
+        where = np.minimum(np.searchsorted(self._pairs, pair), max(0, len(self._pairs) - 1))
+        known = self._pairs[where] == pair if len(self._pairs) else np.zeros(len(pair), bool)
+        at, holds = at[known], self._holds[where[known]]
+        enough = np.flatnonzero(holds.sum(0) >= self._need) if len(at) else ()
+        out: dict[int, set[int]] = {size: set(np.flatnonzero(codes == code).tolist()) for size, code in self._single.items()}
+        each = [t for _, x in classes for t in x]
+        for k in enough:
+            t, own = each[k], at[holds[:, k]]
+            size, need = len(t.words), int(self._need[k])
+            first = np.flatnonzero(own[need - 1 :] - own[: len(own) - need + 1] <= size + t.slack - 2)
+            if len(first):
+                out.setdefault(size, set()).update(own[(first[:, None] + np.arange(need)).ravel()].tolist())
+        return {size: sorted(x) for size, x in out.items() if x}
 
     def occurrences(self, t: Template, words: list[bytes], lo: int = 0) -> list[tuple[int, int, list[str]]]:
         """(start, end, edits) of the template in ``words``, which start at word ``lo``: the best one, and those before and after it."""
