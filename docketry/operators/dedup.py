@@ -80,22 +80,29 @@ def jaccard_edges(sig: DataFrame, threshold: float) -> DataFrame:
     Shingles are taken rarest first. Two sets that are alike enough share one of their first n - ceil(t n) + 1; only those
     are joined. Rare shingles keep the groups small.
     """
-    sig = cut(sig)  # texts are read and cut into shingles once
-    each = sig.select("doc_id", F.size("sh").alias("n"), F.explode("sh").alias("s"))
-    rare = each.groupBy("s").agg(F.count("*").alias("df"))
-    ordered = each.join(rare.filter("df > 1"), "s").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("by"))
+    # texts are read and cut into shingles once; rows go by numbers, which the checkpoint fixes
+    sig = cut(sig.withColumn("v", F.monotonically_increasing_id()))
+    each = sig.select("v", F.size("sh").alias("n"), F.explode("sh").alias("s"))
+    rare = each.groupBy("s").agg(F.count("*").cast("int").alias("df"))
+    ordered = each.join(rare.filter("df > 1"), "s").groupBy("v", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("by"))
     # shingles of one document only come first in the order and never meet; what is left of the prefix is joined
     keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) + 1 - (F.col("n") - F.size("by"))
-    prefix = ordered.select("doc_id", "n", F.explode(F.slice("by", F.lit(1), F.greatest(keep, F.lit(0)).cast("int"))).alias("p")).select("doc_id", "n", "p.s")
-    other = prefix.select(F.col("doc_id").alias("d2"), F.col("n").alias("n2"), "s")
-    long_enough = (F.least("n", "n2") >= F.lit(threshold) * F.greatest("n", "n2") - F.lit(1e-9)) & (F.col("doc_id") < F.col("d2"))
-    pairs = prefix.join(other, "s").filter(long_enough).select("doc_id", "d2").distinct()
-    left, right = sig.select("doc_id", F.col("age").alias("g1"), F.col("sh").alias("s1")), sig.select(F.col("doc_id").alias("d2"), F.col("age").alias("g2"), F.col("sh").alias("s2"))
-    both = pairs.join(left, "doc_id").join(right, "d2")
+    prefix = ordered.select("v", "n", F.explode(F.slice("by", F.lit(1), F.greatest(keep, F.lit(0)).cast("int"))).alias("p")).select("v", "n", "p.s")
+    other = prefix.select(F.col("v").alias("v2"), F.col("n").alias("n2"), "s")
+    long_enough = (F.least("n", "n2") >= F.lit(threshold) * F.greatest("n", "n2") - F.lit(1e-9)) & (F.col("v") < F.col("v2"))
+    pairs = prefix.join(other, "s").filter(long_enough).select("v", "v2").distinct()
     common = F.size(F.array_intersect("s1", "s2"))
-    both = both.withColumn("jaccard", common / (F.size("s1") + F.size("s2") - common)).filter(F.col("jaccard") >= threshold)
+    return _edges(sig, pairs, "sh", common / (F.size("s1") + F.size("s2") - common), threshold)
+
+
+def _edges(sig: DataFrame, pairs: DataFrame, what: str, similarity: Column, threshold: float) -> DataFrame:
+    """(a, b, ages, jaccard) of ``pairs(v, v2)`` at the threshold or over; a is the earlier one. ``similarity`` is of s1 and s2."""
+    left, right = (sig.select(F.col("v").alias(f"x{k}"), F.col("doc_id").alias(f"d{k}"), F.col("age").alias(f"g{k}"), F.col(what).alias(f"s{k}")) for k in (1, 2))
+    both = pairs.join(left, F.col("v") == F.col("x1")).join(right, F.col("v2") == F.col("x2"))
+    both = both.withColumn("jaccard", similarity).filter(F.col("jaccard") >= threshold)
     first = F.col("g1") < F.col("g2")
-    return both.select(F.when(first, F.col("doc_id")).otherwise(F.col("d2")).alias("a"), F.when(first, F.col("d2")).otherwise(F.col("doc_id")).alias("b"), F.least("g1", "g2").alias("age_a"), F.greatest("g1", "g2").alias("age_b"), "jaccard")
+    a, b = F.when(first, F.col("d1")).otherwise(F.col("d2")), F.when(first, F.col("d2")).otherwise(F.col("d1"))
+    return both.select(a.alias("a"), b.alias("b"), F.least("g1", "g2").alias("age_a"), F.greatest("g1", "g2").alias("age_b"), "jaccard")
 
 
 def bands_for(threshold: float, perms: int = 128) -> tuple[int, int]:
@@ -115,17 +122,12 @@ def minhash_edges(sig: DataFrame, threshold: float, perms: int = 128, seed: int
     bands, rows = bands_for(threshold, perms)
     sig = cut(sig)  # or each of the minima would make the shingles anew
     mins = F.transform(F.sequence(F.lit(1), F.lit(perms)), lambda i: F.array_min(F.transform("sh", lambda h: F.xxhash64(h, i, F.lit(seed)))))
-    m = cut(sig.select("doc_id", "age", mins.alias("m")))
-    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(F.slice("m", b * rows + 1, rows)).alias("key")))
-    keyed = m.select("doc_id", F.explode(band).alias("k")).select("doc_id", "k.*")
-    other = keyed.withColumnRenamed("doc_id", "d2")
-    pairs = keyed.join(other, ["band", "key"]).filter("doc_id < d2").select("doc_id", "d2").distinct()
-    left, right = m.toDF("doc_id", "g1", "m1"), m.toDF("d2", "g2", "m2")
-    both = pairs.join(left, "doc_id").join(right, "d2")
-    equal = F.aggregate(F.zip_with("m1", "m2", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    both = both.withColumn("jaccard", equal / F.lit(perms)).filter(F.col("jaccard") >= threshold)
-    first = F.col("g1") < F.col("g2")
-    return both.select(F.when(first, F.col("doc_id")).otherwise(F.col("d2")).alias("a"), F.when(first, F.col("d2")).otherwise(F.col("doc_id")).alias("b"), F.least("g1", "g2").alias("age_a"), F.greatest("g1", "g2").alias("age_b"), "jaccard")
+    m = cut(sig.select(F.monotonically_increasing_id().alias("v"), "doc_id", "age", mins.alias("m")))
+    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice("m", b * rows + 1, rows)))
+    keyed = m.select("v", F.explode(band).alias("key"))
+    pairs = keyed.join(keyed.withColumnRenamed("v", "v2"), "key").filter("v < v2").select("v", "v2").distinct()
+    equal = F.aggregate(F.zip_with("s1", "s2", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    return _edges(m, pairs, "m", equal / F.lit(perms), threshold)
 
 
 def stars(edges: DataFrame, max_rounds: int = 50) -> DataFrame:

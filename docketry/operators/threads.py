@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import gap_over
 from ..functions.text import collapse, contained
+from ..session import cut
 from .dedup import age_order
 
 
@@ -17,8 +18,8 @@ def segments(messages: DataFrame, max_gap_days: int = 60) -> DataFrame:
     """
     rows = messages.withColumn("__subject", F.when(F.coalesce("subject_norm", F.lit("")) == "", F.concat(F.lit("\0"), "doc_id")).otherwise(F.col("subject_norm")))
     chain = Window.partitionBy("__subject").orderBy(*age_order())
-    cut = F.coalesce(gap_over(F.col("date_utc"), F.lag("date_utc").over(chain), max_gap_days), F.lit(False))
-    rows = rows.withColumn("__cut", cut.cast("int"))
+    gap = F.coalesce(gap_over(F.col("date_utc"), F.lag("date_utc").over(chain), max_gap_days), F.lit(False))
+    rows = rows.withColumn("__cut", gap.cast("int"))
     rows = rows.withColumn("__seg", F.sum("__cut").over(chain.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     seg = Window.partitionBy("__subject", "__seg").orderBy(*age_order())
     return rows.withColumns(
@@ -31,11 +32,27 @@ def segments(messages: DataFrame, max_gap_days: int = 60) -> DataFrame:
     ).drop("__cut", "__seg", "__subject")
 
 
-def _containments(chained: DataFrame) -> DataFrame:
-    """doc_id, has_earlier (an earlier body of the thread is in this one), in_later (this body is in a later one), one join."""
-    text = chained.select("thread_id", "depth", "doc_id", "__text")
+#: Messages of a thread up to which each is compared with each.
+SMALL_THREAD = 64
+#: Words of a run that candidates share.
+RUN = 4
+
+
+def _containments(chained: DataFrame, small: int = SMALL_THREAD) -> DataFrame:
+    """doc_id, has_earlier (an earlier body of the thread is in this one), in_later (this body is in a later one).
+
+    Threads of more than ``small`` messages go by runs of words instead of pairs; the results are the same.
+    """
+    text = chained.select("thread_id", "depth", "doc_id", "__text").filter(F.col("__text") != "")
+    large = cut(chained.groupBy("thread_id").agg(F.count("*").alias("n")).filter(F.col("n") > small).select(F.col("thread_id").alias("__large")))
+    if not large.limit(1).count():
+        return _each_with_each(text)
+    is_large = F.col("thread_id") == F.col("__large")
+    return _each_with_each(text.join(large, is_large, "left_anti")).unionByName(_by_runs(text.join(large, is_large, "left_semi")))
+
+
+def _each_with_each(text: DataFrame) -> DataFrame:
     later = text.select("thread_id", F.col("depth").alias("d2"), F.col("doc_id").alias("id2"), F.col("__text").alias("t2"))
-    # an equi-join on the thread with a residual: adaptive execution splits a large thread
     hits = text.join(later, "thread_id").filter((F.col("depth") < F.col("d2")) & contained("__text", "t2")).select("doc_id", "id2")
     sides = F.array(
         F.struct(F.col("id2").alias("doc_id"), F.lit(True).alias("has_earlier"), F.lit(False).alias("in_later")),
@@ -45,6 +62,33 @@ def _containments(chained: DataFrame) -> DataFrame:
     return each.groupBy("doc_id").agg(F.max("has_earlier").alias("has_earlier"), F.max("in_later").alias("in_later"))
 
 
+def _by_runs(text: DataFrame) -> DataFrame:
+    """The same over distinct texts of a thread, with the depths at which each first and last comes.
+
+    A text in another one has all its words but the first and the last as whole words there: its first ``RUN`` inner words, or first
+    inner word, are a run of the other's. Texts of one or two words have no inner words and meet all distinct texts of the thread.
+    """
+    rows = text.groupBy("thread_id", "__text").agg(F.min("depth").alias("first"), F.max("depth").alias("last"))
+    rows = cut(rows.withColumn("v", F.monotonically_increasing_id()).withColumn("w", F.split("__text", " ")))
+    n = F.size("w")
+    own = F.when(n >= RUN + 2, F.xxhash64(F.lit(RUN), F.slice("w", F.lit(2), F.lit(RUN)))).when(n >= 3, F.xxhash64(F.lit(1), F.slice("w", F.lit(2), F.lit(1))))
+    runs = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.lit(k), F.slice("w", i, F.lit(k))))).otherwise(F.array().cast("array<long>"))
+    inner = rows.select("thread_id", F.col("v").alias("a"), own.alias("key"))
+    outer = rows.select("thread_id", F.col("v").alias("b"), F.explode(F.array_distinct(F.concat(runs(RUN), runs(1)))).alias("key"))
+    pairs = inner.filter("key is not null").join(outer, ["thread_id", "key"]).filter("a <> b").select("a", "b").distinct()
+    short = inner.filter("key is null").join(rows.select("thread_id", F.col("v").alias("b")), "thread_id").filter("a <> b").select("a", "b")
+    left = rows.select(F.col("v").alias("a1"), F.col("__text").alias("ta"), F.col("first").alias("fa"))
+    right = rows.select(F.col("v").alias("b1"), F.col("__text").alias("tb"), F.col("last").alias("lb"))
+    met = pairs.unionByName(short).join(left, F.col("a") == F.col("a1")).join(right, F.col("b") == F.col("b1")).filter(contained("ta", "tb"))
+    met = cut(met.select("a", "b", "fa", "lb"))
+    earliest = met.groupBy(F.col("b").alias("vb")).agg(F.min("fa").alias("e"))
+    latest = met.groupBy(F.col("a").alias("va")).agg(F.max("lb").alias("l"))
+    about = rows.join(earliest, F.col("v") == F.col("vb"), "left").join(latest, F.col("v") == F.col("va"), "left")
+    about = about.select(F.col("thread_id").alias("t"), F.col("__text").alias("x"), F.least("first", "e").alias("e"), F.greatest("last", "l").alias("l"))
+    both = text.join(about, (F.col("thread_id") == F.col("t")) & (F.col("__text") == F.col("x")))
+    return both.select("doc_id", (F.col("e") < F.col("depth")).alias("has_earlier"), (F.col("l") > F.col("depth")).alias("in_later"))
+
+
 def own_attachments(names: Column) -> Column:
     """Over a thread's rows: whether some attachment does not come again in a later message of the thread."""
     after = Window.partitionBy("thread_id").orderBy("depth").rowsBetween(1, Window.unboundedFollowing)
@@ -54,7 +98,7 @@ def own_attachments(names: Column) -> Column:
 def threads(messages: DataFrame, max_gap_days: int = 60) -> DataFrame:
     """``threads`` rows of canonical messages (doc_id, subject_norm, body_norm, date_utc, attachment_names)."""
     rows = messages.select("doc_id", "subject_norm", "date_utc", F.coalesce("attachment_names", F.array().cast("array<string>")).alias("att"), collapse("body_norm").alias("__text"))
-    chained = segments(rows, max_gap_days)
+    chained = cut(segments(rows, max_gap_days))
     size = Window.partitionBy("thread_id")
     chained = chained.withColumn("__n", F.count("*").over(size)).withColumn("__own", own_attachments(F.col("att")))
     out = chained.join(_containments(chained).withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left")

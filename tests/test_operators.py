@@ -346,3 +346,19 @@ def test_strata_thinned_by_hash_give_the_whole_order(spark):
     assert {tuple(r) for r in sampling.take(df, ["g"], sizes, "id", 7).collect()} == want
     drawn = set(random.Random("7:a").sample(sorted(f"d{i}" for i in range(3000)), 17))
     assert {r["id"] for r in sampling.take(df, ["g"], sizes, "id", 7, parity=True).filter("g = 'a'").collect()} == drawn
+
+
+def test_large_threads_by_runs_equal_each_with_each(spark):
+    rng = random.Random(5)
+    words = "a an the of to in ok yes no thanks see you then there is it was on at".split()
+    made = []
+    for i in range(90):
+        t = " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 5, 6, 7, 9, 14])))
+        if made and rng.random() < 0.5:  # quotes an earlier one, cut within words
+            old = rng.choice(made)
+            t = f"{t} {old[rng.randrange(0, 3) :]} {rng.choice(words)}".strip()
+        made.append(" ".join(t.split()))
+    rows = spark.createDataFrame([(f"t{i % 2}", i // 2, f"d{i}", t) for i, t in enumerate(made)], "thread_id string, depth int, doc_id string, __text string")
+    whole = {r["doc_id"]: (r["has_earlier"], r["in_later"]) for r in threads._containments(rows, 1000).collect()}
+    cut_up = {r["doc_id"]: (r["has_earlier"], r["in_later"]) for r in threads._containments(rows, 4).collect()}
+    assert {k: v for k, v in cut_up.items() if any(v)} == {k: v for k, v in whole.items() if any(v)} and len(whole) > 30

@@ -70,6 +70,8 @@ def test_review_lifecycle(spark, tmp_path, protocol):
     assert sum(r["input_tokens"] for r in ledger) == 24 * 100  # what cannot be parsed is paid for, what erred is not
     assert spark.read.json(f"{paths[2]}/requests").count() == 25
     tiny = review.Run("docs", "7", "responsiveness", 1, "m", "tiny", 64, 10)
+    none = review.run_chunks(candidates(spark).limit(0), protocol, run, answering, BUDGET, *[p + "0" for p in paths])
+    assert none == review.Outcome([], None)
     stopped = review.run_chunks(candidates(spark), protocol, tiny, answering, BUDGET, *[p + "2" for p in paths])
     assert stopped.batches == [] and "tiny" in stopped.stopped
 
