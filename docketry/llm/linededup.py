@@ -47,8 +47,9 @@ MAX_FILTER_BYTES = 64 << 20
 UNITS = 200_000
 #: Of a text's tag; a line goes only if its form is as told, so few bits do.
 SHORT = 0x7FFFFFFF
-#: What an occurrence is known by, in the order of lines.
-SPOT = ("doc_id", "tag", "line_no")
+#: What an occurrence is known by, in the order of lines: ``at`` has the tag of the text above the number of the line, as one number to deal out.
+SPOT = ("doc_id", "at")
+LINE_BITS = 32
 
 
 def forms(text: bytes | None) -> Iterator[tuple[int, list[bytes]]]:
@@ -86,18 +87,18 @@ def parts(line: list[bytes] | str) -> list[int]:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, line_no, form (k1, k2: 128 bits), the hashes of its parts (null without an edit bound), and ``again``.
+    """doc_id, at, form (k1, k2: 128 bits), the hashes of its parts (null without an edit bound), and ``again``.
 
     ``again``: an earlier line of the same slice of rows has the form, so the line goes and need not be compared further. A
     very frequent line thus counts once for each slice.
     """
 
     def run(batch: pa.RecordBatch):
-        ids, row, line, keys, own, tags = batch.column("doc_id"), [], [], bytearray(), [], []
+        ids, row, spots, keys, own = batch.column("doc_id"), [], [], bytearray(), []
         for r, text in enumerate(texts_of(batch.column("text"))):
-            tag = tag_of(text) & SHORT
+            tag = (tag_of(text) & SHORT) << LINE_BITS
             for i, words in forms(text):
-                row.append(r), line.append(i), tags.append(tag)
+                row.append(r), spots.append(tag | i)
                 keys += xxhash.xxh3_128_digest(b" ".join(words))
                 own.append(parts(u) if (u := units(words)) else ())
         if not row:
@@ -105,25 +106,25 @@ def occurrences(docs: DataFrame) -> DataFrame:
         k = np.frombuffer(bytes(keys), "<i8").reshape(-1, 2)
         p = np.array([(*x, 0, 0, 0, 0)[:4] for x in own], np.uint64).reshape(-1, 4).view(np.int64)
         n = np.array(list(map(len, own)))
-        at, no, tag = np.array(row, np.int64), np.array(line, np.int64), np.array(tags, np.int32)
+        at, spot = np.array(row, np.int64), np.array(spots, np.int64)
         known = ids.is_valid().to_numpy(zero_copy_only=False)[at]
         doc = ids.fill_null(0).to_numpy()[at]
-        order = np.lexsort((no, tag, doc, known, k[:, 1], k[:, 0]))  # by form, then as lines come, null ids first
+        order = np.lexsort((spot, doc, known, k[:, 1], k[:, 0]))  # by form, then as lines come, null ids first
         new = np.ones(len(order), bool)
         new[1:] = (k[order][1:] != k[order][:-1]).any(axis=1)
         head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
         again = np.zeros(len(order), bool)
-        again[order] = (no[order] != no[head]) | (doc[order] != doc[head]) | (tag[order] != tag[head]) | (known[order] != known[head])
+        again[order] = (spot[order] != spot[head]) | (doc[order] != doc[head]) | (known[order] != known[head])
         yield pa.RecordBatch.from_arrays(
             [
-                ids.take(pa.array(at)), pa.array(tag), pa.array(line, pa.int32()), pa.array(k[:, 0]), pa.array(k[:, 1]),
+                ids.take(pa.array(at)), pa.array(spot), pa.array(k[:, 0]), pa.array(k[:, 1]),
                 *(pa.array(p[:, j], mask=n <= j) for j in range(4)), pa.array(again),
             ],
             names,
         )
 
     names = [*SPOT, "k1", "k2", "p0", "p1", "p2", "p3", "again"]
-    schema = "doc_id long, tag int, line_no int, k1 long, k2 long, p0 long, p1 long, p2 long, p3 long, again boolean"
+    schema = "doc_id long, at long, k1 long, k2 long, p0 long, p1 long, p2 long, p3 long, again boolean"
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
 
 
@@ -138,12 +139,12 @@ def candidates(docs: DataFrame, shared: bloom.BlockedBloom) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(shared)
 
     def run(batch: pa.RecordBatch):
-        ids, row, line, own, text_of, tags = batch.column("doc_id"), [], [], [], [], []
+        ids, row, spots, own, text_of = batch.column("doc_id"), [], [], [], []
         for r, text in enumerate(texts_of(batch.column("text"))):
-            tag = tag_of(text) & SHORT
+            tag = (tag_of(text) & SHORT) << LINE_BITS
             for i, words in forms(text):
                 if u := units(words):
-                    row.append(r), line.append(i), tags.append(tag), own.append(parts(u)), text_of.append(words)
+                    row.append(r), spots.append(tag | i), own.append(parts(u)), text_of.append(words)
         if not row:
             return
         n = np.array(list(map(len, own)))
@@ -154,11 +155,11 @@ def candidates(docs: DataFrame, shared: bloom.BlockedBloom) -> DataFrame:
         joined = [b" ".join(text_of[i]) for i in keep]
         side = pa.array(((ends[keep] % 16 > 0) + 2 * (ends[keep] >= 16)).astype(np.int32))
         k = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, joined)), "<i8").reshape(-1, 2)
-        spot = [ids.take(pa.array([row[i] for i in keep], pa.int64())), pa.array([tags[i] for i in keep], pa.int32()), pa.array([line[i] for i in keep], pa.int32())]
+        spot = [ids.take(pa.array([row[i] for i in keep], pa.int64())), pa.array([spots[i] for i in keep], pa.int64())]
         yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), *spot, side, pa.array(joined, pa.binary())], names)
 
     names = ["k1", "k2", *SPOT, "side", "form"]
-    schema = "k1 long, k2 long, doc_id long, tag int, line_no int, side int, form binary"
+    schema = "k1 long, k2 long, doc_id long, at long, side int, form binary"
     rows = map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
     return rows.groupBy("k1", "k2").agg(F.min(F.struct(*SPOT, "side", "form")).alias("first")).select("k1", "first.*")
 
@@ -190,7 +191,7 @@ def variants(firsts: DataFrame, decided: bool) -> DataFrame:
         known = ids.is_valid().to_numpy(zero_copy_only=False)
         # the order of the batch's lines, null ids first
         rank = np.empty(len(ids), np.int64)
-        rank[np.lexsort((spots[2].to_numpy(), spots[1].to_numpy(), ids.fill_null(0).to_numpy(), known))] = np.arange(len(ids))
+        rank[np.lexsort((spots[1].to_numpy(), ids.fill_null(0).to_numpy(), known))] = np.arange(len(ids))
         back = np.argsort(rank)
         todo, sides = [units(f.split(b" ")) for f in batch.column("form").to_pylist()], batch.column("side").to_numpy()
         for lo, hi in slices(list(map(len, todo)), UNITS):
@@ -219,13 +220,13 @@ def variants(firsts: DataFrame, decided: bool) -> DataFrame:
                 columns = [pa.array(v[pick].view(np.int64)), pa.array(pos[pick].astype(np.int32)), *columns]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
-    spot = "doc_id long, tag int, line_no int"
-    schema = f"{spot}, by_doc long, by_tag int, by_line int" if decided else f"v long, pos int, {spot}"
+    spot = "doc_id long, at long"
+    schema = f"{spot}, by_doc long, by_at long" if decided else f"v long, pos int, {spot}"
     return map_batches(firsts.select(*SPOT, "side", "form"), run, schema)
 
 
 def near_links(firsts: DataFrame) -> DataFrame:
-    """(spot, by_doc, by_tag, by_line): lines with an earlier one under a common variant, and that one."""
+    """(spot, by_doc, by_at): lines with an earlier one under a common variant, and that one."""
     own = F.struct(*SPOT)
     spot, key = Window.partitionBy("v", "pos"), Window.partitionBy("v")
     # by the key first: what is dealt out by the key is dealt out for key and position as well
@@ -233,10 +234,10 @@ def near_links(firsts: DataFrame) -> DataFrame:
     rows = rows.withColumn("whole", F.min(F.when(F.col("pos") < 0, own)).over(key)).withColumn("cut", F.min(F.when(F.col("pos") >= 0, own)).over(key))
     rows = rows.withColumn("same", F.min(own).over(spot)).withColumn("own", own)
     by = F.when(F.col("pos") < 0, F.col("cut")).otherwise(F.when(F.col("same") < F.col("own"), F.col("same")).otherwise(F.col("whole")))
-    names = [F.col(f"by.{a}").alias(b) for a, b in zip(SPOT, ("by_doc", "by_tag", "by_line"), strict=True)]
+    names = [F.col(f"by.{a}").alias(b) for a, b in zip(SPOT, ("by_doc", "by_at"), strict=True)]
     met = rows.withColumn("by", by).filter("by < own").select("own.*", *names)
     both = met.unionByName(variants(firsts, decided=True))
-    return both.groupBy(*SPOT).agg(F.min(F.struct("by_doc", "by_tag", "by_line")).alias("by")).select(*SPOT, "by.*")
+    return both.groupBy(*SPOT).agg(F.min(F.struct("by_doc", "by_at")).alias("by")).select(*SPOT, "by.*")
 
 
 def within_one(a: list[bytes] | str, b: list[bytes] | str) -> bool:
@@ -252,17 +253,17 @@ def within_one(a: list[bytes] | str, b: list[bytes] | str) -> bool:
 
 def verified(met: DataFrame, firsts: DataFrame) -> DataFrame:
     """(spot, k1) of the rows of ``met`` whose two lines are within the bound, unit by unit."""
-    left = firsts.select(F.col("doc_id").alias("d1"), F.col("tag").alias("t1"), F.col("line_no").alias("l1"), "k1", F.col("form").alias("a"))
-    right = firsts.select(F.col("doc_id").alias("d2"), F.col("tag").alias("t2"), F.col("line_no").alias("l2"), F.col("form").alias("b"))
-    pairs = met.join(left, F.col("doc_id").eqNullSafe(F.col("d1")) & (F.col("tag") == F.col("t1")) & (F.col("line_no") == F.col("l1")))
-    pairs = pairs.join(right, F.col("by_doc").eqNullSafe(F.col("d2")) & (F.col("by_tag") == F.col("t2")) & (F.col("by_line") == F.col("l2")))
+    left = firsts.select(F.col("doc_id").alias("d1"), F.col("at").alias("l1"), "k1", F.col("form").alias("a"))
+    right = firsts.select(F.col("doc_id").alias("d2"), F.col("at").alias("l2"), F.col("form").alias("b"))
+    pairs = met.join(left, F.col("doc_id").eqNullSafe(F.col("d1")) & (F.col("at") == F.col("l1")))
+    pairs = pairs.join(right, F.col("by_doc").eqNullSafe(F.col("d2")) & (F.col("by_at") == F.col("l2")))
 
     def run(batch: pa.RecordBatch):
         both = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)
         ok = [within_one(units(a.split(b" ")), units(b.split(b" "))) for a, b in both]
         yield batch.select([*SPOT, "k1"]).filter(pa.array(ok))
 
-    return map_batches(pairs.select(*SPOT, "k1", "a", "b"), run, "doc_id long, tag int, line_no int, k1 long")
+    return map_batches(pairs.select(*SPOT, "k1", "a", "b"), run, "doc_id long, at long, k1 long")
 
 
 def dropped_lines(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
@@ -278,7 +279,9 @@ def dropped_lines(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) ->
     repeats = (
         lines.join(earliest, (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2"))).filter(~F.struct(*SPOT).eqNullSafe(F.col("first"))).select(*SPOT, "k1")
     )
-    return again.unionByName(repeats).unionByName(near).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("line_no", "k1")).alias("gone"))
+    gone = again.unionByName(repeats).unionByName(near)
+    tag, line = F.shiftright("at", LINE_BITS).cast("int").alias("tag"), F.col("at").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int").alias("line_no")
+    return gone.select("doc_id", tag, F.struct(line, "k1").alias("x")).groupBy("doc_id", "tag").agg(F.collect_list("x").alias("gone"))
 
 
 def _kept(text: bytes, gone: list[dict]) -> tuple[bytes, list[int]]:
