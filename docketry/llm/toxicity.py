@@ -37,7 +37,9 @@ WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6, 7, 8)
 #: Padded cells of one forward-backward block.
-CELLS = 1_500_000
+CELLS = 750_000
+#: Words whose emissions a worker remembers, and characters of texts that it tags at a time.
+WORDS, TAGGED = 200_000, 2_000_000
 REJECT_AT = 0.3
 
 
@@ -87,7 +89,7 @@ class Chain:
         return self.__dict__ | {"_words": None}
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        if self._words is None or len(self._words) > 1_000_000:  # bounded
+        if self._words is None or len(self._words) > WORDS:
             self._words = Emissions(self.weight)
         at = np.fromiter(map(self._words.__getitem__, words), np.int64, len(words))
         e = self._words.table[at]
@@ -333,7 +335,7 @@ def spans_of(text: str, odds: np.ndarray, span_at: float) -> list[dict]:
 
 def tagged(chain: Chain, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
     """Start, scores and token log-odds of slices of bounded size."""
-    for lo, hi in slices([len(t or "") for t in texts]):
+    for lo, hi in slices([len(t or "") for t in texts], TAGGED):
         odds = log_odds(chain, [chain.emissions(w) if (w := tokens(t)) else np.zeros(0) for t in texts[lo:hi]])
         x = np.array([(1.0, *summary(o)) for o in odds])
         yield lo, sigmoid(x @ chain.doc) if chain.fitted else np.zeros(hi - lo), odds
