@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one slice of a batch holds at most (a longer single text makes a slice of its own).
@@ -44,6 +44,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sliced(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` ranged by ``keys``, with the number of the range as ``slice``; cut, so that a row keeps its slice.
+
+    Ranges are about equal in rows as long as the keys tell most rows apart.
+    """
+    return cut(rows.repartitionByRange(*keys).withColumn("slice", F.spark_partition_id()))
+
+
+def numbered(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """``rows`` with ``slice``, ``number`` (from 0 on, within ``key``, by ``order``, nulls first) and ``n``, the rows of the key.
+
+    Two levels: rows are numbered within (slice, key), and offset by the rows of the key in the slices before. So a key with very
+    many rows is dealt out to many tasks; one row for each (slice, key) is all that meets by key.
+    """
+    ranged = sliced(rows, key, *order)
+    parts = ranged.groupBy("slice", key).agg(F.count("*").alias("m"))
+    before = Window.partitionBy(key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("slice", key, F.coalesce(F.sum("m").over(before), F.lit(0)).alias("ahead"), F.sum("m").over(Window.partitionBy(key)).alias("n"))
+    within = Window.partitionBy("slice", key).orderBy(*order)
+    return ranged.join(parts, ["slice", key]).withColumn("number", F.row_number().over(within) - 1 + F.col("ahead")).drop("ahead")
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str
 ) -> DataFrame:

@@ -1,6 +1,6 @@
 """Queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import decontaminate, fingerprint, langid, licenses, linededup, mixing, quality, simhash, toxicity, urls
+from . import decontaminate, fingerprint, langid, licenses, linededup, merkle, mixing, quality, simhash, toxicity, urls
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_simhash": simhash.op9_simhash,
     "op10_urls": urls.op10_urls,
+    "op11_merkle": merkle.op11_merkle,
 }
-ORACLE = {"op3_decontaminate": decontaminate.SQL, "op5_mixing": mixing.SQL, "op10_urls": urls.SQL}
+ORACLE = {"op3_decontaminate": decontaminate.SQL, "op5_mixing": mixing.SQL, "op10_urls": urls.SQL, "op11_merkle": merkle.SQL}
