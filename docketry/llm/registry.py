@@ -1,6 +1,6 @@
 """Queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import decontaminate, fingerprint, langid, licenses, linededup, merkle, mixing, quality, simhash, toxicity, urls
+from . import decontaminate, fingerprint, langid, licenses, linededup, merkle, minhash, mixing, prefixes, quality, simhash, toxicity, urls
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -14,5 +14,14 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_urls": urls.op10_urls,
     "op11_merkle": merkle.op11_merkle,
+    "op12_prefixes": prefixes.op12_prefixes,
+    "op13_minhash": minhash.op13_minhash,
+}
+ORACLE = {
+    "op3_decontaminate": decontaminate.SQL,
+    "op5_mixing": mixing.SQL,
+    "op10_urls": urls.SQL,
+    "op11_merkle": merkle.SQL,
+    "op12_prefixes": prefixes.SQL,
+    "op13_minhash": minhash.SQL,
 }
-ORACLE = {"op3_decontaminate": decontaminate.SQL, "op5_mixing": mixing.SQL, "op10_urls": urls.SQL, "op11_merkle": merkle.SQL}
