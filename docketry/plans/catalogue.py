@@ -906,4 +906,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prf(spark, sf_dir)
 
 
-from . import archives  # noqa: E402, F401  registers its queries here
+from . import archives, streams  # noqa: E402, F401  register their queries here
