@@ -8,16 +8,19 @@ from __future__ import annotations
 import io
 import tarfile
 import zipfile
+from collections.abc import Iterator
 from email.message import EmailMessage
 from xml.sax.saxutils import quoteattr
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas, views
 from ..operators import dedup, judgments, review, windows
-from ..sources import archives, messages, tables
+from ..sources import archives, connector, listing, loadfile, messages, tables
 from . import ingest
 from .catalogue import query, scratch
 
@@ -50,6 +53,23 @@ def _tar(mode: str, row_of):
     return pack
 
 
+def _store(spark: SparkSession, packed: str) -> str:
+    """The archives of a table as files, which tasks write; in a store that pyarrow knows."""
+    folder = scratch(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = FileSystem.from_uri(folder)
+        store.create_dir(at)
+        for batch in batches:
+            for r in batch.to_pylist():
+                with store.open_output_stream(f"{at}/{r['archive']}") as out:
+                    out.write(r["content"])
+            yield batch.select(["archive"])
+
+    spark.read.parquet(packed).select("archive", "content").mapInArrow(run, "archive string").count()
+    return folder
+
+
 @query(
     "src_tgz",
     "SELECT 'part' || (n // 200) || '.tgz/dir/' || lpad(CAST(n AS VARCHAR), 9, '0') AS source_file, custodian AS from_name, subject, subject_norm, body_hash, len(string_split(lang || ';x', ';')) AS n_to FROM mk",
@@ -127,6 +147,46 @@ def _judged_rows(s: SparkSession, d: str) -> DataFrame:
     return messages.judged_texts(archives.tar(s, files=s.read.parquet(path)))
 
 
+@query(
+    "src_format",
+    "SELECT 'part' || (n // 200) || '.tgz/dir/' || lpad(CAST(n AS VARCHAR), 9, '0') AS source_file, custodian AS from_name, subject_norm, body_hash FROM mk",
+)
+def _(s, d):
+    """Archives as files, through the data source; conditions that all members meet are pushed into it."""
+    row_of = lambda r: (f"dir/{r.n:09d}", f"From:\t{r.custodian} <a@b.c>\nTo:\t{r.lang}; x\nSubject:\t{r.subject}\n\n{r.body_text}")
+    folder = _store(s, _write(s, views.messages(s, d), _tar("w:gz", row_of), "part{}.tgz"))
+    members = connector.register(s).read.format("archive").load(folder).filter(F.col("archive").endswith(".tgz") & F.col("member").startswith("dir/"))
+    return messages.tab_texts(members).select("source_file", "from_name", "subject_norm", "body_hash")
+
+
+@query("src_listing", "SELECT '3.' || n || '.' || lang AS trec_doc_id, custodian, sha256(body_text) AS body FROM m")
+def _(s, d):
+    """Plain tars listed into an index and again from it, and all members read by seeking to where it says."""
+    row_of = lambda r: (f"./edrm-enron-v2_{r.custodian}_xml/text_000/3.{r.n}.{r.lang}.txt", r.body_text)
+    folder, index = _store(s, _write(s, views.messages(s, d), _tar("w", row_of), "part{}.tar")), scratch(s)
+    listing.listing(s, folder, index)
+    owners = archives.custodian_map(s, folder, index=index)
+    texts = listing.contents(listing.listing(s, folder, index)).select(F.regexp_extract("member", r"([^/]*)\.txt\z", 1).alias("id"), F.sha2("content", 256).alias("body"))
+    return owners.join(texts, F.col("trec_doc_id") == F.col("id")).select("trec_doc_id", "custodian", "body")
+
+
+def _pack_broken(pdf: pd.DataFrame) -> bytes:
+    """A load file whose entries are broken in three ways for ids that 13 divides."""
+    broken = ("<Document DocID='3.{}' DocType='Message'><Tags></Document>", "<Document DocID='3.{}' DocType='Message'><Tags>", "<Document DocID='3.{}' DocType='Message'>&no;</Document>")
+    whole = "<Document DocID='3.{0}' DocType='Message'><Tags><Tag TagName='#AttachmentNames' TagValue='f{0}'/></Tags><!-- </Document> --></Document>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("load.xml", "<?xml version='1.0'?><Root>" + "\n".join((whole if n % 13 else broken[n // 13 % 3]).format(n) for n in pdf["n"]) + "</Root>")
+    return out.getvalue()
+
+
+@query("src_zip_pull", "SELECT '3.' || n AS docid, CASE WHEN n % 13 = 0 THEN 'ParseError' END AS error, CASE WHEN n % 13 <> 0 THEN 'f' || n END AS names FROM m")
+def _(s, d):
+    """Entries of load files, each for itself."""
+    path = _write(s, views.messages(s, d).select("n"), _pack_broken, "edrm-enron-v2_c{}_xml.zip")
+    return loadfile.load_files(s, files=s.read.parquet(path)).select("docid", "error", "names")
+
+
 @query("hdr_tab", "SELECT custodian AS from_name, 'a@b.c' AS from_addr, lang || '|x' AS recipients, subject, len(body_text) AS n FROM m")
 def _(s, d):
     return _tab_rows(s, d).select("from_name", "from_addr", F.array_join("to", "|").alias("recipients"), "subject", F.length("body_text").cast("long").alias("n"))

@@ -46,25 +46,37 @@ def opens(path: str) -> bool:
     return True
 
 
-def _files(spark: SparkSession, path: str | None, files: DataFrame | None, wanted: DataFrame | None = None) -> DataFrame:
+def opener(row: dict) -> Callable:
+    """A function that opens an archive's bytes, of ``row`` with path or content."""
+
+    def opened():
+        if row["path"] is None:
+            return io.BytesIO(row["content"])
+        store, at = FileSystem.from_uri(row["path"])
+        return store.open_input_file(at)
+
+    return opened
+
+
+def found(spark: SparkSession, path: str | None = None, files: DataFrame | None = None, wanted: DataFrame | None = None) -> DataFrame:
     """archive, path, content, members of the files under ``path``, or of ``files(archive, content)`` as given.
 
     Either path or content is null. ``wanted(archive, member)`` restricts archives to those named in it, and ``members`` to theirs.
     """
     if files is not None:
-        found = files.select("archive", F.lit(None).cast("string").alias("path"), "content")
+        rows = files.select("archive", F.lit(None).cast("string").alias("path"), "content")
     else:
         listed = spark.read.format("binaryFile").load(path)  # columns that are not asked for are not read
         some = listed.select("path").first()
         name = F.substring_index("path", "/", -1).alias("archive")
         if some is None or opens(some["path"]):
-            found = listed.select(name, "path", F.lit(None).cast("binary").alias("content"))
+            rows = listed.select(name, "path", F.lit(None).cast("binary").alias("content"))
         else:
-            found = listed.select(name, F.lit(None).cast("string").alias("path"), "content")
+            rows = listed.select(name, F.lit(None).cast("string").alias("path"), "content")
     if wanted is None:
-        return found.withColumn("members", F.lit(None).cast("array<string>"))
+        return rows.withColumn("members", F.lit(None).cast("array<string>"))
     own = wanted.groupBy(F.col("archive").alias("__a")).agg(F.collect_set("member").alias("members"))  # at most what the archive lists
-    return found.join(own, F.col("archive") == F.col("__a")).drop("__a")
+    return rows.join(own, F.col("archive") == F.col("__a")).drop("__a")
 
 
 def _read(rows: DataFrame, members_of: Callable[[Callable, frozenset[str] | None], Iterable[tuple[str, bytes | None]]]) -> DataFrame:
@@ -73,15 +85,8 @@ def _read(rows: DataFrame, members_of: Callable[[Callable, frozenset[str] | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-
-                def opened(r=r):
-                    if r["path"] is None:
-                        return io.BytesIO(r["content"])
-                    store, at = FileSystem.from_uri(r["path"])
-                    return store.open_input_file(at)
-
                 wanted = None if r["members"] is None else frozenset(r["members"])
-                yield from _batches((r["archive"], m, c) for m, c in members_of(opened, wanted))
+                yield from _batches((r["archive"], m, c) for m, c in members_of(opener(r), wanted))
 
     return rows.select("archive", "path", "content", "members").mapInArrow(run, MEMBERS)
 
@@ -102,7 +107,7 @@ def tar(spark: SparkSession, path: str | None = None, wanted: DataFrame | None =
                     raise ValueError(f"{info.name} is not a regular file")
                 yield info.name, t.extractfile(info).read() if with_content else None
 
-    return _read(_files(spark, path, files, wanted), members_of)
+    return _read(found(spark, path, files, wanted), members_of)
 
 
 def zip_members(
@@ -116,7 +121,7 @@ def zip_members(
                 if not name.endswith("/") and (not suffixes or name.endswith(suffixes)) and not (root_only and "/" in name):
                     yield name, z.read(name)
 
-    return _read(_files(spark, path, files), members_of)
+    return _read(found(spark, path, files), members_of)
 
 
 def spread(members: DataFrame, partitions: int) -> DataFrame:
@@ -124,7 +129,13 @@ def spread(members: DataFrame, partitions: int) -> DataFrame:
     return members.repartition(partitions, "archive", "member")
 
 
-def custodian_map(spark: SparkSession, path: str | None = None, files: DataFrame | None = None) -> DataFrame:
-    """trec_doc_id, custodian, path of every text member, contents unread."""
-    names = tar(spark, path, with_content=False, files=files).select(member_parts("member").alias("m")).filter("m is not null")
+def custodian_map(spark: SparkSession, path: str | None = None, files: DataFrame | None = None, index: str | None = None) -> DataFrame:
+    """trec_doc_id, custodian, path of every text member, contents unread; with an ``index`` from the listing that is kept there."""
+    if index is not None:
+        from .listing import listing  # which reads archives by this module
+
+        members = listing(spark, path, index)
+    else:
+        members = tar(spark, path, with_content=False, files=files)
+    names = members.select(member_parts("member").alias("m")).filter("m is not null")
     return names.select(F.col("m.docid").alias("trec_doc_id"), F.col("m.custodian").alias("custodian"), F.col("m.path").alias("path"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, mail, text
 from ..schemas import MESSAGES, conform
 from ..session import cut
-from . import archives
+from . import archives, loadfile
 
 MAX_BODY_CHARS = 60_000
 
@@ -117,35 +117,11 @@ class Ingested:
     failures: DataFrame  # docid, zip, error
 
 
-MANIFEST = "docid string, native string, custodian string, attachment_count string, attachment_names string, has_attachments string, doc_type string"
-
-
-def manifests(xml_members: DataFrame) -> DataFrame:
-    """One row per Document element of the load files, by Spark's XML functions."""
-    schema = (
-        "Batch struct<Documents: struct<Document: array<struct<_DocID: string, _DocType: string, Tags: struct<Tag: array<struct<_TagName: string, _TagValue: string>>>, "
-        "Files: struct<File: array<struct<_FileType: string, ExternalFile: struct<_FilePath: string, _FileName: string>>>>, "
-        "Locations: struct<Location: array<struct<Custodian: string>>>>>>>"
-    )
-    parsed = xml_members.select("archive", F.from_xml(F.decode("content", "UTF-8"), schema).alias("x"))
-    docs = parsed.select("archive", F.explode("x.Batch.Documents.Document").alias("d"))
-    tags = F.transform(F.coalesce("d.Tags.Tag", F.array()), lambda t: F.struct(t["_TagName"].alias("name"), t["_TagValue"].alias("value")))
-    docs = docs.withColumn("tags", text.tags_map(tags))
-    natives = F.filter("d.Files.File", lambda f: (f["_FileType"] == "Native") & f["ExternalFile"].isNotNull())
-    last = F.when(F.size(natives) > 0, F.element_at(natives, -1))
-    native = F.concat_ws("/", last["ExternalFile"]["_FilePath"], last["ExternalFile"]["_FileName"])
-    return docs.select(
-        F.col("archive").alias("zip"), F.col("d._DocID").alias("docid"), F.col("d._DocType").alias("doc_type"), F.when(last.isNotNull(), native).alias("native"),
-        F.col("d.Locations.Location")[0]["Custodian"].alias("custodian"), F.col("tags")["#AttachmentCount"].alias("count"),
-        F.col("tags")["#AttachmentNames"].alias("names"), (F.coalesce(F.col("tags")["#HasAttachments"], F.lit("")) == "true").alias("has_attachments"),
-    )
-
-
 def load_zips(spark: SparkSession, path: str | None = None, corpus: str = "enron", partitions: int = 64, files: DataFrame | None = None) -> Ingested:
     """``messages`` of zips that hold XML load files at their root and native messages; bad entries are itemised."""
-    listed = manifests(archives.zip_members(spark, path, (".xml",), root_only=True, files=files)).filter("doc_type = 'Message'")
+    listed = cut(loadfile.load_files(spark, path, files))  # parsed once
     number = F.expr("try_cast(coalesce(nullif(trim(count), ''), '0') as int)")
-    error = F.when(F.coalesce("docid", F.lit("")) == "", "manifest_missing_docid").when(number.isNull(), "manifest_bad_attachment_count")
+    error = F.when(F.col("error").isNotNull(), F.col("error")).when(F.coalesce("docid", F.lit("")) == "", "manifest_missing_docid").when(number.isNull(), "manifest_bad_attachment_count")
     listed = listed.withColumn("attachment_count", number).withColumn("error", error)
     good = listed.filter("error is null").drop("error")
     natives = archives.spread(archives.zip_members(spark, path, (".eml",), files=files), partitions)
