@@ -5,13 +5,17 @@ Input columns: doc_id, subject_norm, body_norm, date_utc (and attachment_names f
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.maths import half_even
 from ..functions.text import body_hash, dedup_key, words
 from ..session import cut
+from .graph import components
 from .windows import spread_rank
 
 
@@ -74,11 +78,20 @@ def signatures(rows: DataFrame, size: int = 3) -> DataFrame:
     return rows.select("doc_id", "age", F.array_distinct(F.when(F.col("many") > 0, runs).otherwise(short)).alias("sh"))
 
 
+def twins(sig: DataFrame) -> DataFrame:
+    """doc_id, first: documents with the same set as an earlier one, and the earliest of each such set. Keys alone are shuffled."""
+    key = F.array_sort("sh")
+    keyed = cut(sig.select("doc_id", "age", F.xxhash64(key).alias("k1"), F.xxhash64(F.lit(1), key).alias("k2")))
+    firsts = keyed.groupBy("k1", "k2").agg(F.min("age").alias("m"), F.count("*").alias("n")).filter("n > 1").select("k1", "k2", F.col("m.doc_id").alias("first"))
+    return keyed.join(firsts, ["k1", "k2"]).filter("doc_id <> first").select("doc_id", "first")
+
+
 def jaccard_edges(sig: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) with a before b, for all pairs at the threshold or over: exact, by prefix and length filters.
+    """(a, b, jaccard) with a before b, for all pairs at the threshold or over: exact, by prefix, length and position filters.
 
     Shingles are taken rarest first. Two sets that are alike enough share one of their first n - ceil(t n) + 1; only those
-    are joined. Rare shingles keep the groups small.
+    are joined. Rare shingles keep the groups small. At the first shingle that two sets share, what comes behind it in either must still
+    suffice for the overlap that the threshold asks for.
     """
     # texts are read and cut into shingles once; rows go by numbers, which the checkpoint fixes
     sig = cut(sig.withColumn("v", F.monotonically_increasing_id()))
@@ -86,11 +99,14 @@ def jaccard_edges(sig: DataFrame, threshold: float) -> DataFrame:
     rare = each.groupBy("s").agg(F.count("*").cast("int").alias("df"))
     ordered = each.join(rare.filter("df > 1"), "s").groupBy("v", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("by"))
     # shingles of one document only come first in the order and never meet; what is left of the prefix is joined
-    keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) + 1 - (F.col("n") - F.size("by"))
-    prefix = ordered.select("v", "n", F.explode(F.slice("by", F.lit(1), F.greatest(keep, F.lit(0)).cast("int"))).alias("p")).select("v", "n", "p.s")
-    other = prefix.select(F.col("v").alias("v2"), F.col("n").alias("n2"), "s")
+    alone = F.col("n") - F.size("by")
+    keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) + 1 - alone
+    prefix = ordered.select("v", "n", alone.alias("alone"), F.posexplode(F.slice("by", F.lit(1), F.greatest(keep, F.lit(0)).cast("int"))).alias("at", "p"))
+    prefix = prefix.select("v", "n", "p.s", (F.col("n") - F.col("alone") - F.col("at")).alias("left"))
+    other = prefix.select(F.col("v").alias("v2"), F.col("n").alias("n2"), "s", F.col("left").alias("left2"))
     long_enough = (F.least("n", "n2") >= F.lit(threshold) * F.greatest("n", "n2") - F.lit(1e-9)) & (F.col("v") < F.col("v2"))
-    pairs = prefix.join(other, "s").filter(long_enough).select("v", "v2").distinct()
+    suffices = F.least("left", "left2") >= F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("n2")) - F.lit(1e-6)
+    pairs = prefix.join(other, "s").filter(long_enough & suffices).select("v", "v2").distinct()
     common = F.size(F.array_intersect("s1", "s2"))
     return _edges(sig, pairs, "sh", common / (F.size("s1") + F.size("s2") - common), threshold)
 
@@ -130,26 +146,68 @@ def minhash_edges(sig: DataFrame, threshold: float, perms: int = 128, seed: int
     return _edges(m, pairs, "m", equal / F.lit(perms), threshold)
 
 
-def stars(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+#: Rounds before what is open is solved by components, and links of a component up to which one task solves it (it holds the names).
+ROUNDS, SOLVED = 4, 5_000_000
+
+
+def _round(edges: DataFrame, state: DataFrame) -> DataFrame:
+    """Open documents whose earlier neighbours are all absorbed become centers; neighbours after centers are absorbed."""
+    earlier = edges.join(state.select(F.col("v").alias("a"), F.col("is").alias("is_a")), "a")
+    seen = earlier.groupBy(F.col("b").alias("v")).agg(F.count_if(F.col("is_a") == "center").alias("centers"), F.count_if(F.col("is_a") == "open").alias("opens"))
+    joined = state.join(seen, "v", "left")
+    now = F.when(F.col("is") != "open", F.col("is")).when(F.coalesce("centers", F.lit(0)) > 0, "absorbed").when(F.coalesce("opens", F.lit(0)) == 0, "center").otherwise("open")
+    return cut(joined.select("v", now.alias("is")))
+
+
+def _solved(edges: DataFrame, state: DataFrame, most: int) -> DataFrame:
+    """v, is of the open documents in components of up to ``most`` links: a pass in order of age over each component, streamed."""
+    is_open = state.filter(F.col("is") == "open")
+    left = edges.join(is_open.select(F.col("v").alias("a")), "a", "left_semi").join(is_open.select(F.col("v").alias("b")), "b", "left_semi").select("a", "b", "age_a")
+    left = cut(left)
+    rooted = left.join(components(left.select("a", "b")), F.col("b") == F.col("node")).select("root", "a", "b", "age_a")
+    small = rooted.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") <= most).select("root")
+    dealt = rooted.join(small, "root").repartition("root").sortWithinPartitions("root", "age_a", "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, seen, absorbed = None, set(), set()
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([*seen], pa.string()), pa.array(["absorbed" if v in absorbed else "center" for v in seen], pa.string())], ["v", "is"])
+
+        for batch in batches:
+            for r, a, b in zip(*(batch.column(c).to_pylist() for c in ("root", "a", "b")), strict=True):
+                if r != root:
+                    if seen:
+                        yield told()
+                    root, seen, absorbed = r, set(), set()
+                seen |= {a, b}
+                if a not in absorbed:  # all that could absorb it came before
+                    absorbed.add(b)
+        if seen:
+            yield told()
+
+    return dealt.mapInArrow(run, "v string, is string")
+
+
+def stars(edges: DataFrame, rounds: int = ROUNDS, solved: int = SOLVED) -> DataFrame:
     """(doc_id, center, jaccard): the star clusters that a pass in order of age would make.
 
-    A document is a center unless an earlier center is its neighbour; an absorbed one belongs to the earliest such center. In rounds:
-    undecided documents whose earlier neighbours are all absorbed become centers, then neighbours after them are absorbed. Each
-    round is cut by a reliable checkpoint; the number of rounds grows with the logarithm of the size.
+    A document is a center unless an earlier center is its neighbour; an absorbed one belongs to the earliest such center. A few rounds decide most: undecided
+    documents whose earlier neighbours are all absorbed become centers, then neighbours after them are absorbed. What then is open, as along
+    chains of versions, falls into components, and each of up to ``solved`` links is solved by the pass itself in one task; only of larger ones the rounds go on, each of
+    which decides at least the earliest open document. Rounds are cut by reliable checkpoints.
     """
     edges = cut(edges.select("a", "b", "age_a", "jaccard"))
     nodes = edges.select(F.col("a").alias("v")).unionByName(edges.select(F.col("b").alias("v"))).distinct()
     state = cut(nodes.withColumn("is", F.lit("open")))
-    for _ in range(max_rounds):
-        if not state.filter(F.col("is") == "open").limit(1).count():
-            break
-        earlier = edges.join(state.select(F.col("v").alias("a"), F.col("is").alias("is_a")), "a")
-        seen = earlier.groupBy(F.col("b").alias("v")).agg(F.count_if(F.col("is_a") == "center").alias("centers"), F.count_if(F.col("is_a") == "open").alias("opens"))
-        joined = state.join(seen, "v", "left")
-        now = F.when(F.col("is") != "open", F.col("is")).when(F.coalesce("centers", F.lit(0)) > 0, "absorbed").when(F.coalesce("opens", F.lit(0)) == 0, "center").otherwise("open")
-        state = cut(joined.select("v", now.alias("is")))
-    else:
-        raise RuntimeError(f"stars did not settle in {max_rounds} rounds")
+    n = 0
+    while state.filter(F.col("is") == "open").limit(1).count():
+        if n == rounds:
+            found = cut(_solved(edges, state, solved)).withColumnRenamed("is", "now")
+            state = cut(state.join(found, "v", "left").select("v", F.coalesce("now", "is").alias("is")))
+        else:
+            state = _round(edges, state)
+        n += 1
     centers = state.filter(F.col("is") == "center").select(F.col("v").alias("a"))
     absorbed = state.filter(F.col("is") == "absorbed").select(F.col("v").alias("b"))
     of = edges.join(centers, "a", "left_semi").join(absorbed, "b", "left_semi").groupBy("b").agg(F.min(F.struct("age_a", "a", "jaccard")).alias("m"))
@@ -158,15 +216,32 @@ def stars(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return members.unionByName(hubs)
 
 
+def with_twins(clusters: DataFrame, same: DataFrame) -> DataFrame:
+    """Star clusters of the earliest documents of each set, and the other documents of these sets, ``same(doc_id, first)``.
+
+    A twin has the neighbours of its first and comes after it: it belongs where that one does, or to it.
+    """
+    of = clusters.select(F.col("doc_id").alias("first"), "center", "jaccard")
+    joined = same.join(of, "first", "left")
+    own = F.coalesce("center", "first")
+    rows = joined.select("doc_id", own.alias("center"), F.coalesce("jaccard", F.lit(1.0)).alias("jaccard"))
+    new = joined.filter("center is null").select(F.col("first").alias("doc_id"), F.col("first").alias("center"), F.lit(1.0).alias("jaccard")).distinct()
+    return clusters.unionByName(rows).unionByName(new)
+
+
 def near_clusters(
     canonicals: DataFrame, messages: DataFrame, threshold: float = 0.85, size: int = 3, min_words: int = 30, boilerplate: int = 50,
     mode: str = "exact", perms: int = 128, seed: int = 8191,
 ) -> DataFrame:
-    """``dedup_near`` rows: members of star clusters of two and more."""
-    sig = signatures(eligible(canonicals, messages, min_words, boilerplate), size)
-    edges = jaccard_edges(sig, threshold) if mode == "exact" else minhash_edges(sig, threshold, perms, seed=seed)
+    """``dedup_near`` rows: members of star clusters of two and more. Documents of equal sets are one until the clusters are known."""
+    sig = cut(signatures(eligible(canonicals, messages, min_words, boilerplate), size))
+    same = cut(twins(sig))
+    any_twins = bool(same.limit(1).count())
+    if any_twins:
+        sig = sig.join(same.select("doc_id"), "doc_id", "left_anti")
+    clusters = stars(jaccard_edges(sig, threshold) if mode == "exact" else minhash_edges(sig, threshold, perms, seed=seed))
     version = f"seed{seed}-p{perms}-w{size}-t{threshold}-mw{min_words}-b{boilerplate}" + ("" if mode == "minhash" else "-exact")
-    return stars(edges).select(
+    return (with_twins(clusters, same) if any_twins else clusters).select(
         "doc_id", F.concat(F.lit("near-"), F.col("center")).alias("cluster_id"), F.col("center").alias("canonical_doc_id"),
         half_even(F.col("jaccard"), 6).alias("jaccard_to_canonical"), F.lit(version).alias("minhash_seed_version"),
     )

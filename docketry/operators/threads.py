@@ -2,21 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import gap_over
 from ..functions.text import collapse, contained
 from ..session import cut
 from .dedup import age_order
+from .windows import ranged
+
+
+#: Messages of a subject up to which one task takes them in order.
+HOT = 100_000
 
 
-def segments(messages: DataFrame, max_gap_days: int = 60) -> DataFrame:
-    """``messages`` with thread_id, parent_doc_id, depth. No subject: a thread of its own. Undated messages come last and never cut.
+def segments(messages: DataFrame, max_gap_days: int = 60, hot: int = HOT) -> DataFrame:
+    """``messages`` with thread_id, parent_doc_id, depth, and marks __single and __terminal. No subject: a thread of its own. Undated messages come last and never cut.
 
-    Windows run over (subject) once, then over (subject, segment), which the same exchange serves.
+    Windows run over (subject) once, then over (subject, segment), which the same exchange serves. Subjects of more than ``hot`` messages are dealt out in ranges
+    of (subject, date) instead; the results are the same. Needs unique ids.
     """
-    rows = messages.withColumn("__subject", F.when(F.coalesce("subject_norm", F.lit("")) == "", F.concat(F.lit("\0"), "doc_id")).otherwise(F.col("subject_norm")))
+    empty = F.coalesce("subject_norm", F.lit("")) == ""
+    rows = messages.withColumn("__single", empty).withColumn("__subject", F.when(empty, F.concat(F.lit("\0"), "doc_id")).otherwise(F.col("subject_norm")))
+    large = rows.filter(~F.col("__single")).groupBy("__subject").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select(F.col("__subject").alias("__large"))
+    large = cut(large)
+    if not large.limit(1).count():
+        return _in_order(rows, max_gap_days)
+    is_large = F.col("__subject") == F.col("__large")
+    of_large = rows.join(large, is_large, "left_semi")
+    scanned = _scanned(of_large.select("doc_id", "date_utc", "__subject"), max_gap_days).withColumnRenamed("doc_id", "__id")
+    both = of_large.join(scanned, F.col("doc_id") == F.col("__id")).drop("__id", "__subject")
+    return _in_order(rows.join(large, is_large, "left_anti"), max_gap_days).unionByName(both)
+
+
+def _in_order(rows: DataFrame, max_gap_days: int) -> DataFrame:
+    """A subject at a time, by windows."""
     chain = Window.partitionBy("__subject").orderBy(*age_order())
     gap = F.coalesce(gap_over(F.col("date_utc"), F.lag("date_utc").over(chain), max_gap_days), F.lit(False))
     rows = rows.withColumn("__cut", gap.cast("int"))
@@ -27,15 +50,46 @@ def segments(messages: DataFrame, max_gap_days: int = 60) -> DataFrame:
             "thread_id": F.concat(F.lit("t-"), F.first("doc_id").over(seg)),
             "parent_doc_id": F.lag("doc_id").over(seg),
             "depth": (F.row_number().over(seg) - 1).cast("int"),
-            "__single": F.coalesce("subject_norm", F.lit("")) == "",
+            "__terminal": F.lead("doc_id").over(seg).isNull(),
         }
     ).drop("__cut", "__seg", "__subject")
 
 
+def _scanned(rows: DataFrame, max_gap_days: int) -> DataFrame:
+    """doc_id, thread_id, parent_doc_id, depth, __terminal of ``rows(doc_id, date_utc, __subject)``, by a segmented scan.
+
+    Rows are cut into ranges of (subject, date, id). A range tells, for each subject in it, how many rows it has, its last row, and the last row in it that starts a
+    segment; running sums and maxima of these few rows carry the place, the row before and the open segment over the borders.
+    """
+    part = ["__slice", "__subject"]
+    place = F.struct(F.col("date_utc").isNull().alias("undated"), "date_utc", "doc_id")
+    rows = ranged(rows, "__subject", F.col("date_utc").isNull(), "date_utc", "doc_id")
+    borders = Window.partitionBy("__subject").orderBy("__slice")
+    ahead = borders.rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*part).agg(F.max(place).alias("last"), F.count("*").alias("n"))
+    ends = ends.select(*part, F.lag("last").over(borders).alias("last"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    own = Window.partitionBy(*part).orderBy(*age_order())
+    first = F.row_number().over(own) == 1
+    rows = rows.join(ends, part).select(
+        *part, "doc_id", "date_utc", (F.col("before") + F.row_number().over(own) - 1).alias("number"),
+        F.when(first, F.col("last.date_utc")).otherwise(F.lag("date_utc").over(own)).alias("date_before"), F.when(first, F.col("last.doc_id")).otherwise(F.lag("doc_id").over(own)).alias("doc_before"),
+    )
+    starts = (F.col("number") == 0) | F.coalesce(gap_over(F.col("date_utc"), F.col("date_before"), max_gap_days), F.lit(False))
+    head = F.max(F.when(starts, F.struct("number", "doc_id"))).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = cut(rows.select(*part, "doc_id", "number", "doc_before", head.alias("head")))
+    carried = rows.groupBy(*part).agg(F.max("head").alias("h")).select(*part, F.max("h").over(ahead).alias("carried"))
+    found = rows.join(carried, part).withColumn("head", F.coalesce("head", "carried")).withColumn("depth", (F.col("number") - F.col("head.number")).cast("int"))
+    found = found.select("doc_id", F.concat(F.lit("t-"), "head.doc_id").alias("thread_id"), F.when(F.col("depth") > 0, F.col("doc_before")).alias("parent_doc_id"), "depth")
+    lasts = found.groupBy("thread_id").agg(F.max("depth").alias("most"))
+    return found.join(lasts, "thread_id").withColumn("__terminal", F.col("depth") == F.col("most")).drop("most")
+
+
 #: Messages of a thread up to which each is compared with each.
 SMALL_THREAD = 64
 #: Words of a run that candidates share.
 RUN = 4
+#: Short texts looked for at a time, and characters of texts that one task searches, about.
+PATTERNS, SEARCHED = 20_000, 16_000_000
 
 
 def _containments(chained: DataFrame, small: int = SMALL_THREAD) -> DataFrame:
@@ -44,7 +98,7 @@ def _containments(chained: DataFrame, small: int = SMALL_THREAD) -> DataFrame:
     Threads of more than ``small`` messages go by runs of words instead of pairs; the results are the same.
     """
     text = chained.select("thread_id", "depth", "doc_id", "__text").filter(F.col("__text") != "")
-    large = cut(chained.groupBy("thread_id").agg(F.count("*").alias("n")).filter(F.col("n") > small).select(F.col("thread_id").alias("__large")))
+    large = cut(chained.filter(F.col("depth") >= small).select(F.col("thread_id").alias("__large")).distinct())
     if not large.limit(1).count():
         return _each_with_each(text)
     is_large = F.col("thread_id") == F.col("__large")
@@ -62,48 +116,101 @@ def _each_with_each(text: DataFrame) -> DataFrame:
     return each.groupBy("doc_id").agg(F.max("has_earlier").alias("has_earlier"), F.max("in_later").alias("in_later"))
 
 
-def _by_runs(text: DataFrame) -> DataFrame:
+def _by_runs(text: DataFrame, patterns: int = PATTERNS, searched: int = SEARCHED) -> DataFrame:
     """The same over distinct texts of a thread, with the depths at which each first and last comes.
 
-    A text in another one has all its words but the first and the last as whole words there: its first ``RUN`` inner words, or first
-    inner word, are a run of the other's. Texts of one or two words have no inner words and meet all distinct texts of the thread.
+    A text in another one has all its words but the first and the last as whole words there, so any run of its inner words is a run of the other's. Each text
+    is looked up by the one that fewest texts of the thread have: what all of them say, a greeting or a signature, is never the key unless it is all there is.
+    Texts of one or two words have no inner words, and are searched for as strings.
     """
     rows = text.groupBy("thread_id", "__text").agg(F.min("depth").alias("first"), F.max("depth").alias("last"))
     rows = cut(rows.withColumn("v", F.monotonically_increasing_id()).withColumn("w", F.split("__text", " ")))
     n = F.size("w")
-    own = F.when(n >= RUN + 2, F.xxhash64(F.lit(RUN), F.slice("w", F.lit(2), F.lit(RUN)))).when(n >= 3, F.xxhash64(F.lit(1), F.slice("w", F.lit(2), F.lit(1))))
-    runs = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.lit(k), F.slice("w", i, F.lit(k))))).otherwise(F.array().cast("array<long>"))
-    inner = rows.select("thread_id", F.col("v").alias("a"), own.alias("key"))
-    outer = rows.select("thread_id", F.col("v").alias("b"), F.explode(F.array_distinct(F.concat(runs(RUN), runs(1)))).alias("key"))
-    pairs = inner.filter("key is not null").join(outer, ["thread_id", "key"]).filter("a <> b").select("a", "b").distinct()
-    short = inner.filter("key is null").join(rows.select("thread_id", F.col("v").alias("b")), "thread_id").filter("a <> b").select("a", "b")
-    left = rows.select(F.col("v").alias("a1"), F.col("__text").alias("ta"), F.col("first").alias("fa"))
-    right = rows.select(F.col("v").alias("b1"), F.col("__text").alias("tb"), F.col("last").alias("lb"))
-    met = pairs.unionByName(short).join(left, F.col("a") == F.col("a1")).join(right, F.col("b") == F.col("b1")).filter(contained("ta", "tb"))
-    met = cut(met.select("a", "b", "fa", "lb"))
-    earliest = met.groupBy(F.col("b").alias("vb")).agg(F.min("fa").alias("e"))
-    latest = met.groupBy(F.col("a").alias("va")).agg(F.max("lb").alias("l"))
-    about = rows.join(earliest, F.col("v") == F.col("vb"), "left").join(latest, F.col("v") == F.col("va"), "left")
-    about = about.select(F.col("thread_id").alias("t"), F.col("__text").alias("x"), F.least("first", "e").alias("e"), F.greatest("last", "l").alias("l"))
-    both = text.join(about, (F.col("thread_id") == F.col("t")) & (F.col("__text") == F.col("x")))
+    runs = lambda k, lo, hi: F.when(hi - lo >= k, F.transform(F.sequence(lo, hi - k), lambda i: F.xxhash64(F.lit(k), F.slice("w", i, F.lit(k))))).otherwise(F.array().cast("array<long>"))
+    long = F.when(n >= RUN + 2, runs(RUN, F.lit(2), n)).otherwise(runs(1, F.lit(2), n))
+    inner = rows.filter(n >= 3).select("thread_id", F.col("v").alias("a"), F.explode(F.array_distinct(long)).alias("key"))
+    outer = cut(rows.select("thread_id", F.col("v").alias("b"), F.explode(F.array_distinct(F.concat(runs(RUN, F.lit(1), n + 1), runs(1, F.lit(1), n + 1)))).alias("key")))
+    common = outer.groupBy("thread_id", "key").agg(F.count("*").alias("df"))
+    rarest = inner.join(common, ["thread_id", "key"]).groupBy("thread_id", "a").agg(F.min(F.struct("df", "key")).alias("m")).filter("m.df > 1").select("thread_id", "a", "m.key")
+    pairs = rarest.join(outer, ["thread_id", "key"]).filter("a <> b").select("a", "b")
+    left = rows.select(F.col("v").alias("a"), F.col("__text").alias("ta"), F.col("first").alias("fa"))
+    right = rows.select(F.col("v").alias("b"), F.col("__text").alias("tb"), F.col("last").alias("lb"))
+    met = cut(pairs.join(left, "a").join(right, "b").filter(contained("ta", "tb")).select("a", "b", "fa", "lb"))
+    none = F.lit(None).cast("int")
+    found = met.select(F.col("b").alias("v"), F.col("fa").alias("e"), none.alias("l")).unionByName(met.select(F.col("a").alias("v"), none.alias("e"), F.col("lb").alias("l")))
+    found = found.unionByName(_search(rows, patterns, searched)).groupBy("v").agg(F.min("e").alias("e"), F.max("l").alias("l"))
+    about = rows.join(found, "v", "left").select("thread_id", "__text", F.least("first", "e").alias("e"), F.greatest("last", "l").alias("l"))
+    both = text.join(about, ["thread_id", "__text"])
     return both.select("doc_id", (F.col("e") < F.col("depth")).alias("has_earlier"), (F.col("l") > F.col("depth")).alias("in_later"))
 
 
-def own_attachments(names: Column) -> Column:
-    """Over a thread's rows: whether some attachment does not come again in a later message of the thread."""
-    after = Window.partitionBy("thread_id").orderBy("depth").rowsBetween(1, Window.unboundedFollowing)
-    return F.size(F.array_except(names, F.flatten(F.collect_set(names).over(after)))) > 0
+def _search(rows: DataFrame, patterns: int, searched: int) -> DataFrame:
+    """v, e, l: for texts of ``rows`` the least ``first`` of the texts of one or two words in them, and for these the greatest ``last`` of the texts that have them.
+
+    An automaton of all short texts passes over every text of the thread once; a thread of many is cut into blocks of short texts and blocks of texts. A
+    block tells one row for each of its texts, not the pairs.
+    """
+    short = rows.filter(F.size("w") < 3)
+    counts = short.groupBy("thread_id").agg(F.ceil(F.count("*") / patterns).cast("int").alias("blocks"))
+    sizes = rows.join(counts, "thread_id", "left_semi").groupBy("thread_id").agg(F.ceil(F.sum(F.length("__text")) / searched).cast("int").alias("parts"))
+    counts = counts.join(sizes, "thread_id")
+    columns = ["thread_id", "block", "part", "kind", "v", F.col("__text").alias("text"), "first", "last"]
+    each, own = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)), lambda n: F.pmod(F.xxhash64("v"), F.col(n)).cast("int")
+    needles = short.join(counts, "thread_id").withColumns({"kind": F.lit(0), "block": own("blocks")}).withColumn("part", each("parts")).select(columns)
+    hay = rows.join(counts, "thread_id").withColumns({"kind": F.lit(1), "part": own("parts")}).withColumn("block", each("blocks")).select(columns)
+    dealt = needles.unionByName(hay).repartition("thread_id", "block", "part").sortWithinPartitions("thread_id", "block", "part", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        key, automaton, open_, firsts, latest = None, None, True, {}, {}
+
+        def rows_of(v: list, e: list, last: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(e, pa.int32()), pa.array(last, pa.int32())], ["v", "e", "l"])
+
+        for batch in batches:
+            out_v, out_e = [], []
+            for r in batch.to_pylist():
+                if (r["thread_id"], r["block"], r["part"]) != key:
+                    if latest:
+                        yield rows_of(list(latest), [None] * len(latest), list(latest.values()))
+                    key, automaton, open_, firsts, latest = (r["thread_id"], r["block"], r["part"]), ahocorasick.Automaton(), True, {}, {}
+                if r["kind"] == 0:
+                    automaton.add_word(r["text"], r["v"])
+                    firsts[r["v"]] = r["first"]
+                    continue
+                if not firsts:
+                    continue
+                if open_:
+                    automaton.make_automaton()
+                    open_ = False
+                inside = {a for _, a in automaton.iter(r["text"])} - {r["v"]}
+                for a in inside:
+                    latest[a] = max(latest.get(a, r["last"]), r["last"])
+                if inside:
+                    out_v.append(r["v"])
+                    out_e.append(min(firsts[a] for a in inside))
+            if out_v:
+                yield rows_of(out_v, out_e, [None] * len(out_v))
+        if latest:
+            yield rows_of(list(latest), [None] * len(latest), list(latest.values()))
+
+    return dealt.mapInArrow(run, "v long, e int, l int")
+
+
+def own_attachments(rows: DataFrame, names: str) -> DataFrame:
+    """thread_id, depth of the messages of ``rows(thread_id, depth, names)`` with an attachment that does not come again in a later one: it is the last to have it."""
+    each = rows.filter(F.size(names) > 0).select("thread_id", "depth", F.explode(names).alias("name"))
+    return each.groupBy("thread_id", "name").agg(F.max("depth").alias("depth")).select("thread_id", "depth").distinct()
 
 
 def threads(messages: DataFrame, max_gap_days: int = 60) -> DataFrame:
     """``threads`` rows of canonical messages (doc_id, subject_norm, body_norm, date_utc, attachment_names)."""
     rows = messages.select("doc_id", "subject_norm", "date_utc", F.coalesce("attachment_names", F.array().cast("array<string>")).alias("att"), collapse("body_norm").alias("__text"))
     chained = cut(segments(rows, max_gap_days))
-    size = Window.partitionBy("thread_id")
-    chained = chained.withColumn("__n", F.count("*").over(size)).withColumn("__own", own_attachments(F.col("att")))
-    out = chained.join(_containments(chained).withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left")
-    terminal = F.col("depth") == F.col("__n") - 1
-    reason = F.when(terminal, "terminal_node").when(~F.coalesce("in_later", F.lit(False)), "unique_content").when(F.col("__own"), "attachment_unique")
-    single = F.col("__single") | (F.col("__n") == 1)
+    out = chained.join(own_attachments(chained, "att").withColumn("__own", F.lit(True)), ["thread_id", "depth"], "left")
+    out = out.join(_containments(chained), "doc_id", "left")
+    reason = F.when(F.col("__terminal"), "terminal_node").when(~F.coalesce("in_later", F.lit(False)), "unique_content").when(F.col("__own"), "attachment_unique")
+    single = F.col("__single") | (F.col("__terminal") & (F.col("depth") == 0))
     method = F.when(single, "singleton").when(F.coalesce("has_earlier", F.lit(False)), "containment").otherwise("subject_fallback")
     return out.select("doc_id", "thread_id", "parent_doc_id", "depth", method.alias("method"), reason.isNotNull().alias("is_inclusive"), reason.alias("inclusive_reason"))

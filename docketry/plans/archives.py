@@ -268,6 +268,15 @@ def _(s, d):
     return _judged_report(s, d)[1]
 
 
+@query("agg_anywarn", "SELECT count(*) FILTER (n % 3 = 0 OR n % 5 = 0) AS with_warnings, count(*) AS messages FROM m")
+def _(s, d):
+    """Messages with any warning: every third has no header, every fifth a date that cannot be read."""
+    sent = F.concat(F.lit("Sent:\t"), F.when(F.col("n") % 5 == 0, "some day").otherwise("Monday, July 08, 2002 9:05 AM"), F.lit("\n\n"))
+    plain = F.concat(F.lit("="), F.regexp_replace("body_text", "\t", " "))
+    got = messages.tab_texts(_texts(s, d, F.encode(F.when((F.col("n") % 3 == 0), plain).otherwise(F.concat(sent, plain)), "UTF-8")))
+    return got.agg(F.count_if(F.size("parse_warnings") > 0).alias("with_warnings"), F.count("*").alias("messages"))
+
+
 @query(
     "join_manifest",
     "SELECT 'edrm-enron-v2_c' || (n // 200) || '_xml.zip/native/' || n || '.eml' AS source_file, CAST(n % 3 AS INTEGER) AS attachment_count, CASE n % 3 WHEN 0 THEN '' WHEN 1 THEN 'f0' ELSE 'f0;f1' END AS names FROM m WHERE n % 10 <> 0",

@@ -8,9 +8,13 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 from pathlib import Path
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,9 +101,32 @@ def _(s, d):
     return tables.topics(s, path)
 
 
-@query("src_topics_yaml", "SELECT '7' AS topic, 'seven' AS title, 'all of it' AS request UNION ALL SELECT '8', 'eight', 'the rest'", plain=True)
+@query(
+    "src_topics_yaml",
+    r"SELECT CAST(item_id AS VARCHAR) AS topic, 'item ' || item_id AS title, trim(regexp_replace(text, '\s+', ' ', 'g')) AS request FROM benchmark",
+    plain=True,
+)
+def _(s, d):
+    """Mappings of topic to title and request, some fifty items to a file."""
+    path = scratch(s)
+    b = views.table(s, d, "benchmark").withColumn("file", F.floor(F.col("item_id") / 50))
+    pair = F.struct(F.col("item_id").cast("string").alias("k"), F.struct(F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("title"), F.col("text").alias("request")).alias("v"))
+    files = b.groupBy("file").agg(F.to_json(F.map_from_entries(F.collect_list(pair))).alias("value"))
+    files.repartition("file").select("value", "file").write.partitionBy("file").text(path)
+    return tables.statements(s, f"{path}/file=*")
+
+
+@query("log_path", "SELECT custodian AS corpus, decision, count(*) AS n FROM dec JOIN m USING (doc_id) GROUP BY ALL")
 def _(s, d):
-    return tables.topics_of_mapping(s, {7: {"title": "seven", "request": "all\n of  it"}, "8": {"title": "eight", "request": "the rest"}})
+    """A log for each corpus, by its name; custodians stand for corpora."""
+    root = scratch(s)
+    m = views.messages(s, d).select("doc_id", "custodian")
+    rows = cut(_log(s, d).drop("corpus").join(m, "doc_id").withColumnRenamed("custodian", "corpus"))
+    corpora = [r[0] for r in rows.select("corpus").distinct().collect()]  # a log each
+    for c in corpora:
+        tables.append_log(rows.filter(F.col("corpus") == c).select([f.name for f in schemas.DECISIONS]), tables.log_path(root, c))
+    found = reduce(DataFrame.unionByName, [tables.read_log(s, tables.log_path(root, c)) for c in corpora])
+    return found.groupBy("corpus", "decision").agg(F.count("*").alias("n"))
 
 
 def _log(s, d) -> DataFrame:
@@ -586,8 +613,9 @@ for _name, _col in (("win_anyprev", "has_earlier"), ("win_anynext", "in_later"),
 
 @query("win_nextatt", _THREAD + "SELECT doc_id, len(list_filter(attachment_names, lambda x: NOT coalesce(list_contains(later, x), false))) > 0 AS own FROM th JOIN la USING (doc_id)")
 def _(s, d):
-    rows = threads.segments(views.thread_messages(s, d))
-    return rows.select("doc_id", threads.own_attachments(F.col("attachment_names")).alias("own"))
+    rows = cut(threads.segments(views.thread_messages(s, d)).select("doc_id", "thread_id", "depth", "attachment_names"))
+    own = threads.own_attachments(rows, "attachment_names").withColumn("own", F.lit(True))
+    return rows.join(own, ["thread_id", "depth"], "left").select("doc_id", F.coalesce("own", F.lit(False)).alias("own"))
 
 
 @query("win_cellw", "SELECT topic, trec_doc_id, stratum, sampling_weight FROM w")
@@ -610,6 +638,19 @@ def _devset(s, d):
 query("smp_devset", _QUOTA)(_devset)
 
 
+@query("smp_rng", ", po AS (SELECT topic, relevance, count(*) AS n FROM w GROUP BY ALL) SELECT topic, relevance, n, least(n, CASE WHEN relevance = 1 THEN 20 ELSE 40 END) AS taken, true AS as_drawn FROM po")
+def _(s, d):
+    """Samples by drawn places of all judgments: of each stratum its size, what was taken, and whether the ids' places are those that the generator draws."""
+    q = judgments.weighted(views.judgment_lines(s, d)).select("topic", "relevance", "trec_doc_id")
+    sizes = q.select("topic", "relevance").distinct().withColumn("k", F.when(F.col("relevance") == 1, 20).otherwise(40))
+    took = sampling.take(q, ["topic", "relevance"], sizes, "trec_doc_id", 42, parity=True)
+    ranked = windows.numbered(q, ["topic", "relevance"], [F.col("trec_doc_id").asc()])
+    places = ranked.join(took, ["topic", "relevance", "trec_doc_id"], "left_semi").groupBy("topic", "relevance").agg(F.first("__size").alias("n"), F.count("*").alias("taken"), F.array_sort(F.collect_list("__number")).alias("at"))
+    pools = places.select("topic", "relevance", "n").join(sizes, ["topic", "relevance"])
+    drawn = sampling.positions(pools, ["topic", "relevance"], 42).groupBy("topic", "relevance").agg(F.array_sort(F.collect_list("__number")).alias("want"))
+    return places.join(drawn, ["topic", "relevance"]).select("topic", "relevance", "n", "taken", (F.col("at") == F.col("want")).alias("as_drawn"))
+
+
 @query("win_quota", _QUOTA.replace("SELECT topic, relevance, trec_doc_id FROM rn WHERE r <= k", "SELECT topic, relevance, CAST(k AS INTEGER) AS k FROM k"))
 def _(s, d):
     q = judgments.weighted(views.judgment_lines(s, d)).withColumn("corpus", F.lit("docs"))
@@ -890,15 +931,20 @@ def _(s, d):
     plain=True,
 )
 def _(s, d):
-    """A folder of one file for each source and language, written and read back."""
+    """A folder of one file for each source and language, written by tasks and read back."""
     path = scratch(s)
     rows = views.table(s, d, "documents").groupBy("source", "lang").agg(F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), "\n").alias("t"))
-    hadoop, conf = s.sparkContext._jvm.org.apache.hadoop.fs, s.sparkContext._jsc.hadoopConfiguration()
-    for r in rows.toLocalIterator():  # a small file for each
-        at = hadoop.Path(f"{path}/{r['source']}/{r['lang']}.txt")
-        out = at.getFileSystem(conf).create(at)
-        out.write(bytearray(f"{r['t']}\n".encode()))
-        out.close()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = FileSystem.from_uri(path)
+        for batch in batches:
+            for r in batch.to_pylist():
+                store.create_dir(f"{at}/{r['source']}")
+                with store.open_output_stream(f"{at}/{r['source']}/{r['lang']}.txt") as out:
+                    out.write(f"{r['t']}\n".encode())
+            yield batch.select(["source"])
+
+    rows.mapInArrow(write, "source string").count()
     return s.createDataFrame([(tables.directory_digest(s, path),)], "digest string")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from pathlib import Path
 
@@ -79,6 +80,13 @@ def topics_of_mapping(spark: SparkSession, statements: dict) -> DataFrame:
     return spark.createDataFrame(rows, "topic string, title string, request string")
 
 
+def statements(spark: SparkSession, path: str) -> DataFrame:
+    """The same from files that each hold such a mapping as JSON, which is YAML too; of any number, read where they lie."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, struct<title:string, request:string>>", {"mode": "FAILFAST"}).alias("m"))
+    each = whole.select(F.explode("m").alias("topic", "s"))
+    return each.select("topic", F.col("s.title").alias("title"), F.trim(F.regexp_replace("s.request", r"\s+", " ")).alias("request"))
+
+
 def text_of(value: str) -> str:
     return " ".join(value.split())
 
@@ -122,12 +130,14 @@ def append_run(path: str | Path, record: dict) -> None:
 
 
 def directory_digest(spark: SparkSession, path: str) -> str:
-    """SHA-256 over the sorted (path, SHA-256) of a folder's files: contents are hashed where they lie."""
+    """SHA-256 over the sorted (path, SHA-256) of a folder's files: contents are hashed where they lie. Empty files are left out, as Spark reads none."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     root = str(path).rstrip("/").rpartition("/")[2]
     lines = files.select(F.concat(F.substring_index("path", f"/{root}/", -1), F.lit(" "), F.sha2("content", 256)).alias("l"))
-    joined = lines.agg(F.array_join(F.array_sort(F.collect_list("l")), "\n").alias("all"))  # one short line a file
-    return joined.select(F.sha2("all", 256).alias("d")).first()["d"]
+    digest = hashlib.sha256()
+    for i, r in enumerate(lines.orderBy("l").toLocalIterator()):  # one short line a file, a partition at a time
+        digest.update((("\n" if i else "") + r["l"]).encode())
+    return digest.hexdigest()
 
 
 __all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "text")]

@@ -362,3 +362,43 @@ def test_large_threads_by_runs_equal_each_with_each(spark):
     whole = {r["doc_id"]: (r["has_earlier"], r["in_later"]) for r in threads._containments(rows, 1000).collect()}
     cut_up = {r["doc_id"]: (r["has_earlier"], r["in_later"]) for r in threads._containments(rows, 4).collect()}
     assert {k: v for k, v in cut_up.items() if any(v)} == {k: v for k, v in whole.items() if any(v)} and len(whole) > 30
+
+
+def test_ranks_by_ranges(spark):
+    """A third of the rows of one key are undated: a slice of these is hot, and ranges of the whole order are used; so with sums over ties."""
+    rng = random.Random(6)
+    rows = [(f"i{rng.randrange(10**6):06d}{k}", "hot" if k % 4 else None, None if k % 3 == 0 else DAY + timedelta(hours=rng.randrange(5)), rng.randrange(9)) for k in range(600)]
+    df = spark.createDataFrame(rows, "id string, g string, t timestamp, v int")
+    order = [F.col("t").asc_nulls_last(), F.col("id").asc()]
+    got = {r["id"]: r["rank"] for r in windows.spread_rank(df, "g", F.unix_micros("t"), order, 8, hot=20).collect()}
+    want = {}
+    for g in ("hot", None):
+        for k, r in enumerate(sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is None, r[2] or DAY, r[0]))):
+            want[r[0]] = k
+    assert got == want
+    kept, total = [r for r in rows if r[2]], 0
+    dated = df.filter("t is not null")
+    run = {r["id"]: r["running"] for r in windows.running_total(dated, "v", ["t", "id"], "t", 8, hot=20).collect()}
+    for r in sorted(kept, key=lambda r: (r[2], r[0])):
+        total += r[3]
+        assert run[r[0]] == total
+
+
+def test_drawn_places(spark):
+    """Places and rows of CPython's generator, of strata with nulls and of pools smaller than wanted, without a pool in a task."""
+    rows = [(t, g, f"d{i:05d}") for t, g, n in (("x", 1, 400), ("x", 0, 3), (None, 1, 50)) for i in range(n)]
+    df = spark.createDataFrame(rows, "t string, g int, id string")
+    pools = spark.createDataFrame([("x", 1, 400, 30), ("x", 0, 3, 9), (None, 1, 50, 0)], "t string, g int, n long, k int")
+    got = {}
+    for r in sampling.positions(pools, ["t", "g"], 5).collect():
+        got.setdefault((r["t"], r["g"]), set()).add(r["__number"])
+    assert got == {("x", 1): set(random.Random("5:x:1").sample(range(400), 30)), ("x", 0): {0, 1, 2}}
+    sizes = pools.filter("t is not null").select("t", "g", "k")
+    took = {tuple(r) for r in sampling.take(df.withColumn("more", F.lit(1)), ["t", "g"], sizes, "id", 5, parity=True).drop("more").collect()}
+    assert took == {("x", 1, f"d{i:05d}") for i in got["x", 1]} | {("x", 0, f"d{i:05d}") for i in range(3)}
+
+
+def test_chunks_of_many_slices(spark):
+    rows = spark.range(500).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("doc_id"))
+    n = {r["chunk"]: r["count"] for r in review.chunked(rows, 60, slices=2, slice_rows=10).groupBy("chunk").count().collect()}
+    assert n == {k: 60 for k in range(8)} | {8: 20}

@@ -132,3 +132,34 @@ def test_schemas(spark, tmp_path):
     tables.write_report({"b": 1, "a": 2}, tmp_path / "x.json")
     assert (tmp_path / "x.json").read_text().index('"a"') < (tmp_path / "x.json").read_text().index('"b"')
     assert len(tables.directory_digest(spark, str(tmp_path))) == 64
+
+
+def test_statements(spark, tmp_path):
+    """Mappings of topics, each a file; a file that is none raises."""
+    (tmp_path / "a.json").write_text(json.dumps({"7": {"title": "seven", "request": "all\n of  it "}, "8": {"title": "eight", "request": "the rest"}}))
+    (tmp_path / "b.json").write_text('{\n  "9": {"title": "nine", "request": "x"}\n}\n')
+    want = {("7", "seven", "all of it"), ("8", "eight", "the rest"), ("9", "nine", "x")}
+    assert {tuple(r) for r in tables.statements(spark, str(tmp_path / "*.json")).collect()} == want
+    (tmp_path / "c.json").write_text("[1, 2")
+    with pytest.raises(Exception, match="MALFORMED|malformed|FAILFAST"):
+        tables.statements(spark, str(tmp_path / "*.json")).collect()
+
+
+def test_run_log_and_log_path(spark, tmp_path):
+    runs = tmp_path / "runs.jsonl"
+    for code in (0, 2):
+        tables.append_run(runs, {"ts": "t", "command": "query", "argv": ["a", str(code)], "exit_code": code})
+    got = spark.read.schema(schemas.RUNS).json(str(runs)).orderBy("exit_code").collect()
+    assert [(r["exit_code"], r["argv"]) for r in got] == [(0, ["a", "0"]), (2, ["a", "2"])]
+    assert tables.log_path("/r", "bush") == "/r/bush_decisions.jsonl"
+
+
+def test_directory_digest_is_of_sorted_lines(spark, tmp_path):
+    import hashlib
+
+    files = {"b/x.txt": b"1", "a/y.txt": b"2", "a/b.txt": b"3"}
+    for name, data in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    lines = sorted(f"{n} {hashlib.sha256(c).hexdigest()}" for n, c in files.items())
+    assert tables.directory_digest(spark, str(tmp_path)) == hashlib.sha256("\n".join(lines).encode()).hexdigest()
