@@ -2,18 +2,18 @@
 
 A document's set has its distinct word shingles; documents link at a Jaccard similarity of ``SIMILARITY`` percent or more. A signature has ``COORDINATES``
 minima over the set. Documents are posted under each pair of coordinate and value. At the bound, coordinates agree with probability 0.8 each, so
-a linked pair has fewer than ``MATCHES`` of them in common in less than one of a million cases; pairs with that many are candidates, and each candidate is
+a linked pair has fewer than ``MATCHES`` of them in common in less than one of a million cases; pairs with that many are candidates, and links are
 confirmed on the full sets.
 
 Lists are counted first. Prefix: in order of list length, a document's rarest ``COORDINATES - MATCHES + 1`` postings suffice, as two documents with
 ``MATCHES`` common postings share one of these; lists of one document take their places in the prefix without being posted, so that most documents of
 their own drop out. Skip: the longer lists are never merged; a pair met in a prefix has its common coordinates counted on the two signatures.
 
-No list emits all its pairs. Equal sets collapse into one class before. Then, in each list, all classes meet its hub, the one with the most
-company over all its postings, likely the original of copies. Confirmed links make components; in a list whose rest lies in one component nothing is
-left to find. Of other lists, classes outside the list's largest component meet the rest in cells of bounded size (``CELL``), which compare
-signatures across components only: first for the few best partners of each class (``BEST``), which join most of what belongs together; what then is still apart
-meets all its candidates. So links that would only join what is joined already are not looked for, and none between components is lost.
+No list emits all its pairs. Equal sets collapse into one class before. Candidates make families first: in each list all classes meet its hub, the one with
+the most company over all its postings, likely the original of copies; in lists that this leaves apart, classes outside the largest part meet the rest. Every
+candidate pair then lies within one family. Each family's full sets are brought together once, in cells of bounded size (a family of more
+than one cell meets its hub before, and then only what that leaves apart meets the rest), where candidates of different components are confirmed. Cells give the links that
+join components, at most one for each class; links that would only join what is joined already are not looked for, and none between components is lost.
 
 Edge cases: a null, empty or wordless text has an empty set and links with nothing, not even its like; a text with fewer words than a shingle has one
 shingle; repeated rows are reported each; a null id is no candidate for a component's id, and a component of null ids only has a null one; ``kept`` compares null ids as
@@ -22,7 +22,7 @@ equal; an empty table gives an empty result; extra columns, whatever their names
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cells import SET_CELL, blocks, by_cell, confirmed, fits, joining
 from .common import cut, map_batches, read, splitmix, texts_of
 from .graph import components
 from .simhash import shingles
@@ -38,12 +39,11 @@ from .simhash import shingles
 SIMILARITY, SHINGLE = 80, 2
 COORDINATES, MATCHES = 48, 24
 SEED = 42
-#: Classes on either side of a cell of a list, and comparisons of signatures made at a time.
-CELL, STEP = 2_048, 100_000
-#: Partners that a class outside the largest component meets first.
-BEST = 8
+#: Elements of signatures on either side of a cell, about, and elements compared at a time.
+SIGNATURE_CELL, STEP = 100_000, 4_000_000
+#: Ids up to which they are sent to the texts; beyond, texts are joined.
+MAX_SENT = 2_000_000
 _FACTORS = splitmix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
-_PLACES = np.arange(COORDINATES, dtype=np.int64) << np.int64(32)
 
 
 def hashes(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -53,11 +53,11 @@ def hashes(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    """Of a set that is not empty: for each coordinate its number (upper half) and the least of the set's hashes in its order, 32 bits of it."""
+    """Of a set that is not empty: for each coordinate the least of the set's hashes in its order, 32 bits of it."""
     least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(found), 2048):
         np.minimum(least, (found[lo : lo + 2048, None] * _FACTORS).min(0), out=least)
-    return (least >> np.uint64(32)).astype(np.int64) | _PLACES
+    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def name_of(found: np.ndarray) -> tuple[int, int]:
@@ -76,10 +76,10 @@ def marks(docs: DataFrame, size: int) -> DataFrame:
             names.append(name_of(found))
             signatures.append(signature(found) if len(found) else None)
         k1, k2 = zip(*names, strict=True) if names else ((), ())
-        columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(signatures, pa.list_(pa.int64()))]
+        columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(signatures, pa.list_(pa.int32()))]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "k1", "k2", "signature"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, k1 long, k2 long, signature array<long>")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, k1 long, k2 long, signature array<int>")
 
 
 def sets(docs: DataFrame, size: int) -> DataFrame:
@@ -96,9 +96,11 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
 def postings(classes: DataFrame, least: int) -> DataFrame:
     """class, token, company of the rarest postings of every class of ``classes(class, n, signature)`` that may link.
 
-    ``least``: smaller sets link with no other set. A class that shares fewer than ``MATCHES`` postings with anything is left out.
+    A token is a coordinate (upper half) and a value. ``least``: smaller sets link with no other set. A class that shares fewer than ``MATCHES`` postings with
+    anything is left out.
     """
-    tokens = classes.filter(F.col("n") >= least).select("class", F.explode("signature").alias("token"))
+    tokens = classes.filter(F.col("n") >= least).select("class", F.posexplode("signature").alias("place", "value"))
+    tokens = tokens.select("class", (F.shiftleft(F.col("place").cast("long"), 32) + F.col("value")).alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1")
     shared = tokens.join(counts, "token").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("m", "token"))).alias("found"), F.sum("m").alias("company"))
     rarest = F.slice("found", F.lit(1), F.size("found") - (MATCHES - 1))
@@ -108,95 +110,68 @@ def postings(classes: DataFrame, least: int) -> DataFrame:
 def candidates(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
     """Those of the distinct ``pairs(a, b)`` of classes whose sizes allow a link and whose signatures have ``MATCHES`` coordinates in common."""
     of_a, of_b = (classes.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("signature").alias(f"s{c}")) for c in "ab")
-    both = pairs.join(of_a, "a").join(of_b, "b").filter(100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
-    return both.filter(F.size(F.array_intersect("sa", "sb")) >= MATCHES).select("a", "b")
+    both = pairs.join(of_a, "a").join(of_b, "b").filter(fits(F.col("na"), F.col("nb"), similarity)).select("a", "b", "sa", "sb")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sa, sb = (batch.column(c).flatten().to_numpy().reshape(-1, COORDINATES) for c in ("sa", "sb"))
+            yield batch.select(["a", "b"]).filter(pa.array((sa == sb).sum(1) >= MATCHES))
 
-def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, similarity: int) -> DataFrame:
-    """Those of the distinct ``pairs(a, b)`` of classes whose full sets link."""
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    wanted = classes.join(wanted, "class").select("class", "k1", "k2", F.col("doc_id").alias("id"))
-    ids = wanted.select("id").distinct()
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    # rows of one id may have different texts
-    found = cut(sets(own, size).join(wanted, ["k1", "k2"]).groupBy("class").agg(F.first("set").alias("set")))
-    both = pairs.join(found.select(F.col("class").alias("a"), F.col("set").alias("sa")), "a").join(found.select(F.col("class").alias("b"), F.col("set").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return cut(both.withColumn("common", common).filter(100 * F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"))
+    return both.mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame, classes: DataFrame, similarity: int, cell: int = CELL, best: int | None = None) -> DataFrame:
-    """Candidates (a, b) of different components in the same list of ``members(token, class, component)``; ``best``: for each class in a cell only so many, the most alike.
+def alike(part: pa.Table) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Which of some rows of a cell have ``MATCHES`` coordinates in common with a row."""
+    signatures = part.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
 
-    A list's largest component stays together; the classes outside it meet all of the list. Rows and columns of the lists are cut into blocks, and
-    each (row block, column block) is a cell of about ``cell`` classes on either side.
-    """
-    sizes = members.groupBy("token", "component").agg(F.count("*").alias("m"))
-    lists = sizes.groupBy("token").agg(F.sum("m").alias("n"), F.max(F.struct("m", "component")).alias("most")).filter("n > most.m")
-    lists = lists.select("token", F.ceil(F.col("n") / cell).cast("int").alias("columns"), F.ceil((F.col("n") - F.col("most.m")) / cell).cast("int").alias("rows"), F.col("most.component").alias("largest"))
-    of = cut(members.join(lists, "token").join(classes.select("class", "n", "signature"), "class"))
-    block = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
-    columns = ["token", "row", "column", "is_row", "class", "component", "n", "signature"]
-    row = of.filter("component <> largest").withColumn("is_row", F.lit(True)).withColumn("row", block("rows")).withColumn("column", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
-    column = of.withColumn("is_row", F.lit(False)).withColumn("column", block("columns")).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
-    dealt = row.select(columns).unionByName(column.select(columns)).repartition("token", "row", "column").sortWithinPartitions("token", "row", "column")
-
-    def pairs(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = pa.Table.from_batches(parts).combine_chunks()
-        names, component, n = (part.column(c).to_numpy() for c in ("class", "component", "n"))
-        s = part.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
-        is_row = part.column("is_row").to_numpy(zero_copy_only=False)
-        r, c = np.flatnonzero(is_row), np.flatnonzero(~is_row)
-        for i in r.tolist():
-            # sizes and components first, as they are quickest
-            some = c[(component[c] != component[i]) & (100 * np.minimum(n[c], n[i]) >= similarity * np.maximum(n[c], n[i]))]
-            for lo in range(0, len(some), STEP):
-                at = some[lo : lo + STEP]
-                equal = (s[at] == s[i]).sum(1)
-                near = np.flatnonzero(equal >= MATCHES)
-                at = at[near if best is None else near[np.argsort(-equal[near], kind="stable")[:best]]]
-                if len(at):
-                    a, b = np.minimum(names[at], names[i]), np.maximum(names[at], names[i])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    def near(i: int, some: np.ndarray) -> np.ndarray:
+        parts = [some[lo : lo + STEP // COORDINATES] for lo in range(0, len(some), STEP // COORDINATES)]
+        return np.concatenate([(signatures[at] == signatures[i]).sum(1) >= MATCHES for at in parts]) if parts else np.zeros(0, bool)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # the last cell so far, in parts
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("token", "row", "column")], 1)
-            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                part = batch.slice(lo, hi - lo)
-                if held and any(held[0].column(c)[0].as_py() != part.column(c)[0].as_py() for c in ("token", "row", "column")):
-                    yield from pairs(held)
-                    held = []
-                held.append(part)
-        if held:
-            yield from pairs(held)
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, cell: int = CELL) -> DataFrame:
+    return near
+
+
+def families(classes: DataFrame, least: int, similarity: int, limit: int = SIGNATURE_CELL) -> DataFrame:
+    """class, family, company of every class that is a candidate with another; candidates have the same family."""
+    posted = cut(postings(classes, least))
+    hubs = posted.groupBy("token").agg(F.max(F.struct("company", "class")).alias("hub"), F.count("*").alias("m")).filter("m > 1").select("token", F.col("hub.class").alias("hub"))
+    listed = cut(posted.join(hubs, "token").filter("class <> hub").select("token", "class", "hub", "company"))
+    pairs = listed.select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
+    met = cut(candidates(pairs, classes, similarity))
+    # in a list, what is a candidate with the hub is one component, and each class beside it its own; the hub needs no further look
+    linked = met.select(F.col("a").alias("class"), F.col("b").alias("hub"), F.lit(True).alias("linked"))
+    members = listed.join(linked, ["class", "hub"], "left").select("token", "class", "company", F.when(F.col("linked"), F.col("hub")).otherwise(F.col("class")).alias("component"))
+    apart = members.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
+    members = members.join(apart, "token").join(classes.select("class", "n", "signature"), "class").select("token", "class", "component", "company", "n", "signature")
+    roots = components(met.unionByName(cut(by_cell(blocks(members, "token", F.lit(COORDINATES), limit), "token", lambda part: joining(part, similarity, alike(part))))))
+    company = posted.groupBy("class").agg(F.first("company").alias("company"))
+    return roots.select(F.col("node").alias("class"), F.col("root").alias("family")).join(company, "class")
+
+
+def with_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """``members(class, k1, k2, doc_id, ...)`` with the full ``set`` of each class; only texts of their ids are read again."""
+    ids = members.select(F.col("doc_id").alias("id")).distinct()
+    sent = F.broadcast(ids) if ids.count() <= MAX_SENT else ids
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sent, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    # rows of one id may have different texts, and several rows the same
+    return members.join(sets(own, size), ["k1", "k2"]).groupBy(*members.columns).agg(F.first("set").alias("set"))
+
+
+def links(docs: DataFrame, classes: DataFrame, size: int, similarity: int, limit: int = SET_CELL, signature_limit: int = SIGNATURE_CELL) -> DataFrame:
+    """Confirmed links (a, b) among ``classes(class, k1, k2, doc_id, n, signature)``, enough of them to connect what is connected."""
+    # unlike sets link from similarity / (100 - similarity) shingles on: one shingle more in the larger one must not weigh too much
+    least = -(-similarity // (100 - similarity)) if similarity < 100 else 1 << 62
+    found = cut(families(classes, least, similarity, signature_limit))
+    members = cut(with_sets(docs, classes.join(found, "class"), size).drop("k1", "k2", "doc_id"))
+    return confirmed(members, similarity, alike, limit)
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, limit: int = SET_CELL, signature_limit: int = SIGNATURE_CELL) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs(doc_id, text)``."""
     marked = cut(marks(docs, size))
     classes = marked.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("signature").alias("signature"))
     classes = cut(classes.withColumn("class", F.monotonically_increasing_id()))
-    # unlike sets link from similarity / (100 - similarity) shingles on: one shingle more in the larger one must not weigh too much
-    posted = cut(postings(classes, -(-similarity // (100 - similarity)) if similarity < 100 else 1 << 62))
-    hubs = posted.groupBy("token").agg(F.max(F.struct("company", "class")).alias("hub"), F.count("*").alias("m")).filter("m > 1").select("token", F.col("hub.class").alias("hub"))
-    listed = cut(posted.join(hubs, "token").filter("class <> hub").select("token", "class", "hub"))
-    pairs = listed.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
-    met = cut(candidates(pairs, classes, similarity))
-    roots = components(confirmed(docs, classes, met, size, similarity))
-    for best in (BEST, None):
-        members = listed.join(roots, F.col("class") == F.col("node"), "left").select("token", "class", F.coalesce("root", "class").alias("component"))
-        more = cut(across(members, classes, similarity, cell, best).join(met, ["a", "b"], "left_anti"))
-        if not more.limit(1).count():
-            continue
-        met = met.unionByName(more)
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(confirmed(docs, classes, more, size, similarity)))
+    roots = components(links(docs, classes, size, similarity, limit, signature_limit))
     rooted = classes.join(roots, F.col("class") == F.col("node"), "left").select("k1", "k2", "doc_id", F.coalesce("root", "class").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = rooted.join(least, "root").select("k1", "k2", "component_id")

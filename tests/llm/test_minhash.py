@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from edge import WORDS, corpus, frame, odd
 
-from docketry.llm import minhash
+from pyspark.sql import functions as F
+
+from docketry.llm import cells, minhash
 
 
 def words_of(text):
@@ -65,16 +67,16 @@ def family(rng, n, length, share, first=0):
     return rows
 
 
-@pytest.mark.parametrize("cell", [minhash.CELL, 3])
-def test_components_equal_brute_force(spark, cell):
+@pytest.mark.parametrize("limits", [(minhash.SET_CELL, minhash.SIGNATURE_CELL), (700, 200)])
+def test_components_equal_brute_force(spark, limits):
     """Families around the bound, of short and of long texts, in which most copies do not link with each other but through some."""
-    rng = random.Random(cell)
+    rng = random.Random(limits[0])
     rows = corpus(60, seed=5) + odd()
     for k, (n, length, share) in enumerate([(40, 60, 0.1), (40, 60, 0.16), (30, 12, 0.2), (25, 200, 0.13), (15, 6, 0.2)]):
         rows += family(rng, n, length, share, 2000 + 100 * k)
     rng.shuffle(rows)
     want = brute(rows)
-    assert rows_of(minhash.near_duplicates(frame(spark, rows), cell=cell)) == want
+    assert rows_of(minhash.near_duplicates(frame(spark, rows), limit=limits[0], signature_limit=limits[1])) == want
     assert 20 < sum(not r[3] for r in want) < len(want) - 60
 
 
@@ -87,39 +89,55 @@ def test_chain_of_versions(spark):
     assert {r[2] for r in want} == {485}
 
 
-def test_many_copies_make_few_pairs(spark):
-    """n near copies and n exact ones: pairs that are confirmed stay in proportion, and all copies go."""
+@pytest.mark.parametrize("limit", [minhash.SET_CELL, 2_000])
+def test_many_copies_make_few_links(spark, limit):
+    """n near copies and n exact ones, in one cell and in many: links stay below the number of texts, and all copies go."""
     rows = family(random.Random(4), 300, 80, 0.05) + [(1000 + i, "just the same words again and again " * 3, "en", "s", 1) for i in range(300)]
     docs = frame(spark, rows)
     seen = []
-    confirm = minhash.confirmed
-    minhash.confirmed = lambda *a: seen.append(a[2].count()) or confirm(*a)
+    of = minhash.links
+    minhash.links = lambda *a: seen.append(of(*a).count()) or of(*a)
     try:
-        got = rows_of(minhash.near_duplicates(docs))
+        got = rows_of(minhash.near_duplicates(docs, limit=limit))
     finally:
-        minhash.confirmed = confirm
-    assert sorted(r[0] for r in got if r[3]) == [0, 1000] and sum(seen) < 3000
+        minhash.links = of
+    distinct = len({set_of(r[1]) for r in rows})
+    assert sorted(r[0] for r in got if r[3]) == [0, 1000] and distinct - 2 <= sum(seen) <= (distinct - 2 if limit > 2_000 else 4 * distinct)
 
 
-def test_cells_find_all_pairs_between_components(spark):
-    """Signatures in lists of mixed components: candidates equal those of all pairs, whatever the size of a cell."""
+def test_cells_connect_what_pairs_connect(spark):
+    """Links of cells join just the components that all candidate pairs between components would join, whatever the size of a cell."""
     rng = np.random.default_rng(1)
-    base = rng.integers(0, 2**31, minhash.COORDINATES)
+    k = minhash.COORDINATES
+    base = rng.integers(0, 2**31, (4, k))
     rows = []
-    for i in range(60):
-        s = np.where(rng.random(minhash.COORDINATES) < 0.25, rng.integers(0, 2**31, minhash.COORDINATES), base) | minhash._PLACES
-        rows.append((i, int(rng.integers(80, 120)), [int(x) for x in s], int(rng.integers(0, 2)) if i < 40 else i))
-    classes = spark.createDataFrame([r[:3] for r in rows], "class long, n long, signature array<long>")
-    members = spark.createDataFrame([(t, r[0], r[3]) for r in rows for t in (7, 8)], "token long, class long, component long")
-    want = {
+    for i in range(80):
+        s = np.where(rng.random(k) < rng.choice([0.2, 0.35]), rng.integers(0, 2**31, k), base[i % 4])
+        rows.append((i, int(rng.integers(80, 120)), [int(x) for x in s], i % 2 if i < 40 else i))
+    known = [(r[0], r[3]) for r in rows]
+    pairs = [
         (a[0], b[0]) for a in rows for b in rows
-        if a[0] < b[0] and a[3] != b[3] and 100 * min(a[1], b[1]) >= 80 * max(a[1], b[1]) and sum(x == y for x, y in zip(a[2], b[2], strict=True)) >= minhash.MATCHES
-    }
-    for cell in (2, 7, 1000):
-        got = minhash.across(members, classes, 80, cell).collect()
-        assert {tuple(r) for r in got} == want and len(got) == len(want) > 300
-    one = members.withColumn("component", members["token"] * 0)
-    assert minhash.across(one, classes, 80).count() == 0
+        if a[0] < b[0] and cells.fits(a[1], b[1], 80) and sum(x == y for x, y in zip(a[2], b[2], strict=True)) >= minhash.MATCHES
+    ]
+
+    def parts(links):
+        root = {x: x for x in range(80)}
+
+        def top(x):
+            return x if root[x] == x else top(root[x])
+
+        for a, b in [*known, *links]:
+            root[top(a)] = top(b)
+        return {x: min(y for y in root if top(y) == top(x)) for x in root}
+
+    members = spark.createDataFrame([(7, r[0], r[3], 1, r[1], r[2]) for r in rows], "token long, class long, component long, company long, n long, signature array<int>")
+    for limit in (k, 7 * k, 1000 * k):
+        dealt = cells.blocks(members, "token", F.lit(k), limit)
+        got = [tuple(r) for r in cells.by_cell(dealt, "token", lambda part: cells.joining(part, 80, minhash.alike(part))).collect()]
+        assert {tuple(sorted(x)) for x in got} <= set(pairs) and parts(got) == parts(pairs)
+    assert len(got) < 80 < len(pairs)
+    one = members.withColumn("component", F.lit(0).cast("long"))
+    assert cells.blocks(one, "token", F.lit(k), k).count() == 0
 
 
 def test_nothing_and_nobody(spark):
