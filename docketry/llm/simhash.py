@@ -8,13 +8,13 @@ all are filed and probe within radius 1.
 The query takes 2 bits of fingerprints over three-word shingles: two segments of 32 bits with radii 1 and 0, 34 keys.
 
 Equal fingerprints collapse before (with a map-side minimum of their ids), so a group of copies of any size is one row.
-Under one key, filed and probing fingerprints are compared in numpy in blocks of bounded size. Where many near copies meet, a spanning forest of
-verified links is kept, at most one link fewer than there are fingerprints, not all pairs; memory is 16 bytes for each fingerprint and key.
+Under one key, filed and probing fingerprints are compared in numpy in blocks of bounded size. Where many meet, what is under the key is cut again by the bits in which it
+differs: of radius + 1 parts of them, two fingerprints within the radius share one. A spanning forest of verified links is kept there, fewer links than there are
+fingerprints in a part, not all pairs; memory is 16 bytes for each fingerprint and key.
 
-``keep_one`` works by similarity: its links are of fingerprints over distinct words, within 8 bits in three segments, and each is confirmed by the Jaccard
-similarity of the five-word shingles of both whole texts, 0.8 or more. Of what confirmed links connect the smallest id stays. Under a key where up to
-``DENSE`` links a fingerprint are found all are confirmed; under a fuller one those of the spanning forest, which grows from the text nearest to the majority of
-bits, the likely original of the copies.
+``keep_one`` works by similarity: candidates are fingerprints over distinct words within 8 bits, in three segments. What candidates connect is a family; the full sets
+of five-word shingles of its texts are brought together once, and candidates of different components are confirmed at a Jaccard similarity of 0.8 or more (``cells``). So
+the forest only tells who may belong together; no candidate pair between components is passed over. Of what confirmed links connect the smallest id stays.
 
 Edge cases: a null or wordless text has fingerprint zero and links like any other; repeated rows are reported each; a null id
 is no candidate for a component's id; an empty table gives an empty result; extra columns, whatever their names, are ignored or, by
@@ -23,7 +23,7 @@ is no candidate for a component's id; an empty table gives an empty result; extr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cells import SET_CELL, Near, confirmed
 from .common import cut, fresh, map_batches, read, slices, tag_column, tag_of, texts_of
 from .graph import components
 
@@ -40,8 +41,8 @@ SEED = 42
 #: The stage's candidates: bits and segments of fingerprints over distinct words; and what it removes.
 STAGE_RADIUS, STAGE_SEGMENTS = 8, 3
 STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
-#: Comparisons made at a time, and links a fingerprint under a key from which on a forest stands for them.
-CELLS, DENSE = 2_000_000, 8
+#: Comparisons made at a time, fingerprints under a key up to which each is compared with each, and up to which a forest is not cut into parts.
+CELLS, FEW, WHOLE = 2_000_000, 64, 256
 
 
 def segments_of(radius: int, count: int) -> list[tuple[int, int, int]]:
@@ -98,8 +99,49 @@ def text_marks(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, tag long, fp long, words long")
 
 
+def parts_of(bits: int, count: int) -> list[np.uint64]:
+    """The set bits of a mask, dealt to ``count`` masks."""
+    each = [i for i in range(64) if bits >> i & 1]
+    return [np.uint64(sum(1 << i for i in each[k::count])) for k in range(count)]
+
+
 def forest(filed: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
-    """Links (n, 2) that connect what ``filed`` members of the sorted ``group`` are within ``radius`` of, from the middle outwards."""
+    """Links (n, 2) that connect what ``filed`` members of the sorted ``group`` are within ``radius`` of.
+
+    A group of more than ``WHOLE`` is cut by parts of the bits in which its members differ; a pair within the radius is equal in one of radius + 1 parts.
+    """
+    if len(group) > WHOLE:
+        bits = int(np.bitwise_or.reduce(group ^ group[0]))
+        own, out = np.isin(group, filed), []
+        for mask in parts_of(bits, radius + 1) if bits.bit_count() > radius + 1 else []:
+            order = np.argsort(group & mask, kind="stable")
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(group[order] & mask) != 0]))
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(group)], strict=True):
+                run = np.sort(order[lo:hi])
+                if hi - lo > 1 and own[run].any():
+                    out.append(grown(group[run[own[run]]], group[run], radius) if hi - lo <= WHOLE or hi - lo == len(group) else forest(group[run[own[run]]], group[run], radius))
+        if out:
+            return spanning(np.concatenate(out))
+    return grown(filed, group, radius)
+
+
+def spanning(links: np.ndarray) -> np.ndarray:
+    """Those of the links (n, 2), in their order, that join what is not joined yet."""
+    ends, places = np.unique(links, return_inverse=True)
+    root, kept = list(range(len(ends))), []
+    for k, (a, b) in enumerate(places.reshape(links.shape).tolist()):
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        while root[b] != b:
+            root[b] = b = root[root[b]]
+        if a != b:
+            root[a] = b
+            kept.append(k)
+    return links[kept]
+
+
+def grown(filed: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
+    """The same by comparing with all that is not linked yet, from the middle outwards."""
     out, rest, alive = [], np.arange(len(group)), np.ones(len(group), bool)
     ones = np.zeros(64, np.int64)
     for lo in range(0, len(filed), 100_000):
@@ -130,7 +172,7 @@ def close(key: np.ndarray, fp: np.ndarray, filed: np.ndarray, radius: int) -> np
     some = (n_filed > 0) & (sizes > 1)
     starts, sizes, n_filed = starts[some], sizes[some], n_filed[some]
     out = [np.zeros((0, 2), np.uint64)]
-    small = sizes * n_filed <= 4096
+    small = sizes <= FEW
     for s, n, m in zip(starts[~small], sizes[~small], n_filed[~small], strict=True):
         out.append(forest(fp[s : s + m], np.unique(fp[s : s + n]), radius))
     starts, sizes, n_filed = starts[small], sizes[small], n_filed[small]
@@ -141,12 +183,7 @@ def close(key: np.ndarray, fp: np.ndarray, filed: np.ndarray, radius: int) -> np
         nth = np.arange(len(of)) - np.repeat(np.cumsum(cells) - cells, cells)
         a, b = fp[starts[of] + nth // sizes[of]], fp[starts[of] + nth % sizes[of]]
         near = (np.bitwise_count(a ^ b) <= radius) & (a != b)
-        a, b, of = a[near], b[near], of[near]
-        many = np.flatnonzero(np.bincount(of, minlength=hi) > DENSE * sizes[:hi])
-        for g in many.tolist():
-            out.append(forest(fp[starts[g] : starts[g] + n_filed[g]], np.unique(fp[starts[g] : starts[g] + sizes[g]]), radius))
-        rest = ~np.isin(of, many)
-        out.append(np.stack([a[rest], b[rest]], 1))
+        out.append(np.stack([a[near], b[near]], 1))
     return np.concatenate(out)
 
 
@@ -200,12 +237,6 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, count: int = SEGMENTS
     return marked.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Of arrays of distinct elements; two empty ones are alike."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
-
-
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, words, set (distinct 32-bit hashes of shingles) of every row of ``docs(doc_id, text)``."""
 
@@ -221,31 +252,39 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return map_batches(docs, run, "doc_id long, words long, set array<int>")
 
 
-def confirmed(docs: DataFrame, texts: DataFrame, found: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Links (a, b) of texts, by hashes of their words, out of the links ``found(a, b)`` of fingerprints; ``texts(fp, words, doc_id)``."""
-    # texts of one fingerprint hang on the first of them, which stands for the fingerprint
-    first = texts.groupBy("fp").agg(F.min("words").alias("first"), F.count("*").alias("n"))
-    same = texts.join(first.filter("n > 1").select(F.col("fp").alias("f"), "first"), F.col("fp") == F.col("f")).filter("words <> first")
-    of_a, of_b = (first.select(F.col("fp").alias(f"f{x}"), F.col("first").alias(f"t{x}")) for x in "ab")
-    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(of_a, F.col("a") == F.col("fa")).join(of_b, F.col("b") == F.col("fb")).select("ta", "tb")
-    pairs = cut(pairs.unionByName(same.select(F.col("first").alias("ta"), F.col("words").alias("tb"))))
-    wanted = pairs.select(F.col("ta").alias("w")).union(pairs.select("tb")).distinct()
-    wanted = texts.join(wanted, F.col("words") == F.col("w")).select(F.col("doc_id").alias("id"), "w")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("id").distinct(), F.col("doc_id") == F.col("id")).select("doc_id", "text")
-    sets = shingle_sets(own, size).join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("words") == F.col("w"))).groupBy("words").agg(F.first("set").alias("set"))
-    sets = cut(sets)
-    left, right = sets.select(F.col("words").alias("a"), F.col("set").alias("sa")), sets.select(F.col("words").alias("b"), F.col("set").alias("sb"))
-    both = pairs.join(left, F.col("ta") == F.col("a")).join(right, F.col("tb") == F.col("b"))
-    return both.filter(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b")
-
-
-def duplicates(docs: DataFrame, radius: int = STAGE_RADIUS, count: int = STAGE_SEGMENTS, size: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
+def within(radius: int) -> Callable[[pa.Table], Near]:
+    """Candidates of a cell: fingerprints at ``radius`` or fewer differing bits."""
+
+    def candidates(part: pa.Table) -> Near:
+        fp = part.column("fp").to_numpy().view(np.uint64)
+        return lambda i, some: np.bitwise_count(fp[some] ^ fp[i]) <= radius
+
+    return candidates
+
+
+def families(texts: DataFrame, radius: int, count: int) -> DataFrame:
+    """family, class, fp, doc_id, company of the ``texts(fp, words, doc_id)`` that have candidates, by hashes of their words; candidates have the same family."""
+    found = cut(links(texts.select("fp").distinct(), radius, count))
+    roots = components(found)
+    degrees = found.select(F.col("a").alias("node")).union(found.select("b")).groupBy("node").agg(F.count("*").alias("company"))
+    of = texts.join(roots.join(degrees, "node"), F.col("fp") == F.col("node"), "left")
+    # texts of one fingerprint are a family, linked or not
+    of = cut(of.select(F.coalesce("root", "fp").alias("family"), F.col("words").alias("class"), "fp", "doc_id", F.coalesce("company", F.lit(0)).alias("company")))
+    return of.join(of.groupBy("family").agg(F.count("*").alias("m")).filter("m > 1").select("family"), "family")
+
+
+def duplicates(
+    docs: DataFrame, radius: int = STAGE_RADIUS, count: int = STAGE_SEGMENTS, size: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY, limit: int = SET_CELL
+) -> DataFrame:
     """(doc_id, tag, kept): rows that go, by id and tag, and the smaller id that stays for each."""
     marked = cut(text_marks(docs.filter("doc_id is not null")))
     texts = cut(marked.groupBy("fp", "words").agg(F.min("doc_id").alias("doc_id")))  # copies of a text are one
-    found = cut(links(texts.select("fp").distinct(), radius, count))
-    roots = components(confirmed(docs, texts, found, size, similarity))
+    found = cut(families(texts, radius, count))
+    wanted = found.select(F.col("doc_id").alias("id")).distinct()
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
+    sets = shingle_sets(own, size).withColumnRenamed("words", "class").groupBy("class").agg(F.first("set").alias("set"))
+    members = cut(found.drop("doc_id").join(sets, "class").withColumn("n", F.size("set").cast("long")))
+    roots = components(confirmed(members, round(100 * similarity), within(radius), limit))
     rooted = texts.join(roots, F.col("words") == F.col("node"), "left").select("words", "doc_id", F.coalesce("root", "words").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("kept")).withColumnRenamed("root", "r")
     named = rooted.join(least, F.col("root") == F.col("r")).select(F.col("words").alias("w"), "kept").groupBy("w").agg(F.min("kept").alias("kept"))

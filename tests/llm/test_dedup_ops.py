@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -257,6 +258,80 @@ def test_all_pairs_within_a_radius_meet(spark):
         assert all((a ^ b).bit_count() <= radius for a, b in got) and parts(got) == want, (radius, count)
 
 
+def crowd(rng, n, size, flips):
+    """Clusters of ``size`` fingerprints that share their lower 22 bits, ``n`` in all, at up to ``flips`` bits from the middle of each."""
+    low, out = rng.getrandbits(22), set()
+    while len(out) < n:
+        middle = rng.getrandbits(42)
+        for _ in range(size):
+            x = middle
+            for b in rng.sample(range(42), rng.randrange(flips + 1)):
+                x ^= 1 << b
+            out.add(x << 22 | low)
+    return sorted(out)[:n]
+
+
+@pytest.mark.parametrize("n", [56, 80, 300, 2000])
+def test_full_keys_connect_what_is_connected(n):
+    """What one key holds, however many: links connect just what pairs within the radius connect, without all of them."""
+    rng = random.Random(n)
+    fps = np.array(crowd(rng, n, 8, 3), np.uint64)
+    got = simhash.close(np.zeros(n, np.int64), fps, np.ones(n, bool), 8)
+    near = (np.bitwise_count(fps[:, None] ^ fps[None]) <= 8) & (fps[:, None] != fps[None])
+
+    def parts(links):
+        label = np.arange(n)
+        while True:
+            new = label.copy()
+            np.minimum.at(new, links[:, 0], label[links[:, 1]])
+            np.minimum.at(new, links[:, 1], label[links[:, 0]])
+            new = np.minimum(new, new[new])
+            if (new == label).all():
+                return label.tolist()
+            label = new
+
+    places = np.searchsorted(fps, got)
+    assert near[places[:, 0], places[:, 1]].all() and parts(places) == parts(np.argwhere(near))
+    assert len(got) < n or n <= simhash.FEW
+
+
+def test_unlike_fingerprints_under_one_key_take_little_time():
+    """20,000 of them, which are not near each other: parts keep comparisons few."""
+    rng = np.random.default_rng(1)
+    fps = np.unique(rng.integers(0, 2**32, 20_000, dtype=np.uint64) << np.uint64(32) | np.uint64(7))
+    began = time.perf_counter()
+    got = simhash.close(np.zeros(len(fps), np.int64), fps, np.ones(len(fps), bool), 2)
+    assert time.perf_counter() - began < 5
+    assert (np.bitwise_count(got[:, 0] ^ got[:, 1]) <= 2).all()
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 3_000])
+def test_stage_loses_no_link_in_full_keys(spark, limit):
+    """Hundreds of copies around few originals, whose candidates are all within one family: what stays is one text of each component of confirmed links."""
+    rng, rows = random.Random(4), []
+    for k in range(3):
+        base = [f"{rng.choice('abcdefgh')}{rng.randrange(400)}" for _ in range(150)]
+        for c in range(90):
+            w = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                w[rng.randrange(len(w))] = f"q{rng.randrange(1000)}"
+            rows.append((1000 * k + c, " ".join(w), "en", "s", 1))
+    rng.shuffle(rows)
+    fps = {r[1]: simhash.fingerprint(r[1].encode(), 1, distinct=True) for r in rows}
+    texts = sorted(fps)
+    label = {t: i for i, t in enumerate(texts)}
+    sets = {t: five_words(t) for t in texts}
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            if (fps[a] ^ fps[b]).bit_count() <= 8 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = {t: new if x == old else x for t, x in label.items()}
+    want = {min(r[0] for r in rows if label[r[1]] == x) for x in set(label.values())}
+    docs = spark.createDataFrame(rows, SCHEMA)
+    gone = {r["doc_id"] for r in simhash.duplicates(docs, limit=limit).collect()}
+    assert {r[0] for r in rows} - gone == want and len(want) < 60
+
+
 def five_words(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(text or ""))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
