@@ -2,10 +2,10 @@
 
 Candidate blocks need no cue words: a run of words within the tolerance of a template of m words, d of which may differ, shares at least m - 1 - 2d
 of its pairs of neighbouring words, within m + d words. Where so many pairs of a template stand so close, there is a block; so no occurrence within
-the tolerance is lost. A block is compressed alone and with each template as raw zstandard dictionary; templates are ranked by the
-size reduction as a share of the template's own compressed size. Those over ``least_gain`` are confirmed by
-the exact wording: the template's words are aligned with the block's, and a template holds if at most ``tolerance`` of its
-words differ; the differing words are reported. A word of ``TELLING`` put in, or a version number
+the tolerance is lost. A block is compressed alone and with each of its templates as raw zstandard dictionary; templates are ranked by the
+size reduction as a share of the template's own compressed size. In this order each is confirmed by
+the exact wording, whatever its gain: the template's words are aligned with the block's, and a template holds if at most ``tolerance`` of its
+words differ; the differing words are reported. A word with a part in ``TELLING`` put in, for another word or beside it, or a version number
 changed, makes it another license and refuses the template. Every occurrence is reported: what stands before and after one is aligned again. Of
 occurrences of one license that overlap, the one with the most words of its template stays.
 
@@ -82,9 +82,62 @@ TEMPLATES = (
     ("epl-2.0", "Eclipse Public License 2.0"),
     ("cc0-1.0", "CC0 1.0 Universal"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
-)
-#: Words that make one license of another.
-TELLING = frozenset({"+lesser", "+library", "+affero"})
+    ("mit", "MIT License"),
+    (  # what follows the permission
+        "mit",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT "
+        "WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
+        "SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+        "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in "
+        "source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or "
+        "authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to "
+        "the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software "
+        "under copyright law.",
+    ),
+    ("apache-2.0", "Apache License, Version 2.0"),
+    ("apache-2.0", "Apache License 2.0"),
+    ("gpl-2.0", "GNU General Public License v2.0"),
+    ("gpl-2.0", "GNU General Public License v2"),
+    ("gpl-2.0", "GNU GPLv2"),
+    ("gpl-2.0", "GNU GPL v2"),
+    ("gpl-2.0", "GPL version 2"),
+    ("gpl-2.0", "the GPLv2"),
+    ("gpl-2.0", "under GPLv2"),
+    ("gpl-2.0", "GPLv2 license"),
+    ("gpl-3.0", "GNU General Public License v3.0"),
+    ("gpl-3.0", "GNU General Public License v3"),
+    ("gpl-3.0", "GNU GPLv3"),
+    ("gpl-3.0", "GNU GPL v3"),
+    ("gpl-3.0", "GPL version 3"),
+    ("gpl-3.0", "the GPLv3"),
+    ("gpl-3.0", "under GPLv3"),
+    ("gpl-3.0", "GPLv3 license"),
+    ("gfdl", "GNU Free Documentation License"),
+    ("bsd-2-clause", "BSD 2-Clause License"),
+    ("bsd-2-clause", "2-Clause BSD License"),
+    ("bsd-3-clause", "BSD 3-Clause License"),
+    ("bsd-3-clause", "3-Clause BSD License"),
+    ("bsl-1.0", "Boost Software License, Version 1.0"),
+    ("bsl-1.0", "Boost Software License 1.0"),
+    # Creative Commons: each kind and version, in three spellings
+    *(
+        (f"cc-{kind}-{version}", text)
+        for kind, long in (
+            ("by", "Attribution"), ("by-sa", "Attribution-ShareAlike"), ("by-nc", "Attribution-NonCommercial"), ("by-nd", "Attribution-NoDerivatives"),
+            ("by-nc-sa", "Attribution-NonCommercial-ShareAlike"), ("by-nc-nd", "Attribution-NonCommercial-NoDerivatives"),
+        )
+        for version in ("2.0", "2.5", "3.0", "4.0")
+        for text in (f"CC {kind.upper()} {version}", f"CC-{kind.upper()}-{version}", f"Creative Commons {long} {version}")
+    ),
+)
+#: Bytes that a dictionary has at least, by repeating a short template: zstandard finds nothing in shorter ones.
+LEAST_DICTIONARY = 16
+#: Words, or parts of words, that make one license of another.
+TELLING = frozenset("lesser library affero documentation sharealike share alike noncommercial commercial noderivatives noderivs derivatives sa nc nd".split())
 _ID = rb"[0-9a-z](?:[0-9a-z.+\-]*[0-9a-z+])?"
 _SPDX = re.compile(rb"spdx-license-identifier:[ \t(]*" + _ID + rb"(?:[ \t)]+(?:and|or|with)[ \t(]+" + _ID + rb")*")
 #: An edit that takes a version number away.
@@ -98,9 +151,9 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def tells_apart(edits: list[str]) -> bool:
-    """Whether the edits make another license of a template."""
+    """Whether the edits make another license of a template: a telling word is put in, or a version taken away."""
     words = [x for edit in edits for x in edit.split(" ")]
-    return any(x in TELLING or _NUMBER.fullmatch(x) for x in words)
+    return any(_NUMBER.fullmatch(x) or x[0] == "+" and TELLING & set(re.split(r"[^a-z]+", x[1:])) for x in words)
 
 
 def spdx(low: bytes) -> list[tuple[bytes, int, int]]:
@@ -156,12 +209,11 @@ class Template:
 @dataclass
 class Scanner:
     templates: tuple[tuple[str, str], ...] = TEMPLATES
-    least_gain: float = 0.05
     tolerance: float = 0.1
     _ready: list | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return {"templates": self.templates, "least_gain": self.least_gain, "tolerance": self.tolerance, "_ready": None}
+        return {"templates": self.templates, "tolerance": self.tolerance, "_ready": None}
 
     def classes(self) -> list[tuple[int, list[Template]]]:
         """Templates by their number of words."""
@@ -176,7 +228,8 @@ class Scanner:
                     self._code.setdefault(w, len(self._code))
             for name, words in split:
                 raw = b" ".join(words)  # layout and punctuation take no part in the sizes
-                given = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **options)
+                content = b" ".join([raw] * -(-LEAST_DICTIONARY // len(raw))) if raw else raw
+                given = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **options)
                 codes = np.array([self._code[w] for w in words], np.int64)
                 t = Template(name, words, len(self._plain.compress(raw)), given, int(self.tolerance * len(words)), np.unique(codes[:-1] * len(self._code) + codes[1:]))
                 by_size.setdefault(len(words), []).append(t)
@@ -185,11 +238,11 @@ class Scanner:
             self._pairs = np.unique(np.concatenate([t.pairs for t in each] or [np.zeros(0, np.int64)]))
             self._holds = np.stack([np.isin(self._pairs, t.pairs) for t in each], 1) if each else np.zeros((0, 0), bool)  # pairs x templates
             self._need = np.array([max(1, len(t.words) - 1 - 2 * t.slack) for t in each], np.int64)
-            self._single = {size: self._code[t.words[0]] for size, x in self._ready for t in x if size == 1}
+            self._single = [(k, self._code[t.words[0]]) for k, t in enumerate(each) if len(t.words) == 1]
         return self._ready
 
     def spots(self, words: list[bytes]) -> dict[int, list[int]]:
-        """Words that stand in pairs of templates as close as an occurrence has them, by size of template."""
+        """Words that stand in pairs of a template as close as an occurrence has them, by number of the template."""
         classes, get = self.classes(), self._code.get
         codes = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         at = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
@@ -198,15 +251,15 @@ class Scanner:
         known = self._pairs[where] == pair if len(self._pairs) else np.zeros(len(pair), bool)
         at, holds = at[known], self._holds[where[known]]
         enough = np.flatnonzero(holds.sum(0) >= self._need) if len(at) else ()
-        out: dict[int, set[int]] = {size: set(np.flatnonzero(codes == code).tolist()) for size, code in self._single.items()}
+        out: dict[int, list[int]] = {k: np.flatnonzero(codes == code).tolist() for k, code in self._single}
         each = [t for _, x in classes for t in x]
         for k in enough:
             t, own = each[k], at[holds[:, k]]
             size, need = len(t.words), int(self._need[k])
             first = np.flatnonzero(own[need - 1 :] - own[: len(own) - need + 1] <= size + t.slack - 2)
             if len(first):
-                out.setdefault(size, set()).update(own[(first[:, None] + np.arange(need)).ravel()].tolist())
-        return {size: sorted(x) for size, x in out.items() if x}
+                out[int(k)] = np.unique(own[(first[:, None] + np.arange(need)).ravel()]).tolist()
+        return {k: x for k, x in out.items() if x}
 
     def occurrences(self, t: Template, words: list[bytes], lo: int = 0) -> list[tuple[int, int, list[str]]]:
         """(start, end, edits) of the template in ``words``, which start at word ``lo``: the best one, and those before and after it."""
@@ -228,19 +281,21 @@ class Scanner:
         found: list[tuple[int, dict]] = [
             (1, {"license": name.decode(), "gain": 1.0, "start": s, "end": e, "differences": []}) for name, s, e in (spdx(low) if b"spdx" in low else [])
         ]
-        blocks, place = 0, [m.span() for m in _WORD.finditer(low)] if spots else []
-        for size, templates in classes:
-            for lo, hi in pieces(spots.get(size, []), size + max(t.slack for t in templates), len(words)):
-                blocks += 1
-                raw = b" ".join(words[lo:hi])
-                alone = len(self._plain.compress(raw))
-                ranked = sorted((((alone - len(t.given.compress(raw))) / t.own, -k) for k, t in enumerate(templates)), reverse=True)
-                for gain, k in ranked:
-                    if gain < self.least_gain:
-                        break
-                    t = templates[-k]
-                    for s, e, edits in self.occurrences(t, words[lo:hi], lo):
-                        found.append((size - len(edits), {"license": t.name, "gain": float(gain), "start": place[s][0], "end": place[e - 1][1], "differences": edits}))
+        place = [m.span() for m in _WORD.finditer(low)] if spots else []
+        each = [t for _, x in classes for t in x]
+        of_block: dict[tuple[int, int], list[int]] = {}  # blocks of templates of one size are often the same
+        for k, at in spots.items():
+            for block in pieces(at, len(each[k].words) + each[k].slack, len(words)):
+                of_block.setdefault(block, []).append(k)
+        blocks = len(of_block)
+        for (lo, hi), numbers in of_block.items():
+            raw = b" ".join(words[lo:hi])
+            alone = len(self._plain.compress(raw))
+            ranked = sorted((((alone - len(each[k].given.compress(raw))) / each[k].own, -k) for k in numbers), reverse=True)
+            for gain, k in ranked:
+                t = each[-k]
+                for s, e, edits in self.occurrences(t, words[lo:hi], lo):
+                    found.append((len(t.words) - len(edits), {"license": t.name, "gain": float(gain), "start": place[s][0], "end": place[e - 1][1], "differences": edits}))
         kept: dict[str, list[dict]] = {}
         for _, x in sorted(found, key=lambda f: (-f[0], len(f[1]["differences"]), f[1]["start"])):
             same = kept.setdefault(x["license"], [])
