@@ -133,17 +133,28 @@ def bands_for(threshold: float, perms: int = 128) -> tuple[int, int]:
     return bands, perms // bands
 
 
+def rows_for(threshold: float, perms: int = 128, missed: float = 1e-4) -> int:
+    """Rows of a band, as many as miss a pair at the threshold with a probability of at most ``missed``."""
+    return max((r for r in range(1, perms + 1) if perms % r == 0 and (1 - threshold**r) ** (perms // r) <= missed), default=1)
+
+
 def minhash_edges(sig: DataFrame, threshold: float, perms: int = 128, seed: int = 8191) -> DataFrame:
-    """The same from ``perms`` minima in bands: candidates share a band, the jaccard is the share of equal minima."""
-    bands, rows = bands_for(threshold, perms)
+    """The same from ``perms`` minima in bands: candidates share a band, and are confirmed on their whole sets.
+
+    Bands are narrow enough to miss next to none at the threshold; that they meet more candidates costs comparisons, not results.
+    """
+    rows = rows_for(threshold, perms)
+    bands = perms // rows
     sig = cut(sig)  # or each of the minima would make the shingles anew
     mins = F.transform(F.sequence(F.lit(1), F.lit(perms)), lambda i: F.array_min(F.transform("sh", lambda h: F.xxhash64(h, i, F.lit(seed)))))
-    m = cut(sig.select(F.monotonically_increasing_id().alias("v"), "doc_id", "age", mins.alias("m")))
+    m = cut(sig.select(F.monotonically_increasing_id().alias("v"), "doc_id", "age", "sh", mins.alias("m")))
     band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice("m", b * rows + 1, rows)))
-    keyed = m.select("v", F.explode(band).alias("key"))
-    pairs = keyed.join(keyed.withColumnRenamed("v", "v2"), "key").filter("v < v2").select("v", "v2").distinct()
-    equal = F.aggregate(F.zip_with("s1", "s2", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return _edges(m, pairs, "m", equal / F.lit(perms), threshold)
+    keyed = m.select("v", F.size("sh").alias("n"), F.explode(band).alias("key"))
+    other = keyed.select(F.col("v").alias("v2"), F.col("n").alias("n2"), "key")
+    long_enough = F.least("n", "n2") >= F.lit(threshold) * F.greatest("n", "n2") - F.lit(1e-9)
+    pairs = keyed.join(other, "key").filter((F.col("v") < F.col("v2")) & long_enough).select("v", "v2").distinct()
+    common = F.size(F.array_intersect("s1", "s2"))
+    return _edges(m, pairs, "sh", common / (F.size("s1") + F.size("s2") - common), threshold)
 
 
 #: Rounds before what is open is solved by components, and links of a component up to which one task solves it (it holds the names).

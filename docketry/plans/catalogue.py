@@ -786,9 +786,10 @@ def _(s, d):
     return dedup.near_clusters(*_canonicals(s, d)).drop("minhash_seed_version")
 
 
-@query("ded_near_minhash", None)
+@query("ded_near_minhash", "RECURSIVE" + _STARS + "SELECT doc_id, cluster_id, canonical_doc_id, jaccard_to_canonical FROM ne")
 def _(s, d):
-    return dedup.near_clusters(*_canonicals(s, d), mode="minhash")
+    """By bands of minima: candidates are confirmed exactly, and a pair at the threshold is missed once in more than 10,000 times."""
+    return dedup.near_clusters(*_canonicals(s, d), mode="minhash").drop("minhash_seed_version")
 
 
 _REPORT = "RECURSIVE" + _STARS + ", tc AS (SELECT *, CAST([] AS VARCHAR[]) AS attachment_names FROM ca)" + _THREAD.replace("FROM tm)", "FROM tc)") + """

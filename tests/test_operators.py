@@ -321,6 +321,7 @@ def test_minhash_finds_what_the_exact_mode_finds(spark):
     near = {(r["a"], r["b"]) for r in dedup.minhash_edges(sig, 0.85).collect()}
     assert len(exact) > 100 and len(near & exact.keys()) >= 0.75 * len(exact)
     assert all(e in near for e, j in exact.items() if j >= 0.93)
+    assert near == exact.keys() and dedup.rows_for(0.85) == 4 and dedup.rows_for(0.5, 128) == 2
 
 
 def test_protocol_names_and_templates(spark, tmp_path):
