@@ -82,13 +82,12 @@ class Languages:
         both = self.table if self.familiar is None else np.hstack([self.table, self.familiar])
         out, size = np.zeros((len(texts), both.shape[1])), np.ones(len(texts), np.int64)
         for lo, hi in slices([len(t) for t in texts], STEP):
-            if hi - lo == 1:  # a long one is summed by parts
-                n = 0
+            if hi - lo == 1:  # a long one is counted by parts, and summed a language at a time
+                counts = np.zeros(len(both), np.float64)
                 for part in gram_parts(texts[lo]):
-                    out[lo] += both[part].sum(0, dtype=np.float64)
-                    n += len(part)
-                size[lo] = max(1, n)
-                out[lo] /= size[lo]
+                    counts += np.bincount(part, minlength=len(both))
+                size[lo] = max(1, int(counts.sum()))
+                out[lo] = [counts @ both[:, c].astype(np.float64) / size[lo] for c in range(both.shape[1])]
                 continue
             part = [grams(t) for t in texts[lo:hi]]
             at = np.concatenate([[0], np.cumsum([len(p) for p in part])])

@@ -242,3 +242,20 @@ def test_queries_on_empty_tables(spark, tmp_path, f):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert f(spark, str(tmp_path)).count() == 0
+
+
+def test_long_texts_in_many_languages_take_little_memory():
+    """A text of 1,000,000 bytes against 300 languages: sums as of its n-grams one by one, without a copy of their rows."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    table = rng.normal(size=(1 << 15, 300)).astype(np.float32)
+    model = langid.Languages([f"l{k}" for k in range(300)], table, np.zeros(300), 0.0)
+    text = bytes(rng.integers(97, 123, 1_000_000, dtype=np.uint8))
+    tracemalloc.start()
+    got, size = model.sums([text])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    parts = list(langid.gram_parts(text))
+    want = sum(table[:, 7].take(p).sum(dtype=np.float64) for p in parts) / size[0]
+    assert size[0] == sum(map(len, parts)) > 2_900_000 and abs(got[0, 7] - want) < 1e-9 and most < 200_000_000
