@@ -1,7 +1,7 @@
 """Headline queries over ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]``; prints one JSON line of median warm seconds.
 
 ``rates`` has documents a second of the ingest of archives that are packed before the clock starts, and of the preprocessing chain (exact and
-near duplicates, threads) over stored messages.
+near duplicates, threads) over stored messages; ``mb_rates`` the same in MB of bodies.
 """
 
 from __future__ import annotations
@@ -17,15 +17,17 @@ HEADLINE = ["val_eval", "agg_policy", "agg_coverage", "join_relcust", "smp_devse
 
 
 def chains(spark, sf_dir: str) -> dict:
-    """Documents and a function for each chain."""
+    """Documents, MB of their bodies, and a function for each chain."""
     from docketry import views
     from docketry.operators import dedup, threads
     from docketry.plans import archives as packed
     from docketry.plans.catalogue import scratch
     from docketry.sources import archives, messages
 
+    from pyspark.sql import functions as F
+
     m = views.messages(spark, sf_dir)
-    n = m.count()
+    n, size = m.agg(F.count("*"), F.sum(F.octet_length("body_text")) / 1e6).first()
     row_of = lambda r: (f"dir/{r.n:09d}", f"From:\t{r.custodian} <a@b.c>\nTo:\t{r.lang}; x\nSubject:\t{r.subject}\n\n{r.body_text}")
     tgz = packed._write(spark, m, packed._tar("w:gz", row_of), "part{}.tgz")
     zips = packed._write(spark, m.select("n"), packed._pack_zip, "edrm-enron-v2_c{}_xml.zip")
@@ -45,9 +47,9 @@ def chains(spark, sf_dir: str) -> dict:
         exact.unpersist()
 
     return {
-        "ingest_tgz": (n, lambda: noop(messages.tab_texts(archives.tar(spark, files=spark.read.parquet(tgz))))),
-        "ingest_zip": (n, lambda: noop(messages.load_zips(spark, files=spark.read.parquet(zips), partitions=8).messages)),
-        "preprocess": (n, preprocess),
+        "ingest_tgz": (n, size, lambda: noop(messages.tab_texts(archives.tar(spark, files=spark.read.parquet(tgz))))),
+        "ingest_zip": (n, 0.0, lambda: noop(messages.load_zips(spark, files=spark.read.parquet(zips), partitions=8).messages)),
+        "preprocess": (n, size, preprocess),
     }
 
 
@@ -69,15 +71,17 @@ def main() -> None:
     for name in HEADLINE:
         once(name)
         seconds[name] = round(statistics.median(once(name) for _ in range(ROUNDS)), 3)
-    rates = {}
-    for name, (documents, run) in chains(spark, sf_dir).items():
+    rates, mb_rates = {}, {}
+    for name, (documents, mb, run) in chains(spark, sf_dir).items():
         run()
         began = time.perf_counter()
         run()
         seconds[name] = round(time.perf_counter() - began, 3)
         rates[name] = round(documents / seconds[name])
+        if mb:
+            mb_rates[name] = round(mb / seconds[name], 1)
     scale = re.search(r"sf([\d.]+)", sf_dir)
-    print(json.dumps({"metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "rates": rates, "sf": float(scale[1]) if scale else sf_dir}))
+    print(json.dumps({"metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "rates": rates, "mb_rates": mb_rates, "sf": float(scale[1]) if scale else sf_dir}))
     spark.stop()
 
 
