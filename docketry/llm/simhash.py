@@ -204,7 +204,7 @@ def links(fps: DataFrame, radius: int = RADIUS, count: int = SEGMENTS) -> DataFr
         def found(parts: list) -> Iterator[pa.RecordBatch]:
             key, fp, probe = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((fp, probe, key))
-            out = close(key, fp[order], ~probe[order], radius).view(np.int64)
+            out = spanning(close(key, fp[order], ~probe[order], radius)).view(np.int64)  # of all keys of the batch
             if len(out):
                 yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
