@@ -141,10 +141,10 @@ def _tab_rows(s: SparkSession, d: str) -> DataFrame:
     return messages.tab_texts(archives.tar(s, files=s.read.parquet(path)))
 
 
-def _judged_rows(s: SparkSession, d: str) -> DataFrame:
+def _judged_rows(s: SparkSession, d: str, max_body_chars: int | None = messages.MAX_BODY_CHARS) -> DataFrame:
     row_of = lambda r: (f"./edrm-enron-v2_{r.custodian}_xml/text_000/3.{r.n}.{r.lang}.txt", f"From: {r.lang}@x\nTo: a, b; c\nSubject: {r.subject}\n\n{r.body_text}")
     path = _write(s, views.messages(s, d), _tar("w:bz2", row_of), "part{}.tar.bz2")
-    return messages.judged_texts(archives.tar(s, files=s.read.parquet(path)))
+    return messages.judged_texts(archives.tar(s, files=s.read.parquet(path)), max_body_chars=max_body_chars)
 
 
 @query(
@@ -199,7 +199,8 @@ def _(s, d):
 
 @query("hdr_rfc", "SELECT lang || '@x' AS from_addr, 'a|b|c' AS recipients, subject, len(body_text) AS n FROM m")
 def _(s, d):
-    return _judged_rows(s, d).select("from_addr", F.array_join("to", "|").alias("recipients"), "subject", F.length("body_text").cast("long").alias("n"))
+    """Headers, and the length of what follows them: bodies are whole."""
+    return _judged_rows(s, d, None).select("from_addr", F.array_join("to", "|").alias("recipients"), "subject", F.length("body_text").cast("long").alias("n"))
 
 
 @query(

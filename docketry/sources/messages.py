@@ -84,14 +84,14 @@ def tab_texts(members: DataFrame, corpus: str = "bush") -> DataFrame:
     return _finish(df, corpus, F.col("whole"))
 
 
-def judged_texts(members: DataFrame, corpus: str = "enron", max_body_chars: int = MAX_BODY_CHARS) -> DataFrame:
-    """``messages`` of judged texts: paths of depth three, colon headers, bodies cut at ``max_body_chars`` with a warning."""
+def judged_texts(members: DataFrame, corpus: str = "enron", max_body_chars: int | None = MAX_BODY_CHARS) -> DataFrame:
+    """``messages`` of judged texts: paths of depth three, colon headers, bodies cut at ``max_body_chars`` with a warning (None: whole)."""
 
     def parse(row: dict) -> dict:
         whole, charset = mail.decode(row["content"], ("utf-8", "latin-1"))
         headers, body = mail.colon_headers(whole)
         warn = ["latin1_fallback"] * bool(charset) + ["no_header_block"] * (not headers)
-        cut = len(body) > max_body_chars
+        cut = max_body_chars is not None and len(body) > max_body_chars
         return {
             "body_text": body[:max_body_chars], "from_addr": headers.get("from"), "to_raw": headers.get("to"), "cc_raw": headers.get("cc"),
             "bcc_raw": headers.get("bcc"), "subject": headers.get("subject"), "date_raw": headers.get("date") or headers.get("sent"),
