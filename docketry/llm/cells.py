@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .graph import components
 
 #: Elements of sets on either side of a cell, about.
 SET_CELL = 1_000_000
@@ -99,6 +100,28 @@ def joining(part: pa.Table, similarity: int, near: Near) -> list[tuple[int, int]
     return out
 
 
+def refined(members: DataFrame, similarity: int, limit: int = SET_CELL) -> DataFrame:
+    """``members(family, class, n, set, ...)`` with families of more than ``limit`` elements cut into what can be alike at all, and without what can not.
+
+    Shingles of a family are ordered, rarest first. Two sets that are alike enough share one of the first n - ceil(similarity n / 100) + 1 of either, so what such shingles
+    connect is a family of its own, and no link is lost. Shingles of one text only never meet; a text whose first ones are all such has no partner. So
+    unlike texts, which long ones of one language with close fingerprints mostly are, are not compared, however many there are. The rows made are as many as shingles.
+    """
+    large = cut(members.groupBy("family").agg(F.sum("n").alias("all")).filter(F.col("all") > limit).select(F.col("family").alias("f")))
+    if not large.limit(1).count():
+        return members
+    is_large = F.col("family") == F.col("f")
+    each = members.join(large, is_large, "left_semi").select("family", "class", "n", F.explode("set").alias("s"))
+    shared = each.groupBy("family", "s").agg(F.count("*").cast("int").alias("df")).filter("df > 1")
+    ordered = each.join(shared, ["family", "s"]).groupBy("family", "class", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("by"))
+    first = F.col("n") - F.floor((similarity * F.col("n") + 99) / 100) + 1 - (F.col("n") - F.size("by"))
+    prefix = cut(ordered.filter(first > 0).select("family", "class", F.explode(F.slice("by", F.lit(1), first.cast("int"))).alias("p")).select("family", "p.s", "class"))
+    least = prefix.groupBy("family", "s").agg(F.min("class").alias("least"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    roots = components(prefix.join(least, ["family", "s"]).filter("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b")).distinct())
+    parts = members.join(large, is_large, "left_semi").join(roots, F.col("class") == F.col("node")).withColumn("family", F.col("root")).select(members.columns)
+    return cut(members.join(large, is_large, "left_anti").unionByName(parts))
+
+
 def confirmed(members: DataFrame, similarity: int, candidates: Callable[[pa.Table], Near], limit: int = SET_CELL) -> DataFrame:
     """Links (a, b) of candidates whose sets have a Jaccard similarity of ``similarity`` percent or more, enough of them to connect what is connected.
 

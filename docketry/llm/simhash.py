@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cells import SET_CELL, Near, confirmed
+from .cells import SET_CELL, Near, confirmed, refined
 from .common import cut, fresh, map_batches, read, slices, tag_column, tag_of, texts_of
 from .graph import components
 
@@ -284,6 +284,7 @@ def duplicates(
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
     sets = shingle_sets(own, size).withColumnRenamed("words", "class").groupBy("class").agg(F.first("set").alias("set"))
     members = cut(found.drop("doc_id").join(sets, "class").withColumn("n", F.size("set").cast("long")))
+    members = refined(members, round(100 * similarity), limit)
     roots = components(confirmed(members, round(100 * similarity), within(radius), limit))
     rooted = texts.join(roots, F.col("words") == F.col("node"), "left").select("words", "doc_id", F.coalesce("root", "words").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("kept")).withColumnRenamed("root", "r")
