@@ -1,5 +1,6 @@
 """Quality, toxicity, language: held-out accuracy and odd cases."""
 
+import os
 import random
 import zlib
 
@@ -237,6 +238,23 @@ def test_logits_of_long_texts_add_up():
         langid.STEP = step
 
 
+def test_toxicity_is_fitted_by_a_task(spark, monkeypatch):
+    """The driver gets the weights, the same as a local fit has, and none of the training texts."""
+    rows = [(i, f"plain words{i % 7} here " + ("badword again" if i % 3 == 0 else "fine again"), int(i % 3 == 0)) for i in range(60)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    wanted = toxicity.fit([r[1] for r in rows], np.array([r[2] for r in rows], float))
+    driver, real = os.getpid(), toxicity.fit
+
+    def fit(texts, toxic):
+        assert os.getpid() != driver, "fitted on the driver"
+        return real(texts, toxic)
+
+    monkeypatch.setattr(toxicity, "fit", fit)
+    got = toxicity.train(docs, labels)
+    assert got.fitted and got.start == wanted.start
+    assert all(np.array_equal(getattr(got, k), getattr(wanted, k)) for k in ("weight", "move", "doc"))
+
+
 @pytest.mark.parametrize("f", [quality.op1_quality, toxicity.op2_toxicity, langid.op7_langid])
 def test_queries_on_empty_tables(spark, tmp_path, f):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
